@@ -53,7 +53,7 @@ def keep_bitmaps(docs: DataFrame, rule: LineRule = LineRule(), id_col: str = "do
     keys = ranges.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= rule.min_docs).select("h1", "h2", "last")
     lost = lines.join(written(keys, folder, "keys"), ["h1", "h2"]).where(F.col("doc") != F.col("last"))
     # Rows of one doc_id with one text have the same positions to drop: bit_or counts them once.
-    words = lost.groupBy("doc", "row_key", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col("pos").bitwiseAND(63))).alias("bits"))
+    words = lost.groupBy("doc", "row_key", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("pos").bitwiseAND(63))).alias("bits"))
     return words.groupBy("doc", "row_key").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, html_extract, line_dedup, url_filter
+from loomwright.llm import bpe, html_extract, line_dedup, simhash, url_filter
 from loomwright.llm.common import LOWER, UPPER, table
 
 # The URL rules and the globs of hosts that sell or spam.
@@ -46,6 +46,10 @@ FROM r
 """
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.SimHash(shingle=4, radius=4))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -75,6 +79,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_simhash": op2_simhash,
     "op3_html_extraction": op3_html_extraction,
     "op4_line_dedup": op4_line_dedup,
     "op6_byte_bpe": op6_byte_bpe,
