@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, html_extract, line_dedup, simhash, url_filter
+from loomwright.llm import bpe, decontaminate, embedding_dedup, html_extract, kneser_ney, line_dedup, simhash, url_filter
 from loomwright.llm.common import LOWER, UPPER, table
 
 # The URL rules and the globs of hosts that sell or spam.
@@ -77,11 +77,41 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), embedding_dedup.Cells(threshold=0.9))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), decontaminate.Windows(size=10))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.perplexity_scores(table(spark, sf_dir, "documents"), kneser_ney.Training(folds=10))
+
+
+OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM s),
+dg AS (SELECT doc_id, w, l.n, unnest(range(1, len(w) - l.n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) AS l WHERE len(w) >= l.n),
+hit AS (SELECT dg.doc_id, dg.i, dg.n, win.item_id FROM dg JOIN win ON win.n = dg.n AND win.g = array_to_string(dg.w[dg.i:dg.i + dg.n - 1], ' ')),
+marks AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marks USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_html_extraction": op3_html_extraction,
     "op4_line_dedup": op4_line_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_decontamination": op8_decontamination,
+    "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_line_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_decontamination": OP8_SQL}
