@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, decontaminate, embedding_dedup, html_extract, kneser_ney, line_dedup, simhash, url_filter
+from loomwright.llm import bpe, decontaminate, embedding_dedup, html_extract, kneser_ney, license_scan, line_dedup, quality, simhash, url_filter
 from loomwright.llm.common import LOWER, UPPER, table
 
 # The URL rules and the globs of hosts that sell or spam.
@@ -71,6 +71,15 @@ FROM m GROUP BY doc_id
 """
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "p_bad", "p_toxic", "score", "rejected")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known_licenses(spark))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -109,9 +118,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_html_extraction": op3_html_extraction,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_decontamination": op8_decontamination,
+    "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_decontamination": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_license_scan": license_scan.oracle()}
