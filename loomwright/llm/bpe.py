@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Ranks:
@@ -165,15 +166,16 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         at = end
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids themselves and the decoded text.
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """id, the columns to keep, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids and the decoded text.
 
     path: the rank file, there on every worker; pattern splits a text into words that are encoded separately. Every text
     is encoded whole, without special tokens, and decoded again; null counts as empty. A narrow pass: each worker
     replays the merges over the new words of a block of texts. Other columns are not read.
     """
-    src = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
-    kind = src.schema["_id"].dataType.simpleString()
+    row = F.struct(docs[id_col].alias(id_col), *(docs[c] for c in keep))
+    src = docs.select(row.alias("_row"), docs[text_col].cast("string").alias("_text"))
+    kind = src.schema["_row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
@@ -182,7 +184,13 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 ids = codec.encode(texts)
                 back = [codec.decode(x) for x in ids]
                 cols = [b.column(0).slice(at, len(ids)), pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (ids, back))]
-                more = [pa.array([np.frombuffer(x, "<u4").astype("<i4") for x in ids], pa.list_(pa.int32())), pa.array([x.decode() for x in back], pa.string())] if with_ids else []
-                yield pa.RecordBatch.from_arrays(cols + more, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])
-
-    return src.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)
+                if with_ids:
+                    cols.append(pa.array([np.frombuffer(x, "<u4").astype("<i4") for x in ids], pa.list_(pa.int32())))
+                if with_text:
+                    cols.append(pa.array([x.decode() for x in back], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    kinds = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {}) | ({"decoded": "string"} if with_text else {})
+    names = ["_row", *kinds]
+    out = src.mapInArrow(run, f"`_row` {kind}, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    return out.select("_row.*", *kinds)

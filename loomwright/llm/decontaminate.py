@@ -80,7 +80,7 @@ def _count(vocabulary):
     return run
 
 
-def _search(index, id_type: str):
+def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = index.value
         for b in batches:
@@ -93,7 +93,7 @@ def _search(index, id_type: str):
                     find(doc, found, mark, got)
                     hits.append(bytes(mark))
                     names.append(list(got))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["_id", "_text", "_hit", "_items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["_row", "_text", "_hit", "_items"])
 
     return run
 
@@ -103,11 +103,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, names = b.column(1).to_pylist(), [sorted(x for x in row if x is not None) for row in b.column(2).to_pylist()]
         cols = [pa.array([len(x) for x in marks], pa.int64()), pa.array([x.count(1) for x in marks], pa.int64()), pa.array([len(x) for x in names], pa.int64())]
         sha = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string())
-        yield pa.RecordBatch.from_arrays([b.column(0), *cols, sha, pa.array(names, pa.list_(pa.string())), pa.array(marks, pa.binary())], ["_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "hit"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *cols, sha, pa.array(names, pa.list_(pa.string())), pa.array(marks, pa.binary())], ["_row", "n_words", "n_hit", "n_items", "items_sha256", "items", "hit"])
 
 
-def search(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """id, n_words, n_hit, n_items, items_sha256, contaminated, items, hit for each row of docs.
+def search(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns to keep, n_words, n_hit, n_items, items_sha256, contaminated, items, hit for each row of docs.
 
     hit has a byte for each word, 1 inside an occurrence of a window; items are the ids of items with an occurring
     window, as strings in order. Null and empty texts have no words; an item without words has no window. A null item id
@@ -120,8 +120,9 @@ def search(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows(), id_c
     items = benchmark.select(benchmark[item_col].cast("string").alias("name"), benchmark[text_col].cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = -(-size // how.part_bytes) or 1
-    kind = docs.select(docs[id_col].alias("c")).schema["c"].dataType.simpleString()
-    state = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
+    row = F.struct(docs[id_col].alias(id_col), *(docs[c] for c in keep))
+    state = docs.select(row.alias("_row"), docs[text_col].cast("string").alias("_text"))
+    kind = state.schema["_row"].dataType.simpleString()
     texts = state.select("_text")
     state = state.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
     for part in range(parts):
@@ -130,6 +131,6 @@ def search(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows(), id_c
         known = spark.sparkContext.broadcast(frozenset(x for w in windows for x in w))
         counts = texts.mapInArrow(_count(known), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
         index = prefix_index(windows, {bytes(r.word): r.n for r in counts.collect()})
-        state = state.mapInArrow(_search(spark.sparkContext.broadcast(index), kind), f"`_id` {kind}, `_text` string, `_hit` binary, `_items` array<string>")
-    out = state.select("_id", "_hit", "_items").mapInArrow(_digest, f"`_id` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>, hit binary")
-    return out.select(F.col("_id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", "hit")
+        state = state.mapInArrow(_search(spark.sparkContext.broadcast(index)), f"`_row` {kind}, `_text` string, `_hit` binary, `_items` array<string>")
+    out = state.select("_row", "_hit", "_items").mapInArrow(_digest, f"`_row` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>, hit binary")
+    return out.select("_row.*", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", "hit")

@@ -9,11 +9,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import shared_dir, written
 from loomwright.llm.components import Forest, components
+from loomwright.llm.hash_arrays import mix
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -25,46 +26,92 @@ class SimHash:
     Fingerprints are cut into blocks; radius differing bits leave at least blocks - radius of them equal, so that all
     links are found among fingerprints that share that many blocks: a bucket for each choice of blocks. A bucket of more
     than split fingerprints is compared in parts, each with each.
+
+    shingle 0 makes the fingerprint of the different words of a text. With choose more blocks have to be equal than
+    radius differing bits always leave (fewer links are found, those with the most differing bits first). With
+    check_shingle, what is near by its 64 bits must also differ in at most check_differing of the 256 bits of a second
+    fingerprint, of shingles of so many words: an angle of pi * check_differing / 256 between texts. For sets with a
+    Jaccard similarity J it is arccos(2 J / (1 + J)), so that 0.8 stands at 39 bits, give or take 6.
     """
 
     shingle: int = 4
     radius: int = 4
     blocks: int = 6
+    choose: int | None = None
     split: int = 50_000
+    check_shingle: int | None = None
+    check_differing: int = 44
 
     def __post_init__(self) -> None:
-        assert 0 <= self.radius < min(8, self.blocks)
+        assert 0 <= self.radius < 8 and 0 < self.chosen <= self.blocks
+
+    @property
+    def chosen(self) -> int:
+        return self.choose or self.blocks - self.radius
+
+    @property
+    def columns(self) -> list[str]:
+        return ["print", *(["c0", "c1", "c2", "c3"] if self.check_shingle else [])]
 
     def keys(self) -> list[list[tuple[int, int]]]:
         """For each choice of blocks, their (shift, width)."""
         cuts = [64 * i // self.blocks for i in range(self.blocks + 1)]
         spans = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(self.blocks)]
-        return [list(c) for c in combinations(spans, self.blocks - self.radius)]
+        return [list(c) for c in combinations(spans, self.chosen)]
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Words are split at ASCII white space, A-Z lower-cased; fewer words than a shingle are one shingle, none give 0."""
-    words = text.encode(errors="surrogatepass").lower().split() if text else []
-    if not words:
-        return 0
-    joined = b" ".join(words)
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    whole = len(bits) // 255 * 255
+    return bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.uint8)
+
+
+def _hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles, repeats included, a block at a time; fewer words than a shingle are one shingle."""
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        yield np.array([digest(joined, 42)], np.uint64)
+        return
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    n, total = len(words) - shingle + 1, np.zeros(64, np.int64)
-    starts, ends, digest = (ends - sizes)[:n], ends[shingle - 1 :], xxhash.xxh64_intdigest
-    for at in range(0, n, 65280):
+    starts, ends = (ends - sizes)[: len(words) - shingle + 1], ends[shingle - 1 :]
+    for at in range(0, len(starts), 65280):
         part = slice(at, at + 65280)
-        hashes = np.array([digest(joined[i:j], 42) for i, j in zip(starts[part].tolist(), ends[part].tolist())], np.uint64)
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        whole = len(bits) // 255 * 255
-        if whole:
-            total += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        total += bits[whole:].sum(axis=0, dtype=np.uint8)
+        yield np.array([digest(joined[i:j], 42) for i, j in zip(starts[part].tolist(), ends[part].tolist())], np.uint64)
+
+
+def _print(total: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def _words(text: str | None) -> list[bytes]:
+    return text.encode(errors="surrogatepass").lower().split() if text else []
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Words are split at ASCII white space, A-Z lower-cased; fewer words than a shingle are one shingle, none give 0."""
+    if not (words := _words(text)):
+        return 0
+    blocks = [np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in set(words)), np.uint64)] if shingle == 0 else _hashes(words, shingle)
+    n, total = 0, np.zeros(64, np.int64)
+    for hashes in blocks:
+        n, total = n + len(hashes), total + _bits(hashes)
+    return _print(total, n)
+
+
+def long_fingerprint(text: str | None, shingle: int) -> list[int]:
+    """256 bits: each hash is spread over four."""
+    if not (words := _words(text)):
+        return [0] * 4
+    n, totals = 0, np.zeros((4, 64), np.int64)
+    for hashes in _hashes(words, shingle):
+        n += len(hashes)
+        for k in range(4):
+            totals[k] += _bits(mix(hashes + np.uint64(k)))
+    return [_print(t, n) for t in totals]
+
+
 def planes(values: np.ndarray) -> np.ndarray:
     """Bit planes of 64-bit values, stored vertically: row b has bit b of all values, 64 values in a word."""
     bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -117,8 +164,14 @@ def lanes(words: np.ndarray, n: int) -> np.ndarray:
 SMALL = 48
 
 
-def link_buckets(buckets: np.ndarray, prints: np.ndarray, nodes: np.ndarray, radius: int, forest: Forest) -> None:
-    """Joins the nodes whose prints are near in any bucket; buckets are runs of equal values."""
+def _same(checks: np.ndarray, i, j, differing: int) -> np.ndarray:
+    """Whether the second fingerprints (a row for each word of 64 bits; no rows: always) are near."""
+    return np.bitwise_count(checks[:, i] ^ checks[:, j]).sum(axis=0, dtype=np.int64) <= differing
+
+
+def link_buckets(buckets: np.ndarray, rows: np.ndarray, nodes: np.ndarray, how: SimHash, forest: Forest) -> None:
+    """Joins the nodes whose prints are near in any bucket; buckets are runs of equal values. rows: print and checks."""
+    prints, checks = rows[0], rows[1:]
     edge = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]]))
     sizes = np.diff(edge)
     rest = np.repeat(sizes, sizes) - (np.arange(len(buckets)) - np.repeat(edge[:-1], sizes))  # members from here on
@@ -129,55 +182,60 @@ def link_buckets(buckets: np.ndarray, prints: np.ndarray, nodes: np.ndarray, rad
             break
         for at in range(0, len(left), 1 << 18):
             i = left[at : at + (1 << 18)]
-            hit = i[lanes(near(planes(prints[i] ^ prints[i + step]), radius), len(i))]
+            hit = i[lanes(near(planes(prints[i] ^ prints[i + step]), how.radius), len(i))]
+            hit = hit[_same(checks, hit, hit + step, how.check_differing)]
             for x, y in zip(nodes[hit].tolist(), nodes[hit + step].tolist()):
                 forest.join(x, y)
     for k in np.flatnonzero(sizes > SMALL).tolist():
         part = slice(edge[k], edge[k + 1])
-        link_large(prints[part], nodes[part], radius, forest)
+        link_large(rows[:, part], nodes[part], how, forest)
 
 
-def link_large(prints: np.ndarray, nodes: np.ndarray, radius: int, forest: Forest) -> None:
+def link_large(rows: np.ndarray, nodes: np.ndarray, how: SimHash, forest: Forest) -> None:
     """One bucket: each member is a probe once, against the members that no probe has reached yet.
 
     A member that is reached belongs to its probe's component, and need not be found again. The first member of the
     bit planes that isn't reached starts the next component.
     """
+    prints, checks = rows[0], rows[1:]
     todo = np.arange(len(prints))
     vertical, open_ = planes(prints), np.ones(len(prints), bool)
     while len(todo):
-        front = [0]
-        open_[0] = False
+        front = [int(np.flatnonzero(open_)[0])]
+        open_[front[0]] = False
         while front:
             i = front.pop()
             flip = np.where((prints[todo[i]] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), ONES, np.uint64(0))
-            hit = lanes(near(vertical ^ flip[:, None], radius), len(todo))
+            hit = lanes(near(vertical ^ flip[:, None], how.radius), len(todo))
             hit = hit[open_[hit]]
+            hit = hit[_same(checks, todo[hit], todo[[i]], how.check_differing)]
             open_[hit] = False
             front += hit.tolist()
             x = int(nodes[todo[i]])
             for y in nodes[todo[hit]].tolist():
                 forest.join(x, y)
-        todo = todo[open_]
-        if len(todo):
-            vertical, open_ = planes(prints[todo]), np.ones(len(todo), bool)
+        if open_.sum() * 2 < len(todo):
+            todo = todo[open_]
+            if len(todo):
+                vertical, open_ = planes(prints[todo]), np.ones(len(todo), bool)
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, print (the 64 bits as a signed number) for each row of docs."""
+def fingerprints(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, print and the words of the second fingerprint (bits as signed numbers) for each row of docs."""
     src = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
+    shingle, check = how.shingle, how.check_shingle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 texts = b.column(1).slice(at, 512).to_pylist()
-                got = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), pa.array(got)], ["_id", "print"])
+                got = np.array([[fingerprint(t, shingle), *(long_fingerprint(t, check) if check else ())] for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), *(pa.array(c) for c in got.T)], ["_id", *how.columns])
 
-    return src.mapInArrow(run, f"`_id` {src.schema['_id'].dataType.simpleString()}, print bigint")
+    return src.mapInArrow(run, f"`_id` {src.schema['_id'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in how.columns))
 
 
-def _links(radius: int):
+def _links(how: SimHash):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, kept = Forest(), None
 
@@ -190,39 +248,40 @@ def _links(radius: int):
             kept = now if kept is None else tuple(np.concatenate([x, y], axis=1) for x, y in zip(kept, now))
             changes = np.flatnonzero((kept[0][:, 1:] != kept[0][:, :-1]).any(axis=0)) + 1
             if len(changes):  # the last bucket may go on in the next batch
-                _group(kept[0][:, : changes[-1]], kept[1][:, : changes[-1]], radius, forest)
+                _group(kept[0][:, : changes[-1]], kept[1][:, : changes[-1]], how, forest)
                 kept = kept[0][:, changes[-1] :], kept[1][:, changes[-1] :]
             if len(forest.up) > 500_000:
                 yield from out()
-        if kept is not None:
-            _group(*kept, radius, forest)
+        if kept is not None and kept[0].shape[1]:
+            _group(*kept, how, forest)
         yield from out()
 
     return run
 
 
-def _group(keys: np.ndarray, rows: np.ndarray, radius: int, forest: Forest) -> None:
+def _group(keys: np.ndarray, rows: np.ndarray, how: SimHash, forest: Forest) -> None:
     runs = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))])
-    link_buckets(runs, rows[0].view(np.uint64), rows[1], radius, forest)
+    link_buckets(runs, rows[:-1].view(np.uint64), rows[-1], how, forest)
 
 
 def near_links(prints: DataFrame, how: SimHash, folder: str) -> DataFrame:
-    """a, b: links that connect just what is connected. prints has distinct prints, each with a node."""
+    """a, b: links that connect just what is connected. prints has distinct prints (with checks), each with a node."""
     choices = []
     for t, spans in enumerate(how.keys()):
         key = F.lit(0).cast("bigint")
         for shift, width in spans:
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("print", shift).bitwiseAND((1 << width) - 1))
         choices.append(F.struct(F.lit(t).alias("choice"), key.alias("key")))
-    rows = prints.select(F.explode(F.array(*choices)).alias("k"), "print", "node").select(F.col("k.choice").cast("bigint").alias("choice"), "k.key", "print", "node")
+    own = [*how.columns, "node"]
+    rows = prints.select(F.explode(F.array(*choices)).alias("k"), *own).select(F.col("k.choice").cast("bigint").alias("choice"), "k.key", *own)
     large = written(rows.groupBy("choice", "key").count().where(F.col("count") > how.split).select("choice", "key", F.ceil(F.col("count") / how.split).alias("parts")), folder, "large")
     cold = rows.join(large, ["choice", "key"], "left")
     part = F.pmod(F.xxhash64("print"), "parts")
     with_all = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda j: F.struct(F.least(part, j).alias("p"), F.greatest(part, j).alias("q")))
     alone = F.array(F.struct(F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("q")))
     dealt = cold.withColumn("pq", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(with_all)))
-    dealt = dealt.select(F.col("choice").bitwiseOR(F.shiftleft(F.col("pq.p"), 8)).alias("choice"), "key", F.col("pq.q").alias("q"), "print", "node")
-    return dealt.repartition("choice", "key", "q").sortWithinPartitions("choice", "key", "q").mapInArrow(_links(how.radius), "a bigint, b bigint")
+    dealt = dealt.select(F.col("choice").bitwiseOR(F.shiftleft(F.col("pq.p"), 8)).alias("choice"), "key", F.col("pq.q").alias("q"), *own)
+    return dealt.repartition("choice", "key", "q").sortWithinPartitions("choice", "key", "q").mapInArrow(_links(how), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,9 +296,21 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "do
     """
     folder = shared_dir(docs.sparkSession)
     kind = docs.select(docs[id_col].alias("c")).schema["c"].dataType
-    prints = written(fingerprints(docs, how.shingle, id_col, text_col), folder, "prints")
-    nodes = written(prints.where("_id is not null").groupBy("print").agg(F.min(F.col("_id").cast("bigint")).alias("node")), folder, "nodes")
+    prints = written(fingerprints(docs, how, id_col, text_col), folder, "prints")
+    nodes = written(prints.where("_id is not null").groupBy(*how.columns).agg(F.min(F.col("_id").cast("bigint")).alias("node")), folder, "nodes")
     parts = components(near_links(nodes, how, folder), folder)
-    named = written(nodes.join(parts, "node", "left").select("print", F.coalesce("component", "node").alias("component_id")), folder, "named")
-    out = prints.join(named, "print", "left").select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.when(F.col("_id").isNotNull(), F.col("component_id")).cast(kind).alias("component_id"))
+    named = written(nodes.join(parts, "node", "left").select(*how.columns, F.coalesce("component", "node").alias("component_id")), folder, "named")
+    out = prints.join(named, how.columns, "left").select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.when(F.col("_id").isNotNull(), F.col("component_id")).cast(kind).alias("component_id"))
     return out
+
+
+def keep_one(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each component the document with the smallest id; rows with a null id all stay.
+
+    Of rows that repeat an id, the one whose text sorts first stays. Columns stay as they are.
+    """
+    found = near_duplicates(docs, how, id_col, text_col)
+    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    rows = docs.where(docs[id_col].isNotNull()).join(written(first, shared_dir(docs.sparkSession), "kept"), docs[id_col] == F.col("_kept"), "left_semi")
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col)))
+    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank").unionByName(docs.where(docs[id_col].isNull()))
