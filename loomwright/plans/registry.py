@@ -1,2 +1,606 @@
-QUERIES = {}
-ORACLES = {}
+"""The library's queries over the given tables, and for each the SQL that says the same."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomwright.functions import expr
+from loomwright.operators import annotate, clean, evaluate, explore, features, learn, profile, sample, setops
+from loomwright.schema import ROW_ID
+from loomwright.sources import html, json_api
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with labels: positive and negative for quality 1 and 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    name = F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative")
+    return docs.join(labels.select("doc_id", "quality"), "doc_id", "left").select(F.col("doc_id").alias(ROW_ID), "text", name.alias("label"), "source")
+
+
+CORPUS = "corpus AS (SELECT doc_id AS _row_id, text, CASE quality WHEN 1 THEN 'positive' WHEN 0 THEN 'negative' END AS label, source FROM documents LEFT JOIN labels USING (doc_id))"
+FIRST = "kept AS (SELECT * FROM corpus QUALIFY row_number() OVER (PARTITION BY text ORDER BY _row_id) = 1)"
+WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')"
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+POS, NEG = (f"len(list_intersect(list_distinct({WORDS}), {_list(ws)}))" for ws in (expr.POSITIVE, expr.NEGATIVE))
+#: Labelled by keywords, as annotate.label_by_keywords does it.
+LABELLED = f"""{CORPUS},
+scored AS (SELECT *, {POS} AS np, {NEG} AS nn FROM corpus),
+prob AS (SELECT *, (np + 1.0::DOUBLE + (CASE WHEN np >= nn THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 0.5::DOUBLE) / (np + nn + 2.5::DOUBLE - (CASE WHEN np < nn THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 0.5::DOUBLE) AS p FROM scored),
+named AS (SELECT _row_id, text, label, source, CASE WHEN 1.0::DOUBLE - p >= p THEN 'negative' ELSE 'positive' END AS predicted_label, round_even(greatest(1.0::DOUBLE - p, p), 4) AS confidence FROM prob),
+labelled AS (SELECT *, confidence < 0.7::DOUBLE AS needs_review FROM named)"""
+#: Probabilities of three classes that any engine computes alike.
+PROBS = "probs AS (SELECT vec_id AS _row_id, [abs(embedding[1]::DOUBLE) / s, abs(embedding[2]::DOUBLE) / s, abs(embedding[3]::DOUBLE) / s] AS p FROM (SELECT *, abs(embedding[1]::DOUBLE) + abs(embedding[2]::DOUBLE) + abs(embedding[3]::DOUBLE) AS s FROM embeddings) WHERE s > 0)"
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate.label_by_keywords(corpus(spark, sf_dir))
+
+
+def probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [F.abs(F.col("embedding")[k].cast("double")) for k in range(3)]
+    total = own[0] + own[1] + own[2]
+    return table(spark, sf_dir, "embeddings").where(total > 0).select(F.col("vec_id").alias(ROW_ID), F.array(*(x / total for x in own)).alias("p"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged, cleaned, counted by class."""
+    df = clean.fix(setops.merge([corpus(spark, sf_dir)]), clean.DEFAULT)
+    return profile.value_counts(df, "label")
+
+
+# Sources, projections, set operations
+
+
+@query(f"WITH {CORPUS}, {FIRST} SELECT _row_id, text, label, source FROM kept WHERE text IS NOT NULL AND trim(text) <> ''")
+def merge_dedup_keep_first(spark, sf_dir):
+    return setops.merge([corpus(spark, sf_dir)])
+
+
+@query("""SELECT CAST(doc_id AS BIGINT) AS _row_id, text, coalesce(CASE quality WHEN 0 THEN 'poor' END, CAST(quality AS VARCHAR)) AS label, 'hf_documents' AS source FROM documents JOIN labels USING (doc_id)""")
+def label_map_fallback(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return df.select(F.col("doc_id").alias(ROW_ID), "text", expr.lookup(F.col("quality"), {0: "poor"}).alias("label"), F.lit("hf_documents").alias("source"))
+
+
+@query("""SELECT doc_id AS _row_id, text, lang AS label, source FROM (SELECT *, md5(CAST(doc_id AS VARCHAR) || ':42') AS k FROM documents) ORDER BY k, doc_id LIMIT 300""")
+def dataset_scan_sample(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ROW_ID), "text", F.col("lang").alias("label"), "source")
+    return sample.take(df, 300)
+
+
+@query(f"WITH {CORPUS} SELECT _row_id, CASE WHEN {POS} >= {NEG} THEN 'positive' ELSE 'negative' END AS sentiment FROM corpus")
+def keyword_sentiment(spark, sf_dir):
+    return corpus(spark, sf_dir).select(ROW_ID, expr.sentiment(F.coalesce("text", F.lit(""))).alias("sentiment"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS other FROM events""")
+def json_api_extract(spark, sf_dir):
+    df = json_api.fields(table(spark, sf_dir, "events"), "props", {"k": "k", "m": "missing"})
+    return df.select("event_id", "k", F.coalesce("m", F.lit("none")).alias("other"))
+
+
+@query()
+def html_scrape(spark, sf_dir):
+    return html.scrape_pages(table(spark, sf_dir, "pages"), "article p", keep=("page_id",))
+
+
+@query("""SELECT page_id, 0 AS position, trim(html_title, '“”"''') AS text FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS raw, replace(replace(replace(replace(trim(raw), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS html_title FROM pages) WHERE text <> ''""")
+def html_titles(spark, sf_dir):
+    return html.scrape_pages(table(spark, sf_dir, "pages"), "article > h1", keep=("page_id",))
+
+
+@query("""SELECT text, source_table, id FROM (SELECT text, 'documents' AS source_table, doc_id AS id FROM documents UNION ALL SELECT text, 'benchmark', item_id FROM benchmark UNION ALL SELECT text, 'conversations', conv_id FROM conversations)""")
+def union_sources(spark, sf_dir):
+    part = lambda name, key: table(spark, sf_dir, name).select("text", F.lit(name).alias("source_table"), F.col(key).cast("bigint").alias("id"))
+    return setops.union_all([part("documents", "doc_id"), part("benchmark", "item_id"), part("conversations", "conv_id")])
+
+
+@query("""SELECT doc_id, text, quality, toxic FROM documents FULL OUTER JOIN labels USING (doc_id)""")
+def align_modalities(spark, sf_dir):
+    return setops.align(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""SELECT o.o_custkey AS user_key, o.o_orderkey, e.value FROM (SELECT o_custkey, o_orderkey, o_orderdate FROM orders) o
+ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events GROUP BY ALL) e ON o.o_custkey = e.user_id AND o.o_orderdate >= e.ts""")
+def align_as_of_time(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_key"), "o_orderkey", F.col("o_orderdate").alias("ts"))
+    events = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("bigint").alias("user_key"), "ts").agg(F.max("value").alias("value"))
+    return setops.align_as_of(orders, events, "user_key", "ts", ["value"]).select("user_key", "o_orderkey", "value")
+
+
+@query(f"WITH {CORPUS} SELECT _row_id - (SELECT min(_row_id) FROM corpus) AS _row_id, label FROM corpus WHERE (SELECT count(*) FROM corpus) = (SELECT max(_row_id) - min(_row_id) + 1 FROM corpus)")
+def reindex_rows(spark, sf_dir):
+    return setops.reindex(corpus(spark, sf_dir).select(ROW_ID, "label"))
+
+
+@query("""SELECT doc_id, regexp_replace(trim(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), '_'), '_+$', '') AS slug, substr(text, 1, 100) AS preview, replace(substr(text, 1, 60), '|', '\\|') AS escaped, length(text) AS n FROM documents""")
+def text_functions(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", expr.slug(F.col("source")).alias("slug"), expr.preview(t, 100).alias("preview"), expr.escape_pipes(expr.preview(t, 60)).alias("escaped"), F.length(t).cast("bigint").alias("n"))
+
+
+# Profile
+
+
+MISSING = f"""WITH {CORPUS}, n AS (SELECT count(*) AS n FROM corpus),
+m AS (SELECT 'text' AS "column", count(*) FILTER (coalesce(trim(text) = '', true)) AS c FROM corpus UNION ALL SELECT 'label', count(*) FILTER (coalesce(trim(label) = '', true)) FROM corpus UNION ALL SELECT 'source', count(*) FILTER (coalesce(trim(source) = '', true)) FROM corpus)
+SELECT "column", c AS count, round_even(c / n * 100, 2) AS percent FROM m, n WHERE c > 0"""
+
+
+@query(MISSING)
+def missing_profile(spark, sf_dir):
+    return profile.missing(corpus(spark, sf_dir))
+
+
+@query(f"WITH {CORPUS}, n AS (SELECT count(*) AS n FROM corpus), d AS (SELECT count(*) AS d FROM (SELECT DISTINCT text, label, source FROM corpus)) SELECT n - d AS count, round_even((n - d) / n * 100, 2) AS percent FROM n, d")
+def duplicate_profile(spark, sf_dir):
+    return profile.duplicates(corpus(spark, sf_dir))
+
+
+def _outlier_sql(source: str, names: list[str], method: str) -> str:
+    lo, hi = ("q1 - 1.5 * (q3 - q1)", "q3 + 1.5 * (q3 - q1)") if method == "iqr" else ("m - 3.0 * s", "m + 3.0 * s")
+    parts = " UNION ALL ".join(f"SELECT '{n}' AS \"column\", x FROM (SELECT CAST({e} AS DOUBLE) AS x FROM {source})" for n, e in names)
+    return f"""WITH v AS ({parts}),
+b AS (SELECT "column", quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3, avg(x) AS m, stddev_samp(x) AS s FROM v GROUP BY 1 HAVING count(DISTINCT x) >= 3),
+lim AS (SELECT "column", {lo} AS lo, {hi} AS hi FROM b)
+SELECT "column", '{method}' AS method, count(*) FILTER (x < lo OR x > hi) AS count, round_even(count(*) FILTER (x < lo OR x > hi) / count(x) * 100, 2) AS percent, round_even(any_value(lo), 4) AS lower_bound, round_even(any_value(hi), 4) AS upper_bound
+FROM v JOIN lim USING ("column") GROUP BY 1 HAVING count(*) FILTER (x < lo OR x > hi) > 0"""
+
+
+ITEMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(_outlier_sql("lineitem", [(c, c) for c in ITEMS], "iqr"))
+def outliers_iqr(spark, sf_dir):
+    return profile.outliers(table(spark, sf_dir, "lineitem").select(*ITEMS))
+
+
+@query(_outlier_sql("events", [("value", "value")], "zscore"))
+def outliers_zscore(spark, sf_dir):
+    return profile.outliers(table(spark, sf_dir, "events").select("value"), profile.Detector(method="zscore"))
+
+
+@query(_outlier_sql("documents", [("n_chars", "n_chars"), ("text_length", "length(text)")], "iqr"))
+def text_length_outliers(spark, sf_dir):
+    return profile.outliers(table(spark, sf_dir, "documents").select("text", "n_chars"))
+
+
+@query("""WITH c AS (SELECT count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang) SELECT 'lang' AS "column", count(*) AS n_classes, round_even(min(n) / max(n), 4) AS imbalance_ratio, min(n) / max(n) < 0.7 AS is_imbalanced FROM c""")
+def class_imbalance(spark, sf_dir):
+    return profile.imbalance(table(spark, sf_dir, "documents"), column="lang")
+
+
+@query(f"WITH {CORPUS} SELECT label AS value, count(*) AS count FROM corpus WHERE label IS NOT NULL GROUP BY 1")
+def value_counts_label(spark, sf_dir):
+    return profile.value_counts(corpus(spark, sf_dir), "label")
+
+
+@query("""SELECT c AS "column", t AS type, nulls, uniq AS "unique" FROM (
+SELECT 'doc_id' AS c, 'bigint' AS t, count(*) FILTER (doc_id IS NULL) AS nulls, count(DISTINCT doc_id) AS uniq FROM labels UNION ALL
+SELECT 'quality', 'int', count(*) FILTER (quality IS NULL), count(DISTINCT quality) FROM labels UNION ALL SELECT 'toxic', 'int', count(*) FILTER (toxic IS NULL), count(DISTINCT toxic) FROM labels)""")
+def column_overview(spark, sf_dir):
+    df = table(spark, sf_dir, "labels")
+    return explore.columns(df.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int"), F.col("toxic").cast("int")))
+
+
+# Repairs
+
+
+@query(f"WITH {CORPUS} SELECT min(_row_id) AS _row_id, text, label, source FROM corpus GROUP BY text, label, source")
+def fix_drop_duplicates(spark, sf_dir):
+    return clean.fix(corpus(spark, sf_dir), {"duplicates": "drop"})
+
+
+@query(f"WITH {CORPUS} SELECT * FROM corpus WHERE text IS NOT NULL AND label IS NOT NULL AND source IS NOT NULL")
+def fix_drop_missing(spark, sf_dir):
+    return clean.fix(corpus(spark, sf_dir), {"missing": "drop"})
+
+
+HOLES = "holes AS (SELECT event_id AS _row_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value, CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS BIGINT) END AS user_id FROM events)"
+
+
+def holes(spark, sf_dir):
+    hole = lambda c, k: F.when(F.col("event_id") % k != 0, F.col(c))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias(ROW_ID), hole("value", 7).alias("value"), hole("event_type", 5).alias("event_type"), hole("user_id", 3).cast("bigint").alias("user_id"))
+
+
+@query(f"WITH {HOLES}, m AS (SELECT median(value) AS v, median(CAST(user_id AS DOUBLE)) AS u FROM holes), t AS (SELECT event_type AS t FROM holes WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 1) SELECT _row_id, round(coalesce(value, v), 6) AS value, coalesce(event_type, t) AS event_type, coalesce(CAST(user_id AS DOUBLE), u) AS user_id FROM holes, m, t")
+def fix_median_fill(spark, sf_dir):
+    return clean.fix(holes(spark, sf_dir), {"missing": "median"}).withColumn("value", F.round("value", 6))
+
+
+def _mode(c: str) -> str:
+    return f"(SELECT {c} FROM holes WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 1)"
+
+
+@query(f"WITH {HOLES} SELECT _row_id, round(coalesce(value, {_mode('value')}), 6) AS value, coalesce(event_type, {_mode('event_type')}) AS event_type, coalesce(user_id, {_mode('user_id')}) AS user_id FROM holes")
+def fix_mode_fill(spark, sf_dir):
+    return clean.fix(holes(spark, sf_dir), {"missing": "mode"}).withColumn("value", F.round("value", 6))
+
+
+def _near(c: str) -> str:
+    return f"coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY _row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) OVER (ORDER BY _row_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}"
+
+
+@query(f"WITH {HOLES} SELECT _row_id, {_near('value')}, {_near('event_type')}, {_near('user_id')} FROM holes")
+def fix_ffill_bfill(spark, sf_dir):
+    return clean.fix(holes(spark, sf_dir), {"missing": "ffill"})
+
+
+@query(f"WITH {HOLES} SELECT _row_id, coalesce(value, 0) AS value, coalesce(event_type, 'UNKNOWN') AS event_type, coalesce(user_id, 0) AS user_id FROM holes")
+def fix_constant_fill(spark, sf_dir):
+    return clean.fix(holes(spark, sf_dir), {"missing": "constant"})
+
+
+def _bounds(source: str, x: str, method: str) -> str:
+    if method == "iqr":
+        return f"(SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (SELECT quantile_cont(CAST({x} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({x} AS DOUBLE), 0.75) AS q3 FROM {source}))"
+    return f"(SELECT m - 3.0 * s AS lo, m + 3.0 * s AS hi FROM (SELECT avg({x}) AS m, stddev_samp({x}) AS s FROM {source}))"
+
+
+@query(f"SELECT o_orderkey, round(greatest(lo, least(hi, o_totalprice)), 4) AS o_totalprice FROM orders, {_bounds('orders', 'o_totalprice', 'iqr')}")
+def clip_iqr_numeric(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(ROW_ID), "o_totalprice")
+    return clean.fix(df, {"outliers": "clip_iqr"}).select(F.col(ROW_ID).alias("o_orderkey"), F.round("o_totalprice", 4).alias("o_totalprice"))
+
+
+@query(f"WITH {CORPUS} SELECT _row_id, CASE WHEN length(text) > CAST(floor(hi) AS BIGINT) THEN substr(text, 1, CAST(floor(hi) AS BIGINT)) ELSE text END AS text FROM corpus, {_bounds('corpus', 'length(text)', 'iqr')}")
+def clip_iqr_text(spark, sf_dir):
+    return clean.fix(corpus(spark, sf_dir).select(ROW_ID, "text"), {"outliers": "clip_iqr"})
+
+
+@query(f"SELECT c_custkey, round(greatest(lo, least(hi, c_acctbal)), 4) AS c_acctbal FROM customer, {_bounds('customer', 'c_acctbal', 'zscore')}")
+def clip_zscore_numeric(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(ROW_ID), "c_acctbal")
+    return clean.fix(df, {"outliers": "clip_zscore"}).select(F.col(ROW_ID).alias("c_custkey"), F.round("c_acctbal", 4).alias("c_acctbal"))
+
+
+@query(f"SELECT event_id AS _row_id, value FROM events, {_bounds('events', 'value', 'iqr')} WHERE NOT coalesce(value < lo OR value > hi, false)")
+def drop_iqr_rows(spark, sf_dir):
+    return clean.fix(table(spark, sf_dir, "events").select(F.col("event_id").alias(ROW_ID), "value"), {"outliers": "drop_iqr"})
+
+
+@query(f"SELECT event_id AS _row_id, value FROM events, {_bounds('events', 'value', 'zscore')} WHERE NOT coalesce(value < lo OR value > hi, false)")
+def drop_zscore_rows(spark, sf_dir):
+    return clean.fix(table(spark, sf_dir, "events").select(F.col("event_id").alias(ROW_ID), "value"), {"outliers": "drop_zscore"})
+
+
+@query(f"WITH {CORPUS} SELECT label, CAST((SELECT min(n) FROM (SELECT count(*) AS n FROM corpus WHERE label IS NOT NULL GROUP BY label)) AS BIGINT) AS n FROM corpus WHERE label IS NOT NULL GROUP BY label")
+def undersample_counts(spark, sf_dir):
+    return clean.fix(corpus(spark, sf_dir), {"imbalance": "undersample"}).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CORPUS}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(_row_id AS VARCHAR) || ':42'), _row_id) AS k FROM corpus WHERE label IS NOT NULL) SELECT _row_id, label FROM r WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM r GROUP BY label))")
+def undersample_rows(spark, sf_dir):
+    return clean.fix(corpus(spark, sf_dir), {"imbalance": "undersample"}).select(ROW_ID, "label")
+
+
+@query(f"WITH {CORPUS} SELECT label, CAST((SELECT max(n) FROM (SELECT count(*) AS n FROM corpus WHERE label IS NOT NULL GROUP BY label)) AS BIGINT) AS n FROM corpus WHERE label IS NOT NULL GROUP BY label")
+def oversample_counts(spark, sf_dir):
+    return clean.fix(corpus(spark, sf_dir), {"imbalance": "oversample"}).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def _metrics_sql(name: str, source: str) -> str:
+    length = f"(SELECT CAST(length(text) AS DOUBLE) AS x FROM {source} WHERE text IS NOT NULL)"
+    gone = lambda c: f"(SELECT count(*) FILTER (coalesce(trim({c}) = '', true)) FROM {source})"
+    return f"""{name}_b AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM {length})),
+{name} AS (SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS v FROM {source} UNION ALL SELECT 'columns', 3.0 UNION ALL SELECT 'missing_values_total', {gone('text')} + {gone('label')} + {gone('source')}
+UNION ALL SELECT 'missing_' || c, n FROM (SELECT 'text' AS c, {gone('text')} AS n UNION ALL SELECT 'label', {gone('label')} UNION ALL SELECT 'source', {gone('source')}) WHERE n > 0
+UNION ALL SELECT 'duplicates', count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, label, source FROM {source})) FROM {source}
+UNION ALL SELECT 'outliers_total', count(*) FILTER (x < lo OR x > hi) FROM {length}, {name}_b
+UNION ALL SELECT 'imbalance_ratio', round_even(min(n) / max(n), 4) FROM (SELECT count(*) AS n FROM {source} WHERE label IS NOT NULL GROUP BY label))"""
+
+
+FIXED = """u AS (SELECT min(_row_id) AS _row_id, text, label, source FROM corpus GROUP BY text, label, source),
+full_ AS (SELECT * FROM u WHERE text IS NOT NULL AND label IS NOT NULL AND source IS NOT NULL),
+lim AS (SELECT CAST(floor(q3 + 1.5 * (q3 - q1)) AS BIGINT) AS hi FROM (SELECT quantile_cont(CAST(length(text) AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(length(text) AS DOUBLE), 0.75) AS q3 FROM full_)),
+fixed AS (SELECT _row_id, CASE WHEN length(text) > hi THEN substr(text, 1, hi) ELSE text END AS text, label, source FROM full_, lim)"""
+
+
+@query(f"""WITH {CORPUS}, {FIXED}, {_metrics_sql('bef', 'corpus')}, {_metrics_sql('aft', 'fixed')},
+j AS (SELECT metric, CASE WHEN starts_with(metric, 'missing_') THEN coalesce(bef.v, 0.0) ELSE bef.v END AS b, CASE WHEN starts_with(metric, 'missing_') THEN coalesce(aft.v, 0.0) ELSE aft.v END AS a FROM bef FULL OUTER JOIN aft USING (metric))
+SELECT metric, CAST(b AS DOUBLE) AS before, CAST(a AS DOUBLE) AS after, round_even(CAST(a - b AS DOUBLE), 4) AS delta, CASE WHEN b <> 0 THEN round_even(CAST((a - b) / b * 100 AS DOUBLE), 1) ELSE 0.0 END AS delta_pct FROM j""")
+def quality_compare(spark, sf_dir):
+    df = corpus(spark, sf_dir)
+    return profile.compare(profile.metrics(df), profile.metrics(clean.fix(df, clean.DEFAULT)))
+
+
+@query(f"WITH {CORPUS}, {FIXED} SELECT label AS value, count(*) AS count FROM fixed GROUP BY 1")
+def pipeline_clean_distribution(spark, sf_dir):
+    return profile.value_counts(clean.fix(corpus(spark, sf_dir), clean.DEFAULT), "label")
+
+
+# Exploration
+
+
+@query(f"WITH {CORPUS} SELECT source, count(*) FILTER (label = 'negative') AS negative, count(*) FILTER (label = 'positive') AS positive FROM corpus WHERE label IS NOT NULL GROUP BY 1")
+def crosstab_source_label(spark, sf_dir):
+    return explore.crosstab(corpus(spark, sf_dir), "source", "label", ["negative", "positive"])
+
+
+@query("SELECT CASE WHEN grouping(lang) = 1 THEN 'All' ELSE lang END AS lang, CASE WHEN grouping(source) = 1 THEN 'All' ELSE source END AS source, count(*) AS n FROM documents GROUP BY CUBE (lang, source)")
+def crosstab_margins(spark, sf_dir):
+    return explore.crosstab_margins(table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query(rf"""WITH {CORPUS}, s AS (SELECT source, count(text) AS records, count(*) FILTER (label = 'positive') AS positive, count(*) FILTER (label = 'negative') AS negative, round_even(avg(length(text)), 1) AS avg_text_len,
+round_even(avg(len(regexp_extract_all(text, '[^\s\x0b\x1c-\x1f\x85\p{{Z}}]+'))), 1) AS avg_word_count FROM corpus GROUP BY 1) SELECT *, round_even(positive / records * 100, 1) AS balance_pct FROM s""")
+def source_summary(spark, sf_dir):
+    return explore.by_source(corpus(spark, sf_dir))
+
+
+def _describe_sql(source: str, names: list[str]) -> str:
+    q = lambda c, p: f"round_even(quantile_cont(CAST({c} AS DOUBLE), {p}), 4)"
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, round_even(avg({c}), 4) AS mean, round_even(stddev_samp({c}), 4) AS std, round_even(CAST(min({c}) AS DOUBLE), 4) AS min, {q(c, 0.25)} AS q25, {q(c, 0.5)} AS q50, {q(c, 0.75)} AS q75, round_even(CAST(max({c}) AS DOUBLE), 4) AS max FROM {source}" for c in names)
+
+
+@query(_describe_sql("lineitem", ITEMS))
+def describe_numeric(spark, sf_dir):
+    return explore.describe(table(spark, sf_dir, "lineitem"), ITEMS)
+
+
+def _top_sql(c: str) -> str:
+    return f"SELECT '{c}' AS \"column\", (SELECT count({c}) FROM documents) AS count, (SELECT count(DISTINCT {c}) FROM documents) AS \"unique\", {c} AS top, n AS freq FROM (SELECT {c}, count(*) AS n FROM documents WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, {c} LIMIT 1)"
+
+
+@query(" UNION ALL ".join(_top_sql(c) for c in ("lang", "source")))
+def describe_strings(spark, sf_dir):
+    return explore.describe_text(table(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM documents) WHERE length(word) > 2 AND NOT list_contains({_list(expr.STOP_WORDS)}, word) GROUP BY 1 ORDER BY n DESC, word LIMIT 20")
+def top20_words(spark, sf_dir):
+    return explore.top_words(table(spark, sf_dir, "documents"))
+
+
+@query("""WITH x AS (SELECT CAST(length(text) AS DOUBLE) AS x FROM documents WHERE text IS NOT NULL), e AS (SELECT min(x) AS lo, (max(x) - min(x)) / 50 AS w FROM x)
+SELECT CAST(least(floor((x - lo) / w), 49) AS INT) AS bin, round_even(lo + least(floor((x - lo) / w), 49) * w, 4) AS lower, count(*) AS n FROM x, e GROUP BY 1, 2""")
+def length_histogram(spark, sf_dir):
+    return explore.histogram(table(spark, sf_dir, "documents"), F.length("text"), 50)
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\s\x0b\x1c-\x1f\x85\p{Z}]+')) AS INT) AS n_words FROM documents")
+def word_count_stats(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", expr.word_count(F.col("text")).alias("n_words"))
+
+
+# Annotation and review
+
+
+@query(f"WITH {LABELLED} SELECT _row_id, predicted_label, confidence, needs_review FROM labelled")
+def auto_label_keywords(spark, sf_dir):
+    return labelled(spark, sf_dir).select(ROW_ID, "predicted_label", "confidence", "needs_review")
+
+
+@query(f"WITH {LABELLED} SELECT _row_id, needs_review, '' AS corrected_label FROM labelled WHERE needs_review")
+def review_flag(spark, sf_dir):
+    return annotate.review_queue(labelled(spark, sf_dir)).select(ROW_ID, "needs_review", "corrected_label")
+
+
+@query(f"WITH {LABELLED} SELECT _row_id, confidence, row_number() OVER (ORDER BY confidence, _row_id) AS place FROM labelled WHERE needs_review ORDER BY confidence, _row_id LIMIT 100")
+def review_queue_sorted(spark, sf_dir):
+    top = annotate.flag(labelled(spark, sf_dir)).select(ROW_ID, "confidence").limit(100)
+    return top.withColumn("place", F.row_number().over(Window.orderBy("confidence", ROW_ID)).cast("bigint"))
+
+
+@query(f"WITH {LABELLED} SELECT round_even(avg(confidence), 4) AS confidence_mean, round_even(stddev_samp(confidence), 4) AS confidence_std, round_even(min(confidence), 4) AS confidence_min, round_even(max(confidence), 4) AS confidence_max, count(*) FILTER (confidence < 0.7::DOUBLE) AS low_confidence_count, round_even(count(*) FILTER (confidence < 0.7::DOUBLE) / count(*) * 100, 2) AS low_confidence_pct FROM labelled")
+def confidence_stats(spark, sf_dir):
+    return annotate.confidence_stats(labelled(spark, sf_dir))
+
+
+@query(f"WITH {LABELLED} SELECT label AS truth, predicted_label AS predicted, count(*) AS n FROM labelled WHERE label IS NOT NULL GROUP BY 1, 2")
+def confusion_matrix(spark, sf_dir):
+    return annotate.confusion(labelled(spark, sf_dir))
+
+
+@query(f"""WITH {LABELLED}, b AS (SELECT label AS t, predicted_label AS p FROM labelled WHERE label IS NOT NULL), n AS (SELECT count(*) AS n, count(*) FILTER (t = p) AS same FROM b),
+e AS (SELECT sum(CAST(a.c AS DOUBLE) * q.c) AS ab FROM (SELECT t AS k, count(*) AS c FROM b GROUP BY 1) a JOIN (SELECT p AS k, count(*) AS c FROM b GROUP BY 1) q USING (k))
+SELECT round_even((same / n - ab / (CAST(n AS DOUBLE) * n)) / (1 - ab / (CAST(n AS DOUBLE) * n)), 4) AS kappa, round_even(same / n, 4) AS agreement, n FROM n, e""")
+def cohen_kappa(spark, sf_dir):
+    return annotate.agreement(annotate.confusion(labelled(spark, sf_dir)))
+
+
+@query(f"WITH {LABELLED} SELECT _row_id, text, source, predicted_label AS choice, confidence AS score FROM labelled")
+def labelstudio_tasks(spark, sf_dir):
+    get = lambda path: F.get_json_object("task", f"$.{path}")
+    return annotate.tasks(labelled(spark, sf_dir)).select(ROW_ID, get("data.text").alias("text"), get("data.source").alias("source"), get("predictions[0].result[0].value.choices[0]").alias("choice"), get("predictions[0].score").cast("double").alias("score"))
+
+
+CORRECTED = LABELLED + ", corrected AS (SELECT *, coalesce(label, predicted_label) AS corrected_label FROM labelled WHERE needs_review)"
+
+
+@query(f"WITH {CORRECTED} SELECT _row_id, predicted_label, corrected_label FROM corrected")
+def hitl_autocorrect(spark, sf_dir):
+    return annotate.auto_correct(annotate.review_queue(labelled(spark, sf_dir))).select(ROW_ID, "predicted_label", "corrected_label")
+
+
+@query(f"""WITH {CORRECTED}, given AS (SELECT *, CASE _row_id % 3 WHEN 0 THEN '  ' WHEN 1 THEN corrected_label END AS c FROM corrected)
+SELECT _row_id, predicted_label AS final_label, NULL AS corrected_label FROM labelled WHERE NOT needs_review UNION ALL SELECT _row_id, coalesce(nullif(trim(coalesce(c, '')), ''), predicted_label), c FROM given""")
+def hitl_merge_final(spark, sf_dir):
+    df = labelled(spark, sf_dir)
+    queue = annotate.auto_correct(annotate.review_queue(df))
+    queue = queue.withColumn("corrected_label", F.when(F.col(ROW_ID) % 3 == 0, "  ").when(F.col(ROW_ID) % 3 == 1, F.col("corrected_label")))
+    return annotate.merge_review(df, queue).select(ROW_ID, "final_label", "corrected_label")
+
+
+@query(f"WITH {CORRECTED} SELECT _row_id, substr(text, 1, 100) AS text, predicted_label AS auto_label, corrected_label AS corrected_to, confidence FROM corrected WHERE corrected_label <> predicted_label ORDER BY _row_id LIMIT 10")
+def correction_examples(spark, sf_dir):
+    return annotate.corrections(annotate.auto_correct(annotate.review_queue(labelled(spark, sf_dir))))
+
+
+@query(f"WITH {CORPUS}, r AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY md5(CAST(_row_id AS VARCHAR) || ':42'), _row_id) AS INT) AS rank, substr(text, 1, 200) AS text FROM corpus WHERE label IS NOT NULL) SELECT * FROM r WHERE rank <= 3")
+def spec_examples_per_class(spark, sf_dir):
+    return annotate.examples(corpus(spark, sf_dir), "label")
+
+
+# Uncertainty, samples, splits
+
+
+ENTROPY = "-(p[1] * ln(p[1] + 1e-12::DOUBLE) + p[2] * ln(p[2] + 1e-12::DOUBLE) + p[3] * ln(p[3] + 1e-12::DOUBLE))"
+
+
+@query(f"WITH {PROBS} SELECT _row_id, round({ENTROPY}, 9) AS score FROM probs ORDER BY {ENTROPY} DESC, _row_id LIMIT 20")
+def entropy_topk(spark, sf_dir):
+    return sample.top(probs(spark, sf_dir), learn.uncertainty(F.col("p"), "entropy"), 20).select(ROW_ID, F.round("score", 9).alias("score"))
+
+
+MARGIN = "-(list_sort(p, 'DESC')[1] - list_sort(p, 'DESC')[2])"
+
+
+@query(f"WITH {PROBS} SELECT _row_id, round({MARGIN}, 9) AS score FROM probs ORDER BY {MARGIN} DESC, _row_id LIMIT 20")
+def margin_topk(spark, sf_dir):
+    return sample.top(probs(spark, sf_dir), learn.uncertainty(F.col("p"), "margin"), 20).select(ROW_ID, F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {PROBS} SELECT _row_id, round(list_max(p), 9) AS best, ['a', 'b', 'c'][list_position(p, list_max(p))] AS name FROM probs")
+def argmax_class(spark, sf_dir):
+    return probs(spark, sf_dir).select(ROW_ID, F.round(F.array_max("p"), 9).alias("best"), expr.argmax(F.col("p"), F.array(*map(F.lit, "abc"))).alias("name"))
+
+
+def _key(seed) -> str:
+    return f"md5(CAST(_row_id AS VARCHAR) || ':{seed}')"
+
+
+@query(f"WITH {CORPUS} SELECT _row_id FROM corpus ORDER BY {_key(42)}, _row_id LIMIT 20")
+def random_topk(spark, sf_dir):
+    return sample.take(corpus(spark, sf_dir), 20).select(ROW_ID)
+
+
+@query(f"WITH {CORPUS} SELECT _row_id FROM corpus WHERE _row_id NOT IN (SELECT _row_id FROM corpus ORDER BY {_key(42)}, _row_id LIMIT 20)")
+def pool_minus_selected(spark, sf_dir):
+    df = corpus(spark, sf_dir)
+    return setops.minus(df, sample.take(df, 20)).select(ROW_ID)
+
+
+@query(f"WITH {CORPUS} SELECT _row_id, CAST((row_number() OVER (PARTITION BY label ORDER BY {_key(42)}, _row_id) - 1) % 5 AS INT) AS fold FROM corpus WHERE label IS NOT NULL")
+def stratified_folds(spark, sf_dir):
+    df = corpus(spark, sf_dir)
+    return sample.folds(df.where(df["label"].isNotNull()), "label").select(ROW_ID, "fold")
+
+
+@query(f"WITH {CORPUS}, r AS (SELECT _row_id, row_number() OVER (ORDER BY {_key(42)}, _row_id) AS k FROM corpus) SELECT _row_id, CASE WHEN k <= greatest(CAST(floor((SELECT count(*) FROM corpus) * 0.2) AS BIGINT), 50) THEN 'test' ELSE 'train' END AS part FROM r")
+def train_test_split(spark, sf_dir):
+    train, test = sample.train_test(corpus(spark, sf_dir))
+    return train.select(ROW_ID, F.lit("train").alias("part")).unionByName(test.select(ROW_ID, F.lit("test").alias("part")))
+
+
+@query(f"WITH {CORPUS}, r AS (SELECT _row_id, row_number() OVER (ORDER BY {_key(42)}, _row_id) AS k FROM corpus) SELECT CASE WHEN k <= least(50, (SELECT count(*) FROM corpus) // 3) THEN 'seed' ELSE 'pool' END AS part, count(*) AS n FROM r GROUP BY 1")
+def seed_pool_split(spark, sf_dir):
+    df = corpus(spark, sf_dir)
+    seed, pool = sample.first_and_rest(df, sample.seed_size(df.count()))
+    return seed.select(F.lit("seed").alias("part")).unionByName(pool.select(F.lit("pool").alias("part"))).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CORPUS}, n AS (SELECT count(*) AS n FROM corpus), t AS (SELECT _row_id FROM corpus ORDER BY {_key('42text')}, _row_id LIMIT (SELECT CAST(floor(n * 0.05) AS BIGINT) FROM n)),
+l AS (SELECT _row_id FROM corpus ORDER BY {_key('42label')}, _row_id LIMIT (SELECT CAST(floor(n * 0.03) AS BIGINT) FROM n)),
+f AS (SELECT _row_id, CASE WHEN _row_id NOT IN (SELECT _row_id FROM t) THEN text END AS text, CASE WHEN _row_id NOT IN (SELECT _row_id FROM l) THEN label END AS label FROM corpus),
+g AS (SELECT _row_id FROM f WHERE label = 'positive' ORDER BY {_key('42class')}, _row_id LIMIT (SELECT CAST(floor(count(*) * 0.45) AS BIGINT) FROM f WHERE label = 'positive')),
+k AS (SELECT * FROM f WHERE _row_id NOT IN (SELECT _row_id FROM g)), a AS (SELECT * FROM k ORDER BY {_key('42again')}, _row_id LIMIT (SELECT CAST(floor(n * 0.04) AS BIGINT) FROM n)), u AS (SELECT * FROM k UNION ALL SELECT * FROM a)
+SELECT count(*) AS n, count(*) FILTER (text IS NULL) AS null_text, count(*) FILTER (label IS NULL) AS null_label, count(*) - count(DISTINCT _row_id) AS repeated FROM u""")
+def fault_injection(spark, sf_dir):
+    out = sample.inject_faults(corpus(spark, sf_dir))
+    return out.agg(F.count("*").alias("n"), F.count(F.when(F.col("text").isNull(), 1)).alias("null_text"), F.count(F.when(F.col("label").isNull(), 1)).alias("null_label"), (F.count("*") - F.count_distinct(ROW_ID)).alias("repeated"))
+
+
+# Metrics, features, learning
+
+
+PAIRS = LABELLED + """, pairs AS (SELECT label AS t, predicted_label AS p, count(*) AS n FROM labelled WHERE label IS NOT NULL GROUP BY 1, 2),
+cls AS (SELECT t AS label FROM pairs UNION SELECT p FROM pairs),
+per AS (SELECT label, coalesce((SELECT sum(n) FROM pairs WHERE t = label AND p = label), 0) AS hit, coalesce((SELECT sum(n) FROM pairs WHERE t = label), 0) AS st, coalesce((SELECT sum(n) FROM pairs WHERE p = label), 0) AS sp FROM cls),
+rep AS (SELECT label, CASE WHEN sp > 0 THEN hit / sp ELSE 0.0 END AS precision, CASE WHEN st > 0 THEN hit / st ELSE 0.0 END AS recall, CASE WHEN st + sp > 0 THEN 2 * hit / (st + sp) ELSE 0.0 END AS f1, CAST(st AS BIGINT) AS support FROM per)"""
+
+
+@query(f"""WITH {PAIRS}, every AS (SELECT * FROM rep UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM rep UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM rep)
+SELECT label, round_even(precision, 4) AS precision, round_even(recall, 4) AS recall, round_even(f1, 4) AS f1, support FROM every""")
+def classification_report(spark, sf_dir):
+    return evaluate.report(labelled(spark, sf_dir), "label", "predicted_label")
+
+
+@query(f"WITH {PAIRS} SELECT (SELECT round_even(sum(n) FILTER (t = p) / sum(n), 4) FROM pairs) AS accuracy, round_even(avg(f1), 4) AS f1_macro, round_even(sum(f1 * support) / sum(support), 4) AS f1_weighted, CAST(sum(support) AS BIGINT) AS n FROM rep")
+def accuracy_f1(spark, sf_dir):
+    return evaluate.scores(labelled(spark, sf_dir), "label", "predicted_label")
+
+
+@query(f"""WITH tf AS (SELECT doc_id AS _row_id, word, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS word FROM documents) WHERE length(word) >= 2 AND NOT list_contains({_list(expr.STOP_WORDS)}, word) GROUP BY 1, 2),
+w AS (SELECT word, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY cf DESC, word LIMIT 5000), n AS (SELECT count(*) AS n FROM documents),
+x AS (SELECT _row_id, word, (1 + ln(CAST(tf AS DOUBLE))) * (1 + ln((1 + n) / (1 + df))) AS w FROM tf JOIN w USING (word), n), y AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY _row_id)) AS weight FROM x)
+SELECT _row_id, word, round(weight, 6) AS weight FROM y QUALIFY row_number() OVER (PARTITION BY _row_id ORDER BY round(weight, 6) DESC, word) <= 3""")
+def tfidf_topk(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ROW_ID), "text")
+    own = features.weights(df).withColumn("weight", F.round("weight", 6))
+    rank = F.row_number().over(Window.partitionBy(ROW_ID).orderBy(F.desc("weight"), "word"))
+    return own.withColumn("rank", rank).where("rank <= 3").drop("rank")
+
+
+#: A history as active learning leaves it, of numbers that are no measurement.
+def _history(spark: SparkSession) -> DataFrame:
+    k = F.col("id")
+    acc: Column = F.round(0.5 + 0.02 * (k % 6) + F.when(k >= 6, 0.004 * (k % 6)).otherwise(0.0), 4)
+    return spark.range(12).select((k % 6).cast("int").alias("iteration"), (50 + 20 * (k % 6)).cast("int").alias("n_labeled"), acc.alias("accuracy"), F.round(acc - 0.01, 4).alias("f1"), F.when(k >= 6, "entropy").otherwise("random").alias("strategy"))
+
+
+HISTORY = "h AS (SELECT CAST(id % 6 AS INT) AS iteration, CAST(50 + 20 * (id % 6) AS INT) AS n_labeled, round(0.5::DOUBLE + 0.02::DOUBLE * (id % 6) + CASE WHEN id >= 6 THEN 0.004::DOUBLE * (id % 6) ELSE 0.0::DOUBLE END, 4) AS accuracy, CASE WHEN id >= 6 THEN 'entropy' ELSE 'random' END AS strategy FROM range(12) AS t(id)), g AS (SELECT *, round(accuracy - 0.01::DOUBLE, 4) AS f1 FROM h)"
+
+
+@query(f"""WITH {HISTORY}, e AS (SELECT strategy, arg_min(accuracy, iteration) AS seed_accuracy, arg_min(f1, iteration) AS seed_f1, arg_max(accuracy, iteration) AS final_accuracy, arg_max(f1, iteration) AS final_f1, max(n_labeled) AS n_labeled_final FROM g GROUP BY 1)
+SELECT strategy, seed_accuracy, seed_f1, final_accuracy, final_f1, round_even(final_accuracy - seed_accuracy, 4) AS accuracy_gain, round_even(final_f1 - seed_f1, 4) AS f1_gain, n_labeled_final FROM e""")
+def al_summary(spark, sf_dir):
+    return evaluate.learning_summary(_history(spark))
+
+
+@query(f"""WITH {HISTORY}, goal AS (SELECT arg_max(accuracy, iteration) AS target, arg_max(n_labeled, iteration) AS n_base FROM g WHERE strategy = 'random'),
+first_ AS (SELECT arg_min(n_labeled, iteration) AS n_first, min(iteration) AS iteration FROM g, goal WHERE strategy = 'entropy' AND accuracy >= target)
+SELECT target, n_base, n_first, iteration, n_base - n_first AS saved, round_even((n_base - n_first) / n_base * 100, 1) AS saved_pct FROM goal, first_""")
+def al_savings(spark, sf_dir):
+    return evaluate.savings(_history(spark))
+
+
+@query()
+def al_history(spark, sf_dir):
+    """Three rounds of each strategy on ready feature vectors; the class is whether a label is even."""
+    from pyspark.ml.functions import array_to_vector
+
+    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(ROW_ID), F.lit("").alias("text"), F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    test, rest = sample.first_and_rest(df, 100, "test")
+    seed, pool = sample.first_and_rest(rest, 50, "seed")
+    results = {s: learn.ActiveLearner().run_cycle(seed, pool, test, s, 3, 20) for s in ("entropy", "margin", "random")}
+    return learn.history_frame(spark, results)
+
+
+@query()
+def annotate_out_of_fold(spark, sf_dir):
+    return learn.label_out_of_fold(corpus(spark, sf_dir), k=3).select(ROW_ID, "label", "predicted_label", "confidence", "needs_review")
+
+
+@query()
+def train_final_metrics(spark, sf_dir):
+    df = corpus(spark, sf_dir)
+    train, test = sample.train_test(df.where(df["label"].isNotNull()))
+    return evaluate.scores(learn.train_final(train, test)[1])
