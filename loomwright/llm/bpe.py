@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.common import release
+
 
 class Ranks:
     """A vocabulary file of lines "base64 rank"."""
@@ -24,15 +26,15 @@ class Ranks:
             self.of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {r: t for t, r in self.of.items()}
         self.byte = [self.of.get(bytes([b])) for b in range(256)]
-        self._pairs: dict[tuple[int, int], int] = {}
+        self._pairs: dict[int, int] = {}
 
     def pair(self, a: int, b: int) -> int:
         """The rank of two tokens together, or -1."""
-        got = self._pairs.get((a, b))
+        got = self._pairs.get(a << 32 | b)
         if got is None:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) > 150_000:
                 self._pairs.clear()
-            got = self._pairs[a, b] = self.of.get(self.token[a] + self.token[b], -1)
+            got = self._pairs[a << 32 | b] = self.of.get(self.token[a] + self.token[b], -1)
         return got
 
 
@@ -122,7 +124,7 @@ class Codec:
     Forgetting them costs time only. A worker keeps its codec from task to task.
     """
 
-    KEPT = 400_000
+    KEPT = 200_000
     _own: dict[tuple[str, str], Codec] = {}
 
     def __init__(self, path: str, pattern: str):
@@ -152,7 +154,7 @@ class Codec:
 
 
 #: Texts are encoded together until they have so many characters.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -189,6 +191,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 if with_text:
                     cols.append(pa.array([x.decode() for x in back], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names)
+        release()
 
     kinds = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {}) | ({"decoded": "string"} if with_text else {})
     names = ["_row", *kinds]

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.common import release
+
 # A-Z become a-z; every other ASCII character that is no letter or digit separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -94,6 +96,7 @@ def _search(index):
                     hits.append(bytes(mark))
                     names.append(list(got))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["_row", "_text", "_hit", "_items"])
+        release()
 
     return run
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import shared_dir, written
+from loomwright.llm.common import release, shared_dir, written
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ def tokens(w: list[bytes], prefix: int) -> set[bytes]:
 class _Features(dict):
     """Tokens to their columns, -1 for those that the model doesn't know; what is forgotten is looked up again."""
 
-    KEPT = 400_000
+    KEPT = 120_000
 
     def __init__(self, columns: dict[int, int]):
         self.columns = columns
@@ -315,6 +315,8 @@ def score(docs: DataFrame, model: Model, how: CoTraining = CoTraining()) -> Data
                 p = [h.combine(x.dot(h.text[:-1]) + h.text[-1], z.dot(h.meta[:-1]) + h.meta[-1]) for h in model.heads]
                 more = [pa.array(p[0]), pa.array(p[1]), pa.array((1 - p[0]) * (1 - p[1])), pa.array((p[0] > reject) | (p[1] > reject))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *names])
+        features.clear()
+        release()
 
     from pyspark.sql.types import BooleanType, DoubleType, StructType
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import shared_dir, written
+from loomwright.llm.common import release, shared_dir, written
 from loomwright.llm.components import Forest, components
 from loomwright.llm.hash_arrays import mix
 
@@ -231,6 +231,7 @@ def fingerprints(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_col
                 texts = b.column(1).slice(at, 512).to_pylist()
                 got = np.array([[fingerprint(t, shingle), *(long_fingerprint(t, check) if check else ())] for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), *(pa.array(c) for c in got.T)], ["_id", *how.columns])
+        release()
 
     return src.mapInArrow(run, f"`_id` {src.schema['_id'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in how.columns))
 
