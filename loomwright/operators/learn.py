@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +21,14 @@ ROWS_PER_TASK = 20_000
 STRATEGIES = ("entropy", "margin", "random")
 
 
-def classifier(kind: str, n: int, c: float = 1000.0, iterations: int = 3000):
-    """logreg: ridge weight 1 / (c n), no scaling of columns, tolerance 1e-4; rf: 200 trees as deep as Spark lets them be."""
+def classifier(kind: str, n: int, c: float = 1000.0, iterations: int = 3000, variance: float = 1.0):
+    """logreg: ridge weight 1 / (c n); rf: 200 trees as deep as Spark lets them be.
+
+    Spark's solver works on columns scaled by their deviation; undoing that for the penalty fails where a column hardly
+    varies. So the penalty is on the scaled columns, divided by the mean variance of a column, to be as strong on the whole.
+    """
     if kind == "logreg":
-        return LogisticRegression(featuresCol="features", labelCol="_y", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-4)
+        return LogisticRegression(featuresCol="features", labelCol="_y", regParam=1.0 / (c * max(n, 1) * max(variance, 1e-9)), elasticNetParam=0.0, maxIter=iterations, tol=1e-4)
     if kind == "rf":
         return RandomForestClassifier(featuresCol="features", labelCol="_y", numTrees=200, maxDepth=30, seed=42)
     raise ValueError(f"unknown model {kind}; there are logreg and rf")
@@ -44,7 +49,9 @@ class Classifier:
         # A step of the solver is a job: few rows are worth few tasks.
         indexed = names.transform(known).select("features", "_y").coalesce(max(1, n // ROWS_PER_TASK)).cache()
         try:
-            return cls(classifier(kind, n, c, iterations).fit(indexed), list(names.labels))
+            variances = indexed.select(Summarizer.variance(F.col("features"))).first()[0]
+            spread = float(variances.toArray().mean()) if variances is not None and variances.size else 1.0
+            return cls(classifier(kind, n, c, iterations, spread).fit(indexed), list(names.labels))
         finally:
             indexed.unpersist()
 
