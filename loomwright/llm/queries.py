@@ -90,6 +90,16 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), embedding_dedup.Cells(threshold=0.9))
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok AS a JOIN ok AS b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY 1)
+SELECT r.vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(r.c) AS component_id, r.vec_id = min(r.c) AS kept FROM r LEFT JOIN n USING (vec_id) GROUP BY r.vec_id
+"""
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), decontaminate.Windows(size=10))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -125,4 +135,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_embedding_dedup": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_license_scan": license_scan.oracle()}
