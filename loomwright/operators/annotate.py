@@ -114,10 +114,9 @@ def review_queue(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def auto_correct(queue: DataFrame) -> DataFrame:
-    """Stands in for the reviewer: the known label where it differs from the prediction, a null one counting as different
-    only when nothing is known; without any known label the prediction."""
-    known = queue.withColumn("corrected_label", F.coalesce("label", "predicted_label")) if "label" in queue.columns else queue.withColumn("corrected_label", F.col("predicted_label"))
-    return known
+    """Stands in for the reviewer: the correction is the known label, and the prediction where no label is known."""
+    known = F.coalesce("label", "predicted_label") if "label" in queue.columns else F.col("predicted_label")
+    return queue.withColumn("corrected_label", known)
 
 
 def corrections(queue: DataFrame, n: int = 10) -> DataFrame:
