@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import expr
 from loomwright.operators import profile
+from loomwright.operators.ranges import by_range, ranked
 from loomwright.operators.setops import drop_duplicates
 from loomwright.schema import BALANCE_NAMES, ROW_ID, find_label, numbers, strings, values
 
@@ -52,7 +53,7 @@ def fill_neighbours(df: DataFrame, order: str = ROW_ID) -> DataFrame:
     each range, a row for each, and these are what a single task sees.
     """
     own = [c for c in df.columns if c != order]
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    ranged = by_range(df, order).drop("_at")
     ends = ranged.groupBy("_part").agg(*(x for i, c in enumerate(own) for x in (F.max_by(_c(c), F.when(_c(c).isNotNull(), F.col(order))).alias(f"l{i}"), F.min_by(_c(c), F.when(_c(c).isNotNull(), F.col(order))).alias(f"f{i}"))))
     back, ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
     carry = ends.select("_part", *(x for i in range(len(own)) for x in (F.last(f"l{i}", True).over(back).alias(f"l{i}"), F.first(f"f{i}", True).over(ahead).alias(f"f{i}"))))
@@ -98,11 +99,16 @@ def _counts(df: DataFrame, label: str) -> DataFrame:
     return df.where(_c(label).isNotNull()).groupBy(_c(label).alias("_class")).agg(F.count("*").alias("_n"))
 
 
+def _in_class(df: DataFrame, label: str, seed: int) -> DataFrame:
+    """Rows with a class, with their rank by sampling key in it."""
+    keyed = df.where(_c(label).isNotNull()).withColumn("_key", expr.rank_key(F.col(ROW_ID), seed))
+    return ranked(keyed, "_rank", ["_key", ROW_ID], label).drop("_key")
+
+
 def undersample(df: DataFrame, label: str, seed: int = SEED) -> DataFrame:
     """As many rows of each class as the smallest has, those with the smallest keys; rows without a class go."""
-    few = _counts(df, label).agg(F.min("_n").alias("_few"))
-    rank = F.row_number().over(Window.partitionBy(_c(label)).orderBy(expr.rank_key(F.col(ROW_ID), seed), ROW_ID))
-    return df.where(_c(label).isNotNull()).withColumn("_rank", rank).join(F.broadcast(few)).where("_rank <= _few").drop("_rank", "_few")
+    few = _counts(df, label).agg(F.min("_n")).first()[0] or 0
+    return _in_class(df, label, seed).where(F.col("_rank") < few).drop("_rank")
 
 
 def oversample(df: DataFrame, label: str, seed: int = SEED) -> DataFrame:
@@ -113,8 +119,7 @@ def oversample(df: DataFrame, label: str, seed: int = SEED) -> DataFrame:
     """
     counts = _counts(df, label)
     counts = counts.join(F.broadcast(counts.agg(F.max("_n").alias("_most"))))
-    rank = F.row_number().over(Window.partitionBy(_c(label)).orderBy(expr.rank_key(F.col(ROW_ID), seed), ROW_ID)) - 1
-    rows = df.where(_c(label).isNotNull()).withColumn("_rank", rank.cast("bigint"))
+    rows = _in_class(df, label, seed)
     blocks = counts.where("_n < _most").select("_class", "_n", "_most", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_most") - 1) / 65536))).alias("_block"))
     draws = blocks.select("_class", "_n", F.explode(F.sequence(F.col("_block") * 65536, F.least(F.col("_block") * 65536 + 65535, F.col("_most") - 1))).alias("_draw"))
     pick = F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("_class").cast("string"), F.lit(":"), F.col("_draw").cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("bigint"), F.col("_n"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import expr
+from loomwright.operators.ranges import ranked
 from loomwright.schema import ROW_ID
 
 
@@ -20,8 +21,8 @@ def top(df: DataFrame, score: Column, n: int) -> DataFrame:
 
 def folds(df: DataFrame, label: str, k: int = 5, seed: int | str = 42) -> DataFrame:
     """fold: k of equal size in each class, by key."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(expr.rank_key(F.col(ROW_ID), seed), ROW_ID))
-    return df.withColumn("fold", F.pmod(rank - 1, F.lit(k)))
+    keyed = df.withColumn("_key", expr.rank_key(F.col(ROW_ID), seed))
+    return ranked(keyed, "_rank", ["_key", ROW_ID], label).withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int")).drop("_rank", "_key")
 
 
 def first_and_rest(df: DataFrame, n: int, seed: int | str = 42) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import expr
+from loomwright.operators.ranges import ranked
 from loomwright.schema import RECORD, ROW_ID
 
 
@@ -54,14 +55,9 @@ def only(df: DataFrame, taken: DataFrame, key: str = ROW_ID) -> DataFrame:
 def reindex(df: DataFrame, order: str = ROW_ID) -> DataFrame:
     """Row numbers from 0 without gaps, in the order of the old ones.
 
-    Only the counts of the sorted partitions meet in one place: ranges are sorted, their rows numbered inside, and each
-    range begins where those before it end.
+    Only the counts of sorted ranges meet in one place: each range begins where those before it end.
     """
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    ends = inside.groupBy("_part").agg(F.count("*").alias("n"))
-    begin = ends.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_begin"))
-    return inside.join(F.broadcast(begin), "_part").withColumn(order, F.col("_begin") + F.col("_at")).select(df.columns)
+    return ranked(df, "_rank", [order]).withColumn(order, F.col("_rank")).select(df.columns)
 
 
 def align(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
