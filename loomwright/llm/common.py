@@ -49,6 +49,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For the queries. They hand rows to Python in small batches, whatever the length of texts: a setting of the session
+    that changes no result."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -82,31 +82,33 @@ def _count(vocabulary):
     return run
 
 
-def _search(index):
+def _search(index, last: bool):
+    """Adds what one part of the benchmark marks; the last part gives the figures."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = index.value
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                hits, names = [], []
+                marks, names = [], []
                 for text, hit, known in zip(*(part.column(k).to_pylist() for k in (1, 2, 3))):
                     doc = words(text)
                     mark, got = bytearray(hit) if hit is not None else bytearray(len(doc)), set(known or ())
                     find(doc, found, mark, got)
-                    hits.append(bytes(mark))
-                    names.append(list(got))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["_row", "_text", "_hit", "_items"])
+                    marks.append(bytes(mark))
+                    names.append(sorted(x for x in got if x is not None))
+                cols = [pa.array(marks, pa.binary()), pa.array(names, pa.list_(pa.string()))]
+                if last:
+                    cols += [pa.array([len(x) for x in marks], pa.int64()), pa.array([x.count(1) for x in marks], pa.int64()), pa.array([len(x) for x in names], pa.int64())]
+                    cols.append(pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["_row", "_text", *_STATE, *(_FIGURES if last else ())])
         release()
 
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        marks, names = b.column(1).to_pylist(), [sorted(x for x in row if x is not None) for row in b.column(2).to_pylist()]
-        cols = [pa.array([len(x) for x in marks], pa.int64()), pa.array([x.count(1) for x in marks], pa.int64()), pa.array([len(x) for x in names], pa.int64())]
-        sha = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string())
-        yield pa.RecordBatch.from_arrays([b.column(0), *cols, sha, pa.array(names, pa.list_(pa.string())), pa.array(marks, pa.binary())], ["_row", "n_words", "n_hit", "n_items", "items_sha256", "items", "hit"])
+_STATE = {"hit": "binary", "items": "array<string>"}
+_FIGURES = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string"}
 
 
 def search(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -123,17 +125,19 @@ def search(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows(), id_c
     items = benchmark.select(benchmark[item_col].cast("string").alias("name"), benchmark[text_col].cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = -(-size // how.part_bytes) or 1
-    row = F.struct(docs[id_col].alias(id_col), *(docs[c] for c in keep))
+    row = F.struct(docs[id_col].alias(id_col), *(docs[c] for c in keep if c != text_col))
     state = docs.select(row.alias("_row"), docs[text_col].cast("string").alias("_text"))
     kind = state.schema["_row"].dataType.simpleString()
     texts = state.select("_text")
-    state = state.withColumns({"_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
+    state = state.withColumns({c: F.lit(None).cast(t) for c, t in _STATE.items()})
     for part in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == part)
         windows = item_windows([tuple(r) for r in own.collect()], how.size)
         known = spark.sparkContext.broadcast(frozenset(x for w in windows for x in w))
         counts = texts.mapInArrow(_count(known), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
         index = prefix_index(windows, {bytes(r.word): r.n for r in counts.collect()})
-        state = state.mapInArrow(_search(spark.sparkContext.broadcast(index)), f"`_row` {kind}, `_text` string, `_hit` binary, `_items` array<string>")
-    out = state.select("_row", "_hit", "_items").mapInArrow(_digest, f"`_row` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>, hit binary")
-    return out.select("_row.*", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", "hit")
+        kinds = _STATE | (_FIGURES if part == parts - 1 else {})
+        run = _search(spark.sparkContext.broadcast(index), part == parts - 1)
+        state = state.mapInArrow(run, f"`_row` {kind}, `_text` string, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    kept = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in keep]
+    return state.select(F.col(f"_row.`{id_col}`").alias(id_col), *kept, "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", "hit")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import islice
+from operator import itemgetter, ne
 
 import numpy as np
 import pyarrow as pa
@@ -47,20 +48,21 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shape(text: str | None, w: list[bytes]) -> list[float]:
+    """Figures of the text as UTF-8; lengths in bytes."""
     if not w:
         return [0.0] * len(SHAPE)
-    n, chars = len(w), len(text)
-    different, runs = len(set(w)), sum(1 for _ in groupby(w))
-    letters = sum(map(str.isalpha, text)) if chars < 4096 else sum(map(len, w)) - sum(text.count(c) for c in "|.,;:!?#$%&*-0123456789")
-    upper = len(text) - len(text.translate(_NO_UPPER))
-    signs, digits = chars - len(text.translate(_NO_SIGNS)), chars - len(text.translate(_NO_DIGITS))
-    ends = sum(1 for x in w if x[-1] in _SIGN_ENDS)
-    return [float(np.log1p(n)), different / n, runs / n, upper / max(1, letters), signs / chars, digits / chars, max(map(len, w)) / 10, sum(map(len, w)) / n, (text.count("\n") + 1) / n, ends / n, (n - different) / n]
-
-
-_NO_UPPER = {c: None for c in range(65, 91)}
-_NO_DIGITS = {c: None for c in range(48, 58)}
-_NO_SIGNS = {c: None for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,'"}
+    raw = text.encode(errors="surrogatepass")
+    n, size, different = len(w), len(raw), len(set(w))
+    gone = lambda which: size - len(raw.translate(None, which))
+    upper, letters = gone(_UPPER), gone(_LETTERS)
+    runs, signed = sum(map(ne, w, islice(w, 1, None))) + 1, sum(map(_SIGN_ENDS.__contains__, map(itemgetter(-1), w)))
+    sizes = list(map(len, w))
+    return [float(np.log1p(n)), different / n, runs / n, upper / max(1, letters), gone(_SIGNS) / size, gone(_DIGITS) / size, max(sizes) / 10, sum(sizes) / n, (raw.count(b"\n") + 1) / n, signed / n, (n - different) / n]
+
+
+_UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
+_LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
+_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,'")
 _SIGN_ENDS = frozenset(b"!#$%&*+/<=>?@\\^_`|~")
 
 
