@@ -23,19 +23,13 @@ class Ranks:
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            self.of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.token = {r: t for t, r in self.of.items()}
-        self.byte = [self.of.get(bytes([b])) for b in range(256)]
-        self._pairs: dict[int, int] = {}
+            self.take({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
-    def pair(self, a: int, b: int) -> int:
-        """The rank of two tokens together, or -1."""
-        got = self._pairs.get(a << 32 | b)
-        if got is None:
-            if len(self._pairs) > 150_000:
-                self._pairs.clear()
-            got = self._pairs[a << 32 | b] = self.of.get(self.token[a] + self.token[b], -1)
-        return got
+    def take(self, of: dict[bytes, int]) -> None:
+        """pairs: the rank of each two tokens that are one together, under the first shifted by 32 bits, and the second."""
+        self.of, self.byte = of, [of.get(bytes([b])) for b in range(256)]
+        self.token = {r: t for t, r in of.items()}
+        self.pairs = {of[t[:i]] << 32 | of[t[i:]]: r for t, r in of.items() for i in range(1, len(t)) if t[:i] in of and t[i:] in of}
 
 
 def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
@@ -48,39 +42,39 @@ def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
     """
     tokens: list[int] = []
     owner: list[int] = []
-    spans: list[tuple[int, int]] = []
+    after: list[int] = []
+    before: list[int] = []
+    due: list[int] = []
+    starts: list[int] = []
+    rank_of, byte, get = ranks.of.get, ranks.byte.__getitem__, ranks.pairs.get
+    index: dict[int, list[int]] = {}
     for w, word in enumerate(words):
         begin = len(tokens)
-        whole = ranks.of.get(word)
-        ids = [whole] if whole is not None else list(map(ranks.byte.__getitem__, word))
+        starts.append(begin if word else -1)
+        whole = rank_of(word)
+        if whole is not None:
+            ids = [whole]
+        else:
+            ids = list(map(byte, word))
+        n = len(ids)
         tokens += ids
-        owner += [w] * len(ids)
-        spans.append((begin, len(tokens)))
-    n = len(tokens)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    for begin, end in spans:
-        if end > begin:
-            after[end - 1] = -1
-            before[begin] = -1
-    pair = ranks.pair
-    due = [-1] * n
-    index: dict[int, list[int]] = {}
-    for i in range(n):
-        if (j := after[i]) >= 0 and (r := pair(tokens[i], tokens[j])) >= 0:
-            due[i] = r
-            index.setdefault(r, []).append(i)
+        owner += [w] * n
+        before += range(begin - 1, begin + n - 1)
+        after += range(begin + 1, begin + n + 1)
+        if n:
+            before[begin] = after[-1] = -1
+            # The rank of each pair, -1 for none.
+            own = [get(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]
+            for i, r in enumerate(own, begin):
+                if r >= 0:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
+            due += own
+            due.append(-1)
     heap = list(index)
     heapify(heap)
-
-    def add(i: int, r: int) -> None:
-        due[i] = r
-        if r >= 0:
-            if (at := index.get(r)) is None:
-                index[r] = [i]
-                heappush(heap, r)
-            else:
-                at.append(i)
-
     while heap:
         r = heappop(heap)
         at = index.pop(r)
@@ -90,7 +84,11 @@ def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
             if due[i] != r:
                 continue
             if owner[i] == waits:
-                add(i, r)
+                if r in index:
+                    index[r].append(i)
+                else:
+                    index[r] = [i]
+                    heappush(heap, r)
                 continue
             j = after[i]
             tokens[i] = r
@@ -99,18 +97,31 @@ def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
             low = False
             if k >= 0:
                 before[k] = i
-                add(i, s := pair(r, tokens[k]))
-                low = 0 <= s <= r
+                s = due[i] = get(r << 32 | tokens[k], -1)
+                if s >= 0:
+                    low = s <= r
+                    if s in index:
+                        index[s].append(i)
+                    else:
+                        index[s] = [i]
+                        heappush(heap, s)
             else:
                 due[i] = -1
-            if (p := before[i]) >= 0:
-                add(p, s := pair(tokens[p], r))
-                low = low or 0 <= s <= r
+            p = before[i]
+            if p >= 0:
+                s = due[p] = get(tokens[p] << 32 | r, -1)
+                if s >= 0:
+                    low = low or s <= r
+                    if s in index:
+                        index[s].append(p)
+                    else:
+                        index[s] = [p]
+                        heappush(heap, s)
             if low:
                 waits = owner[i]
     out = []
-    for begin, end in spans:
-        ids, i = [], begin if end > begin else -1
+    for i in starts:
+        ids = []
         while i >= 0:
             ids.append(tokens[i])
             i = after[i]
@@ -118,16 +129,24 @@ def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
     return out
 
 
+#: Words whose ids a worker keeps, at about 200 bytes each.
+KEPT = 200_000
+
+
+#: Words that share an inverted index: few enough for it to stay in the processor's cache.
+GROUP = 512
+
+
 class Codec:
     """Encodes texts block by block. The ids of words met before are kept, as little-endian bytes, up to a bound.
 
     Forgetting them costs time only. A worker keeps its codec from task to task.
     """
 
-    KEPT = 200_000
     _own: dict[tuple[str, str], Codec] = {}
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, kept: int = KEPT):
+        self.kept = kept
         self.ranks, self.find, self.words = Ranks(path), regex.compile(pattern).findall, {}
         top = max(self.ranks.token)
         self.table = [self.ranks.token.get(i, b"") for i in range(top + 1)]
@@ -141,11 +160,13 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; no id for null."""
         split = [self.find(t) if t else [] for t in texts]
-        if len(self.words) > self.KEPT:
+        if len(self.words) > self.kept:
             self.words.clear()
         new = [w for w in set().union(*split) if w not in self.words]
-        for w, ids in zip(new, replay([w.encode() for w in new], self.ranks)):
-            self.words[w] = array("I", ids).tobytes()
+        for at in range(0, len(new), GROUP):
+            group = new[at : at + GROUP]
+            for w, ids in zip(group, replay([w.encode() for w in group], self.ranks)):
+                self.words[w] = array("I", ids).tobytes()
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -168,7 +189,7 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         at = end
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = False, with_text: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = False, with_text: bool = False, kept: int = KEPT) -> DataFrame:
     """id, the columns to keep, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids and the decoded text.
 
     path: the rank file, there on every worker; pattern splits a text into words that are encoded separately. Every text
@@ -181,6 +202,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
+        codec.kept = kept
         for b in batches:
             for at, texts in _blocks(b.column(1)):
                 ids = codec.encode(texts)

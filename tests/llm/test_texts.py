@@ -146,13 +146,13 @@ def test_replay_waits_for_lower_ranks():
     """A vocabulary whose later merges make earlier pairs possible."""
     ranks = bpe.Ranks.__new__(bpe.Ranks)
     tokens = [bytes([b]) for b in range(256)] + [b"abc", b"bc", b"abcabc", b"cab", b"aa", b"aaa"]
-    ranks.of = {t: i for i, t in enumerate(tokens)}
-    ranks.token, ranks.byte, ranks._pairs = dict(enumerate(tokens)), list(range(256)), {}
+    ranks.take({t: i for i, t in enumerate(tokens)})
+    pair = lambda a, b: ranks.of.get(tokens[a] + tokens[b], -1)
 
     def alone(word):
         parts = [ranks.of[word]] if word in ranks.of else list(word)
         while True:
-            found = [(ranks.pair(a, b), i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if ranks.pair(a, b) >= 0]
+            found = [(pair(a, b), i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if pair(a, b) >= 0]
             if not found:
                 return parts
             rank, i = min(found)
