@@ -9,8 +9,8 @@ from loomwright.llm import bpe, decontaminate, line_dedup, quality, simhash
 from loomwright.llm.common import shared_dir, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near copies: by the different words of a text, checked by shingles of five words at a similarity of about 0.8.
-NEAR = simhash.SimHash(shingle=0, radius=7, blocks=7, choose=2, check_shingle=5)
+#: Near copies: by the sets of shingles of five words, at a similarity of about 0.8.
+NEAR = simhash.SimHash(shingle=5, radius=20, tables=64)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

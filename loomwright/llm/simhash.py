@@ -17,6 +17,9 @@ from loomwright.llm.components import Forest, components
 from loomwright.llm.hash_arrays import mix
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: 64-bit words of the long fingerprint.
+WORDS = 16
+_STEPS = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -27,37 +30,43 @@ class SimHash:
     links are found among fingerprints that share that many blocks: a bucket for each choice of blocks. A bucket of more
     than split fingerprints is compared in parts, each with each.
 
-    shingle 0 makes the fingerprint of the different words of a text. With choose more blocks have to be equal than
-    radius differing bits always leave (fewer links are found, those with the most differing bits first). With
-    check_shingle, what is near by its 64 bits must also differ in at most check_differing of the 256 bits of a second
-    fingerprint, of shingles of so many words: an angle of pi * check_differing / 256 between texts. For sets with a
-    Jaccard similarity J it is arccos(2 J / (1 + J)), so that 0.8 stands at 39 bits, give or take 6.
+    With tables, texts are compared as sets of shingles instead, by a fingerprint of 64 * WORDS bits. Sets with a Jaccard
+    similarity J are at most arccos(2 J / (1 + J)) apart, whatever was cut, added or replaced, so that at 0.8 a bit
+    differs with probability 0.15. A bucket for each of tables pieces of key_bits bits: 64 pieces of 16 bits have an equal
+    one with probability 0.992 at 0.8, 0.9994 at 0.85. Within a bucket the first 64 bits have to differ in at most radius
+    (10 expected at 0.8, 2.9 the deviation), and the next 256 in at most check_differing (39, deviation 6).
     """
 
     shingle: int = 4
     radius: int = 4
     blocks: int = 6
-    choose: int | None = None
     split: int = 50_000
-    check_shingle: int | None = None
+    tables: int = 0
+    key_bits: int = 16
     check_differing: int = 44
 
     def __post_init__(self) -> None:
-        assert 0 <= self.radius < 8 and 0 < self.chosen <= self.blocks
-
-    @property
-    def chosen(self) -> int:
-        return self.choose or self.blocks - self.radius
+        assert 0 <= self.radius < 32 and (self.tables or self.radius < self.blocks)
+        assert self.tables * self.key_bits <= 64 * WORDS and 64 % self.key_bits == 0
 
     @property
     def columns(self) -> list[str]:
-        return ["print", *(["c0", "c1", "c2", "c3"] if self.check_shingle else [])]
+        """The words of the fingerprint."""
+        return ["print", *(f"c{k}" for k in range(1, WORDS))] if self.tables else ["print"]
 
-    def keys(self) -> list[list[tuple[int, int]]]:
-        """For each choice of blocks, their (shift, width)."""
+    @property
+    def payload(self) -> list[str]:
+        """The words that go into the buckets."""
+        return self.columns[:5]
+
+    def keys(self) -> list[list[tuple[str, int, int]]]:
+        """For each bucket of a fingerprint, the (word, shift, width) that make its key."""
+        if self.tables:
+            each = 64 // self.key_bits
+            return [[(self.columns[t // each], t % each * self.key_bits, self.key_bits)] for t in range(self.tables)]
         cuts = [64 * i // self.blocks for i in range(self.blocks + 1)]
-        spans = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(self.blocks)]
-        return [list(c) for c in combinations(spans, self.chosen)]
+        spans = [("print", cuts[i], cuts[i + 1] - cuts[i]) for i in range(self.blocks)]
+        return [list(c) for c in combinations(spans, self.blocks - self.radius)]
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -93,23 +102,25 @@ def fingerprint(text: str | None, shingle: int) -> int:
     """Words are split at ASCII white space, A-Z lower-cased; fewer words than a shingle are one shingle, none give 0."""
     if not (words := _words(text)):
         return 0
-    blocks = [np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in set(words)), np.uint64)] if shingle == 0 else _hashes(words, shingle)
     n, total = 0, np.zeros(64, np.int64)
-    for hashes in blocks:
+    for hashes in _hashes(words, shingle):
         n, total = n + len(hashes), total + _bits(hashes)
     return _print(total, n)
 
 
-def long_fingerprint(text: str | None, shingle: int) -> list[int]:
-    """256 bits: each hash is spread over four."""
-    if not (words := _words(text)):
-        return [0] * 4
-    n, totals = 0, np.zeros((4, 64), np.int64)
-    for hashes in _hashes(words, shingle):
-        n += len(hashes)
-        for k in range(4):
-            totals[k] += _bits(mix(hashes + np.uint64(k)))
-    return [_print(t, n) for t in totals]
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The different shingles of a text as sorted 64-bit hashes."""
+    words = _words(text)
+    return np.unique(np.concatenate(list(_hashes(words, shingle)))) if words else np.empty(0, np.uint64)
+
+
+def long_fingerprint(own: np.ndarray) -> np.ndarray:
+    """WORDS words of SimHash bits of a set of hashes; each hash is spread over all of them. No hashes give 0."""
+    total = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(own), 255):
+        spread = mix(own[at : at + 255, None] + _STEPS)
+        total += np.unpackbits(spread.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(own), bitorder="little").view("<u8")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -123,12 +134,12 @@ def planes(values: np.ndarray) -> np.ndarray:
 def near(differing: np.ndarray, radius: int) -> np.ndarray:
     """Words whose bits say which lanes have at most radius bits set in the planes of differing.
 
-    Bitwise counters of weight 1, 2 and 4 are kept for all lanes; carry-save adders take four planes at a time. After
+    Bitwise counters of weight 1, 2 and 4 (and 8 and 16 for a radius of 8 or more) are kept for all lanes; carry-save adders take four planes at a time. After
     every eight planes, blocks of 64 lanes that all exceed the radius are left out of the rest.
     """
     width = differing.shape[1]
     where, over = np.arange(width), np.zeros(width, np.uint64)
-    one, two, four = np.zeros((3, width), np.uint64)
+    one, two, four, eight, sixteen = np.zeros((5, width), np.uint64)
     for k in range(0, 64, 4):
         a, b, c, d = differing[k : k + 4] if len(where) == width else differing[k : k + 4, where]
         x = one ^ a
@@ -137,18 +148,23 @@ def near(differing: np.ndarray, radius: int) -> np.ndarray:
         carry2, one = (x & c) | (y & d), y ^ d
         x = two ^ carry1
         carry4, two = (two & carry1) | (x & carry2), x ^ carry2
-        over |= four & carry4
-        four = four ^ carry4
+        carry8, four = four & carry4, four ^ carry4
+        if radius < 8:
+            over |= carry8
+        else:
+            carry16, eight = eight & carry8, eight ^ carry8
+            over |= sixteen & carry16
+            sixteen = sixteen ^ carry16
         if k % 8 == 4:
             more, even = over.copy(), np.full(len(where), ONES)
-            for bit, counter in ((4, four), (2, two), (1, one)):
+            for bit, counter in ((16, sixteen), (8, eight), (4, four), (2, two), (1, one))[0 if radius >= 8 else 2 :]:
                 if radius & bit:
                     even &= counter
                 else:
                     more |= even & counter
                     even &= ~counter
             if (alive := more != ONES).sum() < 0.75 * len(where):
-                where, over, one, two, four, more = (v[alive] for v in (where, over, one, two, four, more))
+                where, over, one, two, four, eight, sixteen, more = (v[alive] for v in (where, over, one, two, four, eight, sixteen, more))
                 if not len(where):
                     return np.zeros(width, np.uint64)
     out = np.zeros(width, np.uint64)
@@ -221,15 +237,15 @@ def link_large(rows: np.ndarray, nodes: np.ndarray, how: SimHash, forest: Forest
 
 
 def fingerprints(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, print and the words of the second fingerprint (bits as signed numbers) for each row of docs."""
+    """_id and the words of the fingerprint (bits as signed numbers) for each row of docs."""
     src = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
-    shingle, check = how.shingle, how.check_shingle
+    shingle = how.shingle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 texts = b.column(1).slice(at, 512).to_pylist()
-                got = np.array([[fingerprint(t, shingle), *(long_fingerprint(t, check) if check else ())] for t in texts], np.uint64).view(np.int64)
+                got = np.array([long_fingerprint(shingle_set(t, shingle)) if how.tables else [fingerprint(t, shingle)] for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), *(pa.array(c) for c in got.T)], ["_id", *how.columns])
         release()
 
@@ -270,10 +286,10 @@ def near_links(prints: DataFrame, how: SimHash, folder: str) -> DataFrame:
     choices = []
     for t, spans in enumerate(how.keys()):
         key = F.lit(0).cast("bigint")
-        for shift, width in spans:
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("print", shift).bitwiseAND((1 << width) - 1))
+        for word, shift, width in spans:
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(word, shift).bitwiseAND((1 << width) - 1))
         choices.append(F.struct(F.lit(t).alias("choice"), key.alias("key")))
-    own = [*how.columns, "node"]
+    own = [*how.payload, "node"]
     rows = prints.select(F.explode(F.array(*choices)).alias("k"), *own).select(F.col("k.choice").cast("bigint").alias("choice"), "k.key", *own)
     large = written(rows.groupBy("choice", "key").count().where(F.col("count") > how.split).select("choice", "key", F.ceil(F.col("count") / how.split).alias("parts")), folder, "large")
     cold = rows.join(large, ["choice", "key"], "left")
