@@ -36,6 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of shared_dir that is no longer needed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: cuts the lineage, outlives executors."""
     path = f"{folder}/{name}"

@@ -80,6 +80,12 @@ def load(uri: str, kinds: list[str]) -> list[np.ndarray]:
     return [x.view(kind) for x, kind in zip(_MAPS[uri], kinds, strict=True)]
 
 
+def forget(folder: str) -> None:
+    """Closes the files of a folder, so that deleting them frees their space."""
+    for uri in [u for u in _MAPS if u.startswith(f"{folder}/")]:
+        del _MAPS[uri]
+
+
 def positions(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where each wanted key is, or -1."""
     if not len(sorted_keys):

@@ -9,12 +9,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import release, shared_dir, written
+from loomwright.llm.common import drop_dir, release, shared_dir, written
 from loomwright.llm.components import Forest, components
-from loomwright.llm.hash_arrays import mix
+from loomwright.llm.hash_arrays import forget, load, mix, save
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: 64-bit words of the long fingerprint.
@@ -33,8 +34,9 @@ class SimHash:
     With tables, texts are compared as sets of shingles instead, by a fingerprint of 64 * WORDS bits. Sets with a Jaccard
     similarity J are at most arccos(2 J / (1 + J)) apart, whatever was cut, added or replaced, so that at 0.8 a bit
     differs with probability 0.15. A bucket for each of tables pieces of key_bits bits: 64 pieces of 16 bits have an equal
-    one with probability 0.992 at 0.8, 0.9994 at 0.85. Within a bucket the first 64 bits have to differ in at most radius
-    (10 expected at 0.8, 2.9 the deviation), and the next 256 in at most check_differing (39, deviation 6).
+    one with probability 0.992 at 0.8, 0.9994 at 0.85. Within a bucket, candidates differ in at most radius of the first 64
+    bits (10 expected at 0.8, 2.9 the deviation) and at most check_differing of the first 128 (19, deviation 4). They
+    link if the sets themselves, of 64-bit hashes, have a similarity of at least similarity.
     """
 
     shingle: int = 4
@@ -43,7 +45,8 @@ class SimHash:
     split: int = 50_000
     tables: int = 0
     key_bits: int = 16
-    check_differing: int = 44
+    check_differing: int = 36
+    similarity: float = 0.8
 
     def __post_init__(self) -> None:
         assert 0 <= self.radius < 32 and (self.tables or self.radius < self.blocks)
@@ -56,8 +59,8 @@ class SimHash:
 
     @property
     def payload(self) -> list[str]:
-        """The words that go into the buckets."""
-        return self.columns[:5]
+        """The columns that go into the buckets."""
+        return [*self.columns[:2], "spot"] if self.tables else self.columns
 
     def keys(self) -> list[list[tuple[str, int, int]]]:
         """For each bucket of a fingerprint, the (word, shift, width) that make its key."""
@@ -180,14 +183,60 @@ def lanes(words: np.ndarray, n: int) -> np.ndarray:
 SMALL = 48
 
 
-def _same(checks: np.ndarray, i, j, differing: int) -> np.ndarray:
-    """Whether the second fingerprints (a row for each word of 64 bits; no rows: always) are near."""
-    return np.bitwise_count(checks[:, i] ^ checks[:, j]).sum(axis=0, dtype=np.int64) <= differing
+#: Hashes after which a file of shingle sets is full; bits of a spot for the place in a file and for the number of a file.
+FULL, PLACE, FILE = 1 << 20, 22, 20
 
 
-def link_buckets(buckets: np.ndarray, rows: np.ndarray, nodes: np.ndarray, how: SimHash, forest: Forest) -> None:
-    """Joins the nodes whose prints are near in any bucket; buckets are runs of equal values. rows: print and checks."""
-    prints, checks = rows[0], rows[1:]
+class Sets:
+    """Shingle sets in files of the shared folder, each behind its size. A spot says partition, file and place."""
+
+    def __init__(self, folder: str, partition: int = 0) -> None:
+        self.folder, self.partition, self.file, self.size = folder, partition, 0, 0
+        self.parts: list[np.ndarray] = []
+
+    def add(self, own: np.ndarray) -> int:
+        if self.size >= FULL:
+            self.flush()
+        spot = (self.partition << FILE | self.file) << PLACE | self.size
+        self.parts += [np.array([len(own)], np.uint64), own]
+        self.size += len(own) + 1
+        return spot
+
+    def flush(self) -> None:
+        if self.parts:
+            save(f"{self.folder}/{self.partition << FILE | self.file}", np.concatenate(self.parts))
+            self.file, self.size, self.parts = self.file + 1, 0, []
+
+    def get(self, spot: int) -> np.ndarray:
+        (flat,), at = load(f"{self.folder}/{spot >> PLACE}", ["<u8"]), spot & (1 << PLACE) - 1
+        return flat[at + 1 : at + 1 + int(flat[at])]
+
+    def similar(self, x: int, y: int, least: float) -> bool:
+        a, b = self.get(x), self.get(y)
+        if min(len(a), len(b)) < least * max(len(a), len(b)):
+            return False
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return common >= least * (len(a) + len(b) - common)
+
+
+def _candidates(rows: np.ndarray, i, j, how: SimHash) -> np.ndarray:
+    """Which of the pairs, near by their prints, are near by the first 128 bits as well."""
+    if not how.tables:
+        return np.ones(np.broadcast_shapes(np.shape(i), np.shape(j)), bool)
+    return np.bitwise_count(rows[:2, i] ^ rows[:2, j]).sum(axis=0, dtype=np.int64) <= how.check_differing
+
+
+def _join(x: int, y: int, spots: tuple[int, int] | None, how: SimHash, forest: Forest, sets: Sets | None) -> bool:
+    """Whether the nodes are in one component: already, or now since they are similar."""
+    if sets is not None and forest.root(x) != forest.root(y) and not sets.similar(*spots, how.similarity):
+        return False
+    forest.join(x, y)
+    return True
+
+
+def link_buckets(buckets: np.ndarray, rows: np.ndarray, nodes: np.ndarray, how: SimHash, forest: Forest, sets: Sets | None = None) -> None:
+    """Joins the nodes that are near in any bucket; buckets are runs of equal values. rows: the payload."""
+    prints = rows[0]
     edge = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]]))
     sizes = np.diff(edge)
     rest = np.repeat(sizes, sizes) - (np.arange(len(buckets)) - np.repeat(edge[:-1], sizes))  # members from here on
@@ -199,62 +248,73 @@ def link_buckets(buckets: np.ndarray, rows: np.ndarray, nodes: np.ndarray, how:
         for at in range(0, len(left), 1 << 18):
             i = left[at : at + (1 << 18)]
             hit = i[lanes(near(planes(prints[i] ^ prints[i + step]), how.radius), len(i))]
-            hit = hit[_same(checks, hit, hit + step, how.check_differing)]
-            for x, y in zip(nodes[hit].tolist(), nodes[hit + step].tolist()):
-                forest.join(x, y)
+            hit = hit[_candidates(rows, hit, hit + step, how)]
+            for x, y, *spots in zip(nodes[hit].tolist(), nodes[hit + step].tolist(), rows[-1, hit].tolist(), rows[-1, hit + step].tolist()):
+                _join(x, y, spots, how, forest, sets)
     for k in np.flatnonzero(sizes > SMALL).tolist():
         part = slice(edge[k], edge[k + 1])
-        link_large(rows[:, part], nodes[part], how, forest)
+        link_large(rows[:, part], nodes[part], how, forest, sets)
 
 
-def link_large(rows: np.ndarray, nodes: np.ndarray, how: SimHash, forest: Forest) -> None:
+def link_large(rows: np.ndarray, nodes: np.ndarray, how: SimHash, forest: Forest, sets: Sets | None = None) -> None:
     """One bucket: each member is a probe once, against the members that no probe has reached yet.
 
     A member that is reached belongs to its probe's component, and need not be found again. The first member of the
     bit planes that isn't reached starts the next component.
     """
-    prints, checks = rows[0], rows[1:]
+    prints = rows[0]
     todo = np.arange(len(prints))
     vertical, open_ = planes(prints), np.ones(len(prints), bool)
     while len(todo):
         front = [int(np.flatnonzero(open_)[0])]
         open_[front[0]] = False
-        while front:
+        while front and open_.any():
             i = front.pop()
             flip = np.where((prints[todo[i]] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), ONES, np.uint64(0))
             hit = lanes(near(vertical ^ flip[:, None], how.radius), len(todo))
             hit = hit[open_[hit]]
-            hit = hit[_same(checks, todo[hit], todo[[i]], how.check_differing)]
+            hit = hit[_candidates(rows, todo[hit], todo[[i]], how)]
+            x, own = int(nodes[todo[i]]), int(rows[-1, todo[i]])
+            there = zip(nodes[todo[hit]].tolist(), rows[-1, todo[hit]].tolist())
+            hit = hit[np.array([_join(x, y, (own, spot), how, forest, sets) for y, spot in there], bool)]
             open_[hit] = False
             front += hit.tolist()
-            x = int(nodes[todo[i]])
-            for y in nodes[todo[hit]].tolist():
-                forest.join(x, y)
         if open_.sum() * 2 < len(todo):
             todo = todo[open_]
             if len(todo):
                 vertical, open_ = planes(prints[todo]), np.ones(len(todo), bool)
 
 
-def fingerprints(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id and the words of the fingerprint (bits as signed numbers) for each row of docs."""
+def fingerprints(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """_id and the words of the fingerprint (bits as signed numbers) for each row of docs; with tables also the spot of its
+    shingle set in the files of folder."""
     src = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
-    shingle = how.shingle
+    shingle, names = how.shingle, [*how.columns, *(["spot"] if how.tables else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(folder, TaskContext.get().partitionId()) if how.tables else None
+
+        def row(text: str | None) -> list[int]:
+            if sets is None:
+                return [fingerprint(text, shingle)]
+            own = shingle_set(text, shingle)
+            return [*long_fingerprint(own).tolist(), sets.add(own)]
+
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 texts = b.column(1).slice(at, 512).to_pylist()
-                got = np.array([long_fingerprint(shingle_set(t, shingle)) if how.tables else [fingerprint(t, shingle)] for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), *(pa.array(c) for c in got.T)], ["_id", *how.columns])
+                got = np.array([row(t) for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), *(pa.array(c) for c in got.T)], ["_id", *names])
+        if sets is not None:
+            sets.flush()
         release()
 
-    return src.mapInArrow(run, f"`_id` {src.schema['_id'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in how.columns))
+    return src.mapInArrow(run, f"`_id` {src.schema['_id'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in names))
 
 
-def _links(how: SimHash):
+def _links(how: SimHash, folder: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, kept = Forest(), None
+        forest, kept, sets = Forest(), None, Sets(folder) if how.tables else None
 
         def out() -> Iterator[pa.RecordBatch]:
             a, b = forest.links()
@@ -265,24 +325,27 @@ def _links(how: SimHash):
             kept = now if kept is None else tuple(np.concatenate([x, y], axis=1) for x, y in zip(kept, now))
             changes = np.flatnonzero((kept[0][:, 1:] != kept[0][:, :-1]).any(axis=0)) + 1
             if len(changes):  # the last bucket may go on in the next batch
-                _group(kept[0][:, : changes[-1]], kept[1][:, : changes[-1]], how, forest)
+                _group(kept[0][:, : changes[-1]], kept[1][:, : changes[-1]], how, forest, sets)
                 kept = kept[0][:, changes[-1] :], kept[1][:, changes[-1] :]
             if len(forest.up) > 500_000:
                 yield from out()
         if kept is not None and kept[0].shape[1]:
-            _group(*kept, how, forest)
+            _group(*kept, how, forest, sets)
         yield from out()
+        if sets is not None:
+            forget(folder)
 
     return run
 
 
-def _group(keys: np.ndarray, rows: np.ndarray, how: SimHash, forest: Forest) -> None:
+def _group(keys: np.ndarray, rows: np.ndarray, how: SimHash, forest: Forest, sets: Sets | None) -> None:
     runs = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))])
-    link_buckets(runs, rows[:-1].view(np.uint64), rows[-1], how, forest)
+    link_buckets(runs, rows[:-1].view(np.uint64), rows[-1], how, forest, sets)
 
 
-def near_links(prints: DataFrame, how: SimHash, folder: str) -> DataFrame:
-    """a, b: links that connect just what is connected. prints has distinct prints (with checks), each with a node."""
+def near_links(prints: DataFrame, how: SimHash, folder: str, sets: str | None = None) -> DataFrame:
+    """a, b: links that connect just what is connected. prints has distinct fingerprints, each with a node (and the spot of
+    its shingle set in the folder sets)."""
     choices = []
     for t, spans in enumerate(how.keys()):
         key = F.lit(0).cast("bigint")
@@ -298,7 +361,7 @@ def near_links(prints: DataFrame, how: SimHash, folder: str) -> DataFrame:
     alone = F.array(F.struct(F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("q")))
     dealt = cold.withColumn("pq", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(with_all)))
     dealt = dealt.select(F.col("choice").bitwiseOR(F.shiftleft(F.col("pq.p"), 8)).alias("choice"), "key", F.col("pq.q").alias("q"), *own)
-    return dealt.repartition("choice", "key", "q").sortWithinPartitions("choice", "key", "q").mapInArrow(_links(how), "a bigint, b bigint")
+    return dealt.repartition("choice", "key", "q").sortWithinPartitions("choice", "key", "q").mapInArrow(_links(how, sets), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,13 +372,17 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "do
 
     Texts are read once, for fingerprints in a table. Equal fingerprints become one node before anything is compared,
     its number the smallest id. Buckets are dealt out by key; each task gives a spanning forest of its links, so that
-    what leaves a group grows with its members and not with their pairs.
+    what leaves a group grows with its members and not with their pairs. With tables, the shingle sets are written once
+    to files that all tasks read candidates from, and are deleted when the links are known.
     """
-    folder = shared_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    folder, sets = shared_dir(spark), shared_dir(spark) if how.tables else None
     kind = docs.select(docs[id_col].alias("c")).schema["c"].dataType
-    prints = written(fingerprints(docs, how, id_col, text_col), folder, "prints")
-    nodes = written(prints.where("_id is not null").groupBy(*how.columns).agg(F.min(F.col("_id").cast("bigint")).alias("node")), folder, "nodes")
-    parts = components(near_links(nodes, how, folder), folder)
+    prints = written(fingerprints(docs, how, id_col, text_col, sets), folder, "prints")
+    nodes = written(prints.where("_id is not null").groupBy(*how.columns).agg(F.min(F.col("_id").cast("bigint")).alias("node"), *([F.min("spot").alias("spot")] if how.tables else [])), folder, "nodes")
+    parts = components(near_links(nodes, how, folder, sets), folder)
+    if sets:
+        drop_dir(spark, sets)
     named = written(nodes.join(parts, "node", "left").select(*how.columns, F.coalesce("component", "node").alias("component_id")), folder, "named")
     out = prints.join(named, how.columns, "left").select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.when(F.col("_id").isNotNull(), F.col("component_id")).cast(kind).alias("component_id"))
     return out

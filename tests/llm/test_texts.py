@@ -255,6 +255,23 @@ def test_cut_and_extended_copies_are_one(spark):
     assert {2 * g for g in range(200)} <= kept and len(kept) <= 200 + 8
 
 
+def test_only_similar_texts_go(spark):
+    """Texts at 0.6 to 0.79 stay, whatever their fingerprints say; each pair at 0.8 or more is one, and sets don't count repeats."""
+    from corpus_pipeline import NEAR
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    rows = []
+    for g in range(300):
+        base, n = [word() for _ in range(104)], r.randint(21, 35)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[n:]))]
+    chorus = [word() for _ in range(30)]
+    rows += [(600, " ".join([word() for _ in range(30)] + chorus * 20)), (601, " ".join([word() for _ in range(30)] + chorus * 20))]
+    rows += [(602, "one two three four five six"), (603, "one two three four five seven"), (604, "")]
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, EMPTY), NEAR).collect()}
+    assert kept == set(range(605))
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 200)] + [(0, i) for i in range(300, 500)] + [(7, 7), (8, 9), (9, 8)]
     df = spark.createDataFrame(links, "a bigint, b bigint")
