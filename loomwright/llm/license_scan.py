@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,13 @@ SPELLINGS = {a: b.replace("-", " ") for a, b in SPELLINGS.items()}
 PUNCTUATION = " ©«®·»‐‑‒–—―‘’“”„•…™"
 
 COPYRIGHT_LINE = r"^[ \t*#/;>-]*(copyright[ \t:(]|\(c\)|©|all rights reserved)[^\n]*$"
-_COPYRIGHT = re.compile(COPYRIGHT_LINE, re.M)
+# Words after "copyright" where a licence's own sentence was wrapped, and no holder is named.
+SENTENCE = "holders?|owners?|notices?|licen[cs]es?|laws?|interests?|statements?|disclaimers?|acts?|treaty|status|protection|and|or|in|on|of|to|the|for|by law|is|are|permission"
+_WHO = rf"copyright(?![ \t:]+(?:{SENTENCE})\b)[ \t:(]|©|all rights reserved"
+_COPYRIGHT = re.compile(rf"^[ \t*#/;>-]*({_WHO}|\(c\))[^\n]*$", re.M)
+# A text with an item (b) has an item (c), which is no sign unless a year follows.
+_ITEM = re.compile(r"^[ \t]*\(b\)[ \t]", re.M)
+_COPYRIGHT_LISTED = re.compile(rf"^[ \t*#/;>-]*({_WHO}|\(c\)[ \t]*\d{{4}}\b)[^\n]*$", re.M)
 _UPPER = str.maketrans({c: c + 32 for c in range(65, 91)})
 _SPACES = str.maketrans({c: " " for c in [*range(128), *map(ord, PUNCTUATION)] if not (48 <= c <= 57 or 97 <= c <= 122)})
 
@@ -57,13 +64,37 @@ TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
 
+# Licences whose whole text is a file beside this one, and the usual titles of licences.
+FILES = ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "MIT", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License", "The BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "WTFPL": ["WTFPL"],
+    "Unlicense": ["The Unlicense", "Unlicense", "Unlicense (Public Domain)"],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "CC0-1.0": ["Creative Commons Legal Code CC0 1.0 Universal", "Creative Commons Legal Code"],
+    "GPL-2.0": ["GNU General Public License Version 2, June 1991"],
+    "GPL-3.0": ["GNU General Public License Version 3, 29 June 2007"],
+    "LGPL-2.1": ["GNU Lesser General Public License Version 2.1, February 1999"],
+    "LGPL-3.0": ["GNU Lesser General Public License Version 3, 29 June 2007"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+}
+_NUMBER = re.compile(r"^[ \t]*[0-9]\.[ \t]", re.M)
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+_END = " end of terms and conditions"
+
 
 def canonical(text: str | None) -> str:
-    """A-Z lower-cased; copyright lines gone; words apart by one space, in one spelling, without punctuation.
+    """A-Z lower-cased; copyright lines (with a sign, a year or a holder) gone; words apart by one space, in one spelling, without punctuation.
 
     Characters beyond ASCII other than PUNCTUATION belong to words.
     """
-    words = _COPYRIGHT.sub("", (text or "").translate(_UPPER)).translate(_SPACES).split(" ")
+    lowered = (text or "").translate(_UPPER)
+    words = (_COPYRIGHT_LISTED if _ITEM.search(lowered) else _COPYRIGHT).sub("", lowered).translate(_SPACES).split(" ")
     return " ".join([SPELLINGS.get(w, w) for w in words if w])
 
 
@@ -71,12 +102,35 @@ def digest(text: str | None) -> str:
     return hashlib.sha256(canonical(text).encode(errors="surrogatepass")).hexdigest()
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """Name and text of the licences in FILES, and of usual wordings of those in KNOWN."""
+    out = [(name, (resources.files("loomwright.llm") / "licenses" / f"{name}.txt").read_text()) for name in FILES]
+    bsd = KNOWN["BSD-2-Clause"]
+    out.append(("BSD-3-Clause", bsd.replace("THIS SOFTWARE IS", _THIRD + "THIS SOFTWARE IS", 1)))
+    out += [(name, KNOWN[name].replace("and/or distribute", "and distribute")) for name in ("ISC", "0BSD")]
+    return out
+
+
+def forms(name: str, text: str) -> set[str]:
+    """Canonical texts of a licence: with and without its titles, numbers of clauses, and what follows its terms."""
+    found = {canonical(text), canonical(_NUMBER.sub("", text))} if "BSD" in name or name == "Zlib" else {canonical(text)}
+    found |= {c[: c.index(_END) + k] for c in list(found) if _END in c for k in (0, len(_END))}
+    titles = [canonical(t) for t in TITLES.get(name, [])]
+    found |= {c.removeprefix(f"{t} ") for c in found for t in titles}
+    return found | {f"{t} {c}" for c in found for t in titles if not c.startswith(t)}
+
+
 def known_licenses(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
-    """license_id, digest; of licences with one canonical form the first in order."""
+    """license_id, digest; of licences with one canonical form the first in order. KNOWN comes with whole_texts() and the
+    forms of all of them; other texts stand as they are."""
     first: dict[str, str] = {}
     for name, text in sorted(known.items()):
         if canonical(text):
             first.setdefault(digest(text), name)
+    if known is KNOWN:
+        for name, text in [*sorted((k, t) for k, t in known.items() if len(canonical(t).split()) > 30), *whole_texts()]:
+            for form in sorted(forms(name, text)):
+                first.setdefault(hashlib.sha256(form.encode()).hexdigest(), name)
     return spark.createDataFrame([(name, d) for d, name in first.items()], "license_id string, digest string")
 
 

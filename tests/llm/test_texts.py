@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -289,6 +290,22 @@ def test_licenses(spark):
     assert license_scan.scan(spark.createDataFrame([], EMPTY), license_scan.known_licenses(spark)).count() == 0
 
 
+def test_whole_licenses(spark):
+    """Whole texts with and without titles; wrapped lines that begin with "copyright" stay, those that name a holder go."""
+    whole = dict(license_scan.whole_texts()[: len(license_scan.FILES)])
+    mit, bsd = license_scan.KNOWN["MIT"], license_scan.KNOWN["BSD-2-Clause"]
+    three = bsd.replace("THIS SOFTWARE IS", license_scan._THIRD + "THIS SOFTWARE IS")
+    wrap = lambda text, n: "\n".join(line for p in text.split("\n") for line in textwrap.wrap(p, n))
+    want = [("MIT", "MIT License\n\nCopyright (c) 2026 Anastasia\n\n" + wrap(mit, 78)), ("ISC", "ISC License\n\nCopyright Jo Doe\n\n" + license_scan.KNOWN["ISC"])]
+    want += [("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, Jo\nAll rights reserved.\n\n" + wrap(bsd, n)) for n in range(40, 100)]
+    want += [("MIT", wrap(mit, n)) for n in range(40, 100)] + [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright 2020 Jo\n\n" + wrap(three, 79))]
+    want += [(name, text) for name, text in whole.items()] + [("Apache-2.0", whole["Apache-2.0"].split("APPENDIX")[0]), ("MPL-2.0", whole["MPL-2.0"].split("=\n", 1)[1])]
+    want += [(None, "Copyright holders say no"), (None, whole["GPL-3.0"] + " more")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(want)], EMPTY)
+    got = {r.doc_id: r.license_id for r in license_scan.scan(df, license_scan.known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(want))] == [name for name, _ in want]
+
+
 def test_language_model(spark):
     r = random.Random(4)
     rows = [(i, " ".join(r.choice("the of A b cat dog É".split()) if r.random() < 0.8 else f"w{r.randint(0, 90)}" for _ in range(r.randint(0, 30)))) for i in range(120)] + [(200, None), (201, "never before"), (202, "the " * 5000)]
