@@ -188,29 +188,69 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+#: Different pages looked at before and after a page; line sets at least so similar belong to copies.
+AROUND, COPY = 2, 0.8
+
+
+def _alike(a: list[int], b: list[int]) -> bool:
+    x, y = {*a}, {*b}
+    return len(x & y) >= COPY * len(x | y)
+
+
+def _kept(page: tuple, around: list[tuple]) -> str:
+    """The lines of a page that its neighbour doesn't share, or that no other page around confirms as shared."""
+    _, _, _, path, lines, marks = page
+    others = [x for x in around if x[5] != marks]
+    others = [x for x in others if not _alike(x[5], marks)] or others
+    others.sort(key=lambda x: -_prefix(x[3], path))
+    shared = common_lines(marks, others[0][5]) if others else set()
+    if len(others) > 1:
+        shared &= set().union(*(common_lines(marks, x[5]) for x in others[1:]))
+    if len(shared) == len(lines):
+        shared = set()
+    return "\n\n".join(t for i, t in enumerate(lines) if i not in shared)
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by host and path. Each unmarked page is paired with the neighbour of its host whose path is nearer."""
+    """Rows come sorted by host and path. Copies next to each other (one path, or the same lines) form a run; each unmarked
+    page is compared with the first pages of the runs of its host around its own, before ones first."""
 
-    def rows() -> Iterator[tuple]:
+    def runs() -> Iterator[list[tuple]]:
+        run: list[tuple] = []
         for b in batches:
-            yield from zip(b.column(0), *(b.column(k).to_pylist() for k in range(1, 6)))
-
-    def solve(last, page, following) -> tuple | None:
-        key, url, host, path, lines, marks = page
-        if lines is None:
-            return None
-        near = max((x for x in (last, following) if x is not None and x[2] == host), key=lambda x: _prefix(x[3], path), default=None)
-        shared = common_lines(marks, near[5]) if near else set()
-        return key, url, "\n\n".join(t for i, t in enumerate(lines) if i not in shared)
+            for row in zip(b.column(0), *(b.column(k).to_pylist() for k in range(1, 6))):
+                if run and row[2] == run[0][2] and (row[5] == run[-1][5] or row[3] == run[0][3] and row[1] is not None):
+                    if row[5] == run[-1][5] and row[4] is not None and run[-1][4] is not None:  # one copy in memory
+                        row = (*row[:4], *run[-1][4:])
+                    run.append(row)
+                else:
+                    if run:
+                        yield run
+                    run = [row]
+        if run:
+            yield run
 
     def out() -> Iterator[tuple]:
-        last = page = None
-        for following in rows():
-            if page is not None and (got := solve(last, page, following)):
-                yield got
-            last, page = page, following
-        if page is not None and (got := solve(last, page, None)):
-            yield got
+        window: list[list[tuple]] = []
+        at = 0
+
+        def solve() -> Iterator[tuple]:
+            near = [r[0] for r in [*window[max(at - AROUND, 0) : at], *window[at + 1 :]] if r[0][2] == window[at][0][2]]
+            for page in window[at]:
+                if page[4] is not None:
+                    yield page[0], page[1], _kept(page, near)
+
+        for run in runs():
+            window.append(run)
+            if len(window) - at > AROUND:
+                yield from solve()
+                if at == AROUND:
+                    window.pop(0)
+                else:
+                    at += 1
+        while at < len(window):
+            yield from solve()
+            at += 1
 
     block: list[tuple] = []
 
@@ -231,12 +271,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """id, url, text, n_chars: the main text of each page, blocks joined by an empty line.
 
     A page that marks its article (article, main, or their roles) gives the blocks inside it. Any other page is paired
-    with the page of its host next to it in the order of URL paths, whichever neighbour has the longer path in common
-    (before, then after); text lines are aligned by longest common subsequence and the shared ones go. Lines inside a
-    marked article are never deleted for being shared, since pages may quote or copy each other.
+    with the page of its host, of the two different ones before it and the two after it in the order of URL paths, that
+    has the longest path in common (before, then after); text lines are aligned by longest common subsequence and the
+    shared ones go if another of these pages, where there is one, shares them too. Copies (one path, or the same lines)
+    are never paired, near copies (COPY) only if there is nothing else, and a page never loses all its lines. Lines
+    inside a marked article are never deleted for being shared, since pages may quote or copy each other.
 
     Null or empty html: empty text. Null urls: host and path are empty and such pages are neighbours of one another.
-    Repeated pages delete each other's lines unless their article is marked. Other columns are not read.
+    Other columns are not read. Where all pages around are near copies of one another, what they share goes.
 
     The pages are parsed once, into a table in the shared folder. Only line hashes, and the lines of pages without a
     marked article, are dealt out anew: by ranges of (host, path, id), which splits a host of any size evenly.

@@ -68,6 +68,18 @@ def test_page_differencing(spark):
     assert got[100].startswith("Home")
 
 
+def test_copies_of_pages_keep_their_text(spark):
+    """Copies by scheme, query and path, near copies and quoting pages lose the menu and not their text."""
+    page = lambda k, *more: "".join(f"<div>{x}</div>" for x in ["Home | News", *(f"Story {k}, line {n}." for n in range(9)), *more, "All rights"])
+    text = lambda k, *more: "\n\n".join([*(f"Story {k}, line {n}." for n in range(9)), *more])
+    rows = [(0, "http://a.example/1", page(1)), (1, "https://a.example/1", page(1)), (2, "http://a.example/1?x=2", page(1)), (3, "http://a.example/1b", page(1)), (4, "http://a.example/2", page(2)), (5, "http://a.example/2-print", page(2, "Printed."))]
+    rows += [(6, "http://a.example/3", page(3)), (7, "http://a.example/4", page(4)), (8, "http://only.example/1", page(8)), (9, "http://only.example/2", page(8))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)).collect()}
+    assert [got[k] for k in range(4)] == [text(1)] * 4
+    assert (got[4], got[5], got[6], got[7]) == (text(2), text(2, "Printed."), text(3), text(4))
+    assert all(text(8) in got[k] for k in (8, 9))
+
+
 def test_common_lines_is_longest():
     r = random.Random(7)
     for _ in range(300):
