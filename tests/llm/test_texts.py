@@ -76,9 +76,24 @@ def test_line_dedup_repeated_and_null_ids(spark):
 def test_line_bitmaps_are_sparse(spark):
     body = "\n".join(f"line number {i} of a long document" if i not in (3, 700) else "a line that occurs in all of them" for i in range(701))
     got = {r.doc: r for r in line_dedup.keep_bitmaps(spark.createDataFrame([(i, body) for i in range(3)], EMPTY)).collect()}
-    assert set(got) == {0, 1} and len(got[0].dropped) == 11 and got[0].n_dropped == 701
+    assert set(got) == {0, 1} and len(got[0].keep) == 11 and got[0].n_dropped == 701
     one = line_dedup.keep_bitmaps(spark.createDataFrame([(i, f"{i}\n" * 200 + "a line that occurs in all of them") for i in range(4)], EMPTY)).collect()
-    assert all([tuple(x) for x in r.dropped] == [(3, 1 << 8)] for r in one) and len(one) == 3
+    assert all([tuple(x) for x in r.keep] == [(3, ~(1 << 8))] for r in one) and len(one) == 3
+
+
+def test_line_dedup_streams_in_order(spark, docs):
+    """Ranges are sorted, no exchange follows, and a window streams through them."""
+    lines = spark.createDataFrame([(1, 2, 3, 4, 5)], "h1 bigint, h2 bigint, salt smallint, doc bigint, pos int")
+    plan = line_dedup.ordered_lines(lines)._jdf.queryExecution().executedPlan().toString()
+    body = plan[plan.index("Window") :]
+    assert plan.count("Exchange") == 1 and "rangepartitioning(h1" in plan and "Sort [h1" in body and "Aggregate" not in plan and "doc#" in body[body.index("Sort [h1") :]
+
+
+def test_line_dedup_string_ids(spark):
+    line = "the very same line of a text"
+    rows = [("b", line), ("c", line + "\nx"), ("a", line), (None, line)]
+    got = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": "", "b": "", "c": line + "\nx", None: ""}
 
 
 def brute_hits(rows, items, size=10):
