@@ -1,4 +1,4 @@
-"""Byte-level BPE by corpus-level merge replay: merges are applied over all words together, in the order of rank."""
+"""Byte-level BPE by corpus-level merge replay: merges are applied to the different words of the corpus together, by rank."""
 
 from __future__ import annotations
 
@@ -12,10 +12,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from loomwright.llm.common import release
+from loomwright.llm.common import release, shared_dir, written
+from loomwright.llm.hash_arrays import forget, load, save
 
 
 class Ranks:
@@ -129,93 +133,203 @@ def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
     return out
 
 
-#: Words whose ids a worker keeps, at about 200 bytes each.
-KEPT = 200_000
+#: Bytes of words that share an inverted index.
+GROUP_BYTES = 1 << 20
+#: A block of texts has its own numbering of words, until it has so many characters or different words.
+BLOCK_CHARS, BLOCK_WORDS = 16 << 20, 400_000
+#: Words of a block that go into one row.
+CHUNK = 4096
 
 
-#: Words that share an inverted index: few enough for it to stay in the processor's cache.
-GROUP = 512
+class _Numbers(dict):
+    """Words in the order of first sight."""
 
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        return at
 
-class Codec:
-    """Encodes texts block by block. The ids of words met before are kept, as little-endian bytes, up to a bound.
 
-    Forgetting them costs time only. A worker keeps its codec from task to task.
-    """
+def _packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as compressed byte planes; none is no byte."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) if len(numbers) else b""
 
-    _own: dict[tuple[str, str], Codec] = {}
-
-    def __init__(self, path: str, pattern: str, kept: int = KEPT):
-        self.kept = kept
-        self.ranks, self.find, self.words = Ranks(path), regex.compile(pattern).findall, {}
-        top = max(self.ranks.token)
-        self.table = [self.ranks.token.get(i, b"") for i in range(top + 1)]
-
-    @classmethod
-    def of(cls, path: str, pattern: str) -> Codec:
-        if (path, pattern) not in cls._own:
-            cls._own[path, pattern] = cls(path, pattern)
-        return cls._own[path, pattern]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; no id for null."""
-        split = [self.find(t) if t else [] for t in texts]
-        if len(self.words) > self.kept:
-            self.words.clear()
-        new = [w for w in set().union(*split) if w not in self.words]
-        for at in range(0, len(new), GROUP):
-            group = new[at : at + GROUP]
-            for w, ids in zip(group, replay([w.encode() for w in group], self.ranks)):
-                self.words[w] = array("I", ids).tobytes()
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-#: Texts are encoded together until they have so many characters.
-BLOCK_CHARS = 2 << 20
-
-
-def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    sizes, at = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).tolist(), 0
-    while at < len(sizes):
-        end, size = at, 0
-        while end < len(sizes) and (end == at or size + sizes[end] <= BLOCK_CHARS):
-            size += sizes[end]
-            end += 1
-        yield at, texts.slice(at, end - at).to_pylist()
-        at = end
-
-
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = False, with_text: bool = False, kept: int = KEPT) -> DataFrame:
-    """id, the columns to keep, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids and the decoded text.
 
-    path: the rank file, there on every worker; pattern splits a text into words that are encoded separately. Every text
-    is encoded whole, without special tokens, and decoded again; null counts as empty. A narrow pass: each worker
-    replays the merges over the new words of a block of texts. Other columns are not read.
-    """
-    row = F.struct(docs[id_col].alias(id_col), *(docs[c] for c in keep))
-    src = docs.select(row.alias("_row"), docs[text_col].cast("string").alias("_text"))
-    kind = src.schema["_row"].dataType.simpleString()
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint32)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=4 * n), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _split(pattern: str, row: pa.DataType):
+    """Rows of two kinds: each text as numbers of the words of its block; and the words of a block, a chunk a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, numbers, chars = regex.compile(pattern).findall, _Numbers(), 0
+        block = TaskContext.get().partitionId() << 32
+        names = ["_row", "block", "n", "blob", "base", "words"]
+
+        def close() -> Iterator[pa.RecordBatch]:
+            words = list(numbers)
+            for at in range(0, len(words), CHUNK):
+                part = [w.encode() for w in words[at : at + CHUNK]]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, row), pa.array([block]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([at]), pa.array([part], pa.list_(pa.binary()))], names)
+            numbers.clear()
+
+        for b in batches:
+            at, sizes = 0, np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0)).tolist()
+            while at < b.num_rows:
+                end, size, counts, blobs = at, 0, [], []
+                while end < b.num_rows and end - at < 256 and (end == at or size + sizes[end] <= 4 << 20):
+                    size, end = size + sizes[end], end + 1
+                for text in b.column(1).slice(at, end - at).to_pylist():
+                    found = find(text) if text else []
+                    counts.append(len(found))
+                    blobs.append(_packed(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found))))
+                n = end - at
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array([block] * n, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.binary()))], names)
+                chars, at = chars + size, end
+                if chars >= BLOCK_CHARS or len(numbers) >= BLOCK_WORDS:
+                    yield from close()
+                    block, chars = block + 1, 0
+        yield from close()
+        release()
+
+    return run
+
+
+def _replayed(path: str):
+    """Each different word of the corpus that the task has, with its ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, held, size = Ranks(path), [], 0
+
+        def out() -> pa.RecordBatch:
+            ids = [array("I", x).tobytes() for x in replay(held, ranks)]
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(ids, pa.binary())], ["word", "ids"])
+
+        for b in batches:
+            for word in b.column(0).to_pylist():
+                held.append(word)
+                size += len(word)
+                if size >= GROUP_BYTES:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+        release()
+
+    return run
+
+
+def _save_blocks(folder: str):
+    """Rows come sorted by block and number: a file for each block with the ends of its words' ids, and the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = None, []
+
+        def close() -> pa.RecordBatch:
+            sizes = np.concatenate([np.fromiter(map(len, p), np.int64, len(p)) for p in parts]) // 4
+            save(f"{folder}/{block}", np.cumsum(sizes), np.frombuffer(b"".join(x for p in parts for x in p), "<u4"))
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], ["block"])
+
+        for b in batches:
+            blocks = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for i, j in zip(cuts, cuts[1:]):
+                if block is not None and blocks[i] != block:
+                    yield close()
+                    parts = []
+                block = int(blocks[i])
+                parts.append(b.column(1).slice(i, j - i).to_pylist())
+        if parts:
+            yield close()
+
+    return run
+
+
+def gather(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[begins[k] : begins[k] + sizes[k]] of all k one after another."""
+    ends = np.cumsum(sizes)
+    if not len(ends) or not ends[-1]:
+        return values[:0]
+    return values[np.arange(ends[-1]) + np.repeat(begins - ends + sizes, sizes)]
+
+
+class Decoder:
+    """Bytes of ids, token by token."""
+
+    def __init__(self, ranks: Ranks):
+        table = [ranks.token.get(i, b"") for i in range(max(ranks.token) + 1)]
+        self.sizes = np.fromiter(map(len, table), np.int64, len(table))
+        self.begins, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(table), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Some ids at a time, whatever their number."""
+        parts = (ids[at : at + (1 << 20)] for at in range(0, len(ids), 1 << 20))
+        return b"".join(gather(self.flat, self.begins[p], self.sizes[p]).tobytes() for p in parts)
+
+
+def _join(path: str, folder: str, names: list[str]):
+    """Ids of each text from those of its block's words; then digests of them, and of what they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(path, pattern)
-        codec.kept = kept
+        decoder, block, ends, flat = Decoder(Ranks(path)), None, None, None
         for b in batches:
-            for at, texts in _blocks(b.column(1)):
-                ids = codec.encode(texts)
-                back = [codec.decode(x) for x in ids]
-                cols = [b.column(0).slice(at, len(ids)), pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (ids, back))]
-                if with_ids:
-                    cols.append(pa.array([np.frombuffer(x, "<u4").astype("<i4") for x in ids], pa.list_(pa.int32())))
-                if with_text:
-                    cols.append(pa.array([x.decode() for x in back], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names)
+            at, many = 0, b.column(2).to_numpy().tolist()
+            while at < b.num_rows:
+                end, size = at, 0
+                while end < b.num_rows and end - at < 256 and (end == at or size + many[end] <= 1 << 20):
+                    size, end = size + many[end], end + 1
+                out: dict[str, list] = {k: [] for k in names[1:]}
+                for own, n, blob in zip(*(b.column(k).slice(at, end - at).to_pylist() for k in (1, 2, 3))):
+                    if n and own != block:
+                        block, (ends, flat) = own, load(f"{folder}/{own}", ["<i8", "<u4"])
+                        begins = np.concatenate([[0], ends[:-1]])
+                        forget(folder)
+                    numbers = _unpacked(blob, n)
+                    ids = gather(flat, begins[numbers], ends[numbers] - begins[numbers]) if n else np.zeros(0, "<u4")
+                    back = decoder.decode(ids)
+                    figures = {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(back).hexdigest()}
+                    figures |= {"ids": ids.astype("<i4")} if "ids" in out else {}
+                    figures |= {"decoded": back.decode()} if "decoded" in out else {}
+                    for k, v in figures.items():
+                        out[k].append(v)
+                kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), *(pa.array(v, kinds.get(k, pa.string())) for k, v in out.items())], names)
+                at = end
         release()
 
+    return run
+
+
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """id, the columns to keep, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids and the decoded text.
+
+    path: the rank file, there on every worker; pattern splits a text into words that are encoded separately. Every text
+    is encoded whole, without special tokens, and decoded again; null counts as empty and has no ids. Rows that repeat an
+    id, and null ids, are rows of their own; equal words have equal ids wherever they are. Empty tables give none. A long
+    text, or a long word, has to fit a worker's memory, a word some hundred times. Other columns are not read.
+
+    Texts are read and split once: each becomes numbers of the words of its block, in a table of about half the size of
+    the texts. The different words of all blocks are one table, whose partitions replay the merges, each word of the
+    corpus once. Joined with the blocks' words again, the ids become a file for each block, which is what the tasks that
+    put the texts together read.
+    """
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    row = F.struct(docs[id_col].alias(id_col), *(docs[c] for c in keep))
+    src = docs.select(row.alias("_row"), docs[text_col].cast("string").alias("_text"))
+    kind = src.schema["_row"].dataType
+    split = src.mapInArrow(_split(pattern, to_arrow_type(kind)), f"`_row` {kind.simpleString()}, block bigint, n bigint, blob binary, base bigint, words array<binary>")
+    parts = written(split, folder, "split")
+    words = parts.where("words is not null").select("block", "base", F.posexplode("words").alias("k", "word"))
+    different = words.select("word").distinct()
+    ids = written(different.mapInArrow(_replayed(path), "word binary, ids binary"), folder, "ids")
+    named = words.join(ids, "word").select("block", (F.col("base") + F.col("k")).alias("at"), "ids")
+    files = shared_dir(spark)
+    dealt = named.repartition("block").sortWithinPartitions("block", "at").select("block", "ids")
+    dealt.mapInArrow(_save_blocks(files), "block bigint").write.parquet(f"{folder}/blocks")
     kinds = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {}) | ({"decoded": "string"} if with_text else {})
-    names = ["_row", *kinds]
-    out = src.mapInArrow(run, f"`_row` {kind}, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    texts = parts.where("n is not null").select("_row", "block", "n", "blob")
+    out = texts.mapInArrow(_join(path, files, ["_row", *kinds]), f"`_row` {kind.simpleString()}, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))
     return out.select("_row.*", *kinds)

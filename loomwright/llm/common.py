@@ -22,9 +22,11 @@ _FALLBACK: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share; removed when the JVM ends.
 
-    Only where the session names no such folder (tests on one machine) a temporary one is used.
+    Only where the session names no such folder and driver and tasks are one process (tests) a temporary one is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not base:
         base = _FALLBACK.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="loomwright-"))
     path = f"{base.rstrip('/')}/loomwright-{uuid.uuid4().hex}"

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -54,23 +51,28 @@ def save(uri: str, *arrays: np.ndarray) -> None:
 
 
 _MAPS: dict[str, list[np.ndarray]] = {}
+_READ: dict[str, int] = {}
+#: Bytes of files from stores that aren't mounted which a worker keeps in memory.
+READ_BYTES = 256 << 20
 
 
 def load(uri: str, kinds: list[str]) -> list[np.ndarray]:
-    """The arrays of a file, memory-mapped. From a store that isn't a mounted file system, a worker keeps its own copy."""
+    """The arrays of a file, memory-mapped. From a store that isn't a mounted file system the file is read into memory,
+    where a bounded number of bytes stays; nothing is written beside the shared folder."""
     if uri not in _MAPS:
         if len(_MAPS) > 4096:
             _MAPS.clear()
+            _READ.clear()
         fs, path = _open(uri)
-        if not isinstance(fs, pafs.LocalFileSystem):
-            local = os.path.join(tempfile.gettempdir(), hashlib.sha256(uri.encode()).hexdigest())
-            if not os.path.exists(local):
-                with fs.open_input_stream(path) as src, open(f"{local}.{os.getpid()}", "wb") as out:
-                    while block := src.read(1 << 22):
-                        out.write(block)
-                os.replace(f"{local}.{os.getpid()}", local)
-            path = local
-        flat = np.memmap(path, np.uint8, "r")
+        if isinstance(fs, pafs.LocalFileSystem):
+            flat = np.memmap(path, np.uint8, "r")
+        else:
+            with fs.open_input_stream(path) as src:
+                flat = np.frombuffer(src.read(), np.uint8)
+            _READ[uri] = len(flat)
+            while sum(_READ.values()) > READ_BYTES and len(_READ) > 1:
+                old = next(iter(_READ))
+                del _READ[old], _MAPS[old]
         sizes = flat[8 : 8 + 8 * int(flat[:8].view("<i8")[0])].view("<i8").tolist()
         at, got = 8 + 8 * len(sizes), []
         for size in sizes:
@@ -84,6 +86,7 @@ def forget(folder: str) -> None:
     """Closes the files of a folder, so that deleting them frees their space."""
     for uri in [u for u in _MAPS if u.startswith(f"{folder}/")]:
         del _MAPS[uri]
+        _READ.pop(uri, None)
 
 
 def positions(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:

@@ -151,11 +151,23 @@ def test_bpe(spark, docs):
         assert got.ids_sha256[i] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got.decoded_sha256[i] == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.encode_decode(spark.createDataFrame([], EMPTY), path, P.PATTERN).count() == 0
-    codec, r = bpe.Codec.of(path, P.PATTERN), random.Random(5)
+    r = random.Random(5)
     letters = [chr(i) for i in range(256)] + list("\u00a0\u2003\u3000日本語🙂é²½٣\x1c\x85 \t\n\r") + ["aaaa", "the ", "ing", "'s", "'ll"]
-    for _ in range(3000):
-        t = "".join(r.choices(letters, k=r.randint(0, 25)))
-        assert codec.encode([t])[0] == np.array(own.encode_ordinary(t), "<u4").tobytes(), repr(t)
+    odd = ["".join(r.choices(letters, k=r.randint(0, 25))) for _ in range(3000)]
+    df = spark.createDataFrame([(i % 7 or None, t, i) for i, t in enumerate(odd)], EMPTY + ", ids bigint")
+    got = {x.ids: x.ids_sha256 for x in bpe.encode_decode(df, path, P.PATTERN, keep=("ids",)).collect()}
+    assert got == {i: hashlib.sha256(np.array(own.encode_ordinary(t), "<u4").tobytes()).hexdigest() for i, t in enumerate(odd)}
+
+
+def test_bpe_of_many_blocks(spark):
+    """Words in many blocks, very long words: the same ids wherever a text lies."""
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    rows = [(i, t) for i, t in enumerate([*texts(), "y" * 300_000, "ab" * 100_000])]
+    whole = {x.doc_id: x.ids_sha256 for x in bpe.encode_decode(spark.createDataFrame(rows, EMPTY), path, P.PATTERN).collect()}
+    parts = bpe.encode_decode(spark.createDataFrame(rows[::-1], EMPTY).repartition(7), path, P.PATTERN)
+    assert whole == {x.doc_id: x.ids_sha256 for x in parts.collect()} and len(whole) == len(rows)
 
 
 def test_replay_waits_for_lower_ranks():
