@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from loomwright.llm.common import release, shared_dir, written
-from loomwright.llm.hash_arrays import forget, load, save
+from loomwright.llm.hash_arrays import forget, load, save, top_bucket
 
 
 class Ranks:
@@ -133,12 +134,12 @@ def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
     return out
 
 
-#: Bytes of words that share an inverted index.
-GROUP_BYTES = 1 << 20
+#: Bytes of words that share an inverted index: few enough for it to stay near the processor.
+GROUP_BYTES = 1 << 16
 #: A block of texts has its own numbering of words, until it has so many characters or different words.
-BLOCK_CHARS, BLOCK_WORDS = 16 << 20, 400_000
-#: Words of a block that go into one row.
-CHUNK = 4096
+BLOCK_CHARS, BLOCK_WORDS = 64 << 20, 800_000
+#: Words of a block that go into one row; words of all blocks that meet in one bucket.
+CHUNK, BUCKET = 65536, 1_000_000
 
 
 class _Numbers(dict):
@@ -198,52 +199,91 @@ def _split(pattern: str, row: pa.DataType):
     return run
 
 
-def _replayed(path: str):
-    """Each different word of the corpus that the task has, with its ids."""
+def _compressed(at: np.ndarray, sizes: np.ndarray, flat: bytes) -> bytes:
+    """Numbers, as many sizes, and the bytes of things of these sizes."""
+    body = zstandard.ZstdCompressor(level=1).compress(b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (np.diff(at, prepend=0), sizes)) + flat)
+    return len(at).to_bytes(8, "little") + (8 * len(at) + len(flat)).to_bytes(8, "little") + body
+
+
+def _expanded(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    n, size = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
+    raw = zstandard.ZstdDecompressor().decompress(blob[16:], max_output_size=size)
+    steps, sizes = (np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 4 * n * k).reshape(4, n).T).view("<u4").ravel() for k in (0, 1))
+    return np.cumsum(steps.astype(np.int64)), sizes.astype(np.int64), raw[8 * n :]
+
+
+def _deal(buckets: int):
+    """The words of each block, by bucket of their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, held, size = Ranks(path), [], 0
+        for b in batches:
+            for block, base, words in zip(*(b.column(k) for k in range(3))):
+                words = words.as_py()
+                to = top_bucket(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), buckets)
+                order = np.argsort(to, kind="stable")
+                edges = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+                out = []
+                for i, j in zip(edges[:-1], edges[1:]):
+                    own = order[i:j]
+                    part = [words[k] for k in own.tolist()]
+                    out.append(_compressed(own + base.as_py(), np.fromiter(map(len, part), np.int64, len(part)), b"".join(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(to[order][edges[:-1]], pa.int32()), pa.array([block.as_py()] * len(out), pa.int64()), pa.array(out, pa.binary())], ["bucket", "block", "blob"])
 
-        def out() -> pa.RecordBatch:
-            ids = [array("I", x).tobytes() for x in replay(held, ranks)]
-            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(ids, pa.binary())], ["word", "ids"])
+    return run
+
+
+def _replayed(path: str):
+    """A bucket's different words are replayed once each; every block gets the ids of its own."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, held = _Numbers(), []
         for b in batches:
-            for word in b.column(0).to_pylist():
-                held.append(word)
-                size += len(word)
-                if size >= GROUP_BYTES:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+            for block, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                at, sizes, flat = _expanded(blob)
+                ends = np.cumsum(sizes).tolist()
+                held.append((block, at, np.fromiter((numbers[flat[i:j]] for i, j in zip([0, *ends], ends)), np.int64, len(at))))
+        if not held:
+            return
+        ranks, words, parts, at = Ranks(path), list(numbers), [], 0
+        while at < len(words):
+            end, size = at, 0
+            while end < len(words) and (end == at or size + len(words[end]) <= GROUP_BYTES):
+                size, end = size + len(words[end]), end + 1
+            parts += [array("I", x) for x in replay(words[at:end], ranks)]
+            at = end
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat, begins = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        for block, at, own in held:
+            ids = gather(flat, begins[own], sizes[own])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_compressed(at, sizes[own], ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary())], ["block", "blob"])
         release()
 
     return run
 
 
 def _save_blocks(folder: str):
-    """Rows come sorted by block and number: a file for each block with the ends of its words' ids, and the ids."""
+    """Rows come sorted by block: a file for each with the ends of its words' ids, and the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts = None, []
 
         def close() -> pa.RecordBatch:
-            sizes = np.concatenate([np.fromiter(map(len, p), np.int64, len(p)) for p in parts]) // 4
-            save(f"{folder}/{block}", np.cumsum(sizes), np.frombuffer(b"".join(x for p in parts for x in p), "<u4"))
+            at, sizes = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            flat = np.concatenate([np.ascontiguousarray(np.frombuffer(p[2], np.uint8).reshape(4, -1).T).view("<u4").ravel() for p in parts])
+            order, begins = np.argsort(at), np.cumsum(sizes) - sizes
+            save(f"{folder}/{block}", np.cumsum(sizes[order]), gather(flat, begins[order], sizes[order]))
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], ["block"])
 
         for b in batches:
-            blocks = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), b.num_rows] if b.num_rows else []
-            for i, j in zip(cuts, cuts[1:]):
-                if block is not None and blocks[i] != block:
+            for own, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if block is not None and own != block:
                     yield close()
                     parts = []
-                block = int(blocks[i])
-                parts.append(b.column(1).slice(i, j - i).to_pylist())
+                block = own
+                parts.append(_expanded(blob))
         if parts:
             yield close()
+        release()
 
     return run
 
@@ -312,9 +352,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     text, or a long word, has to fit a worker's memory, a word some hundred times. Other columns are not read.
 
     Texts are read and split once: each becomes numbers of the words of its block, in a table of about half the size of
-    the texts. The different words of all blocks are one table, whose partitions replay the merges, each word of the
-    corpus once. Joined with the blocks' words again, the ids become a file for each block, which is what the tasks that
-    put the texts together read.
+    the texts. The words of all blocks meet in buckets by their hash, as many as their number asks for; there the merges
+    are replayed, each word of the corpus once, and the ids go back to the blocks. They become a file for each block,
+    which is all that the tasks that put the block's texts together read.
     """
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     row = F.struct(docs[id_col].alias(id_col), *(docs[c] for c in keep))
@@ -322,13 +362,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     kind = src.schema["_row"].dataType
     split = src.mapInArrow(_split(pattern, to_arrow_type(kind)), f"`_row` {kind.simpleString()}, block bigint, n bigint, blob binary, base bigint, words array<binary>")
     parts = written(split, folder, "split")
-    words = parts.where("words is not null").select("block", "base", F.posexplode("words").alias("k", "word"))
-    different = words.select("word").distinct()
-    ids = written(different.mapInArrow(_replayed(path), "word binary, ids binary"), folder, "ids")
-    named = words.join(ids, "word").select("block", (F.col("base") + F.col("k")).alias("at"), "ids")
+    words = parts.where("words is not null").select("block", "base", "words")
+    buckets = 1 + (words.agg(F.sum(F.size("words"))).first()[0] or 0) // BUCKET
+    dealt = words.mapInArrow(_deal(buckets), "bucket int, block bigint, blob binary").repartitionById(buckets, "bucket")
+    ids = dealt.mapInArrow(_replayed(path), "block bigint, blob binary")
     files = shared_dir(spark)
-    dealt = named.repartition("block").sortWithinPartitions("block", "at").select("block", "ids")
-    dealt.mapInArrow(_save_blocks(files), "block bigint").write.parquet(f"{folder}/blocks")
+    ids.repartition("block").sortWithinPartitions("block").mapInArrow(_save_blocks(files), "block bigint").write.parquet(f"{folder}/blocks")
     kinds = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {}) | ({"decoded": "string"} if with_text else {})
     texts = parts.where("n is not null").select("_row", "block", "n", "blob")
     out = texts.mapInArrow(_join(path, files, ["_row", *kinds]), f"`_row` {kind.simpleString()}, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))
