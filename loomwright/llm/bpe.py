@@ -162,19 +162,41 @@ def _unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _compressed(at: np.ndarray, sizes: np.ndarray, flat: bytes) -> bytes:
+    """Numbers, as many sizes, and the bytes of things of these sizes."""
+    body = zstandard.ZstdCompressor(level=1).compress(b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (np.diff(at, prepend=0), sizes)) + flat)
+    return len(at).to_bytes(8, "little") + (8 * len(at) + len(flat)).to_bytes(8, "little") + body
+
+
+def _expanded(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    n, size = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
+    raw = zstandard.ZstdDecompressor().decompress(blob[16:], max_output_size=size)
+    steps, sizes = (np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 4 * n * k).reshape(4, n).T).view("<u4").ravel() for k in (0, 1))
+    return np.cumsum(steps.astype(np.int64)), sizes.astype(np.int64), raw[8 * n :]
+
+
+def _planes(ids: np.ndarray) -> bytes:
+    return np.ascontiguousarray(ids).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _split(pattern: str, row: pa.DataType):
     """Rows of two kinds: each text as numbers of the words of its block; and the words of a block, a chunk a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, numbers, chars = regex.compile(pattern).findall, _Numbers(), 0
         block = TaskContext.get().partitionId() << 32
-        names = ["_row", "block", "n", "blob", "base", "words"]
+        names = ["_row", "block", "n", "blob", "words"]
 
         def close() -> Iterator[pa.RecordBatch]:
             words = list(numbers)
             for at in range(0, len(words), CHUNK):
                 part = [w.encode() for w in words[at : at + CHUNK]]
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, row), pa.array([block]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([at]), pa.array([part], pa.list_(pa.binary()))], names)
+                blob = _compressed(np.arange(at, at + len(part)), np.fromiter(map(len, part), np.int64, len(part)), b"".join(part))
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, row), pa.array([block]), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary()), pa.array([len(part)])], names)
             numbers.clear()
 
         for b in batches:
@@ -188,7 +210,7 @@ def _split(pattern: str, row: pa.DataType):
                     counts.append(len(found))
                     blobs.append(_packed(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found))))
                 n = end - at
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array([block] * n, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.binary()))], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array([block] * n, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64())], names)
                 chars, at = chars + size, end
                 if chars >= BLOCK_CHARS or len(numbers) >= BLOCK_WORDS:
                     yield from close()
@@ -199,26 +221,15 @@ def _split(pattern: str, row: pa.DataType):
     return run
 
 
-def _compressed(at: np.ndarray, sizes: np.ndarray, flat: bytes) -> bytes:
-    """Numbers, as many sizes, and the bytes of things of these sizes."""
-    body = zstandard.ZstdCompressor(level=1).compress(b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (np.diff(at, prepend=0), sizes)) + flat)
-    return len(at).to_bytes(8, "little") + (8 * len(at) + len(flat)).to_bytes(8, "little") + body
-
-
-def _expanded(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
-    n, size = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
-    raw = zstandard.ZstdDecompressor().decompress(blob[16:], max_output_size=size)
-    steps, sizes = (np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 4 * n * k).reshape(4, n).T).view("<u4").ravel() for k in (0, 1))
-    return np.cumsum(steps.astype(np.int64)), sizes.astype(np.int64), raw[8 * n :]
-
-
 def _deal(buckets: int):
     """The words of each block, by bucket of their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, base, words in zip(*(b.column(k) for k in range(3))):
-                words = words.as_py()
+            for block, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at, sizes, flat = _expanded(blob)
+                ends = np.cumsum(sizes).tolist()
+                words = [flat[i:j] for i, j in zip([0, *ends], ends)]
                 to = top_bucket(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), buckets)
                 order = np.argsort(to, kind="stable")
                 edges = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
@@ -226,8 +237,8 @@ def _deal(buckets: int):
                 for i, j in zip(edges[:-1], edges[1:]):
                     own = order[i:j]
                     part = [words[k] for k in own.tolist()]
-                    out.append(_compressed(own + base.as_py(), np.fromiter(map(len, part), np.int64, len(part)), b"".join(part)))
-                yield pa.RecordBatch.from_arrays([pa.array(to[order][edges[:-1]], pa.int32()), pa.array([block.as_py()] * len(out), pa.int64()), pa.array(out, pa.binary())], ["bucket", "block", "blob"])
+                    out.append(_compressed(at[own], sizes[own], b"".join(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(to[order][edges[:-1]], pa.int32()), pa.array([block] * len(out), pa.int64()), pa.array(out, pa.binary())], ["bucket", "block", "blob"])
 
     return run
 
@@ -255,23 +266,24 @@ def _replayed(path: str):
         flat, begins = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
         for block, at, own in held:
             ids = gather(flat, begins[own], sizes[own])
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_compressed(at, sizes[own], ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary())], ["block", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_compressed(at, sizes[own], _planes(ids))], pa.binary())], ["block", "blob"])
         release()
 
     return run
 
 
 def _save_blocks(folder: str):
-    """Rows come sorted by block: a file for each with the ends of its words' ids, and the ids."""
+    """Rows come sorted by block: a file for each with its words' numbers of ids, and the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts = None, []
 
         def close() -> pa.RecordBatch:
             at, sizes = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            flat = np.concatenate([np.ascontiguousarray(np.frombuffer(p[2], np.uint8).reshape(4, -1).T).view("<u4").ravel() for p in parts])
+            flat = np.concatenate([_from_planes(p[2]) for p in parts])
             order, begins = np.argsort(at), np.cumsum(sizes) - sizes
-            save(f"{folder}/{block}", np.cumsum(sizes[order]), gather(flat, begins[order], sizes[order]))
+            whole = _compressed(at[order], sizes[order], _planes(gather(flat, begins[order], sizes[order])))
+            save(f"{folder}/{block}", np.frombuffer(whole, np.uint8))
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], ["block"])
 
         for b in batches:
@@ -314,7 +326,7 @@ def _join(path: str, folder: str, names: list[str]):
     """Ids of each text from those of its block's words; then digests of them, and of what they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, block, ends, flat = Decoder(Ranks(path)), None, None, None
+        decoder, block, sizes, begins, flat = Decoder(Ranks(path)), None, None, None, None
         for b in batches:
             at, many = 0, b.column(2).to_numpy().tolist()
             while at < b.num_rows:
@@ -324,11 +336,12 @@ def _join(path: str, folder: str, names: list[str]):
                 out: dict[str, list] = {k: [] for k in names[1:]}
                 for own, n, blob in zip(*(b.column(k).slice(at, end - at).to_pylist() for k in (1, 2, 3))):
                     if n and own != block:
-                        block, (ends, flat) = own, load(f"{folder}/{own}", ["<i8", "<u4"])
-                        begins = np.concatenate([[0], ends[:-1]])
+                        block, (whole,) = own, load(f"{folder}/{own}", ["u1"])
+                        _, sizes, flat = _expanded(whole.tobytes())
+                        begins, flat = np.cumsum(sizes) - sizes, _from_planes(flat)
                         forget(folder)
                     numbers = _unpacked(blob, n)
-                    ids = gather(flat, begins[numbers], ends[numbers] - begins[numbers]) if n else np.zeros(0, "<u4")
+                    ids = gather(flat, begins[numbers], sizes[numbers]) if n else np.zeros(0, "<u4")
                     back = decoder.decode(ids)
                     figures = {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(back).hexdigest()}
                     figures |= {"ids": ids.astype("<i4")} if "ids" in out else {}
@@ -360,11 +373,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     row = F.struct(docs[id_col].alias(id_col), *(docs[c] for c in keep))
     src = docs.select(row.alias("_row"), docs[text_col].cast("string").alias("_text"))
     kind = src.schema["_row"].dataType
-    split = src.mapInArrow(_split(pattern, to_arrow_type(kind)), f"`_row` {kind.simpleString()}, block bigint, n bigint, blob binary, base bigint, words array<binary>")
+    split = src.mapInArrow(_split(pattern, to_arrow_type(kind)), f"`_row` {kind.simpleString()}, block bigint, n bigint, blob binary, words bigint")
     parts = written(split, folder, "split")
-    words = parts.where("words is not null").select("block", "base", "words")
-    buckets = 1 + (words.agg(F.sum(F.size("words"))).first()[0] or 0) // BUCKET
-    dealt = words.mapInArrow(_deal(buckets), "bucket int, block bigint, blob binary").repartitionById(buckets, "bucket")
+    words = parts.where("words is not null").select("block", "blob", "words")
+    buckets = 1 + (words.agg(F.sum("words")).first()[0] or 0) // BUCKET
+    dealt = words.select("block", "blob").mapInArrow(_deal(buckets), "bucket int, block bigint, blob binary").repartitionById(buckets, "bucket")
     ids = dealt.mapInArrow(_replayed(path), "block bigint, blob binary")
     files = shared_dir(spark)
     ids.repartition("block").sortWithinPartitions("block").mapInArrow(_save_blocks(files), "block bigint").write.parquet(f"{folder}/blocks")
