@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,11 +20,20 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use mentions it, wherever the optimizer moves it to."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def keywords(text: Column) -> Column:
+    """pos, neg: how many different positive and negative words occur."""
+    count = lambda own, known: F.size(F.array_intersect(own, F.array(*map(F.lit, known))))
+    return bound(words(text), lambda own: F.struct(count(own, POSITIVE).alias("pos"), count(own, NEGATIVE).alias("neg")))
+
+
 def sentiment(text: Column) -> Column:
     """positive if at least as many different positive as negative words occur; null for null."""
-    own = words(text)
-    count = lambda known: F.size(F.array_intersect(own, F.array(*map(F.lit, known))))
-    return F.when(text.isNotNull(), F.when(count(POSITIVE) >= count(NEGATIVE), "positive").otherwise("negative"))
+    return F.when(text.isNotNull(), bound(keywords(text), lambda n: F.when(n["pos"] >= n["neg"], "positive").otherwise("negative")))
 
 
 def strip(text: Column) -> Column:
@@ -61,9 +70,9 @@ def escape_pipes(text: Column) -> Column:
     return F.replace(text, F.lit("|"), F.lit("\\|"))
 
 
-def content_words(text: Column, min_chars: int = 3) -> Column:
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words(text), lambda w: (F.length(w) >= min_chars) & ~F.array_contains(stop, w))
+def is_content(word: Column, min_chars: int = 3) -> Column:
+    """Of words taken apart: neither short nor a stop word."""
+    return (F.length(word) >= min_chars) & ~word.isin(STOP_WORDS)
 
 
 def lookup(column: Column, mapping: Mapping, fallback: Column | None = None) -> Column:

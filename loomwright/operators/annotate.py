@@ -19,17 +19,19 @@ THRESHOLD = 0.7
 def with_confidence(df: DataFrame, probabilities: Column, classes: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """predicted_label, confidence (four digits), needs_review (below the threshold, after rounding)."""
     names = F.array(*map(F.lit, classes))
-    out = df.withColumns({"predicted_label": expr.argmax(probabilities, names), "confidence": F.bround(F.array_max(probabilities), 4)})
-    return out.withColumn("needs_review", F.col("confidence") < threshold)
+    one = expr.bound(probabilities, lambda p: F.struct(expr.argmax(p, names).alias("name"), F.bround(F.array_max(p), 4).alias("top")))
+    out = df.withColumn("_label", one)
+    return out.withColumns({"predicted_label": F.col("_label.name"), "confidence": F.col("_label.top"), "needs_review": F.col("_label.top") < threshold}).drop("_label")
 
 
 def keyword_probabilities(text: Column) -> Column:
     """negative, positive: by how many known words of either kind a text has, with a bonus for the winner."""
-    own = expr.words(F.coalesce(text, F.lit("")))
-    count = lambda known: F.size(F.array_intersect(own, F.array(*map(F.lit, known))))
-    pos, neg = count(expr.POSITIVE), count(expr.NEGATIVE)
-    p = (pos + F.lit(1.0) + (pos >= neg).cast("double") * 0.5) / (pos + neg + 2.5 - (pos < neg).cast("double") * 0.5)
-    return F.array(F.lit(1.0) - p, p)
+
+    def two(n: Column) -> Column:
+        pos, neg = n["pos"], n["neg"]
+        return (pos + F.lit(1.0) + (pos >= neg).cast("double") * 0.5) / (pos + neg + 2.5 - (pos < neg).cast("double") * 0.5)
+
+    return expr.bound(expr.bound(expr.keywords(F.coalesce(text, F.lit(""))), two), lambda p: F.array(F.lit(1.0) - p, p))
 
 
 def label_by_keywords(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

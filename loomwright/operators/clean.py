@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import expr
 from loomwright.operators import profile
-from loomwright.operators.ranges import by_range, ranked
+from loomwright.operators.ranges import by_range, mode, quantiles, ranked
 from loomwright.operators.setops import drop_duplicates
 from loomwright.schema import BALANCE_NAMES, ROW_ID, find_label, numbers, strings, values
 
@@ -32,34 +32,39 @@ def fill_median(df: DataFrame) -> DataFrame:
     nums, texts = numbers(df), strings(df)
     if not nums and not texts:
         return df
-    row = df.agg(*(F.median(F.nanvl(_c(c).cast("double"), F.lit(None).cast("double"))).alias(f"n{i}") for i, c in enumerate(nums)), *(F.mode(_c(c), True).alias(f"t{i}") for i, c in enumerate(texts))).first()
-    new = {c: F.coalesce(F.nanvl(_c(c).cast("double"), F.lit(None).cast("double")), F.lit(row[f"n{i}"]).cast("double")) for i, c in enumerate(nums)}
-    new |= {c: F.coalesce(_c(c), F.lit("" if row[f"t{i}"] is None else row[f"t{i}"])) for i, c in enumerate(texts)}
+    medians = quantiles(df, {c: _c(c) for c in nums}, (0.5,)) if nums else {}
+    new = {c: F.coalesce(F.nanvl(_c(c).cast("double"), F.lit(None).cast("double")), F.lit(medians[c][0]).cast("double")) for c in nums}
+    for c in texts:
+        top = mode(df, c)
+        new[c] = F.coalesce(_c(c), F.lit("" if top is None else top))
     return df.withColumns(new)
 
 
 def fill_mode(df: DataFrame) -> DataFrame:
     """Each column by the smallest of its most frequent values."""
-    own = values(df)
-    row = df.agg(*(F.mode(_c(c), True).alias(f"m{i}") for i, c in enumerate(own))).first()
-    kinds = dict(df.dtypes)
-    return df.withColumns({c: F.coalesce(_c(c), F.lit(row[f"m{i}"]).cast(kinds[c])) for i, c in enumerate(own) if row[f"m{i}"] is not None})
+    kinds, top = dict(df.dtypes), {c: mode(df, c) for c in values(df)}
+    return df.withColumns({c: F.coalesce(_c(c), F.lit(v).cast(kinds[c])) for c, v in top.items() if v is not None})
 
 
 def fill_neighbours(df: DataFrame, order: str = ROW_ID) -> DataFrame:
     """Each column by the last value before it, else by the first after it, in the order of row numbers.
 
-    Ranges of row numbers are filled each for itself; what comes in from other ranges is the last and first value of
-    each range, a row for each, and these are what a single task sees.
+    Ranges of row numbers are filled each for itself, forwards and then backwards, in time proportional to their rows;
+    what comes in from other ranges is the last and first value of each range, a row for each, and these are what a
+    single task sees.
     """
     own = [c for c in df.columns if c != order]
     ranged = by_range(df, order).drop("_at")
     ends = ranged.groupBy("_part").agg(*(x for i, c in enumerate(own) for x in (F.max_by(_c(c), F.when(_c(c).isNotNull(), F.col(order))).alias(f"l{i}"), F.min_by(_c(c), F.when(_c(c).isNotNull(), F.col(order))).alias(f"f{i}"))))
-    back, ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
-    carry = ends.select("_part", *(x for i in range(len(own)) for x in (F.last(f"l{i}", True).over(back).alias(f"l{i}"), F.first(f"f{i}", True).over(ahead).alias(f"f{i}"))))
-    inside = Window.partitionBy("_part").orderBy(order)
-    fill = {c: F.coalesce(F.last(_c(c), True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"l{i}"), F.first(_c(c), True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col(f"f{i}")) for i, c in enumerate(own)}
-    return ranged.join(F.broadcast(carry), "_part").select(order, *(x.alias(c) for c, x in fill.items())).select(df.columns)
+    # The first value after a row is the last one before it when rows are read backwards: frames that only grow.
+    seen = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    back, ahead = seen(Window.orderBy("_part")), seen(Window.orderBy(F.desc("_part")))
+    carry = ends.select("_part", *(x for i in range(len(own)) for x in (F.last(f"l{i}", True).over(back).alias(f"l{i}"), F.last(f"f{i}", True).over(ahead).alias(f"f{i}"))))
+    upto = lambda *by: Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    down, up = upto(order), upto(F.desc(order))
+    filled = ranged.select("_part", order, *(x for i, c in enumerate(own) for x in (F.last(_c(c), True).over(down).alias(f"d{i}"), F.last(_c(c), True).over(up).alias(f"u{i}"))))
+    out = filled.join(F.broadcast(carry), "_part")
+    return out.select(order, *(F.coalesce(f"d{i}", f"l{i}", f"u{i}", f"f{i}").alias(c) for i, c in enumerate(own))).select(df.columns)
 
 
 def fill_constant(df: DataFrame, number: int = 0, text: str = "UNKNOWN") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import expr
+from loomwright.operators.ranges import quantiles
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, names: list[str]) -> DataFrame:
@@ -29,19 +30,21 @@ def by_source(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles, max of numeric columns, exact; a row each."""
-    aggs = [a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"), F.min(F.col(c).cast("double")).alias(f"l{i}"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"), F.max(F.col(c).cast("double")).alias(f"h{i}"))]
-    facts = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.bround(f"a{i}", 4).alias("mean"), F.bround(f"s{i}", 4).alias("std"), F.bround(f"l{i}", 4).alias("min"), *(F.bround(F.col(f"q{i}")[k], 4).alias(name) for k, name in enumerate(("q25", "q50", "q75"))), F.bround(f"h{i}", 4).alias("max")) for i, c in enumerate(columns)]
+    found = quantiles(df, {c: F.col(c) for c in columns}, (0.25, 0.5, 0.75))
+    aggs = [a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"), F.min(F.col(c).cast("double")).alias(f"l{i}"), F.max(F.col(c).cast("double")).alias(f"h{i}"))]
+    facts = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.bround(f"a{i}", 4).alias("mean"), F.bround(f"s{i}", 4).alias("std"), F.bround(f"l{i}", 4).alias("min"), *(F.bround(F.lit(q).cast("double"), 4).alias(name) for q, name in zip(found[c], ("q25", "q50", "q75"))), F.bround(f"h{i}", 4).alias("max")) for i, c in enumerate(columns)]
     return df.agg(*aggs).select(F.inline(F.array(*facts)))
 
 
 def describe_text(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, unique, top (the smallest of the most frequent values), freq of string columns; a row each."""
-    aggs = [a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"u{i}"), F.mode(c, True).alias(f"t{i}"))]
-    row = df.agg(*aggs)
-    facts = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"u{i}").alias("unique"), F.col(f"t{i}").cast("string").alias("top")) for i, c in enumerate(columns)]
-    named = row.select(F.inline(F.array(*facts)))
-    counts = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("top")) for c in columns))).alias("p")).select("p.*").groupBy("column", "top").agg(F.count("*").alias("freq"))
-    return named.join(counts, ["column", "top"], "left").select("column", "count", "unique", "top", "freq")
+    stacked = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns))).alias("p")).select("p.*")
+    counts = stacked.groupBy("column", "v").agg(F.count("*").alias("n"))
+    there = F.col("v").isNotNull()
+    # Of the most frequent values the smallest: the least of (minus count, value).
+    best = F.min(F.when(there, F.struct((-F.col("n")).alias("n"), "v")))
+    out = counts.groupBy("column").agg(F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("count"), F.count("v").alias("unique"), best.alias("best"))
+    return out.select("column", "count", "unique", F.col("best.v").alias("top"), (-F.col("best.n")).alias("freq"))
 
 
 def histogram(df: DataFrame, value, bins: int) -> DataFrame:
@@ -54,16 +57,18 @@ def histogram(df: DataFrame, value, bins: int) -> DataFrame:
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.select(F.explode(expr.content_words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return df.select(F.explode(expr.words(F.col(text))).alias("word")).where(expr.is_content(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def top_words(df: DataFrame, n: int = 20, text: str = "text") -> DataFrame:
     return word_counts(df, text).orderBy(F.desc("n"), "word").limit(n)
 
 
-def class_text(df: DataFrame, label: str = "label", text: str = "text") -> DataFrame:
-    """The words of each class one after another. Only for frames known to be small; word_counts by class says more."""
-    return df.where(F.col(label).isNotNull()).groupBy(label).agg(F.array_join(F.collect_list(text), " ").alias("text"))
+def class_words(df: DataFrame, label: str = "label", text: str = "text") -> DataFrame:
+    """label, word, n: how often each word is in the texts of a class, which is all that a word cloud draws. Texts of a class
+    are never put together."""
+    words = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.explode(expr.words(F.col(text))).alias("word"))
+    return words.where(expr.is_content(F.col("word"))).groupBy("label", "word").agg(F.count("*").alias("n"))
 
 
 def columns(df: DataFrame) -> DataFrame:

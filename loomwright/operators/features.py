@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer, StopWordsRemover
+import pyarrow as pa
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, NGram, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.linalg import DenseVector, SparseVector
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import expr
@@ -23,7 +25,7 @@ def weights(df: DataFrame, text: str = "text", max_features: int = 5000, min_df:
     broadcast has at most max_features rows.
     """
     rows = df.select(ROW_ID, text)
-    tf = rows.select(ROW_ID, F.explode(expr.content_words(F.coalesce(F.col(text), F.lit("")), 2)).alias("word")).groupBy(ROW_ID, "word").agg(F.count("*").alias("tf"))
+    tf = rows.select(ROW_ID, F.explode(expr.words(F.coalesce(F.col(text), F.lit("")))).alias("word")).where(expr.is_content(F.col("word"), 2)).groupBy(ROW_ID, "word").agg(F.count("*").alias("tf"))
     words = tf.groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df).orderBy(F.desc("cf"), "word").limit(max_features)
     n = rows.agg(F.count("*").alias("rows"))
     idf = words.crossJoin(F.broadcast(n)).select("word", (1 + F.ln((1 + F.col("rows")) / (1 + F.col("df")))).alias("idf"))
@@ -45,25 +47,54 @@ class TfIdf:
         self_ = self
         tokens = _tokens(df, text, self_.ngrams)
         counts = CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=self.max_features, minDF=self.min_df).fit(tokens)
-        counted = counts.transform(tokens).select("_tf")
         size = len(counts.vocabulary)
-        parts = counted.select(F.explode(F.map_keys(_entries("_tf"))).alias("k")).groupBy("k").count().collect()
-        n = counted.count()
-        idf = np.ones(size)
-        for r in parts:
-            idf[r.k] = 1 + np.log((1 + n) / (1 + r["count"]))
+        found = IDF(inputCol="_tf", outputCol="_x").fit(counts.transform(tokens).select("_tf")) if size else None
+        n = found.numDocs if size else 0
+        idf = 1 + np.log((1 + n) / (1 + np.array(found.docFreq, float))) if size else np.ones(0)
         out = FittedTfIdf(self, counts, idf, None)
         k = min(self.components or 0, max(size - 1, 0))
         if k > 0:
-            # The only way to an uncentred SVD is RowMatrix; its solver passes over the rows many times.
+            if n <= FEW_ROWS:
+                out.project = _svd_in_one_task(out.sparse(df, text), size, k)
+                return out
+            # Of many rows the only way to an uncentred SVD is RowMatrix; its solver passes over the rows many times.
             rows = out.sparse(df, text).select("features").coalesce(max(1, n // 5000)).rdd.map(lambda r: OldVectors.fromML(r[0])).cache()
             out.project = RowMatrix(rows).computeSVD(k, computeU=False).V.toArray()
             rows.unpersist()
         return out
 
 
-def _entries(vector: str):
-    return F.udf(lambda v: {int(i): float(x) for i, x in zip(v.indices, v.values)}, "map<int,double>")(F.col(vector))
+#: Up to so many rows, the reduction is found in one task from the products of the rows with one another.
+FEW_ROWS = 2000
+
+
+def _sparse_rows(batches: Iterator[pa.RecordBatch], size: int) -> np.ndarray:
+    """Rows of (indices, values) as a dense matrix."""
+    parts = []
+    for b in batches:
+        x = np.zeros((b.num_rows, size))
+        at, values = b.column(0), b.column(1)
+        row = np.repeat(np.arange(b.num_rows), at.value_lengths().to_numpy(zero_copy_only=False))
+        x[row, at.flatten().to_numpy(zero_copy_only=False)] = values.flatten().to_numpy(zero_copy_only=False)
+        parts.append(x)
+    return np.concatenate(parts) if parts else np.zeros((0, size))
+
+
+def _svd_in_one_task(features: DataFrame, size: int, k: int) -> np.ndarray:
+    """The first k right singular vectors, a column each; zeros where there are fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = _sparse_rows(batches, size)
+        values, u = np.linalg.eigh(x @ x.T)
+        best = np.argsort(-values)[:k]
+        best = best[values[best] > 1e-12 * max(values.max(initial=0), 1e-300)]
+        v = np.zeros((k, size))
+        v[: len(best)] = (u[:, best] / np.sqrt(values[best])).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.list_(pa.float64()))], ["v"])
+
+    inside = F.unwrap_udt("features")
+    rows = features.select(inside["indices"].alias("i"), inside["values"].alias("x")).coalesce(1)
+    return np.array([r.v for r in rows.mapInArrow(run, "v array<double>").collect()]).T
 
 
 def _tokens(df: DataFrame, text: str, ngrams: int) -> DataFrame:
@@ -75,6 +106,9 @@ def _tokens(df: DataFrame, text: str, ngrams: int) -> DataFrame:
     return out.drop("_text", "_raw", "_words", *(f"_n{k}" for k in range(2, ngrams + 1)))
 
 
+_HOW = "max_features int, ngrams int, min_df int, components int, sublinear boolean"
+
+
 @dataclass
 class FittedTfIdf:
     how: TfIdf
@@ -82,6 +116,21 @@ class FittedTfIdf:
     idf: np.ndarray
     project: np.ndarray | None
 
+    def save(self, path: str) -> None:
+        spark, how = SparkSession.active(), self.how
+        self.counts.write().overwrite().save(f"{path}/counts")
+        rows = [(i, float(x), self.project[i].tolist() if self.project is not None else None) for i, x in enumerate(self.idf)]
+        spark.createDataFrame(rows, "i int, idf double, project array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+        spark.createDataFrame([(how.max_features, how.ngrams, how.min_df, how.components, how.sublinear)], _HOW).coalesce(1).write.mode("overwrite").json(f"{path}/how")
+
+    @classmethod
+    def load(cls, path: str) -> FittedTfIdf:
+        spark = SparkSession.active()
+        how = TfIdf(**spark.read.schema(_HOW).json(f"{path}/how").first().asDict())
+        rows = spark.read.parquet(f"{path}/weights").orderBy("i").collect()  # a row for each word of the vocabulary
+        project = np.array([r.project for r in rows]) if rows and rows[0].project is not None else None
+        return cls(how, CountVectorizerModel.load(f"{path}/counts"), np.array([r.idf for r in rows]), project)
+
     def sparse(self, df: DataFrame, text: str = "text") -> DataFrame:
         idf, sublinear = self.idf, self.how.sublinear
 

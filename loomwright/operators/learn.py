@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import expr
@@ -34,6 +37,74 @@ def classifier(kind: str, n: int, c: float = 1000.0, iterations: int = 3000, var
     raise ValueError(f"unknown model {kind}; there are logreg and rf")
 
 
+#: With at most so many rows (ROWS_PER_TASK) and so many weights, a classifier is fitted in one task by Newton's steps.
+SMALL = 1200
+
+
+def newton(x: np.ndarray, y: np.ndarray, classes: int, ridge: float, steps: int = 50) -> np.ndarray:
+    """Weights of multinomial logistic regression, a row a class, the intercept last: the minimum of the mean loss plus
+    ridge / 2 times the squared weights, without the intercepts."""
+    n, d = x.shape
+    x = np.hstack([x, np.ones((n, 1))])
+    w, hold = np.zeros((classes, d + 1)), np.append(np.full(d, ridge), 1e-9)
+    target = np.eye(classes)[y]
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w.T
+        top = z.max(axis=1, keepdims=True)
+        return float((np.log(np.exp(z - top).sum(axis=1)) + top[:, 0] - z[np.arange(n), y]).mean() + (hold * w * w).sum() / 2)
+
+    now = loss(w)
+    for _ in range(steps):
+        z = x @ w.T
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        g = (p - target).T @ x / n + hold * w
+        h = np.zeros((classes, d + 1, classes, d + 1))
+        for a in range(classes):
+            for b in range(a, classes):
+                q = p[:, a] * ((a == b) - p[:, b])
+                h[a, :, b] = h[b, :, a] = (x * q[:, None]).T @ x / n
+            h[a, np.arange(d + 1), a, np.arange(d + 1)] += hold + 1e-10
+        step = np.linalg.solve(h.reshape(classes * (d + 1), -1), g.ravel()).reshape(w.shape)
+        size = 1.0
+        while size > 1e-6 and (then := loss(w - size * step)) > now:
+            size /= 2
+        if size <= 1e-6 or now - then < 1e-10:
+            break
+        w, now = w - size * step, then
+    return w
+
+
+def fit_in_one_task(known: DataFrame, label: str, width: int, c: float) -> Classifier | None:
+    """The classifier of few rows, solved where they lie; None if it has too many weights."""
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.common import _py2java
+    from pyspark.ml.linalg import Matrices, Vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs, ys = [], []
+        for b in batches:
+            xs.append(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+            ys += b.column(1).to_pylist()
+        names = sorted(set(ys))
+        if not names or len(names) * (width + 1) > SMALL:
+            w = None
+        else:
+            w = newton(np.concatenate(xs), np.array([names.index(v) for v in ys]), max(len(names), 2), 1.0 / (c * len(ys))).ravel().tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.string())), pa.array([w], pa.list_(pa.float64()))], ["names", "w"])
+
+    rows = known.select(vector_to_array("features").alias("x"), F.col(label).cast("string").alias("y")).coalesce(1)
+    row = rows.mapInArrow(run, "names array<string>, w array<double>").first()
+    if row is None or row.w is None:
+        return None
+    context, k = known.sparkSession.sparkContext, max(len(row.names), 2)
+    w = np.array(row.w).reshape(k, width + 1)
+    weights, begin = Matrices.dense(k, width, w[:, :-1].ravel(order="F").tolist()), Vectors.dense(w[:, -1].tolist())
+    model = context._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(f"newton_{id(w):x}", _py2java(context, weights), _py2java(context, begin), k, True)
+    return Classifier(LogisticRegressionModel(model).setFeaturesCol("features"), row.names if len(row.names) > 1 else [*row.names, "-"])
+
+
 @dataclass
 class Classifier:
     """A fitted model with the names of its classes."""
@@ -43,7 +114,12 @@ class Classifier:
 
     @classmethod
     def fit(cls, df: DataFrame, label: str = "label", kind: str = "logreg", c: float = 1000.0, iterations: int = 3000) -> Classifier:
+        """Few rows of few features are fitted in one task; more by Spark's solver, whose every step is a job."""
         known = df.where(F.col(label).isNotNull())
+        if kind == "logreg":
+            head = known.select(F.size(vector_to_array("features")).alias("d")).limit(ROWS_PER_TASK + 1).agg(F.count("*").alias("n"), F.max("d").alias("d")).first()
+            if 0 < head.n <= ROWS_PER_TASK and 2 * (head.d + 1) <= SMALL and (small := fit_in_one_task(known, label, head.d, c)):
+                return small
         names = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(known)
         n = known.count()
         # A step of the solver is a job: few rows are worth few tasks.
@@ -99,8 +175,14 @@ class ActiveLearner:
         return sample.top(scored, uncertainty(F.col("_p"), strategy), batch).select(ROW_ID)
 
     def evaluate(self, test: DataFrame, label: str = "label") -> dict:
-        row = evaluate.scores(self.classifier.predict(self.featurize(test)), label, "prediction").first()
-        return {"accuracy": row["accuracy"], "f1": row["f1_macro"]}
+        """From the confusion table, which has a row for each pair of classes."""
+        pairs = annotate.confusion(self.classifier.predict(self.featurize(test)), label, "prediction").collect()
+        n, same = sum(r.n for r in pairs), sum(r.n for r in pairs if r.truth == r.predicted)
+        f1 = []
+        for c in {x for r in pairs for x in (r.truth, r.predicted)}:
+            both = sum(r.n * ((r.truth == c) + (r.predicted == c)) for r in pairs)
+            f1.append(2 * sum(r.n for r in pairs if r.truth == r.predicted == c) / both if both else 0.0)
+        return {"accuracy": round(same / n, 4) if n else None, "f1": round(sum(f1) / len(f1), 4) if f1 else None}
 
     def run_cycle(self, labelled: DataFrame, pool: DataFrame, test: DataFrame, strategy: str = "entropy", iterations: int = 5, batch: int = 20, label: str = "label") -> list[dict]:
         """From the seed, batch rows a round move from the pool to the labelled ones; ends early when the pool is empty.
@@ -132,11 +214,15 @@ class ActiveLearner:
 
 
 def compare_strategies(labelled: DataFrame, pool: DataFrame, test: DataFrame, strategies: tuple[str, ...] = ("entropy", "random"), iterations: int = 5, batch: int = 20, label: str = "label", kind: str = "logreg") -> dict[str, list[dict]]:
-    """A fresh learner for each strategy on one set of features."""
+    """A fresh learner for each strategy on one set of features, which are computed once."""
     shared = ActiveLearner(kind)
     shared.build_vocabulary(labelled.select("text").unionByName(pool.select("text")).unionByName(test.select("text")))
-    labelled, pool, test = (shared.featurize(f) for f in (labelled, pool, test))
-    return {s: ActiveLearner(kind, features=shared.features).run_cycle(labelled, pool, test, s, iterations, batch, label) for s in strategies}
+    frames = [shared.featurize(f.select(ROW_ID, "text", label)).cache() for f in (labelled, pool, test)]
+    try:
+        return {s: ActiveLearner(kind, features=shared.features).run_cycle(*frames, s, iterations, batch, label) for s in strategies}
+    finally:
+        for f in frames:
+            f.unpersist()
 
 
 def history_frame(spark, results: dict[str, list[dict]]) -> DataFrame:
@@ -168,6 +254,21 @@ class FinalModel:
     def predict(self, df: DataFrame) -> DataFrame:
         return self.classifier.predict(self.features.transform(df)).drop("features")
 
+    def save(self, path: str) -> None:
+        """All that predicting takes: vocabulary, weights of words, projection, classifier, names of classes."""
+        spark = SparkSession.active()
+        self.features.save(f"{path}/features")
+        self.classifier.model.write().overwrite().save(f"{path}/classifier")
+        kind = type(self.classifier.model).__name__
+        spark.createDataFrame([(kind, self.classifier.classes)], "kind string, classes array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/classes")
+
+    @classmethod
+    def load(cls, path: str) -> FinalModel:
+        import pyspark.ml.classification as found
+
+        row = SparkSession.active().read.schema("kind string, classes array<string>").json(f"{path}/classes").first()
+        return cls(FittedTfIdf.load(f"{path}/features"), Classifier(getattr(found, row.kind).load(f"{path}/classifier"), list(row.classes)))
+
 
 def train_final(train: DataFrame, test: DataFrame, label: str = "label") -> tuple[FinalModel, DataFrame]:
     """Features of 10000 words and pairs, 100 components, logistic regression; and the predictions for test."""

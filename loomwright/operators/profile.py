@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import expr
+from loomwright.operators.ranges import quantiles
 from loomwright.operators.setops import drop_duplicates
 from loomwright.schema import BALANCE_NAMES, ROW_ID, find_label, numbers, strings, values
 
@@ -49,8 +50,8 @@ def measures(df: DataFrame) -> dict[str, Column]:
     out = {c: _c(c).cast("double") for c in numbers(df)}
     own = strings(df)
     if own:
-        medians = df.agg(*(F.median(F.length(_c(c))).alias(f"m{i}") for i, c in enumerate(own))).first()
-        out |= {f"{c}_length": F.length(_c(c)).cast("double") for c, m in zip(own, medians) if m is not None and m > 10}
+        medians = quantiles(df, {c: F.length(_c(c)) for c in own}, (0.5,))
+        out |= {f"{c}_length": F.length(_c(c)).cast("double") for c in own if medians[c][0] is not None and medians[c][0] > 10}
     return out
 
 
@@ -58,12 +59,12 @@ def bounds(df: DataFrame, columns: dict[str, Column], how: Detector) -> dict[str
     """lower and upper bound of each measure with at least three different values."""
     if not columns:
         return {}
-    aggs = []
-    for i, c in enumerate(columns.values()):
+    aggs, exact = [], quantiles(df, columns, (0.25, 0.75)) if how.method == "iqr" and not how.approx else {}
+    for i, (name, c) in enumerate(columns.items()):
         x = F.when(~F.isnan(c), c)
         if how.method == "iqr":
-            q = F.percentile_approx(x, [0.25, 0.75], 10000) if how.approx else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-            aggs += [q.alias(f"a{i}"), F.lit(0.0).alias(f"b{i}")]
+            q = F.percentile_approx(x, [0.25, 0.75], 10000) if how.approx else F.lit([0.0 if v is None else v for v in exact[name]])
+            aggs += [F.any_value(q).alias(f"a{i}"), F.lit(0.0).alias(f"b{i}")] if not how.approx else [q.alias(f"a{i}"), F.lit(0.0).alias(f"b{i}")]
         else:
             aggs += [F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"b{i}")]
         # Three different values are enough to know: minimum, maximum, and anything between.
@@ -89,7 +90,7 @@ def outliers(df: DataFrame, how: Detector = Detector()) -> DataFrame:
     aggs = []
     for i, (name, (lo, hi)) in enumerate(found.items()):
         c = columns[name]
-        aggs += [F.count(F.when((c < lo) | (~F.isnan(c) & (c > hi)), 1)).alias(f"o{i}"), F.count(F.when(~F.isnan(c), 1)).alias(f"n{i}")]
+        aggs += [F.count(F.when((c < lo) | (~F.isnan(c) & (c > hi)), 1)).alias(f"o{i}"), F.count(F.when(c.isNotNull() & ~F.isnan(c), 1)).alias(f"n{i}")]
     facts = [F.struct(F.lit(name).alias("column"), F.lit(how.method).alias("method"), F.col(f"o{i}").alias("count"), expr.percent(F.col(f"o{i}"), F.col(f"n{i}"), 2).alias("percent"), F.bround(F.lit(float(lo)), 4).alias("lower_bound"), F.bround(F.lit(float(hi)), 4).alias("upper_bound")) for i, (name, (lo, hi)) in enumerate(found.items())]
     return df.agg(*aggs).select(F.inline(F.array(*facts))).where("count > 0")
 
@@ -123,23 +124,13 @@ def detect(df: DataFrame, how: Detector = Detector()) -> dict:
 
 
 def metrics(df: DataFrame, how: Detector = Detector(), label: str | None = None) -> DataFrame:
-    """metric, value: the figures of a report as rows."""
-    column = F.col("value").cast("double")
-    one = lambda name, frame, value: frame.select(F.lit(name).alias("metric"), F.col(value).alias("value"))
-    gone = missing(df)
-    parts = [
-        one("rows", df.agg(F.count("*").alias("v")), "v"),
-        df.sparkSession.createDataFrame([("columns", len(values(df)))], "metric string, value bigint"),
-        one("missing_values_total", gone.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("v")), "v"),
-        gone.select(F.concat(F.lit("missing_"), "column").alias("metric"), F.col("count").alias("value")),
-        one("duplicates", duplicates(df), "count"),
-        one("outliers_total", outliers(df, how).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("v")), "v"),
-        one("imbalance_ratio", imbalance(df, how, label), "imbalance_ratio"),
-    ]
-    out = parts[0].select("metric", column.alias("value"))
-    for p in parts[1:]:
-        out = out.unionByName(p.select("metric", column.alias("value")))
-    return out
+    """metric, value: the figures of a report as rows, a few for each column. They are computed here and now, in one pass for
+    each kind of problem, so that a frame may be let go of afterwards."""
+    gone = {r["column"]: r["count"] for r in missing(df).collect()}
+    dup, odd, balance = duplicates(df).first(), outliers(df, how).collect(), imbalance(df, how, label).first()
+    rows = [("rows", df.count()), ("columns", len(values(df))), ("missing_values_total", sum(gone.values())), *((f"missing_{c}", n) for c, n in gone.items())]
+    rows += [("duplicates", dup["count"]), ("outliers_total", sum(r["count"] for r in odd)), *([("imbalance_ratio", balance["imbalance_ratio"])] if balance else [])]
+    return df.sparkSession.createDataFrame([(k, float(v)) for k, v in rows], "metric string, value double")
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -153,4 +144,15 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("metric", "before", "after", F.bround(delta, 4).alias("delta"), change.alias("delta_pct"))
 
 
-__all__ = ["Detector", "ROW_ID", "bounds", "compare", "detect", "duplicates", "imbalance", "measures", "metrics", "missing", "outliers", "value_counts"]
+def side_by_side(df: DataFrame, strategies: dict[str, dict[str, str]], shown: tuple[str, ...] | None = None) -> DataFrame:
+    """metric, before, and after_<name> for each strategy: the comparisons joined by metric, those shown if some are named."""
+    from loomwright.operators.clean import fix
+
+    base, out = metrics(df), None
+    for name, strategy in strategies.items():
+        one = compare(base, metrics(fix(df, strategy))).select("metric", "before", F.col("after").alias(f"after_{name}"))
+        out = one if out is None else out.join(one.drop("before"), "metric", "full_outer")
+    return out.where(F.col("metric").isin(*shown)) if shown else out
+
+
+__all__ = ["Detector", "ROW_ID", "bounds", "compare", "detect", "duplicates", "imbalance", "measures", "metrics", "missing", "outliers", "side_by_side", "value_counts"]

@@ -6,12 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import expr
-from loomwright.operators.ranges import ranked
+from loomwright.operators.ranges import below, ranked
 from loomwright.schema import ROW_ID
 
 
+#: Up to so many rows each task keeps its best and one task the best of them; more are found by a cut-off key.
+FEW = 10_000
+
+
+def chosen(df: DataFrame, n: int, seed: int | str = 42) -> Column:
+    """The condition for the n rows with the smallest keys."""
+    return below(df, expr.rank_key(F.col(ROW_ID), seed), ROW_ID, n)
+
+
 def take(df: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
-    """n rows without replacement: those with the smallest keys; no global sort, each task keeps its n best."""
+    """n rows without replacement: those with the smallest keys; no global sort."""
+    if n > FEW:
+        return df.where(chosen(df, n, seed))
     return df.orderBy(expr.rank_key(F.col(ROW_ID), seed), ROW_ID).limit(n)
 
 
@@ -26,9 +37,9 @@ def folds(df: DataFrame, label: str, k: int = 5, seed: int | str = 42) -> DataFr
 
 
 def first_and_rest(df: DataFrame, n: int, seed: int | str = 42) -> tuple[DataFrame, DataFrame]:
-    """n rows by key, and all others; the n ids go to the others' tasks."""
-    first = take(df, n, seed)
-    return first, df.join(first.select(ROW_ID), ROW_ID, "left_anti")
+    """n rows by key, and all others: two filters by one cut-off key."""
+    own = chosen(df, n, seed)
+    return df.where(own), df.where(~own)
 
 
 def test_size(n: int, share: float = 0.2, least: int = 50) -> int:
@@ -51,13 +62,10 @@ def seed_size(n: int, most: int = 50) -> int:
 def inject_faults(df: DataFrame, null_text: float = 0.05, null_label: float = 0.03, repeat: float = 0.04, drop_class: tuple[str, float] = ("positive", 0.45), longer: tuple[int, int] = (10, 15), seed: int = 42) -> DataFrame:
     """Faults whose numbers are known: nulls, repeated rows, a class cut down, long texts. Rows are picked by key."""
     n = df.count()
-    pick = lambda count, what: take(df, count, f"{seed}{what}").select(ROW_ID)
-    mark = lambda frame, ids, name: frame.join(F.broadcast(ids.withColumn(name, F.lit(True))), ROW_ID, "left")
-    out = mark(df, pick(longer[0], "long"), "_long").withColumn("text", F.when(F.col("_long"), F.repeat("text", longer[1])).otherwise(F.col("text"))).drop("_long")
-    out = mark(out, pick(int(n * null_text), "text"), "_t").withColumn("text", F.when(F.col("_t").isNull(), F.col("text"))).drop("_t")
-    out = mark(out, pick(int(n * null_label), "label"), "_l").withColumn("label", F.when(F.col("_l").isNull(), F.col("label"))).drop("_l")
+    out = df.withColumn("text", F.when(chosen(df, longer[0], f"{seed}long"), F.repeat("text", longer[1])).otherwise(F.col("text")))
+    out = out.withColumn("text", F.when(~chosen(df, int(n * null_text), f"{seed}text"), F.col("text")))
+    out = out.withColumn("label", F.when(~chosen(df, int(n * null_label), f"{seed}label"), F.col("label")))
     name, share = drop_class
     some = out.where(F.col("label") == name)
-    gone = some.orderBy(expr.rank_key(F.col(ROW_ID), f"{seed}class"), ROW_ID).limit(int(some.count() * share)).select(ROW_ID)
-    out = out.join(gone, ROW_ID, "left_anti")
-    return out.unionByName(out.orderBy(expr.rank_key(F.col(ROW_ID), f"{seed}again"), ROW_ID).limit(int(n * repeat)))
+    out = out.where(~(F.coalesce(F.col("label") == name, F.lit(False)) & chosen(some, int(some.count() * share), f"{seed}class")))
+    return out.unionByName(out.where(chosen(out, int(n * repeat), f"{seed}again")))

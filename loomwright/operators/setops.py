@@ -32,12 +32,16 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 
 def merge(frames: list[DataFrame], spark: SparkSession | None = None) -> DataFrame:
-    """Union, first row of each text, then rows without text go: null texts and those of white space only."""
+    """Union, first row of each text, then rows without text go: null texts and those of white space only.
+
+    First is the earlier frame, then the smaller row number. Rows without numbers go by a hash of the row, so that the
+    choice doesn't depend on where rows lie.
+    """
     df = union_all([f.withColumn("_frame", F.lit(i)) for i, f in enumerate(frames)], spark)
     if not frames:
         return df
     if ROW_ID not in df.columns:
-        df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
+        df = ranked(df.withColumns({"_hash": F.xxhash64(*df.columns), "_place": F.monotonically_increasing_id()}), ROW_ID, ["_frame", "_hash", "_place"]).drop("_hash", "_place")
     rank = F.row_number().over(Window.partitionBy("text").orderBy("_frame", ROW_ID))
     df = df.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_frame")
     return df.where(F.col("text").isNotNull() & ~expr.is_blank(F.col("text")))

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from loomwright.operators import annotate, clean, learn, profile, sample
 from loomwright.plans import pipeline, reports
-from loomwright.sources.collect import CATALOG, Collector, discover, read_file, write_file
+from loomwright.sources.collect import CATALOG, Collector, discover, read_numbered, write_file
 
 
 def strategy(text: str) -> dict[str, str]:
@@ -70,14 +70,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         df.show(10)
         profile.value_counts(df, "label").show()
     elif args.command == "quality":
-        df = pipeline.numbered(read_file(spark, args.input)).cache()
+        df = read_numbered(spark, args.input).cache()
         print(json.dumps(profile.detect(df), indent=2, default=str))
         fixed = clean.fix(df, strategy(args.strategy)).cache()
         profile.compare(profile.metrics(df), profile.metrics(fixed)).show(truncate=False)
         if args.output:
             write_file(fixed, args.output, "csv")
     elif args.command == "annotate":
-        df, method = pipeline.label(pipeline.numbered(read_file(spark, args.input)), ["positive", "negative"], args.threshold)
+        df, method = pipeline.label(read_numbered(spark, args.input), ["positive", "negative"], args.threshold)
         df = df.cache()
         found = annotate.check_quality(df, args.threshold)
         print(method, json.dumps(found, indent=2))
@@ -85,7 +85,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         reports.export_tasks(df, f"{args.output}/labelstudio_import.json", array=True)
         write_file(annotate.flag(df, args.threshold), f"{args.output}/review_queue.csv", "csv", single=True)
     elif args.command == "learn":
-        df = pipeline.numbered(read_file(spark, args.input)).where("label is not null")
+        df = read_numbered(spark, args.input).where("label is not null")
         train, test = sample.train_test(df)
         seed, pool = sample.first_and_rest(train, sample.seed_size(train.count()))
         results = learn.compare_strategies(seed, pool, test, tuple(args.strategies.split(",")), args.iterations, args.batch_size, kind=args.model)

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.operators import annotate, clean, evaluate, learn, profile, sample
+from loomwright.operators.ranges import ranked
 from loomwright.plans import reports
 from loomwright.schema import ROW_ID
-from loomwright.sources.collect import Collector, read_corrections, write_file
+from loomwright.sources.collect import PLACE, Collector, read_corrections, write_file
 
 log = logging.getLogger(__name__)
 
@@ -32,8 +33,12 @@ class Settings:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """With a row number that doesn't depend on where rows lie: a hash of the row."""
-    return df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.xxhash64(*df.columns))
+    """With a row number of its own for every row: rows of files have one in source order (read_numbered); others are
+    numbered in the order of a hash of the row, which doesn't depend on where rows lie, and equal rows one after another."""
+    if ROW_ID in df.columns:
+        return df
+    keyed = df.withColumns({"_hash": F.xxhash64(*df.columns), "_place": F.monotonically_increasing_id()})
+    return ranked(keyed, ROW_ID, ["_hash", "_place"]).drop("_hash", "_place")
 
 
 def label(df: DataFrame, classes: list[str], threshold: float, scorer=None) -> tuple[DataFrame, str]:
@@ -58,7 +63,10 @@ def review(df: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     if given is None:
         corrected = annotate.auto_correct(queue)
     else:
-        corrected = queue.drop("corrected_label").join(given.select("text", "corrected_label").dropDuplicates(["text"]), "text", "left")
+        # By row number where the person's file kept it, else by text; of several corrections the last in the file counts.
+        key = ROW_ID if ROW_ID in given.columns and ROW_ID in queue.columns else "text"
+        last = given.groupBy(key).agg(F.max_by("corrected_label", PLACE).alias("corrected_label"))
+        corrected = queue.drop("corrected_label").join(last, key, "left")
     return annotate.merge_review(df, corrected), corrected
 
 
@@ -77,7 +85,7 @@ def run(spark: SparkSession, settings: Settings = Settings(), df: DataFrame | No
     m |= {k: quality.get(k) for k in ("kappa", "agreement", "confidence_mean")} | {"labeled_size": labelled.count(), "flagged_count": quality.get("low_confidence_count")}
     reports.annotation_spec(labelled, s.path("annotation_spec.md"), s.task)
     reports.annotation_report(quality, m["labeled_size"], s.threshold, s.path("reports/annotation_report.md"), m["annotation_method"])
-    reports.export_tasks(labelled, s.path("labelstudio_import.json"), array=m["labeled_size"] <= 100_000)
+    reports.export_tasks(labelled, s.path("labelstudio_import.json"), array=True)
     final, corrected = review(labelled, s)
     final = final.cache()
     changed = corrected.where(F.coalesce(F.col("corrected_label") != F.col("predicted_label"), F.lit(True)))
@@ -91,7 +99,7 @@ def run(spark: SparkSession, settings: Settings = Settings(), df: DataFrame | No
     reports.learning_report(m["al_results"], s.path("reports/al_report.md"))
     reports.learning_curve(m["al_results"], s.path("reports/learning_curve.svg"))
     model, predicted = learn.train_final(train, test)
-    model.classifier.model.write().overwrite().save(s.path("models/classifier"))
+    model.save(s.path("models/final"))
     m |= evaluate.scores(predicted).first().asDict() | {"train_size": train.count(), "test_size": test.count()}
     m["classification_report"] = reports.markdown([r.asDict() for r in evaluate.report(predicted).collect()])
     reports.final_report(m, s.path("reports/final_report.md"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import expr
 from loomwright.operators import annotate, clean, evaluate, explore, features, learn, profile, sample, setops
+from loomwright.operators.ranges import ranked
 from loomwright.schema import ROW_ID
 from loomwright.sources import html, json_api
 
@@ -54,8 +55,8 @@ scored AS (SELECT *, {POS} AS np, {NEG} AS nn FROM corpus),
 prob AS (SELECT *, (np + 1.0::DOUBLE + (CASE WHEN np >= nn THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 0.5::DOUBLE) / (np + nn + 2.5::DOUBLE - (CASE WHEN np < nn THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 0.5::DOUBLE) AS p FROM scored),
 named AS (SELECT _row_id, text, label, source, CASE WHEN 1.0::DOUBLE - p >= p THEN 'negative' ELSE 'positive' END AS predicted_label, round_even(greatest(1.0::DOUBLE - p, p), 4) AS confidence FROM prob),
 labelled AS (SELECT *, confidence < 0.7::DOUBLE AS needs_review FROM named)"""
-#: Probabilities of three classes that any engine computes alike.
-PROBS = "probs AS (SELECT vec_id AS _row_id, [abs(embedding[1]::DOUBLE) / s, abs(embedding[2]::DOUBLE) / s, abs(embedding[3]::DOUBLE) / s] AS p FROM (SELECT *, abs(embedding[1]::DOUBLE) + abs(embedding[2]::DOUBLE) + abs(embedding[3]::DOUBLE) AS s FROM embeddings) WHERE s > 0)"
+#: What the keyword annotator gives as probabilities of negative and positive.
+PROBS = LABELLED + ", probs AS (SELECT _row_id, [1.0::DOUBLE - p, p] AS p FROM prob)"
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +64,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = [F.abs(F.col("embedding")[k].cast("double")) for k in range(3)]
-    total = own[0] + own[1] + own[2]
-    return table(spark, sf_dir, "embeddings").where(total > 0).select(F.col("vec_id").alias(ROW_ID), F.array(*(x / total for x in own)).alias("p"))
+    return corpus(spark, sf_dir).select(ROW_ID, annotate.keyword_probabilities(F.col("text")).alias("p"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +104,15 @@ def json_api_extract(spark, sf_dir):
     return df.select("event_id", "k", F.coalesce("m", F.lit("none")).alias("other"))
 
 
-@query()
+#: A paragraph ends with its end tag, one without an end tag with the article. Text between tags is stripped and put together.
+_PARTS = "string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')"
+
+
+@query(f"""WITH a AS (SELECT page_id, {_PARTS} AS parts FROM pages), i AS (SELECT page_id, parts, unnest(range(2, len(parts) + 1)) AS k FROM a),
+r AS (SELECT page_id, k, CASE WHEN contains(parts[k], '</p>') THEN split_part(parts[k], '</p>', 1) ELSE array_to_string(parts[k:], '<p>') END AS raw FROM i),
+t AS (SELECT page_id, k, replace(replace(replace(replace(replace(array_to_string(list_transform(regexp_split_to_array(raw, '<[^>]*>'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS text FROM r),
+s AS (SELECT page_id, k, trim(text, '“”"' || chr(39)) AS text FROM t)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INT) AS position, text FROM s WHERE text <> ''""")
 def html_scrape(spark, sf_dir):
     return html.scrape_pages(table(spark, sf_dir, "pages"), "article p", keep=("page_id",))
 
@@ -174,11 +181,14 @@ FROM v JOIN lim USING ("column") GROUP BY 1 HAVING count(*) FILTER (x < lo OR x
 
 
 ITEMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+SKEWED = "SELECT value * value AS squared_value, user_id, o_totalprice * o_totalprice AS squared_price FROM events FULL OUTER JOIN orders ON event_id = o_orderkey"
 
 
-@query(_outlier_sql("lineitem", [(c, c) for c in ITEMS], "iqr"))
+@query(_outlier_sql(f"({SKEWED})", [(c, c) for c in ("squared_value", "user_id", "squared_price")], "iqr"))
 def outliers_iqr(spark, sf_dir):
-    return profile.outliers(table(spark, sf_dir, "lineitem").select(*ITEMS))
+    events, orders = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
+    both = events.join(orders, events["event_id"] == orders["o_orderkey"], "full_outer")
+    return profile.outliers(both.select((F.col("value") * F.col("value")).alias("squared_value"), "user_id", (F.col("o_totalprice") * F.col("o_totalprice")).alias("squared_price")))
 
 
 @query(_outlier_sql("events", [("value", "value")], "zscore"))
@@ -301,9 +311,13 @@ def undersample_rows(spark, sf_dir):
     return clean.fix(corpus(spark, sf_dir), {"imbalance": "undersample"}).select(ROW_ID, "label")
 
 
-@query(f"WITH {CORPUS} SELECT label, CAST((SELECT max(n) FROM (SELECT count(*) AS n FROM corpus WHERE label IS NOT NULL GROUP BY label)) AS BIGINT) AS n FROM corpus WHERE label IS NOT NULL GROUP BY label")
-def oversample_counts(spark, sf_dir):
-    return clean.fix(corpus(spark, sf_dir), {"imbalance": "oversample"}).groupBy("label").agg(F.count("*").alias("n"))
+@query(f"""WITH {CORPUS}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(_row_id AS VARCHAR) || ':42'), _row_id) - 1 AS k FROM corpus WHERE label IS NOT NULL),
+c AS (SELECT label, count(*) AS n, (SELECT max(m) FROM (SELECT count(*) AS m FROM r GROUP BY label)) AS most FROM r GROUP BY label),
+d AS (SELECT label, n, unnest(range(0, most)) AS i FROM c WHERE n < most),
+p AS (SELECT label, CAST('0x' || substr(md5(label || ':' || CAST(i AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % n AS k FROM d)
+SELECT _row_id, label FROM p JOIN r USING (label, k) UNION ALL SELECT _row_id, label FROM r WHERE label IN (SELECT label FROM c WHERE n = most)""")
+def oversample_rows(spark, sf_dir):
+    return clean.fix(corpus(spark, sf_dir), {"imbalance": "oversample"}).select(ROW_ID, "label")
 
 
 def _metrics_sql(name: str, source: str) -> str:
@@ -327,8 +341,13 @@ fixed AS (SELECT _row_id, CASE WHEN length(text) > hi THEN substr(text, 1, hi) E
 j AS (SELECT metric, CASE WHEN starts_with(metric, 'missing_') THEN coalesce(bef.v, 0.0) ELSE bef.v END AS b, CASE WHEN starts_with(metric, 'missing_') THEN coalesce(aft.v, 0.0) ELSE aft.v END AS a FROM bef FULL OUTER JOIN aft USING (metric))
 SELECT metric, CAST(b AS DOUBLE) AS before, CAST(a AS DOUBLE) AS after, round_even(CAST(a - b AS DOUBLE), 4) AS delta, CASE WHEN b <> 0 THEN round_even(CAST((a - b) / b * 100 AS DOUBLE), 1) ELSE 0.0 END AS delta_pct FROM j""")
 def quality_compare(spark, sf_dir):
-    df = corpus(spark, sf_dir)
-    return profile.compare(profile.metrics(df), profile.metrics(clean.fix(df, clean.DEFAULT)))
+    df = corpus(spark, sf_dir).persist()
+    fixed = clean.fix(df, clean.DEFAULT).persist()
+    try:
+        return profile.compare(profile.metrics(df), profile.metrics(fixed))
+    finally:
+        fixed.unpersist()
+        df.unpersist()
 
 
 @query(f"WITH {CORPUS}, {FIXED} SELECT label AS value, count(*) AS count FROM fixed GROUP BY 1")
@@ -403,10 +422,10 @@ def review_flag(spark, sf_dir):
     return annotate.review_queue(labelled(spark, sf_dir)).select(ROW_ID, "needs_review", "corrected_label")
 
 
-@query(f"WITH {LABELLED} SELECT _row_id, confidence, row_number() OVER (ORDER BY confidence, _row_id) AS place FROM labelled WHERE needs_review ORDER BY confidence, _row_id LIMIT 100")
+@query(f"WITH {LABELLED} SELECT _row_id, confidence, row_number() OVER (ORDER BY confidence, _row_id) AS place FROM labelled WHERE needs_review")
 def review_queue_sorted(spark, sf_dir):
-    top = annotate.flag(labelled(spark, sf_dir)).select(ROW_ID, "confidence").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("confidence", ROW_ID)).cast("bigint"))
+    queue = annotate.flag(labelled(spark, sf_dir)).select(ROW_ID, "confidence")
+    return ranked(queue, "place", ["confidence", ROW_ID]).withColumn("place", F.col("place") + 1)
 
 
 @query(f"WITH {LABELLED} SELECT round_even(avg(confidence), 4) AS confidence_mean, round_even(stddev_samp(confidence), 4) AS confidence_std, round_even(min(confidence), 4) AS confidence_min, round_even(max(confidence), 4) AS confidence_max, count(*) FILTER (confidence < 0.7::DOUBLE) AS low_confidence_count, round_even(count(*) FILTER (confidence < 0.7::DOUBLE) / count(*) * 100, 2) AS low_confidence_pct FROM labelled")
@@ -462,25 +481,26 @@ def spec_examples_per_class(spark, sf_dir):
 # Uncertainty, samples, splits
 
 
-ENTROPY = "-(p[1] * ln(p[1] + 1e-12::DOUBLE) + p[2] * ln(p[2] + 1e-12::DOUBLE) + p[3] * ln(p[3] + 1e-12::DOUBLE))"
+ENTROPY = "round(-(p[1] * ln(p[1] + 1e-12::DOUBLE) + p[2] * ln(p[2] + 1e-12::DOUBLE)), 9)"
 
 
-@query(f"WITH {PROBS} SELECT _row_id, round({ENTROPY}, 9) AS score FROM probs ORDER BY {ENTROPY} DESC, _row_id LIMIT 20")
+@query(f"WITH {PROBS} SELECT _row_id, {ENTROPY} AS score FROM probs ORDER BY {ENTROPY} DESC, _row_id LIMIT 20")
 def entropy_topk(spark, sf_dir):
-    return sample.top(probs(spark, sf_dir), learn.uncertainty(F.col("p"), "entropy"), 20).select(ROW_ID, F.round("score", 9).alias("score"))
+    return sample.top(probs(spark, sf_dir), F.round(learn.uncertainty(F.col("p"), "entropy"), 9), 20).select(ROW_ID, "score")
 
 
-MARGIN = "-(list_sort(p, 'DESC')[1] - list_sort(p, 'DESC')[2])"
+MARGIN = "round(-(list_sort(p, 'DESC')[1] - list_sort(p, 'DESC')[2]), 9)"
 
 
-@query(f"WITH {PROBS} SELECT _row_id, round({MARGIN}, 9) AS score FROM probs ORDER BY {MARGIN} DESC, _row_id LIMIT 20")
+@query(f"WITH {PROBS} SELECT _row_id, {MARGIN} AS score FROM probs ORDER BY {MARGIN} DESC, _row_id LIMIT 20")
 def margin_topk(spark, sf_dir):
-    return sample.top(probs(spark, sf_dir), learn.uncertainty(F.col("p"), "margin"), 20).select(ROW_ID, F.round("score", 9).alias("score"))
+    return sample.top(probs(spark, sf_dir), F.round(learn.uncertainty(F.col("p"), "margin"), 9), 20).select(ROW_ID, "score")
 
 
-@query(f"WITH {PROBS} SELECT _row_id, round(list_max(p), 9) AS best, ['a', 'b', 'c'][list_position(p, list_max(p))] AS name FROM probs")
+@query(f"WITH {PROBS} SELECT _row_id, round(list_max(p), 9) AS best, ['negative', 'positive'][list_position(p, list_max(p))] AS name FROM probs")
 def argmax_class(spark, sf_dir):
-    return probs(spark, sf_dir).select(ROW_ID, F.round(F.array_max("p"), 9).alias("best"), expr.argmax(F.col("p"), F.array(*map(F.lit, "abc"))).alias("name"))
+    one = expr.bound(F.col("p"), lambda p: F.struct(F.round(F.array_max(p), 9).alias("best"), expr.argmax(p, F.array(F.lit("negative"), F.lit("positive"))).alias("name")))
+    return probs(spark, sf_dir).select(ROW_ID, one.alias("one")).select(ROW_ID, "one.best", "one.name")
 
 
 def _key(seed) -> str:
@@ -510,22 +530,22 @@ def train_test_split(spark, sf_dir):
     return train.select(ROW_ID, F.lit("train").alias("part")).unionByName(test.select(ROW_ID, F.lit("test").alias("part")))
 
 
-@query(f"WITH {CORPUS}, r AS (SELECT _row_id, row_number() OVER (ORDER BY {_key(42)}, _row_id) AS k FROM corpus) SELECT CASE WHEN k <= least(50, (SELECT count(*) FROM corpus) // 3) THEN 'seed' ELSE 'pool' END AS part, count(*) AS n FROM r GROUP BY 1")
+@query(f"WITH {CORPUS}, r AS (SELECT _row_id, row_number() OVER (ORDER BY {_key(42)}, _row_id) AS k FROM corpus) SELECT _row_id, CASE WHEN k <= least(50, (SELECT count(*) FROM corpus) // 3) THEN 'seed' ELSE 'pool' END AS part FROM r")
 def seed_pool_split(spark, sf_dir):
     df = corpus(spark, sf_dir)
     seed, pool = sample.first_and_rest(df, sample.seed_size(df.count()))
-    return seed.select(F.lit("seed").alias("part")).unionByName(pool.select(F.lit("pool").alias("part"))).groupBy("part").agg(F.count("*").alias("n"))
+    return seed.select(ROW_ID, F.lit("seed").alias("part")).unionByName(pool.select(ROW_ID, F.lit("pool").alias("part")))
 
 
 @query(f"""WITH {CORPUS}, n AS (SELECT count(*) AS n FROM corpus), t AS (SELECT _row_id FROM corpus ORDER BY {_key('42text')}, _row_id LIMIT (SELECT CAST(floor(n * 0.05) AS BIGINT) FROM n)),
 l AS (SELECT _row_id FROM corpus ORDER BY {_key('42label')}, _row_id LIMIT (SELECT CAST(floor(n * 0.03) AS BIGINT) FROM n)),
-f AS (SELECT _row_id, CASE WHEN _row_id NOT IN (SELECT _row_id FROM t) THEN text END AS text, CASE WHEN _row_id NOT IN (SELECT _row_id FROM l) THEN label END AS label FROM corpus),
+x AS (SELECT _row_id FROM corpus ORDER BY {_key('42long')}, _row_id LIMIT 10),
+f AS (SELECT _row_id, CASE WHEN _row_id NOT IN (SELECT _row_id FROM t) THEN CASE WHEN _row_id IN (SELECT _row_id FROM x) THEN repeat(text, 15) ELSE text END END AS text, CASE WHEN _row_id NOT IN (SELECT _row_id FROM l) THEN label END AS label FROM corpus),
 g AS (SELECT _row_id FROM f WHERE label = 'positive' ORDER BY {_key('42class')}, _row_id LIMIT (SELECT CAST(floor(count(*) * 0.45) AS BIGINT) FROM f WHERE label = 'positive')),
 k AS (SELECT * FROM f WHERE _row_id NOT IN (SELECT _row_id FROM g)), a AS (SELECT * FROM k ORDER BY {_key('42again')}, _row_id LIMIT (SELECT CAST(floor(n * 0.04) AS BIGINT) FROM n)), u AS (SELECT * FROM k UNION ALL SELECT * FROM a)
-SELECT count(*) AS n, count(*) FILTER (text IS NULL) AS null_text, count(*) FILTER (label IS NULL) AS null_label, count(*) - count(DISTINCT _row_id) AS repeated FROM u""")
+SELECT _row_id, length(text) AS n_chars, label FROM u""")
 def fault_injection(spark, sf_dir):
-    out = sample.inject_faults(corpus(spark, sf_dir))
-    return out.agg(F.count("*").alias("n"), F.count(F.when(F.col("text").isNull(), 1)).alias("null_text"), F.count(F.when(F.col("label").isNull(), 1)).alias("null_label"), (F.count("*") - F.count_distinct(ROW_ID)).alias("repeated"))
+    return sample.inject_faults(corpus(spark, sf_dir)).select(ROW_ID, F.length("text").cast("bigint").alias("n_chars"), "label")
 
 
 # Metrics, features, learning
@@ -559,44 +579,64 @@ def tfidf_topk(spark, sf_dir):
     return own.withColumn("rank", rank).where("rank <= 3").drop("rank")
 
 
-#: A history as active learning leaves it, of numbers that are no measurement.
-def _history(spark: SparkSession) -> DataFrame:
-    k = F.col("id")
-    acc: Column = F.round(0.5 + 0.02 * (k % 6) + F.when(k >= 6, 0.004 * (k % 6)).otherwise(0.0), 4)
-    return spark.range(12).select((k % 6).cast("int").alias("iteration"), (50 + 20 * (k % 6)).cast("int").alias("n_labeled"), acc.alias("accuracy"), F.round(acc - 0.01, 4).alias("f1"), F.when(k >= 6, "entropy").otherwise("random").alias("strategy"))
+#: A history that any engine can repeat: how well the keyword annotator does on the labelled rows that two strategies pick
+#: first, by key (random) and by confidence (entropy), as their number grows.
+STEPS = tuple(50 + 20 * k for k in range(6))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = labelled(spark, sf_dir).where(F.col("label").isNotNull()).select(ROW_ID, "label", "predicted_label", "confidence")
+    orders = {"random": [expr.rank_key(F.col(ROW_ID), 42), F.col(ROW_ID)], "entropy": [F.col("confidence"), F.col(ROW_ID)]}
+    parts = []
+    for name, order in orders.items():
+        best = known.orderBy(*order).limit(STEPS[-1])  # at most so many rows meet in one task
+        place = F.row_number().over(Window.orderBy(*order))
+        parts.append(best.withColumn("place", place).withColumn("strategy", F.lit(name)))
+    rows = parts[0].unionByName(parts[1]).withColumn("step", F.explode(F.array(*(F.struct(F.lit(k).alias("iteration"), F.lit(n).alias("n")) for k, n in enumerate(STEPS))))).where(F.col("place") <= F.col("step.n"))
+    hit = lambda a, b: F.sum(((F.col("label") == a) & (F.col("predicted_label") == b)).cast("int"))
+    tp, fp, fn, tn = hit("positive", "positive"), hit("negative", "positive"), hit("positive", "negative"), hit("negative", "negative")
+    f1 = F.when(2 * tp + fp + fn > 0, 2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0))).otherwise(0.0)
+    return rows.groupBy("strategy", F.col("step.iteration").alias("iteration"), F.col("step.n").alias("n_labeled")).agg(F.bround((tp + tn) / F.count("*"), 4).alias("accuracy"), F.bround(f1, 4).alias("f1"))
 
 
-HISTORY = "h AS (SELECT CAST(id % 6 AS INT) AS iteration, CAST(50 + 20 * (id % 6) AS INT) AS n_labeled, round(0.5::DOUBLE + 0.02::DOUBLE * (id % 6) + CASE WHEN id >= 6 THEN 0.004::DOUBLE * (id % 6) ELSE 0.0::DOUBLE END, 4) AS accuracy, CASE WHEN id >= 6 THEN 'entropy' ELSE 'random' END AS strategy FROM range(12) AS t(id)), g AS (SELECT *, round(accuracy - 0.01::DOUBLE, 4) AS f1 FROM h)"
+HISTORY = LABELLED + f""", known AS (SELECT * FROM labelled WHERE label IS NOT NULL),
+placed AS (SELECT 'random' AS strategy, label, predicted_label, row_number() OVER (ORDER BY md5(CAST(_row_id AS VARCHAR) || ':42'), _row_id) AS place FROM known UNION ALL SELECT 'entropy', label, predicted_label, row_number() OVER (ORDER BY confidence, _row_id) FROM known),
+steps AS (SELECT CAST(k AS INT) AS iteration, CAST(50 + 20 * k AS INT) AS n_labeled FROM range(6) AS t(k)),
+sums AS (SELECT strategy, iteration, n_labeled, count(*) AS n, count(*) FILTER (label = predicted_label) AS same, count(*) FILTER (label = 'positive' AND predicted_label = 'positive') AS tp, count(*) FILTER (label = 'positive') AS p, count(*) FILTER (predicted_label = 'positive') AS q FROM placed, steps WHERE place <= n_labeled GROUP BY ALL),
+g AS (SELECT strategy, iteration, n_labeled, round_even(same / n, 4) AS accuracy, round_even(CASE WHEN p + q > 0 THEN 2 * tp / (p + q) ELSE 0.0 END, 4) AS f1 FROM sums)"""
+
+
+@query(f"WITH {HISTORY} SELECT * FROM g")
+def al_keyword_history(spark, sf_dir):
+    return _history(spark, sf_dir)
 
 
 @query(f"""WITH {HISTORY}, e AS (SELECT strategy, arg_min(accuracy, iteration) AS seed_accuracy, arg_min(f1, iteration) AS seed_f1, arg_max(accuracy, iteration) AS final_accuracy, arg_max(f1, iteration) AS final_f1, max(n_labeled) AS n_labeled_final FROM g GROUP BY 1)
 SELECT strategy, seed_accuracy, seed_f1, final_accuracy, final_f1, round_even(final_accuracy - seed_accuracy, 4) AS accuracy_gain, round_even(final_f1 - seed_f1, 4) AS f1_gain, n_labeled_final FROM e""")
 def al_summary(spark, sf_dir):
-    return evaluate.learning_summary(_history(spark))
+    return evaluate.learning_summary(_history(spark, sf_dir))
 
 
 @query(f"""WITH {HISTORY}, goal AS (SELECT arg_max(accuracy, iteration) AS target, arg_max(n_labeled, iteration) AS n_base FROM g WHERE strategy = 'random'),
 first_ AS (SELECT arg_min(n_labeled, iteration) AS n_first, min(iteration) AS iteration FROM g, goal WHERE strategy = 'entropy' AND accuracy >= target)
 SELECT target, n_base, n_first, iteration, n_base - n_first AS saved, round_even((n_base - n_first) / n_base * 100, 1) AS saved_pct FROM goal, first_""")
 def al_savings(spark, sf_dir):
-    return evaluate.savings(_history(spark))
+    return evaluate.savings(_history(spark, sf_dir))
 
 
 @query()
 def al_history(spark, sf_dir):
-    """Three rounds of each strategy on ready feature vectors; the class is whether a label is even."""
-    from pyspark.ml.functions import array_to_vector
-
-    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(ROW_ID), F.lit("").alias("text"), F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    test, rest = sample.first_and_rest(df, 100, "test")
-    seed, pool = sample.first_and_rest(rest, 50, "seed")
-    results = {s: learn.ActiveLearner().run_cycle(seed, pool, test, s, 3, 20) for s in ("entropy", "margin", "random")}
-    return learn.history_frame(spark, results)
+    """Five rounds of 20 rows for each strategy on the texts of labelled documents."""
+    df = corpus(spark, sf_dir)
+    known = df.where(df["label"].isNotNull())
+    train, test = sample.train_test(known)
+    seed, pool = sample.first_and_rest(train, sample.seed_size(train.count()))
+    return learn.history_frame(spark, learn.compare_strategies(seed, pool, test, ("entropy", "margin", "random")))
 
 
 @query()
 def annotate_out_of_fold(spark, sf_dir):
-    return learn.label_out_of_fold(corpus(spark, sf_dir), k=3).select(ROW_ID, "label", "predicted_label", "confidence", "needs_review")
+    return learn.label_out_of_fold(corpus(spark, sf_dir)).select(ROW_ID, "label", "predicted_label", "confidence", "needs_review")
 
 
 @query()
@@ -604,3 +644,46 @@ def train_final_metrics(spark, sf_dir):
     df = corpus(spark, sf_dir)
     train, test = sample.train_test(df.where(df["label"].isNotNull()))
     return evaluate.scores(learn.train_final(train, test)[1])
+
+
+# Several frames, several strategies
+
+
+@query(rf"""WITH u AS (SELECT 0 AS f, doc_id AS id, text, 'documents' AS source FROM documents UNION ALL SELECT 1, doc_id, text, 'again' FROM documents WHERE lang = 'en' UNION ALL SELECT 2, item_id, text, 'benchmark' FROM benchmark UNION ALL SELECT 3, conv_id * 1000 + turn, text, 'conversations' FROM conversations),
+k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY text ORDER BY f, id) = 1) SELECT id AS _row_id, text, source FROM k WHERE text IS NOT NULL AND trim(text) <> ''""")
+def merge_sources_keep_first(spark, sf_dir):
+    """Union of four frames; of a text that several have, the first frame's first row stays."""
+    docs = table(spark, sf_dir, "documents")
+    part = lambda df, key, name: df.select(key.cast("bigint").alias(ROW_ID), "text", F.lit(name).alias("source"))
+    turns = table(spark, sf_dir, "conversations")
+    frames = [part(docs, docs["doc_id"], "documents"), part(docs.where("lang = 'en'"), docs["doc_id"], "again"), part(table(spark, sf_dir, "benchmark"), F.col("item_id"), "benchmark"), part(turns, turns["conv_id"] * 1000 + turns["turn"], "conversations")]
+    return setops.merge(frames)
+
+
+SIDES = {"drop": {"missing": "drop", "duplicates": "drop"}, "constant": {"missing": "constant", "duplicates": "drop"}}
+_SHOWN = "('rows', 'missing_values_total', 'duplicates')"
+
+
+@query(f"""WITH {CORPUS}, u AS (SELECT min(_row_id) AS _row_id, text, label, source FROM corpus GROUP BY text, label, source),
+a AS (SELECT text, label, source FROM u WHERE text IS NOT NULL AND label IS NOT NULL AND source IS NOT NULL), b AS (SELECT coalesce(text, 'UNKNOWN') AS text, coalesce(label, 'UNKNOWN') AS label, coalesce(source, 'UNKNOWN') AS source FROM u),
+m AS (SELECT 'rows' AS metric, (SELECT count(*) FROM corpus) AS before, (SELECT count(*) FROM a) AS x, (SELECT count(*) FROM b) AS y UNION ALL
+SELECT 'missing_values_total', (SELECT {{gone}} FROM corpus), (SELECT {{gone}} FROM a), (SELECT {{gone}} FROM b) UNION ALL
+SELECT 'duplicates', (SELECT count(*) FROM corpus) - (SELECT count(*) FROM (SELECT DISTINCT text, label, source FROM corpus)), (SELECT count(*) FROM a) - (SELECT count(*) FROM (SELECT DISTINCT * FROM a)), (SELECT count(*) FROM b) - (SELECT count(*) FROM (SELECT DISTINCT * FROM b)))
+SELECT metric, CAST(before AS DOUBLE) AS before, CAST(x AS DOUBLE) AS after_drop, CAST(y AS DOUBLE) AS after_constant FROM m""".replace("{gone}", "count(*) FILTER (coalesce(trim(text) = '', true)) + count(*) FILTER (coalesce(trim(label) = '', true)) + count(*) FILTER (coalesce(trim(source) = '', true))"))
+def strategies_side_by_side(spark, sf_dir):
+    """Two repair strategies over one frame, for the metrics that a reader compares."""
+    df = corpus(spark, sf_dir).persist()
+    try:
+        return profile.side_by_side(df, SIDES, ("rows", "missing_values_total", "duplicates"))
+    finally:
+        df.unpersist()
+
+
+@query(f"WITH {CORPUS} SELECT DISTINCT label AS class FROM corpus WHERE label IS NOT NULL")
+def distinct_classes(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in annotate.default_classes(corpus(spark, sf_dir))], "class string")
+
+
+@query(f"WITH {CORPUS}, w AS (SELECT label, unnest({WORDS}) AS word FROM corpus WHERE label IS NOT NULL) SELECT label, word, count(*) AS n FROM w WHERE length(word) > 2 AND NOT list_contains({_list(expr.STOP_WORDS)}, word) GROUP BY 1, 2")
+def class_word_counts(spark, sf_dir):
+    return explore.class_words(corpus(spark, sf_dir))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import expr
 from loomwright.operators import sample, setops
+from loomwright.operators.ranges import held, ranked
 from loomwright.schema import RECORD, REVIEW, ROW_ID, match_schema
 from loomwright.sources import html, json_api
 
@@ -49,6 +50,21 @@ def read_file(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: The place of a row in its files.
+PLACE = "_place"
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """df, just read from files, with the place of each row: file, begin of the part of the file, row in that part."""
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias(PLACE))
+
+
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """read_file with row numbers from 0 in source order, for fills and for "first"; those that the file has stay."""
+    df = read_file(spark, path)
+    return df if ROW_ID in df.columns else ranked(placed(df), ROW_ID, [PLACE]).drop(PLACE)
+
+
 def write_file(df: DataFrame, path: str, kind: str, single: bool = False) -> bool:
     """csv or parquet; any other format writes nothing."""
     if kind not in ("csv", "parquet"):
@@ -168,7 +184,8 @@ class Collector:
     def run(self, task: str | None = None, topic: str | None = None, sources: list[dict] | None = None) -> DataFrame:
         """Records of all sources that can be read, merged. Sources given win over those of a task or topic.
 
-        A source that fails is left out: its plan is analysed and its first row asked for before it joins the others.
+        A source that fails is left out. Each is asked once: its records are staged, and what joins the others is the
+        staged ones, in the order of sources.
         """
         output = self.config.get("output")
         if topic is not None and sources is None:
@@ -184,8 +201,8 @@ class Collector:
                 if frame is None:
                     log.warning("source %d has the unknown type %s", i, source.get("type"))
                     continue
-                frame.limit(1).count()
-                frames.append(project(frame, self.columns))
+                # Numbered as they came; the checkpoint is the one time that the source is read.
+                frames.append(held(project(frame, self.columns).withColumn(ROW_ID, F.monotonically_increasing_id())))
             except Exception as problem:  # noqa: BLE001  whatever it is, the other sources go on
                 log.warning("source %d (%s) is left out: %s", i, source.get("type"), problem)
         df = setops.merge(frames, self.spark).drop(ROW_ID)
@@ -202,7 +219,7 @@ def project(df: DataFrame, columns: list[str]) -> DataFrame:
 def read_corrections(spark: SparkSession, path: str) -> DataFrame | None:
     """The review queue as a person left it; None if there is no such file."""
     try:
-        return read_file(spark, path, REVIEW)
+        return placed(read_file(spark, path, REVIEW))
     except Exception as problem:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(problem):
             return None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,20 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def merge_into(stream: DataFrame, labelled: DataFrame, target: str, checkpoint: str):
     """Each batch of corrections, joined with the labelled rows it names by text, is written below target by its number:
-    a batch that is tried again replaces what it wrote."""
+    a batch that is tried again replaces what it wrote. Of a text that a batch has several times the correction that
+    sorts last counts; one that an earlier batch corrected already is left out."""
+    spark = labelled.sparkSession
+
+    def earlier(number: int) -> DataFrame | None:
+        try:
+            return spark.read.parquet(target).where(F.col("batch") < number).select("text")
+        except AnalysisException:  # nothing is written yet
+            return None
 
     def write(batch: DataFrame, number: int) -> None:
-        given = batch.select("text", "corrected_label").dropDuplicates(["text"])
+        given = batch.groupBy("text").agg(F.max("corrected_label").alias("corrected_label"))
+        if number and (before := earlier(number)) is not None:
+            given = given.join(before, "text", "left_anti")
         seen = labelled.where("needs_review").join(given, "text")
         merge_review(labelled.where(F.lit(False)), seen).write.mode("overwrite").parquet(f"{target}/batch={number}")
 

@@ -1,8 +1,10 @@
 """Operators on small frames: nulls, NaN, white space, ties, one class, empty frames; and properties of the repairs."""
 
+import hashlib
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def test_scalars(spark):
     assert math.isclose(one(spark, expr.entropy, p, "array<double>"), -sum(x * math.log(x + 1e-12) for x in p))
     assert math.isclose(one(spark, expr.margin, p, "array<double>"), -0.2) and one(spark, expr.margin, [1.0], "array<double>") == -1.0
     assert one(spark, lambda c: expr.clip(c, F.lit(0.0), F.lit(1.0)), None, "double") is None
-    assert one(spark, expr.content_words, "The cat is on a mat, OK") == ["cat", "mat"]
+    assert one(spark, lambda c: F.filter(expr.words(c), lambda w: expr.is_content(w)), "The cat is on a mat, OK") == ["cat", "mat"]
 
 
 def test_merge_order(spark):
@@ -230,3 +232,69 @@ def test_explore(spark):
     assert explore.histogram(df.where("x = 1"), F.col("x"), 4).first().n == 2
     words = spark.createDataFrame([("the Cat cat",), ("dog",), (None,)], "text string")
     assert [(r.word, r.n) for r in explore.top_words(words, 2).collect()] == [("cat", 2), ("dog", 1)]
+
+
+def test_exact_quantiles_and_modes(spark):
+    import random
+
+    from loomwright.operators import ranges
+
+    r = random.Random(0)
+    data = [(r.lognormvariate(0, 3), float(r.randint(0, 3)), None if i % 3 else -r.random(), float("nan") if i % 2 else 7.0, "ab"[i % 2], i) for i in range(3001)]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, s string, _row_id bigint").repartition(7)
+    got = ranges.quantiles(df, {c: F.col(c) for c in "abcd"}, (0.0, 0.25, 0.5, 0.9, 1.0))
+    for k, c in enumerate("abcd"):
+        own = np.array([x[k] for x in data if x[k] is not None and x[k] == x[k]])
+        assert np.allclose(got[c], np.quantile(own, (0.0, 0.25, 0.5, 0.9, 1.0)), rtol=1e-12), c
+    assert ranges.quantiles(df.limit(0), {"a": F.col("a")}, (0.5,)) == {"a": [None]}
+    assert ranges.mode(df, "s") == "a" and ranges.mode(df.limit(0), "s") is None
+    keys = sorted((hashlib.md5(f"{i}:42".encode()).hexdigest(), i) for i in range(3001))
+    for n in (0, 1, 17, 1500, 3000, 3001, 5000):
+        assert {x._row_id for x in df.where(sample.chosen(df, n)).collect()} == {i for _, i in keys[:n]}
+
+
+def test_fill_is_linear_and_labels_are_computed_once(spark):
+    df = spark.range(100).select(F.col("id").alias("_row_id"), F.when(F.col("id") % 7 == 3, F.col("id")).alias("x"))
+    text = clean.fill_neighbours(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in text.lower()
+    queue = annotate.review_queue(annotate.label_by_keywords(rows(spark, 10)))
+    assert queue.select("_row_id", "predicted_label", "confidence")._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_extract_all") <= 2
+
+
+def test_newton_is_the_minimum():
+    rng = np.random.default_rng(0)
+    for k in (2, 3):
+        x, y = rng.normal(size=(80, 5)), rng.integers(0, k, 80)
+        w = learn.newton(x, y, k, 0.05)
+        z = np.hstack([x, np.ones((80, 1))])
+        p = np.exp(z @ w.T)
+        p /= p.sum(axis=1, keepdims=True)
+        g = (p - np.eye(k)[y]).T @ z / 80 + np.append(np.full(5, 0.05), 0) * w
+        assert np.abs(g).max() < 1e-5
+
+
+def test_saved_model_predicts_the_same(spark, tmp_path):
+    df = learning_rows(spark)
+    model, predicted = learn.train_final(*sample.train_test(df))
+    model.save(f"{tmp_path}/m")
+    again = learn.FinalModel.load(f"{tmp_path}/m").predict(df)
+    assert {(r._row_id, r.prediction) for r in again.collect()} == {(r._row_id, r.prediction) for r in model.predict(df).collect()}
+
+
+def test_random_forest(spark):
+    df = learning_rows(spark)
+    own = features.TfIdf(200, 1, 1, 10).fit(df).transform(df)
+    model = learn.Classifier.fit(own, kind="rf")
+    assert model.predict(own).where("prediction = label").count() >= 115
+
+
+def test_side_by_side(spark):
+    df = spark.createDataFrame([(0, "a", None), (1, "a", None), (2, "b", "x")], "_row_id bigint, text string, label string")
+    got = {r.metric: r for r in profile.side_by_side(df, {"drop": {"missing": "drop"}, "fill": {"missing": "constant"}}, ("rows", "duplicates")).collect()}
+    assert (got["rows"].before, got["rows"].after_drop, got["rows"].after_fill) == (3, 1, 3) and got["duplicates"].after_fill == 1 and len(got) == 2
+
+
+def test_class_words_and_clock(spark):
+    df = spark.createDataFrame([("the cat cat", "a"), ("dog", "b"), ("dog", None)], "text string, label string")
+    assert {(r.label, r.word, r.n) for r in explore.class_words(df).collect()} == {("a", "cat", 2), ("b", "dog", 1)}
+    assert spark.range(1).select(expr.iso_now().alias("t")).first().t.endswith("+00:00")

@@ -2,6 +2,7 @@
 
 import importlib
 import json
+import shutil
 import subprocess
 import sys
 import threading
@@ -10,6 +11,7 @@ from pathlib import Path
 
 import pytest
 
+from loomwright.operators import clean
 from loomwright.plans import cli, pipeline, reports
 from loomwright.schema import REVIEW
 from loomwright.sources import collect, html, json_api
@@ -124,13 +126,13 @@ def test_reports(spark, tmp_path):
     history = lambda s, d: [{"iteration": i, "n_labeled": 50 + 20 * i, "accuracy": 0.5 + d * i, "f1": 0.4 + d * i, "strategy": s} for i in range(3)]
     results = {"entropy": history("entropy", 0.01), "random": history("random", 0.02)}
     text = Path(reports.learning_report(results, f"{tmp_path}/al.md", "now")).read_text()
-    assert "Δ accuracy: -0.0200" in text and "| 2 | 90 | 0.52 |" in text
+    assert "**Δ accuracy:** -0.0200" in text and "| 2 | 90 | 0.52 |" in text
     assert Path(reports.learning_curve(results, f"{tmp_path}/c.svg")).read_text().count("<polyline") == 4
     df = spark.createDataFrame([(1, "a text | here", "positive", "s", 0.55), (2, "b", "negative", "s", 0.9), (3, "c", "positive", "r", 0.9)], "_row_id bigint, text string, label string, source string, confidence double")
     spec = Path(reports.annotation_spec(df, f"{tmp_path}/spec.md", "sentiment_analysis")).read_text()
-    assert "### negative" in spec and "confidence=0.55" in spec and "praise" in spec
+    assert "### negative" in spec and "confidence=0.55" in spec and "praise" in spec and spec.index("## Classes") < spec.index("### negative") < spec.index("## Edge Cases")
     card = Path(reports.data_card(df, f"{tmp_path}/card.md", now="now")).read_text()
-    assert "| positive | 2 | 66.7% |" in card and "| Sources | r, s |" in card
+    assert "| positive | 2 | 66.7% |" in card and "- **Sources:** r, s" in card
     assert len(json.loads(Path(reports.export_tasks(df, f"{tmp_path}/tasks.json", array=True)).read_text())) == 3
     assert "\\|" in Path(reports.final_report({"hitl_examples": [{"text": "a|b", "auto_label": "x", "corrected_to": "y", "confidence": 0.5}]}, f"{tmp_path}/f.md")).read_text()
     assert cli.strategy("missing=median,duplicates=drop") == {"missing": "median", "duplicates": "drop"}
@@ -146,18 +148,42 @@ def test_whole_pipeline(spark, tmp_path):
         assert Path(tmp_path, name).stat().st_size > 100
 
 
-def test_contract_without_the_llm_package():
-    """The driver's module imports, and lists the library's queries, with the llm package and the pipeline taken away."""
+def test_contract_without_the_llm_package(tmp_path):
+    """In a copy without the llm folders and the pipeline, the driver's module imports and lists the library's queries."""
     root = Path(__file__).parent.parent
-    code = f"""
-import sys, importlib.util
-sys.path.insert(0, {str(root)!r})
-real = importlib.util.find_spec
-importlib.util.find_spec = lambda name, *a: None if name.startswith(("loomwright.llm", "corpus_pipeline")) else real(name, *a)
+    shutil.copytree(root / "loomwright", tmp_path / "loomwright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = """
 import __spark_entry__ as e
 assert not any(k.startswith("op") and k[2].isdigit() for k in e.queries()) and "pipeline" not in e.queries() and len(e.queries()) > 50
 assert set(e.oracle_sql()) <= set(e.queries())
 """
-    subprocess.run([sys.executable, "-c", code], check=True)
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rows_are_numbered_in_source_order(spark, tmp_path):
+    """Forward fill of a file goes by its lines, and repeated rows have numbers of their own."""
+    Path(tmp_path, "a.csv").write_text("x,y\n" + "\n".join(f"{i},{i * 2 if i % 5 == 0 else ''}" for i in range(500)) + "\n")
+    df = collect.read_numbered(spark, f"{tmp_path}/a.csv")
+    got = {r.x: r.y for r in clean.fix(df, {"missing": "ffill"}).collect()}
+    assert got == {i: i // 5 * 10 for i in range(500)}
+    twice = spark.createDataFrame([("a",), ("a",), ("b",)], "text string")
+    assert sorted(r["_row_id"] for r in pipeline.numbered(twice).collect()) == [0, 1, 2]
+
+
+def test_corrections_by_number_and_last(spark, tmp_path):
+    queue = spark.createDataFrame([("t", "p", 0.5, True, 0), ("u", "p", 0.5, True, 1)], "text string, predicted_label string, confidence double, needs_review boolean, _row_id bigint")
+    Path(tmp_path, "review_queue_corrected.csv").write_text("text,label,source,collected_at,predicted_label,confidence,needs_review,corrected_label\nt,,,,p,0.5,true,first\nt,,,,p,0.5,true,last\n")
+    final, _ = pipeline.review(queue, pipeline.Settings(out=str(tmp_path), auto=False))
+    assert {r.text: r.final_label for r in final.collect()} == {"t": "last", "u": "p"}
+
+
+def test_ingest_counts_a_text_once(spark, tmp_path):
+    Path(tmp_path, "in").mkdir()
+    spark.createDataFrame([("a", "2026-01-01T00:00:00"), ("a", "2026-01-01T00:10:00"), ("b", "2026-01-01T00:20:00")], "text string, collected_at string").coalesce(1).write.parquet(f"{tmp_path}/in/p")
+    stream = spark.readStream.schema("text string, collected_at string").parquet(f"{tmp_path}/in/p")
+    run = corrections.distinct_records(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b"]
