@@ -64,32 +64,54 @@ class TfIdf:
         return out
 
 
-#: Up to so many rows, the reduction is found in one task from the products of the rows with one another.
-FEW_ROWS = 2000
+#: Up to so many rows, the reduction is found in one task, by power iterations from a random start.
+FEW_ROWS, POWER, MORE = 20_000, 7, 10
 
 
-def _sparse_rows(batches: Iterator[pa.RecordBatch], size: int) -> np.ndarray:
-    """Rows of (indices, values) as a dense matrix."""
-    parts = []
-    for b in batches:
-        x = np.zeros((b.num_rows, size))
-        at, values = b.column(0), b.column(1)
-        row = np.repeat(np.arange(b.num_rows), at.value_lengths().to_numpy(zero_copy_only=False))
-        x[row, at.flatten().to_numpy(zero_copy_only=False)] = values.flatten().to_numpy(zero_copy_only=False)
-        parts.append(x)
-    return np.concatenate(parts) if parts else np.zeros((0, size))
+@dataclass
+class _Sparse:
+    """A sparse matrix by rows, and by columns for the product with its transpose."""
+
+    begins: np.ndarray
+    at: np.ndarray
+    x: np.ndarray
+    width: int
+
+    def transposed(self) -> _Sparse:
+        order = np.argsort(self.at, kind="stable")
+        row = np.repeat(np.arange(len(self.begins) - 1), np.diff(self.begins))
+        return _Sparse(np.searchsorted(self.at[order], np.arange(self.width + 1)), row[order], self.x[order], len(self.begins) - 1)
+
+    def dot(self, m: np.ndarray) -> np.ndarray:
+        """A few columns of m at a time, so that no more than these are spread over the entries."""
+        out = np.zeros((len(self.begins) - 1, m.shape[1]))
+        there = np.flatnonzero(np.diff(self.begins))
+        for k in range(0, m.shape[1] if len(there) else 0, 8):
+            out[there, k : k + 8] = np.add.reduceat(m[self.at, k : k + 8] * self.x[:, None], self.begins[there])
+        return out
 
 
-def _svd_in_one_task(features: DataFrame, size: int, k: int) -> np.ndarray:
-    """The first k right singular vectors, a column each; zeros where there are fewer."""
+def right_vectors(rows: _Sparse, k: int) -> np.ndarray:
+    """The first k right singular vectors, a row each; zeros where there are fewer."""
+    n, back = len(rows.begins) - 1, rows.transposed()
+    q = np.linalg.qr(rows.dot(np.random.default_rng(42).normal(size=(rows.width, min(k + MORE, n, rows.width)))))[0]
+    for _ in range(POWER):
+        q = np.linalg.qr(rows.dot(np.linalg.qr(back.dot(q))[0]))[0]
+    _, values, v = np.linalg.svd(back.dot(q).T, full_matrices=False)
+    best = np.flatnonzero(values > 1e-9 * values.max(initial=1e-300))[:k]
+    out = np.zeros((k, rows.width))
+    out[: len(best)] = v[best]
+    return out
 
+
+def _svd_in_one_task(features: DataFrame, size: int, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _sparse_rows(batches, size)
-        values, u = np.linalg.eigh(x @ x.T)
-        best = np.argsort(-values)[:k]
-        best = best[values[best] > 1e-12 * max(values.max(initial=0), 1e-300)]
-        v = np.zeros((k, size))
-        v[: len(best)] = (u[:, best] / np.sqrt(values[best])).T @ x
+        sizes, at, x = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for b in batches:
+            sizes.append(b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            at.append(b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            x.append(b.column(1).flatten().to_numpy(zero_copy_only=False))
+        v = right_vectors(_Sparse(np.cumsum(np.concatenate(sizes)), np.concatenate(at), np.concatenate(x), size), k)
         yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.list_(pa.float64()))], ["v"])
 
     inside = F.unwrap_udt("features")

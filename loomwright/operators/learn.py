@@ -273,5 +273,9 @@ class FinalModel:
 def train_final(train: DataFrame, test: DataFrame, label: str = "label") -> tuple[FinalModel, DataFrame]:
     """Features of 10000 words and pairs, 100 components, logistic regression; and the predictions for test."""
     features = TfIdf(10000, 2, 2, 100).fit(train)
-    model = FinalModel(features, Classifier.fit(features.transform(train), label, "logreg", 10.0, 2000))
+    ready = features.transform(train).select("features", label).cache()
+    try:
+        model = FinalModel(features, Classifier.fit(ready, label, "logreg", 10.0, 2000))
+    finally:
+        ready.unpersist()
     return model, model.predict(test)

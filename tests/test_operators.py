@@ -298,3 +298,14 @@ def test_class_words_and_clock(spark):
     df = spark.createDataFrame([("the cat cat", "a"), ("dog", "b"), ("dog", None)], "text string, label string")
     assert {(r.label, r.word, r.n) for r in explore.class_words(df).collect()} == {("a", "cat", 2), ("b", "dog", 1)}
     assert spark.range(1).select(expr.iso_now().alias("t")).first().t.endswith("+00:00")
+
+
+def test_right_vectors_are_those_of_the_matrix():
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((60, 40)) < 0.2, rng.normal(size=(60, 40)), 0)
+    x[7] = 0
+    at = [np.flatnonzero(r) for r in x]
+    own = features._Sparse(np.concatenate([[0], np.cumsum([len(a) for a in at])]), np.concatenate(at), x[x != 0], 40)
+    assert np.allclose(own.dot(np.eye(40)), x) and np.allclose(own.transposed().dot(np.eye(60)), x.T)
+    v = features.right_vectors(own, 5)
+    assert np.allclose(np.abs((v * np.linalg.svd(x)[2][:5]).sum(axis=1)), 1, atol=1e-3)
