@@ -10,6 +10,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 # The white space of the word and line contracts, [\x20\x09-\x0D], and A-Z with a-z.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -51,6 +52,12 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_ids(df: DataFrame, column: str) -> None:
+    """Raises where ids are no whole numbers: components are named by their smallest id, as a 64-bit number."""
+    if not isinstance(df.schema[column].dataType, IntegralType):
+        raise TypeError(f"{column} has to be a whole number, not {df.schema[column].dataType.simpleString()}; number the rows first")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() is the quick way for texts that are ASCII throughout."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

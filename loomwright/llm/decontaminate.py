@@ -116,7 +116,8 @@ def search(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows(), id_c
 
     hit has a byte for each word, 1 inside an occurrence of a window; items are the ids of items with an occurring
     window, as strings in order. Null and empty texts have no words; an item without words has no window. A null item id
-    marks words but is no item; items that share an id count once. Rows that repeat an id are judged each for itself.
+    marks words but is no item; items that share an id count once. Rows that repeat an id, and null ids, are judged each
+    for itself, texts of any length whole. Empty tables give none.
 
     The benchmark's size is looked at first: it is broadcast in as many parts as its bytes need, and documents pass
     through the parts one after another without a shuffle. How rare each of its words is, all documents say.

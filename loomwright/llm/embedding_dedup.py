@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import shared_dir, written
+from loomwright.llm.common import shared_dir, whole_ids, written
 from loomwright.llm.components import Forest, components
 
 
@@ -21,7 +21,8 @@ class Cells:
     Cells: one for about per_cell different vectors, at most max_cells, fitted on the sample_bytes of vectors (as
     doubles) with the smallest hashes. A vector lives in the cell of its nearest centroid and visits all cells whose
     centroid is nearly as near: by up to margin in cosine. Pairs are found when one visits the other's cell; of pairs
-    whose cosines with a centroid differ by more than margin some are missed (recall is measured in the tests).
+    whose cosines with a centroid differ by more than margin some are missed (recall is measured in the tests); with a
+    margin of 2 every vector visits all cells, and none is missed. Beyond per_cell * max_cells vectors cells grow.
     A cell of more than split members is compared in parts, each with each.
     """
 
@@ -163,8 +164,10 @@ def near_vectors(vectors: DataFrame, how: Cells = Cells(), id_col: str = "vec_id
     n_links: other rows linked directly. component_id: the smallest id that links lead to. kept: the row has that id.
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and so do vectors of
     different lengths. Rows with a null id link with nothing and have a null component. Equal vectors are one node that
-    counts many times, so that copies are never compared with one another. Other columns are not read.
+    counts many times, so that copies are never compared with one another; rows that repeat an id count each for itself.
+    Ids are whole numbers; other types raise. Empty tables give none. Other columns are not read.
     """
+    whole_ids(vectors, id_col)
     folder = shared_dir(vectors.sparkSession)
     single = vectors.select(vectors[vector_col].alias("v")).schema["v"].dataType.simpleString() == "array<float>"
     src = vectors.select(vectors[id_col].alias("_id"), vectors[vector_col].cast("array<float>" if single else "array<double>").alias("v"))
@@ -193,7 +196,8 @@ def near_vectors(vectors: DataFrame, how: Cells = Cells(), id_col: str = "vec_id
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     parts = components(found.where("b is not null").select("a", "b"), folder)
     named = nodes.select("h1", "h2", "node", "many").join(counts, "node", "left").join(parts, "node", "left")
+    # Rows without a vector have keys of their own, so that they don't meet in one place.
     named = written(named.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).cast("bigint").alias("n_links"), F.coalesce("component", "node").alias("component_id")), folder, "named")
-    keyed = rows.select("_id", F.when(F.col("v").isNotNull(), F.col("h1")).alias("h1"), F.when(F.col("v").isNotNull(), F.col("h2")).alias("h2"))
+    keyed = rows.select("_id", F.when(F.col("v").isNotNull(), F.col("h1")).otherwise(F.xxhash64("_id")).alias("h1"), F.when(F.col("v").isNotNull(), F.col("h2")).alias("h2"))
     out = keyed.join(named, ["h1", "h2"], "left").withColumn("component_id", F.coalesce("component_id", F.col("_id").cast("bigint")))
     return out.select(F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.col("component_id").cast("bigint"), F.coalesce(F.col("_id").cast("bigint") == F.col("component_id"), F.lit(False)).alias("kept"))

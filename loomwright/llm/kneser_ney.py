@@ -38,6 +38,8 @@ class Training:
     chunk: int = 3_000_000
     #: A context with more than 1/often of all tokens has its pairs dealt out one by one; at most so many contexts have.
     often: int = 2048
+    #: A bucket of pairs for about so many bytes of text.
+    bucket_bytes: int = 64 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -52,10 +54,10 @@ def held_out(ident, folds: int) -> bool:
     return zlib.crc32(("" if ident is None else str(ident)).encode(errors="surrogatepass")) % folds == 0
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _texts(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...] = (0, 1)) -> Iterator[tuple]:
     for b in batches:
         for at in range(0, b.num_rows, 256):
-            yield from zip(*(b.column(k).slice(at, 256).to_pylist() for k in (0, 1)))
+            yield from zip(*(b.column(k).slice(at, 256).to_pylist() for k in columns))
 
 
 def _send(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -186,9 +188,9 @@ class _Numbers(dict):
 def _blocks(rows: Iterator[tuple], tokens: int = 300_000) -> Iterator[tuple[list, list[list[bytes]]]]:
     """Ids and words of texts, some texts at a time."""
     idents, texts, n = [], [], 0
-    for ident, text in rows:
+    for ident, text, *more in rows:
         w = words(text)
-        idents.append(ident)
+        idents.append((ident, *more) if more else ident)
         texts.append(w)
         n += len(w) + 1
         if n >= tokens:
@@ -364,7 +366,9 @@ def train(docs: DataFrame, how: Training, folder: str, id_col: str = "doc_id", t
     Each pass counts chunks of tokens in the tasks and deals the counts out by bucket as compressed sorted arrays. The
     driver sees a few numbers of each bucket.
     """
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # So many that the tokens of one, at six bytes each or so, are worked on in a task's memory.
+    size = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")))).first()[0] or 0
+    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // how.bucket_bytes)
     src = docs.select(docs[id_col].cast("string").alias("_id"), docs[text_col].cast("string").alias("_text"))
     stats = _dealt(src.mapInArrow(_count_words(how, buckets), _BLOBS), buckets).mapInArrow(_save_words(folder, how.often), "bucket int, n bigint, total bigint, at array<bigint>, count array<bigint>").collect()
     sizes = [0] * buckets
@@ -387,20 +391,20 @@ def train(docs: DataFrame, how: Training, folder: str, id_col: str = "doc_id", t
 
 
 def score(docs: DataFrame, model: Model, how: Training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    src = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
+    src = docs.select(docs[id_col].cast("string").alias("_key"), docs[text_col].cast("string").alias("_text"), docs[id_col].alias("_id"))
     kind = src.schema["_id"].dataType
     n, v = model.vocabulary.total, model.vocabulary.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _Numbers(model.vocabulary)
-        for idents, texts in _blocks(_texts(batches)):
+        for idents, texts in _blocks(_texts(batches, (0, 1, 2))):
             ids, counts = numbers.read(texts)
             sizes = np.array([len(t) + 1 for t in texts])
             begin = np.cumsum(sizes) - sizes
             base = np.add.reduceat(np.log10((counts + 0.1) / (n + 0.1 * (v + 1))), begin)
             own = np.add.reduceat(model.log10(_contexts(ids, sizes, v), ids), begin)
             known = np.add.reduceat((counts > 0).astype(np.int64), begin)
-            cols = [idents_type(idents), pa.array([held_out(i, how.folds) for i in idents], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(texts), n), pa.int64()), pa.array(base), pa.array(own)]
+            cols = [idents_type([i for _, i in idents]), pa.array([held_out(k, how.folds) for k, _ in idents], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(texts), n), pa.int64()), pa.array(base), pa.array(own)]
             yield pa.RecordBatch.from_arrays(cols, ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -415,8 +419,9 @@ def perplexity_scores(docs: DataFrame, how: Training = Training(), id_col: str =
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     score is the log10 probability of the text with its end; perplexity is 10 ** (-score / n_tokens). Null and empty
-    texts have the end as their only token. A null id counts as empty text for the fold. Every row is counted and
-    scored, repeated rows each for itself. Without any training text, each token has the probability of an unknown one.
+    texts have the end as their only token. Ids of any type go by their text as Spark casts it; a null id counts as empty
+    text for the fold. Every row is counted and scored, repeated rows each for itself. Texts of any length are counted and
+    scored whole. Without any training text, each token has the probability of an unknown one. Empty tables give none.
     """
     model = train(docs, how, shared_dir(docs.sparkSession), id_col, text_col)
     return score(docs, model, how, id_col, text_col)

@@ -19,7 +19,8 @@ from loomwright.llm.common import release, shared_dir, written
 @dataclass(frozen=True)
 class CoTraining:
     """The model is fitted on at most labelled rows with labels and unlabelled ones without, those with the smallest
-    hashes of their ids. It knows at most features words and beginnings of words, those in at least min_docs rows.
+    hashes of their ids. It knows at most features words and beginnings of words, the most frequent of those in at least
+    min_docs rows; every value of lang and source is known, by one of slots columns that its hash gives it.
 
     Each of the rounds, a view gives the labels that it is confident of to the other view, at most share of the
     unlabelled rows, in the proportion of the classes. valid: the share of labelled rows on which views are calibrated
@@ -36,6 +37,7 @@ class CoTraining:
     valid: float = 0.25
     reject: float = 0.5
     prefix: int = 5
+    slots: int = 4096
 
 
 #: What the text view knows beside words: figures of the whole text, cut into bins.
@@ -217,7 +219,7 @@ def co_train(text: Rows, meta: Rows, y: np.ndarray, valid: np.ndarray, how: CoTr
 class Model:
     columns: dict[int, int]
     edges: list[list[float]]
-    meta: dict[str, dict[str, int]] = field(default_factory=dict)
+    slots: int = 4096
     size_edges: list[float] = field(default_factory=list)
     meta_width: int = 1
     heads: list[Head] = field(default_factory=list)
@@ -232,7 +234,8 @@ class Model:
         return np.concatenate([found, np.array(bins, np.int64)])
 
     def meta_row(self, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-        at = [self.meta[name][value] for name, value in (("lang", str(lang)), ("source", str(source))) if value in self.meta[name]]
+        slot = lambda value: xxhash.xxh64_intdigest(str(value).encode(errors="surrogatepass"), 3) % self.slots
+        at = [slot(lang), self.slots + slot(source)]
         return np.array([*at, self.meta_width - BINS - 1 + (int(np.searchsorted(self.size_edges, n_chars, side="right")) if n_chars is not None else BINS)], np.int64)
 
 
@@ -275,14 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining()) ->
     rows = sample.mapInArrow(narrow, f"doc_id {kind}, at array<int>, figures array<double>, lang string, source string, n_chars bigint, quality int, toxic int").toArrow().sort_by("doc_id")
     figures, sizes = rows["figures"].to_pylist(), [n for n in rows["n_chars"].to_pylist() if n is not None]
     model = Model(columns, [_quantiles([f[k] for f in figures]) for k in range(len(SHAPE))], prefix=prefix, size_edges=_quantiles(sizes))
-    width = 0
-    for name in ("lang", "source"):
-        seen: dict[str, int] = {}
-        for value in rows[name].to_pylist():
-            seen[str(value)] = seen.get(str(value), 0) + 1
-        model.meta[name] = {value: width + k for k, value in enumerate(sorted(seen, key=lambda s: (-seen[s], s))[:1024])}
-        width += len(model.meta[name])
-    model.meta_width = width + BINS + 1
+    model.slots = how.slots
+    model.meta_width = 2 * how.slots + BINS + 1
     text = Rows([model.text_row(a.values.to_numpy().astype(np.int64), f) for a, f in zip(rows["at"], figures)], model.text_width)
     meta = Rows([model.meta_row(*m) for m in zip(*(rows[c].to_pylist() for c in ("lang", "source", "n_chars")))], model.meta_width)
     ids = [str(i).encode() for i in rows["doc_id"].to_pylist()]
@@ -333,6 +330,8 @@ def classify(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining())
 
     labels: doc_id, quality (0 is bad) and toxic (1 is toxic). Rows with a null there are no labels; of repeated labels
     the worse counts. Null and empty texts are scored by the shape of an empty text and by their metadata. Without any
-    label both probabilities are even and nothing is known: every document then has 0.5 for each question.
+    label both probabilities are even and nothing is known: every document then has 0.5 for each question. Texts of any
+    length are read whole. Rows that repeat a doc_id are scored each for itself, and count each where the id is in the
+    sample; a null doc_id is scored and never in the sample. Columns of the result's names are replaced, others stay.
     """
     return score(docs, train(docs, labels, how), how)

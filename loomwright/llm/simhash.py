@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import drop_dir, release, shared_dir, written
+from loomwright.llm.common import drop_dir, release, shared_dir, whole_ids, written
 from loomwright.llm.components import Forest, components
 from loomwright.llm.hash_arrays import forget, load, mix, save
 
@@ -28,8 +28,10 @@ class SimHash:
     """shingle words make a shingle; fingerprints link at radius or fewer of 64 differing bits.
 
     Fingerprints are cut into blocks; radius differing bits leave at least blocks - radius of them equal, so that all
-    links are found among fingerprints that share that many blocks: a bucket for each choice of blocks. A bucket of more
-    than split fingerprints is compared in parts, each with each.
+    links are found among fingerprints that share that many blocks: a bucket for each choice of blocks. With more blocks
+    keys are longer, and buckets smaller, at the price of more of them: blocks is the least number, and grows with the
+    number of fingerprints (sized), so that a bucket keeps some members whatever that is. A bucket of more than split
+    fingerprints is compared in parts, each with each.
 
     With tables, texts are compared as sets of shingles instead, by a fingerprint of 64 * WORDS bits. Sets with a Jaccard
     similarity J are at most arccos(2 J / (1 + J)) apart, whatever was cut, added or replaced, so that at 0.8 a bit
@@ -52,6 +54,13 @@ class SimHash:
         assert 0 <= self.radius < 32 and (self.tables or self.radius < self.blocks)
         assert self.tables * self.key_bits <= 64 * WORDS and 64 % self.key_bits == 0
 
+    def sized(self, n: int) -> SimHash:
+        """With as many blocks as n different fingerprints need for keys of about as many bits as n has."""
+        blocks = self.blocks
+        while not self.tables and blocks < 16 and 64 * (blocks - self.radius) // blocks < n.bit_length() - 2:
+            blocks += 1
+        return replace(self, blocks=blocks)
+
     @property
     def columns(self) -> list[str]:
         """The words of the fingerprint."""
@@ -368,7 +377,8 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "do
     """id, fingerprint (16 hex digits), component_id: the smallest id that links lead to, for each row of docs.
 
     Null and empty texts have the fingerprint zero and link like any other. A row with a null id has its fingerprint and
-    a null component, and links nothing. Rows that repeat an id are rows of their own. Other columns are not read.
+    a null component, and links nothing. Rows that repeat an id are rows of their own. Ids are whole numbers; other types
+    raise. Texts of any length are read whole, some words at a time. Empty tables give none. Other columns are not read.
 
     Texts are read once, for fingerprints in a table. Equal fingerprints become one node before anything is compared,
     its number the smallest id. Buckets are dealt out by key; each task gives a spanning forest of its links, so that
@@ -376,11 +386,12 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "do
     to files that all tasks read candidates from, and are deleted when the links are known.
     """
     spark = docs.sparkSession
+    whole_ids(docs, id_col)
     folder, sets = shared_dir(spark), shared_dir(spark) if how.tables else None
     kind = docs.select(docs[id_col].alias("c")).schema["c"].dataType
     prints = written(fingerprints(docs, how, id_col, text_col, sets), folder, "prints")
     nodes = written(prints.where("_id is not null").groupBy(*how.columns).agg(F.min(F.col("_id").cast("bigint")).alias("node"), *([F.min("spot").alias("spot")] if how.tables else [])), folder, "nodes")
-    parts = components(near_links(nodes, how, folder, sets), folder)
+    parts = components(near_links(nodes, how.sized(nodes.count()), folder, sets), folder)
     if sets:
         drop_dir(spark, sets)
     named = written(nodes.join(parts, "node", "left").select(*how.columns, F.coalesce("component", "node").alias("component_id")), folder, "named")

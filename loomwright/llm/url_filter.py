@@ -34,9 +34,9 @@ class GlobAutomaton:
     self-loops on the bit before them. The bits of all patterns are packed into 64-bit words, one row of words per URL,
     and a step of the automaton handles the next byte of every URL of the block:
 
-        state = (((state << 1) | first) & has[symbol]) | (state & stays[symbol])
+        state = ((state << 1) & has[symbol]) | (state & stays[symbol])
 
-    A pattern has a virtual bit in front that stands for "nothing read yet", so that it can begin with a star.
+    A pattern has a bit in front, set at the start, that stands for "nothing read yet", so that it can begin with a star.
     """
 
     def __init__(self, patterns: list[list]):
@@ -162,8 +162,9 @@ BLOCK_ROWS, BLOCK_BYTES = 8192, 4 << 20
 def filter_urls(pages: DataFrame, rules: list[Rule], block_globs: list[str] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule, verdict for each row of pages; a narrow pass that reads two columns.
 
-    Null or empty URLs and those without "://" have empty host and path, no rule, and the verdict of the globs. Repeated
-    rows are judged each for itself. Other columns are not read and can't clash.
+    Null or empty URLs and those without "://" have empty host and path, no rule, and the verdict of the globs. URLs of
+    any length are read whole. Of rules of equal length the one given first wins. Repeated rows, and null ids, are judged
+    each for itself. Empty tables give none. Other columns are not read and can't clash.
     """
     judge = UrlFilter(list(rules), list(block_globs))
     src = pages.select(pages[id_col].alias("_id"), pages[url_col].cast("string").alias("_url"))

@@ -258,3 +258,41 @@ def test_pipeline(spark, tmp_path):
     assert kept[1] == kept[0] and kept[2] <= kept[1] and 1001 in kept[2] and kept[3] == kept[2] - {1001} and kept[4] == kept[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[4])
     assert decontaminate.words(item)[0] == b"one"
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and ids, extra columns; then nothing at all."""
+    import corpus_pipeline
+
+    docs, labels = labelled_docs(2, 300)
+    own = "doc_id bigint, text string, lang string, source string, n_chars bigint, hit int, kept_text int"
+    good = next(docs[i] for i, q, t in labels if q and not t)
+    rows = [(*d[:5], 1, 2) for d in docs] + [(None, good[1], *good[2:5], 1, 2), (None, good[1], *good[2:5], 1, 2), (None, None, None, None, None, None, None), (2000, None, None, None, None, None, None), (2001, "", "a", "s1", 0, 1, 2)]
+    rows += [(2002, " ".join(good[1].split()[::-1]), *good[2:5], 1, 2)] * 2 + [(2003, docs[0][1] * 200, "a", "s1", 1, 1, 2)]
+    for name, schema, data in (("documents", own, rows), ("labels", "doc_id bigint, quality int, toxic int, x int", [(*x, 0) for x in labels] + [(None, None, None, None)]), ("benchmark", "item_id bigint, text string, doc_id int", [(0, "never in any document at all, this one", 1), (None, None, None)])):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for frame in (spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)):
+        begin = frame.count()
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            before = frame.count()
+            stage(spark, frame, str(tmp_path)).write.mode("overwrite").parquet(f"{tmp_path}/{begin}/{k}")
+            frame = spark.read.parquet(f"{tmp_path}/{begin}/{k}")
+            ids = [r.doc_id for r in frame.select("doc_id").collect()]
+            assert len(ids) <= before
+            if k == 2 and begin:
+                assert ids.count(2002) == 1 and ids.count(None) == 2
+        assert begin == 0 or frame.count() > 150
+
+
+def test_vectors_of_repeated_ids_and_other_types(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, None), (3, [0.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 0, 3)]
+    with pytest.raises(TypeError):
+        embedding_dedup.near_vectors(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))
+
+
+def test_equal_rules_and_repeated_urls(spark):
+    rules = [url_filter.Rule("block", "a.org", "/x"), url_filter.Rule("allow", "a.org", "/x")]
+    df = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, "http://a.org/x/" + "y" * 1_000_000)], "page_id bigint, url string")
+    assert [r.verdict for r in url_filter.filter_urls(df, rules).collect()] == ["block"] * 3

@@ -371,3 +371,38 @@ def test_language_model(spark):
         assert math.isclose(x.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
         assert math.isclose(x.score, sum(math.log10(p(a, b)) for a, b in zip([None, *ws], ws)), rel_tol=1e-9)
     assert kneser_ney.perplexity_scores(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    """String ids are refused where components are named by numbers; language-model folds go by the id's text."""
+    df = spark.createDataFrame([("a", "x y"), ("b", "x y")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        simhash.near_duplicates(df)
+    real = spark.createDataFrame([(float(i), "the cat sat", 1) for i in range(60)] + [(None, "the cat", 1)] * 2, "doc_id double, text string, n_known int")
+    got = kneser_ney.perplexity_scores(real).collect()
+    assert len(got) == 62 and sum(r.n_tokens for r in got if not r.held_out) == got[0].train_tokens
+
+
+def test_more_blocks_for_more_fingerprints():
+    how = simhash.SimHash()
+    assert how.sized(1000).blocks == 6 and how.sized(1 << 22).blocks == 6
+    assert how.sized(1 << 28).blocks == 7 and how.sized(1 << 33).blocks == 8 and len(how.sized(1 << 28).keys()) == 35
+
+
+def test_licenses_of_long_and_repeated_rows(spark):
+    """Texts of a million words; rows twice; two known names for one digest: the first in order."""
+    mit = license_scan.KNOWN["MIT"]
+    df = spark.createDataFrame([(1, mit), (1, mit), (None, mit), (2, "word " * 1_000_000)], EMPTY)
+    known = spark.createDataFrame([("b", license_scan.digest(mit)), ("a", license_scan.digest(mit)), ("c", None)], "license_id string, digest string")
+    assert sorted((str(r.doc_id), str(r.license_id)) for r in license_scan.scan(df, known).collect()) == [("1", "a"), ("1", "a"), ("2", "None"), ("None", "a")]
+
+
+def test_long_texts(spark):
+    """Texts of megabytes through line dedup, decontamination and the language model."""
+    long = "\n".join(f"line {i} of a very long document" for i in range(40_000))
+    df = spark.createDataFrame([(1, long), (2, long), (3, long), (3, long)], EMPTY)
+    got = line_dedup.dedup_lines(df).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in got) == [(1, 40_000, 40_000), (2, 40_000, 40_000), (3, 40_000, 0), (3, 40_000, 0)]
+    item = spark.createDataFrame([(7, "line 39999 of a very long document")], "item_id bigint, text string")
+    assert [(r.n_words, r.n_hit) for r in decontaminate.search(df, item).collect()] == [(280_000, 7)] * 4
+    assert {r.n_tokens for r in kneser_ney.perplexity_scores(df).collect()} == {280_001}
