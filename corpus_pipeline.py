@@ -1,4 +1,10 @@
-"""From raw documents to token ids: five stages, each one operator over all that its predecessor kept."""
+"""From raw documents to token ids: five stages, each one operator over all that its predecessor kept.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and ids, extra columns (which don't go on)
+and empty tables. A null or empty text is text of no word: the classifier judges it by its shape and metadata, one of all
+such texts stays in near-dedup, it has no passage, and no token. Rows with a null id are never copies of others. Of rows
+that repeat an id, near-dedup keeps the one whose text sorts first; other stages judge each row for itself.
+"""
 
 from __future__ import annotations
 
