@@ -8,11 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, NGram, Normalizer, RegexTokenizer, StopWordsRemover
-from pyspark.ml.linalg import DenseVector, SparseVector
+from pyspark.ml.linalg import SparseVector
+from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwright.functions import expr
 from loomwright.schema import ROW_ID
@@ -55,7 +57,7 @@ class TfIdf:
         k = min(self.components or 0, max(size - 1, 0))
         if k > 0:
             if n <= FEW_ROWS:
-                out.project = _svd_in_one_task(out.sparse(df, text), size, k)
+                out.project = _svd_in_one_task(out.entries(df, text), size, k)
                 return out
             # Of many rows the only way to an uncentred SVD is RowMatrix; its solver passes over the rows many times.
             rows = out.sparse(df, text).select("features").coalesce(max(1, n // 5000)).rdd.map(lambda r: OldVectors.fromML(r[0])).cache()
@@ -114,9 +116,7 @@ def _svd_in_one_task(features: DataFrame, size: int, k: int) -> np.ndarray:
         v = right_vectors(_Sparse(np.cumsum(np.concatenate(sizes)), np.concatenate(at), np.concatenate(x), size), k)
         yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.list_(pa.float64()))], ["v"])
 
-    inside = F.unwrap_udt("features")
-    rows = features.select(inside["indices"].alias("i"), inside["values"].alias("x")).coalesce(1)
-    return np.array([r.v for r in rows.mapInArrow(run, "v array<double>").collect()]).T
+    return np.array([r.v for r in features.select("_i", "_x").coalesce(1).mapInArrow(run, "v array<double>").collect()]).T
 
 
 def _tokens(df: DataFrame, text: str, ngrams: int) -> DataFrame:
@@ -153,7 +153,19 @@ class FittedTfIdf:
         project = np.array([r.project for r in rows]) if rows and rows[0].project is not None else None
         return cls(how, CountVectorizerModel.load(f"{path}/counts"), np.array([r.idf for r in rows]), project)
 
+    def entries(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """df with _i and _x: the columns of a row that aren't zero, and its weights there, of length one; all in the JVM."""
+        counted = self.counts.transform(_tokens(df, text, self.how.ngrams))
+        inside = F.unwrap_udt("_tf")
+        idf = F.lit(np.asarray(self.idf, np.float64))
+        tf = (lambda x: 1 + F.ln(x)) if self.how.sublinear else (lambda x: x)
+        weighed = F.zip_with(inside["values"], inside["indices"], lambda x, i: tf(x) * F.get(idf, i))
+        length = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x))
+        one = expr.bound(weighed, lambda w: expr.bound(length(w), lambda n: F.transform(w, lambda x: x / n)))
+        return counted.withColumns({"_i": inside["indices"], "_x": one}).drop("_tokens", "_tf")
+
     def sparse(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """The same as vectors. Spark has no expression that makes sparse ones, so that this goes through Python row by row."""
         idf, sublinear = self.idf, self.how.sublinear
 
         def weigh(v: SparseVector) -> SparseVector:
@@ -167,19 +179,25 @@ class FittedTfIdf:
         return Normalizer(p=2.0, inputCol="_w", outputCol="features").transform(weighed).drop("_tokens", "_tf", "_w")
 
     def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
-        out = self.sparse(df, text)
         if self.project is None:
-            return out
+            return self.sparse(df, text)
         v = self.project
 
-        def reduce(x: SparseVector) -> DenseVector:
-            y = x.values @ v[x.indices]
-            norm = np.sqrt(y @ y)
-            return DenseVector(y / norm if norm > 0 else y)
+        src = self.entries(df, text)
+        own = [c for c in src.columns if c not in ("_i", "_x")]
 
-        from pyspark.ml.linalg import VectorUDT
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at, x = (b.column(b.schema.get_field_index(c)) for c in ("_i", "_x"))
+                sizes = at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                rows = _Sparse(np.concatenate([[0], np.cumsum(sizes)]), at.flatten().to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False), len(v))
+                out = rows.dot(v)
+                norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                out = np.divide(out, norm, out=out, where=norm > 0)
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in own), pa.array(list(out), pa.list_(pa.float64()))], [*own, "_v"])
 
-        return out.withColumn("features", F.udf(reduce, VectorUDT())("features"))
+        kind = T.StructType([*(src.schema[c] for c in own), T.StructField("_v", T.ArrayType(T.DoubleType()))])
+        return src.mapInArrow(run, kind).withColumn("features", array_to_vector("_v")).drop("_v")
 
 
-__all__ = ["DenseVector", "FittedTfIdf", "TfIdf", "weights"]
+__all__ = ["FittedTfIdf", "TfIdf", "weights"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import expr
-from loomwright.operators.ranges import ranked
+from loomwright.operators.ranges import by_range, ranked
 from loomwright.schema import RECORD, ROW_ID
 
 
@@ -70,8 +70,22 @@ def align(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def align_as_of(left: DataFrame, right: DataFrame, key: str, time: str, columns: list[str]) -> DataFrame:
-    """Each left row with the latest non-null columns of right at or before its time, key by key."""
+    """Each left row with the latest non-null columns of right at or before its time, key by key.
+
+    Rows are dealt out by ranges of (key, time), so that a key with very many rows spreads over ranges; what comes in from
+    the ranges before is a row for each range, of the key that it begins with.
+    """
     own = [c for c in left.columns if c not in columns]
     both = left.select(*own, *(F.lit(None).alias(c) for c in columns), F.lit(1).alias("_side")).unionByName(right.select(key, time, *columns, F.lit(0).alias("_side")), allowMissingColumns=True)
-    back = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.select(*own, "_side", *(F.last(c, ignorenulls=True).over(back).alias(c) for c in columns)).where("_side = 1").drop("_side")
+    ranged = by_range(both, key, time, "_side")
+    k = F.col(key)
+    last = ranged.groupBy("_part", key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in columns), F.max("_at").alias("_end"), F.min("_at").alias("_begin"))
+    ends = ranged.groupBy(F.col("_part").alias("_p")).agg(F.max("_at").alias("_last"), F.min("_at").alias("_first"))
+    # Of each range the first and the last key; all others begin and end inside it.
+    edge = last.join(F.broadcast(ends), (F.col("_part") == F.col("_p")) & ((F.col("_end") == F.col("_last")) | (F.col("_begin") == F.col("_first"))))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = edge.select(F.col("_part").alias("_p"), k.alias("_k"), *(F.last(c, True).over(before).alias(f"_c{i}") for i, c in enumerate(columns)))
+    back = Window.partitionBy("_part", key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.select(*own, "_side", "_part", *(F.last(c, ignorenulls=True).over(back).alias(c) for c in columns)).where("_side = 1")
+    out = inside.join(F.broadcast(carry), (F.col("_part") == F.col("_p")) & k.eqNullSafe(F.col("_k")), "left")
+    return out.select(*own, *(F.coalesce(c, f"_c{i}").alias(c) for i, c in enumerate(columns)))

@@ -309,3 +309,21 @@ def test_right_vectors_are_those_of_the_matrix():
     assert np.allclose(own.dot(np.eye(40)), x) and np.allclose(own.transposed().dot(np.eye(60)), x.T)
     v = features.right_vectors(own, 5)
     assert np.allclose(np.abs((v * np.linalg.svd(x)[2][:5]).sum(axis=1)), 1, atol=1e-3)
+
+
+def test_as_of_over_ranges(spark):
+    """A key with most rows spreads over ranges; values come in from the ranges before."""
+    import random
+
+    r = random.Random(1)
+    left = [(0 if r.random() < 0.8 else r.randint(1, 9), r.randint(0, 3000), i) for i in range(800)]
+    right = [(0 if r.random() < 0.8 else r.randint(1, 9), r.randint(0, 3000), r.random() if r.random() < 0.7 else None) for _ in range(300)]
+    a, b = spark.createDataFrame(left, "k bigint, t bigint, i bigint"), spark.createDataFrame(right, "k bigint, t bigint, v double").groupBy("k", "t").agg(F.max("v").alias("v"))
+    got = {x.i: x.v for x in setops.align_as_of(a, b, "k", "t", ["v"]).collect()}
+    known = {}
+    for k, t, v in right:
+        if v is not None:
+            known[k, t] = max(v, known.get((k, t), v))
+    for k, t, i in left:
+        before = [(s, v) for (q, s), v in known.items() if q == k and s <= t]
+        assert got[i] == (max(before)[1] if before else None)
