@@ -296,3 +296,31 @@ def test_equal_rules_and_repeated_urls(spark):
     rules = [url_filter.Rule("block", "a.org", "/x"), url_filter.Rule("allow", "a.org", "/x")]
     df = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, "http://a.org/x/" + "y" * 1_000_000)], "page_id bigint, url string")
     assert [r.verdict for r in url_filter.filter_urls(df, rules).collect()] == ["block"] * 3
+
+
+def test_quality_scores_are_those_of_the_model(spark):
+    """Each score from the fitted model by plain sums over a text's words; and rows whose labels were held out are judged right."""
+    docs, labels = labelled_docs(3)
+    shown, hidden = [x for x in labels if x[0] % 4], [x for x in labels if x[0] % 4 == 0]
+    rows = [d[:5] for d in docs] + [(None, docs[0][1], None, None, None), (7, "", "a", "s1", 0), (8000, "word " * 300_000, "b", "s9", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    marks = spark.createDataFrame(shown, "doc_id bigint, quality int, toxic int")
+    how = quality.CoTraining(labelled=500, unlabelled=300)
+    model = quality.train(df, marks, how)
+    got = [(r.doc_id, r.text, r.p_bad, r.p_toxic, r.score, r.rejected) for r in quality.score(df, model, how).collect()]
+    assert len(got) == len(rows)
+    by_text = {(i, t): (lang, source, n) for i, t, lang, source, n in rows}
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    for i, t, bad, toxic, score, rejected in got[:150] + got[-3:]:
+        w = quality.words(t)
+        at = [model.columns[h] for h in map(quality._hash, quality.tokens(w, model.prefix)) if h in model.columns]
+        at += [len(model.columns) + k * quality.BINS + sum(v >= e for e in edges) for k, (edges, v) in enumerate(zip(model.edges, quality.shape(t, w)))]
+        p = []
+        for head in model.heads:
+            x = sum(head.text[k] for k in at) + head.text[-1]
+            z = sum(head.meta[k] for k in model.meta_row(*by_text[i, t])) + head.meta[-1]
+            p.append(sigmoid(head.text_ab[0] * x + head.text_ab[1] + head.meta_ab[0] * z + head.meta_ab[1] - head.prior))
+        assert np.allclose((bad, toxic, score), (*p, (1 - p[0]) * (1 - p[1])), atol=1e-9) and rejected == (p[0] > 0.5 or p[1] > 0.5)
+    said = {i: rejected for i, *_, rejected in got}
+    right = sum(said[i] == (q == 0 or t == 1) for i, q, t in hidden)
+    assert len(hidden) > 100 and right >= 0.9 * len(hidden)
