@@ -95,8 +95,9 @@ def fit_in_one_task(known: DataFrame, label: str, width: int, c: float) -> Class
         yield pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.string())), pa.array([w], pa.list_(pa.float64()))], ["names", "w"])
 
     rows = known.select(vector_to_array("features").alias("x"), F.col(label).cast("string").alias("y")).coalesce(1)
-    row = rows.mapInArrow(run, "names array<string>, w array<double>").first()
-    if row is None or row.w is None:
+    # One row comes back. first() would stop the task before its worker is done with, and each fit would start another.
+    (row,) = rows.mapInArrow(run, "names array<string>, w array<double>").collect()
+    if row.w is None:
         return None
     context, k = known.sparkSession.sparkContext, max(len(row.names), 2)
     w = np.array(row.w).reshape(k, width + 1)
@@ -194,7 +195,7 @@ class ActiveLearner:
         if self.features is None and "features" not in labelled.columns:
             self.build_vocabulary(frames[0].unionByName(frames[1]).unionByName(frames[2]))
         labelled, pool, test = (self.featurize(f).cache() for f in frames)
-        history, chosen, spark = [], [], labelled.sparkSession
+        history, chosen, spark, begun = [], [], labelled.sparkSession, labelled.count()
         try:
             for k in range(iterations + 1):
                 ids = spark.createDataFrame([(i,) for i in chosen], f"{ROW_ID} bigint")
@@ -205,8 +206,7 @@ class ActiveLearner:
                     chosen += new
                     ids = spark.createDataFrame([(i,) for i in chosen], f"{ROW_ID} bigint")
                 self.fit(labelled.unionByName(only(pool, F.broadcast(ids))), label)
-                n = labelled.count() + len(chosen)
-                history.append({"iteration": k, "n_labeled": n, **self.evaluate(test, label), "strategy": strategy})
+                history.append({"iteration": k, "n_labeled": begun + len(chosen), **self.evaluate(test, label), "strategy": strategy})
         finally:
             for f in (labelled, pool, test):
                 f.unpersist()
