@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, decontaminate, embedding_dedup, html_extract, kneser_ney, license_scan, line_dedup, quality, simhash, url_filter
+from loomwright.llm import bpe, decontaminate, embedding_dedup, html_extract, kneser_ney, license_scan, line_dedup, merkle, quality, sentence_pieces, simhash, url_filter, whitening
 from loomwright.llm.common import LOWER, UPPER, table
 
 # The URL rules and the globs of hosts that sell or spam.
@@ -123,6 +123,63 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN marks USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, tampered=F.crc32(docs["doc_id"].cast("string")) % 5 == 0)
+
+
+#: The recursion runs over lists of the nodes of a source, and folds the path of each document step by step. DuckDB has no
+#: crc32, which is written out bit by bit.
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, lang, n_chars, text,
+    list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, c: list_reduce([xor(a, c), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc
+  FROM documents),
+f AS (SELECT r, doc_id, source, coalesce(xor(crc, 4294967295) % 5 = 0, false) AS touched,
+  list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS head,
+  coalesce(strlen(text) || ':' || text, '-') AS text, coalesce(strlen(text) || ':' || translate(text, '{UPPER}', '{LOWER}'), '-') AS lower FROM d),
+l AS (SELECT r, doc_id, source, sha256(array_to_string(head, '') || text) AS leaf,
+  CASE WHEN touched THEN sha256(array_to_string(head, '') || lower) ELSE sha256(array_to_string(head, '') || text) END AS seen FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l),
+t AS (SELECT source, 0 AS lvl, list(leaf ORDER BY idx) AS nodes FROM o GROUP BY source
+  UNION ALL SELECT source, lvl + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1:i + 16], ''))) FROM t WHERE len(nodes) > 1),
+s AS (SELECT source, lvl AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM t WHERE len(nodes) = 1),
+u AS (SELECT 0 AS lvl, list(subroot ORDER BY place) AS nodes FROM s
+  UNION ALL SELECT lvl + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1:i + 16], ''))) FROM u WHERE len(nodes) > 1),
+top AS (SELECT nodes[1] AS root FROM u WHERE len(nodes) = 1),
+up AS (
+  SELECT source, lvl, i AS parent, nodes[i * 16 + 1:i * 16 + 16] AS run FROM (SELECT *, unnest(range(0, (len(nodes) + 15) // 16)) AS i FROM t WHERE len(nodes) > 1)),
+upper AS (SELECT lvl, i AS parent, nodes[i * 16 + 1:i * 16 + 16] AS run FROM (SELECT *, unnest(range(0, (len(nodes) + 15) // 16)) AS i FROM u WHERE len(nodes) > 1)),
+walk AS (
+  SELECT o.r, o.source, 0 AS lvl, CAST(o.idx AS BIGINT) AS at, o.seen AS hash, '' AS proof, false AS high FROM o
+  UNION ALL
+  SELECT w.r, w.source, CASE WHEN w.high OR up.run IS NOT NULL THEN w.lvl + 1 ELSE 0 END,
+    CASE WHEN w.high OR up.run IS NOT NULL THEN w.at // 16 ELSE s.place END,
+    CASE WHEN coalesce(up.run, upper.run) IS NULL THEN w.hash
+      ELSE sha256(array_to_string(list_transform(coalesce(up.run, upper.run), lambda x, i: CASE WHEN i = w.at % 16 + 1 THEN w.hash ELSE x END), '')) END,
+    w.proof || coalesce(array_to_string(list_filter(coalesce(up.run, upper.run), lambda x, i: i <> w.at % 16 + 1), ''), ''),
+    w.high OR up.run IS NULL
+  FROM walk AS w JOIN s ON s.source IS NOT DISTINCT FROM w.source
+    LEFT JOIN up ON NOT w.high AND up.source IS NOT DISTINCT FROM w.source AND up.lvl = w.lvl AND up.parent = w.at // 16
+    LEFT JOIN upper ON w.high AND upper.lvl = w.lvl AND upper.parent = w.at // 16
+  WHERE NOT w.high OR upper.run IS NOT NULL),
+fin AS (SELECT r, arg_max(hash, CAST(high AS INT) * 1000 + lvl) AS hash, arg_max(proof, CAST(high AS INT) * 1000 + lvl) AS proof FROM walk GROUP BY r)
+SELECT o.doc_id, o.leaf, s.subroot, top.root, sha256(fin.proof) AS proof_sha256, fin.hash AS folded_root, fin.hash = top.root AS verified
+FROM o JOIN fin USING (r) JOIN s ON s.source IS NOT DISTINCT FROM o.source, top
+"""
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), count=8)
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentence_pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
@@ -134,5 +191,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_embedding_dedup": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_embedding_dedup": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_license_scan": license_scan.oracle(), "op11_merkle_manifest": OP11_SQL}
