@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import expr
 from loomwright.operators import profile
-from loomwright.operators.ranges import by_range, mode, quantiles, ranked
+from loomwright.operators.quantiles import quantiles
+from loomwright.operators.ranges import by_range, mode, ranked
 from loomwright.operators.setops import drop_duplicates
 from loomwright.schema import BALANCE_NAMES, ROW_ID, find_label, numbers, strings, values
 
@@ -73,19 +74,13 @@ def fill_constant(df: DataFrame, number: int = 0, text: str = "UNKNOWN") -> Data
     return out.fillna(text, subset=texts) if texts else out
 
 
-def _found(df: DataFrame, method: str) -> tuple[dict, dict]:
-    columns = profile.measures(df)
-    return columns, profile.bounds(df, columns, profile.Detector(method=method))
-
-
 def clip_outliers(df: DataFrame, method: str) -> DataFrame:
     """Numbers go to the nearer bound; texts longer than the upper one, cut off to a whole number, keep their beginning."""
-    _, found = _found(df, method)
     new = {}
-    for name, (lo, hi) in found.items():
+    for name, (lo, hi) in profile.bounds(df, profile.Detector(method=method)).items():
         if name in numbers(df):
             new[name] = expr.clip(_c(name).cast("double"), F.lit(float(lo)), F.lit(float(hi)))
-        else:
+        elif hi < 2**31:
             c = name.removesuffix("_length")
             new[c] = F.when(F.length(_c(c)) > int(hi), F.substring(_c(c), 1, int(hi))).otherwise(_c(c))
     return df.withColumns(new) if new else df
@@ -93,9 +88,8 @@ def clip_outliers(df: DataFrame, method: str) -> DataFrame:
 
 def drop_outliers(df: DataFrame, method: str) -> DataFrame:
     """Rows go that are out of the bounds in any measure; all bounds come from the frame as it was."""
-    columns, found = _found(df, method)
-    bad = F.lit(False)
-    for name, (lo, hi) in found.items():
+    columns, bad = profile.measures(df), F.lit(False)
+    for name, (lo, hi) in profile.bounds(df, profile.Detector(method=method)).items():
         bad = bad | F.coalesce((columns[name] < lo) | (~F.isnan(columns[name]) & (columns[name] > hi)), F.lit(False))
     return df.where(~bad)
 

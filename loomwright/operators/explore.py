@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import expr
-from loomwright.operators.ranges import quantiles
+from loomwright.operators import quantiles as order
+from loomwright.operators.quantiles import quantiles
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, names: list[str]) -> DataFrame:
@@ -56,6 +57,16 @@ def histogram(df: DataFrame, value, bins: int) -> DataFrame:
     return x.crossJoin(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.first(F.col("lo")).alias("_lo"), F.first(width).alias("_w")).select("bin", F.bround(F.col("_lo") + F.col("bin") * F.col("_w"), 4).alias("lower"), "n")
 
 
+def quantiles_by(df: DataFrame, column, key: str, shares: tuple[float, ...]) -> DataFrame:
+    """key, n, q: exact quantiles of a column in each group; null is a group, one without values isn't."""
+    return order.group_quantiles(df, {"x": column}, shares, (key,)).select(key, "n", "q")
+
+
+def boxes(df: DataFrame, column, key: str, reach: float = 1.5) -> tuple[DataFrame, DataFrame]:
+    """The boxes with whiskers of each group, and the points beyond them: see quantiles.boxes."""
+    return order.boxes(df, column, key, reach)
+
+
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.explode(expr.words(F.col(text))).alias("word")).where(expr.is_content(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
 

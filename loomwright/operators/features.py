@@ -7,16 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, NGram, Normalizer, RegexTokenizer, StopWordsRemover
-from pyspark.ml.linalg import SparseVector
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer, StopWordsRemover
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwright.functions import expr
+from loomwright.operators.ranges import held
 from loomwright.schema import ROW_ID
 
 
@@ -46,32 +44,30 @@ class TfIdf:
     sublinear: bool = True
 
     def fit(self, df: DataFrame, text: str = "text") -> FittedTfIdf:
-        self_ = self
-        tokens = _tokens(df, text, self_.ngrams)
-        counts = CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=self.max_features, minDF=self.min_df).fit(tokens)
-        size = len(counts.vocabulary)
-        found = IDF(inputCol="_tf", outputCol="_x").fit(counts.transform(tokens).select("_tf")) if size else None
-        n = found.numDocs if size else 0
-        idf = 1 + np.log((1 + n) / (1 + np.array(found.docFreq, float))) if size else np.ones(0)
-        out = FittedTfIdf(self, counts, idf, None)
-        k = min(self.components or 0, max(size - 1, 0))
+        return self.fit_rows(df, text)[0]
+
+    def fit_rows(self, df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> tuple[FittedTfIdf, DataFrame]:
+        """The fit, and the columns to keep with the features of the same rows.
+
+        Texts are taken apart twice: for the vocabulary (of the words in min_df rows the most frequent; equal ones in
+        order), and for the counts of each row, which are written and are all that is read from then on.
+        """
+        tokens = _tokens(df, text, self.ngrams)
+        seen = tokens.select("_tokens").mapInArrow(_term_counts, "t string, d bigint, n bigint")
+        terms = seen.groupBy("t").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).where(F.col("d") >= self.min_df).orderBy(F.desc("n"), "t").limit(self.max_features).collect()
+        counts = CountVectorizerModel.from_vocabulary([r.t for r in terms], "_tokens", "_tf") if terms else None
+        out = FittedTfIdf(self, counts, np.ones(0), None)
+        rows = held(out.counted(df.select(text, *keep), text).drop(text))
+        n = rows.count()
+        out.idf = 1 + np.log((1 + n) / (1 + np.array([r.d for r in terms], float)))
+        k = min(self.components or 0, max(len(terms) - 1, 0))
         if k > 0:
-            if n <= FEW_ROWS:
-                out.project = _svd_in_one_task(out.entries(df, text), size, k)
-                return out
-            # Of many rows the only way to an uncentred SVD is RowMatrix; its solver passes over the rows many times.
-            rows = out.sparse(df, text).select("features").coalesce(max(1, n // 5000)).rdd.map(lambda r: OldVectors.fromML(r[0])).cache()
-            out.project = RowMatrix(rows).computeSVD(k, computeU=False).V.toArray()
-            rows.unpersist()
-        return out
-
-
-#: Up to so many rows, the reduction is found in one task, by power iterations from a random start.
-FEW_ROWS, POWER, MORE = 20_000, 7, 10
+            out.project = right_vectors(out.weighed(rows).select("_i", "_x"), len(terms), k)[0].T
+        return out, out.finished(rows)
 
 
 @dataclass
-class _Sparse:
+class Sparse:
     """A sparse matrix by rows, and by columns for the product with its transpose."""
 
     begins: np.ndarray
@@ -79,10 +75,18 @@ class _Sparse:
     x: np.ndarray
     width: int
 
-    def transposed(self) -> _Sparse:
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.begins) - 1, self.width
+
+    @property
+    def T(self) -> Sparse:
+        return self.transposed()
+
+    def transposed(self) -> Sparse:
         order = np.argsort(self.at, kind="stable")
         row = np.repeat(np.arange(len(self.begins) - 1), np.diff(self.begins))
-        return _Sparse(np.searchsorted(self.at[order], np.arange(self.width + 1)), row[order], self.x[order], len(self.begins) - 1)
+        return Sparse(np.searchsorted(self.at[order], np.arange(self.width + 1)), row[order], self.x[order], len(self.begins) - 1)
 
     def dot(self, m: np.ndarray) -> np.ndarray:
         """A few columns of m at a time, so that no more than these are spread over the entries."""
@@ -93,30 +97,90 @@ class _Sparse:
         return out
 
 
-def right_vectors(rows: _Sparse, k: int) -> np.ndarray:
-    """The first k right singular vectors, a row each; zeros where there are fewer."""
-    n, back = len(rows.begins) - 1, rows.transposed()
-    q = np.linalg.qr(rows.dot(np.random.default_rng(42).normal(size=(rows.width, min(k + MORE, n, rows.width)))))[0]
-    for _ in range(POWER):
-        q = np.linalg.qr(rows.dot(np.linalg.qr(back.dot(q))[0]))[0]
-    _, values, v = np.linalg.svd(back.dot(q).T, full_matrices=False)
-    best = np.flatnonzero(values > 1e-9 * values.max(initial=1e-300))[:k]
-    out = np.zeros((k, rows.width))
-    out[: len(best)] = v[best]
-    return out
+#: Columns beside those that are wanted, and how often the block of them goes through the matrix.
+MORE, PASSES = 10, 6
+#: Numbers that one row of partial sums has at most.
+BLOCK = 1 << 18
 
 
-def _svd_in_one_task(features: DataFrame, size: int, k: int) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, at, x = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+def sparse_rows(b: pa.RecordBatch, width: int, at: str = "_i", x: str = "_x") -> Sparse:
+    i, v = (b.column(b.schema.get_field_index(c)) for c in (at, x))
+    sizes = i.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return Sparse(np.concatenate([[0], np.cumsum(sizes)]), i.flatten().to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False), width)
+
+
+def gram_product(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """A' A q for the sparse matrix A whose rows are (_i, _x). Each task adds up its rows' share, batch by batch; shares
+    are cut into blocks of columns of A, and a task for each block adds them up."""
+    width, many = q.shape
+    step = max(1, BLOCK // max(many, 1))
+    blocks = -(-width // step)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = None
         for b in batches:
-            sizes.append(b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            at.append(b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-            x.append(b.column(1).flatten().to_numpy(zero_copy_only=False))
-        v = right_vectors(_Sparse(np.cumsum(np.concatenate(sizes)), np.concatenate(at), np.concatenate(x), size), k)
-        yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.list_(pa.float64()))], ["v"])
+            if b.num_rows:
+                a = sparse_rows(b, width)
+                z = (0 if z is None else z) + a.transposed().dot(a.dot(q))
+        for k in range(blocks) if z is not None else ():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([z[k * step : (k + 1) * step].ravel()], pa.list_(pa.float64()))], ["block", "z"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, z in zip(b.column(0).to_pylist(), b.column(1)):
+                sums[k] = sums.get(k, 0) + z.values.to_numpy()
+        for k, z in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([z], pa.list_(pa.float64()))], ["block", "z"])
+
+    kind = "block bigint, z array<double>"
+    out = np.zeros((width, many))
+    found = rows.mapInArrow(part, kind).repartition(blocks, "block").mapInArrow(add, kind).toArrow()
+    for k, z in zip(found.column("block").to_pylist(), found.column("z")):
+        out[k * step : (k + 1) * step] = z.values.to_numpy().reshape(-1, many)
+    return out
+
 
-    return np.array([r.v for r in features.select("_i", "_x").coalesce(1).mapInArrow(run, "v array<double>").collect()]).T
+def right_vectors(rows: DataFrame, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first k right singular vectors of the matrix whose rows are (_i, _x), a row each, and the singular values;
+    zeros where there are fewer. The entry of each vector that is largest without its sign is positive.
+
+    A block of random columns goes through A' A again and again; what that spans, the blocks orthogonal to each other, has
+    the singular vectors very nearly. The driver holds width * (k + MORE) * PASSES numbers, whatever the number of rows.
+    """
+    start = np.random.default_rng(42).normal(size=(width, min(k + MORE, width)))
+    block, basis, image, scale = np.linalg.qr(start)[0], np.zeros((width, 0)), np.zeros((width, 0)), 0.0
+    for _ in range(PASSES):
+        z = gram_product(rows, block)
+        scale = max(scale, float(np.linalg.norm(z)))
+        basis, image = np.hstack([basis, block]), np.hstack([image, z])
+        if basis.shape[1] >= width or not scale:
+            break
+        for _ in range(2):
+            z = z - basis @ (basis.T @ z)
+        u, s, _ = np.linalg.svd(z, full_matrices=False)
+        block = u[:, s > 1e-12 * scale][:, : width - basis.shape[1]]
+        if not block.shape[1]:
+            break
+    h = basis.T @ image
+    values, own = np.linalg.eigh((h + h.T) / 2)
+    best = [i for i in np.argsort(-values)[:k] if values[i] > 1e-12 * max(scale, 1e-300)]
+    v = (basis @ own[:, best]).T
+    v *= np.sign(np.take_along_axis(v, np.abs(v).argmax(axis=1)[:, None], axis=1))
+    out, sizes = np.zeros((k, width)), np.zeros(k)
+    out[: len(best)], sizes[: len(best)] = v, np.sqrt(values[best])
+    return out, sizes
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each term of a batch in how many rows it is (d), and how often (n)."""
+    for b in batches:
+        own = b.column(0)
+        codes = own.flatten().dictionary_encode()
+        at, many = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(codes.dictionary)
+        row = np.repeat(np.arange(b.num_rows), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        rows = np.bincount(np.unique(row * max(many, 1) + at) % max(many, 1), minlength=many)
+        yield pa.RecordBatch.from_arrays([codes.dictionary, pa.array(rows[:many], pa.int64()), pa.array(np.bincount(at, minlength=many)[:many], pa.int64())], ["t", "d", "n"])
 
 
 def _tokens(df: DataFrame, text: str, ngrams: int) -> DataFrame:
@@ -140,7 +204,8 @@ class FittedTfIdf:
 
     def save(self, path: str) -> None:
         spark, how = SparkSession.active(), self.how
-        self.counts.write().overwrite().save(f"{path}/counts")
+        if self.counts is not None:
+            self.counts.write().overwrite().save(f"{path}/counts")
         rows = [(i, float(x), self.project[i].tolist() if self.project is not None else None) for i, x in enumerate(self.idf)]
         spark.createDataFrame(rows, "i int, idf double, project array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
         spark.createDataFrame([(how.max_features, how.ngrams, how.min_df, how.components, how.sublinear)], _HOW).coalesce(1).write.mode("overwrite").json(f"{path}/how")
@@ -151,53 +216,50 @@ class FittedTfIdf:
         how = TfIdf(**spark.read.schema(_HOW).json(f"{path}/how").first().asDict())
         rows = spark.read.parquet(f"{path}/weights").orderBy("i").collect()  # a row for each word of the vocabulary
         project = np.array([r.project for r in rows]) if rows and rows[0].project is not None else None
-        return cls(how, CountVectorizerModel.load(f"{path}/counts"), np.array([r.idf for r in rows]), project)
+        return cls(how, CountVectorizerModel.load(f"{path}/counts") if rows else None, np.array([r.idf for r in rows]), project)
 
-    def entries(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """df with _i and _x: the columns of a row that aren't zero, and its weights there, of length one; all in the JVM."""
-        counted = self.counts.transform(_tokens(df, text, self.how.ngrams))
+    def counted(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """df with _i and _c: the terms of the vocabulary that a row has, and how often."""
+        if self.counts is None:
+            return df.withColumns({"_i": F.array().cast("array<int>"), "_c": F.array().cast("array<double>")})
         inside = F.unwrap_udt("_tf")
+        return self.counts.transform(_tokens(df, text, self.how.ngrams)).withColumns({"_i": inside["indices"], "_c": inside["values"]}).drop("_tokens", "_tf")
+
+    def weighed(self, counted: DataFrame) -> DataFrame:
+        """_c becomes _x: the weights of the terms, rows of length one; all in the JVM."""
         idf = F.lit(np.asarray(self.idf, np.float64))
         tf = (lambda x: 1 + F.ln(x)) if self.how.sublinear else (lambda x: x)
-        weighed = F.zip_with(inside["values"], inside["indices"], lambda x, i: tf(x) * F.get(idf, i))
+        weights = F.zip_with("_c", "_i", lambda x, i: tf(x) * F.get(idf, i))
         length = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x))
-        one = expr.bound(weighed, lambda w: expr.bound(length(w), lambda n: F.transform(w, lambda x: x / n)))
-        return counted.withColumns({"_i": inside["indices"], "_x": one}).drop("_tokens", "_tf")
-
-    def sparse(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """The same as vectors. Spark has no expression that makes sparse ones, so that this goes through Python row by row."""
-        idf, sublinear = self.idf, self.how.sublinear
-
-        def weigh(v: SparseVector) -> SparseVector:
-            tf = 1 + np.log(v.values) if sublinear else v.values
-            return SparseVector(v.size, v.indices, tf * idf[v.indices])
+        return counted.withColumn("_x", expr.bound(weights, lambda w: expr.bound(length(w), lambda n: F.transform(w, lambda x: x / n)))).drop("_c")
 
-        from pyspark.ml.linalg import VectorUDT
-
-        counted = self.counts.transform(_tokens(df, text, self.how.ngrams))
-        weighed = counted.withColumn("_w", F.udf(weigh, VectorUDT())("_tf"))
-        return Normalizer(p=2.0, inputCol="_w", outputCol="features").transform(weighed).drop("_tokens", "_tf", "_w")
-
-    def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
-        if self.project is None:
-            return self.sparse(df, text)
-        v = self.project
+    def entries(self, df: DataFrame, text: str = "text") -> DataFrame:
+        return self.weighed(self.counted(df, text))
 
-        src = self.entries(df, text)
-        own = [c for c in src.columns if c not in ("_i", "_x")]
+    def finished(self, counted: DataFrame) -> DataFrame:
+        """Counted rows with features: sparse weights, or what they are projected on, of length one. In Arrow batches, as
+        Spark has no expression that makes sparse vectors."""
+        src, v = self.weighed(counted), self.project
+        own, width = [c for c in src.columns if c not in ("_i", "_x")], len(self.idf)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at, x = (b.column(b.schema.get_field_index(c)) for c in ("_i", "_x"))
-                sizes = at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                rows = _Sparse(np.concatenate([[0], np.cumsum(sizes)]), at.flatten().to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False), len(v))
-                out = rows.dot(v)
-                norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-                out = np.divide(out, norm, out=out, where=norm > 0)
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in own), pa.array(list(out), pa.list_(pa.float64()))], [*own, "_v"])
-
-        kind = T.StructType([*(src.schema[c] for c in own), T.StructField("_v", T.ArrayType(T.DoubleType()))])
-        return src.mapInArrow(run, kind).withColumn("features", array_to_vector("_v")).drop("_v")
+                n, a = b.num_rows, sparse_rows(b, width)
+                if v is None:
+                    parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, width, np.int32)), b.column(b.schema.get_field_index("_i")), b.column(b.schema.get_field_index("_x"))]
+                else:
+                    x = a.dot(v)
+                    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    x = np.divide(x, norm, out=x, where=norm > 0)
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+                    parts = [pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), flat]
+                vectors = pa.StructArray.from_arrays(parts, names=["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in own), vectors], [*own, "features"])
+
+        return src.mapInArrow(run, T.StructType([*(src.schema[c] for c in own), T.StructField("features", VectorUDT())]))
+
+    def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
+        return self.finished(self.counted(df, text))
 
 
 __all__ = ["FittedTfIdf", "TfIdf", "weights"]

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from loomwright.functions import expr
-from loomwright.operators.ranges import quantiles
-from loomwright.operators.setops import drop_duplicates
+from loomwright.operators import quantiles as order
+from loomwright.operators.setops import digest
 from loomwright.schema import BALANCE_NAMES, ROW_ID, find_label, numbers, strings, values
 
 
@@ -38,61 +38,62 @@ def missing(df: DataFrame) -> DataFrame:
     return out.where("count > 0")
 
 
-def duplicates(df: DataFrame) -> DataFrame:
-    """count and percent of rows that repeat an earlier one in all columns; nulls are equal."""
-    n = df.agg(F.count("*").alias("n"))
-    kept = drop_duplicates(df.select(*map(_c, values(df)))).agg(F.count("*").alias("kept"))
-    return n.crossJoin(F.broadcast(kept)).select((F.col("n") - F.col("kept")).alias("count"), expr.percent(F.col("n") - F.col("kept"), F.col("n"), 2).alias("percent"))
+def duplicates(df: DataFrame, how_many: bool = False) -> DataFrame:
+    """count and percent of rows that repeat an earlier one in all columns; nulls are equal; with how_many also rows.
+
+    Rows meet by a digest of their columns, so that texts stay where they are.
+    """
+    kept = df.groupBy(digest(df)).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("kept"))
+    return kept.select((F.col("rows") - F.col("kept")).alias("count"), expr.percent(F.col("rows") - F.col("kept"), F.col("rows"), 2).alias("percent"), *(["rows"] if how_many else []))
 
 
 def measures(df: DataFrame) -> dict[str, Column]:
-    """What outliers are looked for in: numeric columns, and lengths of string columns with a median length above 10."""
-    out = {c: _c(c).cast("double") for c in numbers(df)}
-    own = strings(df)
-    if own:
-        medians = quantiles(df, {c: F.length(_c(c)) for c in own}, (0.5,))
-        out |= {f"{c}_length": F.length(_c(c)).cast("double") for c in own if medians[c][0] is not None and medians[c][0] > 10}
-    return out
+    """What outliers may be looked for in: numeric columns, and lengths of string columns (see limits)."""
+    return {c: _c(c).cast("double") for c in numbers(df)} | {f"{c}_length": F.length(_c(c)).cast("double") for c in strings(df)}
+
 
+def limits(df: DataFrame, how: Detector = Detector()) -> list[Row]:
+    """column, lower, upper, outside (how many values are beyond), n of each measure with at least three different values;
+    of string columns only those with a median length above 10. A row for each column comes back.
 
-def bounds(df: DataFrame, columns: dict[str, Column], how: Detector) -> dict[str, tuple[float, float]]:
-    """lower and upper bound of each measure with at least three different values."""
+    The values are written once, without the texts; sketch, exact quartiles and counts are taken from them.
+    """
+    columns = measures(df)
     if not columns:
-        return {}
-    aggs, exact = [], quantiles(df, columns, (0.25, 0.75)) if how.method == "iqr" and not how.approx else {}
-    for i, (name, c) in enumerate(columns.items()):
-        x = F.when(~F.isnan(c), c)
-        if how.method == "iqr":
-            q = F.percentile_approx(x, [0.25, 0.75], 10000) if how.approx else F.lit([0.0 if v is None else v for v in exact[name]])
-            aggs += [F.any_value(q).alias(f"a{i}"), F.lit(0.0).alias(f"b{i}")] if not how.approx else [q.alias(f"a{i}"), F.lit(0.0).alias(f"b{i}")]
-        else:
-            aggs += [F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"b{i}")]
-        # Three different values are enough to know: minimum, maximum, and anything between.
-        aggs.append(F.struct(F.min(x), F.max(x)).alias(f"r{i}"))
-    row = df.agg(*aggs).first()
-    between = [F.max(F.when(~F.isnan(c) & (c > F.lit(r[0])) & (c < F.lit(r[1])), 1)).alias(f"t{i}") for i, c in enumerate(columns.values()) if (r := row[f"r{i}"])[0] is not None and r[0] < r[1]]
-    third = df.agg(*between).first().asDict() if between else {}
-    out = {}
-    for i, name in enumerate(columns):
-        if third.get(f"t{i}"):
-            a, b = row[f"a{i}"], row[f"b{i}"]
-            out[name] = (a[0] - how.iqr_k * (a[1] - a[0]), a[1] + how.iqr_k * (a[1] - a[0])) if how.method == "iqr" else (a - how.zscore * b, a + how.zscore * b)
-    return out
+        return []
+    rows = order.measured(df, columns)
+    if how.method == "iqr" and how.approx:
+        q = rows.groupBy("column").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.percentile_approx("x", [0.25, 0.5, 0.75], 10000).alias("q"))
+    else:
+        q = order.settle(rows, (0.25, 0.5, 0.75), ("column",))
+    if how.method == "iqr":
+        far = how.iqr_k * (F.col("q")[2] - F.col("q")[0])
+        lo, hi = F.col("q")[0] - far, F.col("q")[2] + far
+    else:
+        q = q.join(rows.groupBy("column").agg(F.avg("x").alias("_m"), F.stddev_samp("x").alias("_s")), "column")
+        lo, hi = F.col("_m") - how.zscore * F.col("_s"), F.col("_m") + how.zscore * F.col("_s")
+    texts = [f"{c}_length" for c in strings(df)]
+    q = q.where(~F.col("column").isin(texts) | (F.col("q")[1] > 10)) if texts else q
+    # A bound that is no number, as between infinities, bounds nothing.
+    lo, hi = (F.when(~F.isnan(b), b) for b in (lo, hi))
+    both = rows.join(F.broadcast(q.select("column", "n", "least", "most", lo.alias("lower"), hi.alias("upper"))), "column")
+    x, facts = F.col("x"), ["column", "n", "lower", "upper"]
+    beyond = F.count(F.when((x < F.col("lower")) | (x > F.col("upper")), 1))
+    found = both.groupBy(*facts).agg(beyond.alias("outside"), F.count(F.when((x > F.col("least")) & (x < F.col("most")), 1)).alias("_between"))
+    known = {r["column"]: r for r in found.where("_between > 0").collect()}
+    return [known[c] for c in columns if c in known]
+
+
+def bounds(df: DataFrame, how: Detector = Detector()) -> dict[str, tuple[float, float]]:
+    """lower and upper bound of each measure that has any."""
+    return {r["column"]: (r["lower"], r["upper"]) for r in limits(df, how) if r["lower"] is not None and r["upper"] is not None}
 
 
 def outliers(df: DataFrame, how: Detector = Detector()) -> DataFrame:
     """column, method, count, percent (of values there), lower_bound, upper_bound of measures with outliers."""
-    columns = measures(df)
-    found = bounds(df, columns, how)
-    schema = "column string, method string, count bigint, percent double, lower_bound double, upper_bound double"
-    if not found:
-        return df.sparkSession.createDataFrame([], schema)
-    aggs = []
-    for i, (name, (lo, hi)) in enumerate(found.items()):
-        c = columns[name]
-        aggs += [F.count(F.when((c < lo) | (~F.isnan(c) & (c > hi)), 1)).alias(f"o{i}"), F.count(F.when(c.isNotNull() & ~F.isnan(c), 1)).alias(f"n{i}")]
-    facts = [F.struct(F.lit(name).alias("column"), F.lit(how.method).alias("method"), F.col(f"o{i}").alias("count"), expr.percent(F.col(f"o{i}"), F.col(f"n{i}"), 2).alias("percent"), F.bround(F.lit(float(lo)), 4).alias("lower_bound"), F.bround(F.lit(float(hi)), 4).alias("upper_bound")) for i, (name, (lo, hi)) in enumerate(found.items())]
-    return df.agg(*aggs).select(F.inline(F.array(*facts))).where("count > 0")
+    rows = [(r["column"], how.method, r["outside"], r["n"], r["lower"], r["upper"]) for r in limits(df, how) if r["outside"]]
+    out = df.sparkSession.createDataFrame(rows, "column string, method string, count bigint, n bigint, lower double, upper double")
+    return out.select("column", "method", "count", expr.percent(F.col("count"), F.col("n"), 2).alias("percent"), F.bround("lower", 4).alias("lower_bound"), F.bround("upper", 4).alias("upper_bound"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -113,9 +114,9 @@ def imbalance(df: DataFrame, how: Detector = Detector(), column: str | None = No
 def detect(df: DataFrame, how: Detector = Detector()) -> dict:
     """The whole report as a dictionary; what it holds is bounded by the number of columns and classes."""
     column = find_label(df, BALANCE_NAMES) or next(iter(strings(df)), None)
-    dup, balance = duplicates(df).first(), imbalance(df, how).first()
+    dup, balance = duplicates(df, how_many=True).first(), imbalance(df, how).first()
     return {
-        "shape": {"rows": df.count(), "columns": len(values(df))},
+        "shape": {"rows": dup["rows"], "columns": len(values(df))},
         "missing": {r["column"]: {"count": r["count"], "percent": r["percent"]} for r in missing(df).collect()},
         "duplicates": {"count": dup["count"], "percent": dup["percent"]},
         "outliers": [r.asDict() for r in outliers(df, how).collect()],
@@ -127,9 +128,9 @@ def metrics(df: DataFrame, how: Detector = Detector(), label: str | None = None)
     """metric, value: the figures of a report as rows, a few for each column. They are computed here and now, in one pass for
     each kind of problem, so that a frame may be let go of afterwards."""
     gone = {r["column"]: r["count"] for r in missing(df).collect()}
-    dup, odd, balance = duplicates(df).first(), outliers(df, how).collect(), imbalance(df, how, label).first()
-    rows = [("rows", df.count()), ("columns", len(values(df))), ("missing_values_total", sum(gone.values())), *((f"missing_{c}", n) for c, n in gone.items())]
-    rows += [("duplicates", dup["count"]), ("outliers_total", sum(r["count"] for r in odd)), *([("imbalance_ratio", balance["imbalance_ratio"])] if balance else [])]
+    dup, odd, balance = duplicates(df, how_many=True).first(), limits(df, how), imbalance(df, how, label).first()
+    rows = [("rows", dup["rows"]), ("columns", len(values(df))), ("missing_values_total", sum(gone.values())), *((f"missing_{c}", n) for c, n in gone.items())]
+    rows += [("duplicates", dup["count"]), ("outliers_total", sum(r["outside"] for r in odd)), *([("imbalance_ratio", balance["imbalance_ratio"])] if balance else [])]
     return df.sparkSession.createDataFrame([(k, float(v)) for k, v in rows], "metric string, value double")
 
 

@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
+
+
+_FALLBACK: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; it goes when the JVM ends.
+
+    Only where the session names no folder, and driver and tasks are one process (tests), a temporary one is taken.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    if not base:
+        base = _FALLBACK.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="loomwright-"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/held-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString()
 
 
 def held(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in the folder that spark.checkpoint.dir names, which executors share.
+    """df written once as Parquet in a shared folder, and read back: what is read twice is the same both times.
 
     Bounds of ranges are sampled anew by each run of a plan; two uses of one plan may not agree about them otherwise.
-    Only where the session names no folder, and driver and tasks are one process (tests), a temporary one is set.
+    Columns that have no type stay null.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwright-"))
-    return df.checkpoint()
+    own = [f.name for f in df.schema if not isinstance(f.dataType, NullType)]
+    some, path = df.select(*(F.col(f"`{c}`") for c in own)), f"{shared_folder(df.sparkSession)}/rows"
+    some.write.parquet(path)
+    back = df.sparkSession.read.schema(some.schema).parquet(path)
+    return back.select(*(F.col(f"`{c}`") if c in own else F.lit(None).alias(c) for c in df.columns))
 
 
 def by_range(df: DataFrame, *order: str) -> DataFrame:
@@ -47,49 +66,6 @@ def ranked(df: DataFrame, name: str, order: list[str], group: str | None = None)
     return ranged.join(F.broadcast(begin), same).withColumn(name, F.col("_begin") + F.col("_at")).select(*df.columns, name)
 
 
-#: Bins a round for each interval in which a quantile lies.
-BINS = 1024
-
-
-def quantiles(df: DataFrame, columns: dict[str, Column], shares: tuple[float, ...]) -> dict[str, list[float | None]]:
-    """The exact quantiles of each column at the shares, interpolated between neighbours; nulls and NaN don't count.
-
-    Rounds of counts: each interval that a wanted rank lies in is cut into BINS, the bin with the rank becomes the next
-    interval, from its smallest to its largest value, until that is one value. A round is one pass for all columns and
-    shares, adds up in the tasks, and gives the driver BINS rows for each interval at most.
-    """
-    names = list(columns)
-    x = {c: F.when(~F.isnan(columns[c].cast("double")), columns[c].cast("double")) for c in names}
-    own = df.select(*(x[c].alias(f"x{i}") for i, c in enumerate(names)))
-    row = own.agg(*(f(f"x{i}").alias(f"{k}{i}") for i in range(len(names)) for k, f in (("n", F.count), ("a", F.min), ("b", F.max)))).first()
-    wanted, value, active = {}, {}, []
-    for i in range(len(names)):
-        if n := row[f"n{i}"]:
-            wanted[i] = [p * (n - 1) for p in shares]
-            active.append((i, row[f"a{i}"], row[f"b{i}"], 0, sorted({k for r in wanted[i] for k in (math.floor(r), math.ceil(r))})))
-    while active:
-        open_ = []
-        for i, lo, hi, before, ranks in active:
-            if lo == hi:
-                value |= {(i, k): lo for k in ranks}
-            else:
-                open_.append((i, lo, hi, before, ranks))
-        if not open_:
-            break
-        # Halves before the difference, so that it can't be infinite.
-        at = lambda v, lo, hi: F.least(F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * BINS), F.lit(BINS - 1)).cast("int")
-        structs = [F.when(F.col(f"x{i}").between(lo, hi), F.struct(F.lit(k).alias("k"), at(F.col(f"x{i}"), lo, hi).alias("bin"), F.col(f"x{i}").alias("x"))) for k, (i, lo, hi, _, _) in enumerate(open_)]
-        rows = own.select(F.explode(F.array_compact(F.array(*structs))).alias("s")).groupBy("s.k", "s.bin").agg(F.count("*").alias("n"), F.min("s.x").alias("lo"), F.max("s.x").alias("hi")).collect()
-        active = []
-        for k, (i, _, _, before, ranks) in enumerate(open_):
-            for r in sorted((r for r in rows if r.k == k), key=lambda r: r.bin):
-                if inside := [rank for rank in ranks if before <= rank < before + r.n]:
-                    active.append((i, r.lo, r.hi, before, inside))
-                before += r.n
-    between = lambda i, r: value[i, math.floor(r)] + (r - math.floor(r)) * (value[i, math.ceil(r)] - value[i, math.floor(r)]) if r > math.floor(r) else value[i, int(r)]
-    return {c: [between(i, r) for r in wanted[i]] if i in wanted else [None] * len(shares) for i, c in enumerate(names)}
-
-
 def mode(df: DataFrame, column: str):
     """The smallest of the most frequent values; null if there is none. Values are counted apart, never in one place."""
     counts = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("v")).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import expr
 from loomwright.operators import annotate, clean, evaluate, explore, features, learn, profile, sample, setops
-from loomwright.operators.ranges import ranked
+from loomwright.operators.ranges import held, ranked
 from loomwright.schema import ROW_ID
 from loomwright.sources import html, json_api
 
@@ -141,6 +141,21 @@ def align_as_of_time(spark, sf_dir):
     return setops.align_as_of(orders, events, "user_key", "ts", ["value"]).select("user_key", "o_orderkey", "value")
 
 
+@query("""WITH l AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'error'), r AS (SELECT event_id AS near_id, user_id, ts, value AS near_value FROM events WHERE event_type = 'view'),
+rb AS (SELECT user_id, ts, max(near_id) AS near_id FROM r GROUP BY ALL), ra AS (SELECT user_id, ts, min(near_id) AS near_id FROM r GROUP BY ALL),
+b AS (SELECT l.*, rb.near_id AS b, epoch_us(rb.ts) / 1e6 - epoch_us(l.ts) / 1e6 AS bg FROM l ASOF LEFT JOIN rb ON l.user_id = rb.user_id AND l.ts >= rb.ts),
+a AS (SELECT b.*, ra.near_id AS a, epoch_us(ra.ts) / 1e6 - epoch_us(b.ts) / 1e6 AS ag FROM b ASOF LEFT JOIN ra ON b.user_id = ra.user_id AND b.ts < ra.ts),
+m AS (SELECT event_id, user_id, ts, value, CASE WHEN coalesce(ag <= 21600, false) AND (NOT coalesce(-bg <= 21600, false) OR ag < -bg) THEN a WHEN coalesce(-bg <= 21600, false) THEN b END AS near_id FROM a)
+SELECT m.event_id, m.user_id, m.ts, m.value, m.near_id, r.near_value, round(epoch_us(r.ts) / 1e6 - epoch_us(m.ts) / 1e6, 3) AS gap FROM m LEFT JOIN r USING (near_id)
+UNION ALL SELECT NULL, user_id, ts, NULL, near_id, near_value, NULL FROM r WHERE near_id NOT IN (SELECT near_id FROM m WHERE near_id IS NOT NULL)""")
+def align_nearest_events(spark, sf_dir):
+    """Each error with the nearest view of its user within six hours, before or after; views that belong to no error stay."""
+    events = table(spark, sf_dir, "events")
+    errors = events.where("event_type = 'error'").select("event_id", "user_id", "ts", "value")
+    views = events.where("event_type = 'view'").select(F.col("event_id").alias("near_id"), "user_id", "ts", F.col("value").alias("near_value"))
+    return setops.align_nearest(errors, views, "user_id", "ts", "near_id", ["near_value"], 21600).withColumn("gap", F.round("gap", 3))
+
+
 @query(f"WITH {CORPUS} SELECT _row_id - (SELECT min(_row_id) FROM corpus) AS _row_id, label FROM corpus WHERE (SELECT count(*) FROM corpus) = (SELECT max(_row_id) - min(_row_id) + 1 FROM corpus)")
 def reindex_rows(spark, sf_dir):
     return setops.reindex(corpus(spark, sf_dir).select(ROW_ID, "label"))
@@ -404,6 +419,36 @@ def length_histogram(spark, sf_dir):
     return explore.histogram(table(spark, sf_dir, "documents"), F.length("text"), 50)
 
 
+BOXES = f"""{CORPUS}, v AS (SELECT label, CAST(length(text) AS DOUBLE) AS x FROM corpus WHERE label IS NOT NULL AND text IS NOT NULL),
+q AS (SELECT label, count(*) AS n, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3 FROM v GROUP BY label),
+o AS (SELECT label, x, x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1) AS far FROM v JOIN q USING (label))"""
+
+
+@query(f"WITH {BOXES} SELECT label, any_value(n) AS n, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3, least(min(x) FILTER (NOT far), any_value(q1)) AS lower, greatest(max(x) FILTER (NOT far), any_value(q3)) AS upper, count(*) FILTER (far) AS n_outliers FROM o JOIN q USING (label) GROUP BY label")
+def boxplot_by_class(spark, sf_dir):
+    return explore.boxes(corpus(spark, sf_dir), F.length("text"), "label")[0]
+
+
+@query(f"WITH {BOXES} SELECT label, x FROM o WHERE far")
+def boxplot_points_by_class(spark, sf_dir):
+    return explore.boxes(corpus(spark, sf_dir), F.length("text"), "label")[1]
+
+
+_GROUPED = ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) AS q{k}" for k, p in enumerate((0.01, 0.5, 0.99)))
+
+
+@query(f"SELECT l_suppkey, count(l_extendedprice) AS n, {_GROUPED} FROM lineitem GROUP BY l_suppkey")
+def quantiles_by_supplier(spark, sf_dir):
+    """Many groups, each settled exactly."""
+    got = explore.quantiles_by(table(spark, sf_dir, "lineitem"), F.col("l_extendedprice"), "l_suppkey", (0.01, 0.5, 0.99))
+    return got.select("l_suppkey", "n", *(F.round(F.col("q")[k], 6).alias(f"q{k}") for k in range(3)))
+
+
+@query(f"WITH {LABELLED} SELECT CAST(least(floor((confidence - lo) / w), 19) AS INT) AS bin, round_even(lo + least(floor((confidence - lo) / w), 19) * w, 4) AS lower, count(*) AS n FROM labelled, (SELECT min(confidence) AS lo, (max(confidence) - min(confidence)) / 20 AS w FROM labelled) GROUP BY 1, 2")
+def confidence_histogram(spark, sf_dir):
+    return explore.histogram(labelled(spark, sf_dir), F.col("confidence"), 20)
+
+
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\s\x0b\x1c-\x1f\x85\p{Z}]+')) AS INT) AS n_words FROM documents")
 def word_count_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", expr.word_count(F.col("text")).alias("n_words"))
@@ -624,11 +669,16 @@ def al_savings(spark, sf_dir):
     return evaluate.savings(_history(spark, sf_dir))
 
 
+def known_rows(spark, sf_dir):
+    """The labelled documents, dealt out evenly and written once: learning reads them several times."""
+    df = corpus(spark, sf_dir)
+    return held(df.where(df["label"].isNotNull()).repartition(ROW_ID))
+
+
 @query()
 def al_history(spark, sf_dir):
     """Five rounds of 20 rows for each strategy on the texts of labelled documents."""
-    df = corpus(spark, sf_dir)
-    known = df.where(df["label"].isNotNull())
+    known = known_rows(spark, sf_dir)
     train, test = sample.train_test(known)
     seed, pool = sample.first_and_rest(train, sample.seed_size(train.count()))
     return learn.history_frame(spark, learn.compare_strategies(seed, pool, test, ("entropy", "margin", "random")))
@@ -636,13 +686,12 @@ def al_history(spark, sf_dir):
 
 @query()
 def annotate_out_of_fold(spark, sf_dir):
-    return learn.label_out_of_fold(corpus(spark, sf_dir)).select(ROW_ID, "label", "predicted_label", "confidence", "needs_review")
+    return learn.label_out_of_fold(known_rows(spark, sf_dir)).select(ROW_ID, "label", "predicted_label", "confidence", "needs_review")
 
 
 @query()
 def train_final_metrics(spark, sf_dir):
-    df = corpus(spark, sf_dir)
-    train, test = sample.train_test(df.where(df["label"].isNotNull()))
+    train, test = sample.train_test(known_rows(spark, sf_dir))
     return evaluate.scores(learn.train_final(train, test)[1])
 
 

@@ -66,10 +66,10 @@ def test_profile_trichotomy(spark):
 
 def test_bounds(spark):
     df = spark.createDataFrame([(1.0, 5), (2.0, 5), (3.0, 6), (10.0, 6)], "a double, b int")
-    found = profile.bounds(df, profile.measures(df), profile.Detector())
+    found = profile.bounds(df)
     assert set(found) == {"a"}  # b has two different values only
     assert found["a"] == (1.75 - 1.5 * 3.0, 4.75 + 1.5 * 3.0)
-    z = profile.bounds(df, profile.measures(df), profile.Detector(method="zscore"))["a"]
+    z = profile.bounds(df, profile.Detector(method="zscore"))["a"]
     assert math.isclose(z[1], 4.0 + 3 * math.sqrt(50 / 3))
 
 
@@ -237,22 +237,77 @@ def test_explore(spark):
 def test_exact_quantiles_and_modes(spark):
     import random
 
-    from loomwright.operators import ranges
+    from loomwright.operators import quantiles, ranges
 
     r = random.Random(0)
     data = [(r.lognormvariate(0, 3), float(r.randint(0, 3)), None if i % 3 else -r.random(), float("nan") if i % 2 else 7.0, "ab"[i % 2], i) for i in range(3001)]
     df = spark.createDataFrame(data, "a double, b double, c double, d double, s string, _row_id bigint").repartition(7)
-    got = ranges.quantiles(df, {c: F.col(c) for c in "abcd"}, (0.0, 0.25, 0.5, 0.9, 1.0))
+    got = quantiles.quantiles(df, {c: F.col(c) for c in "abcd"}, (0.0, 0.25, 0.5, 0.9, 1.0))
     for k, c in enumerate("abcd"):
         own = np.array([x[k] for x in data if x[k] is not None and x[k] == x[k]])
         assert np.allclose(got[c], np.quantile(own, (0.0, 0.25, 0.5, 0.9, 1.0)), rtol=1e-12), c
-    assert ranges.quantiles(df.limit(0), {"a": F.col("a")}, (0.5,)) == {"a": [None]}
+    assert quantiles.quantiles(df.limit(0), {"a": F.col("a")}, (0.5,)) == {"a": [None]} and quantiles.quantiles(df, {}, (0.5,)) == {}
     assert ranges.mode(df, "s") == "a" and ranges.mode(df.limit(0), "s") is None
     keys = sorted((hashlib.md5(f"{i}:42".encode()).hexdigest(), i) for i in range(3001))
     for n in (0, 1, 17, 1500, 3000, 3001, 5000):
         assert {x._row_id for x in df.where(sample.chosen(df, n)).collect()} == {i for _, i in keys[:n]}
 
 
+@pytest.mark.parametrize("error", [1e-4, 0.2, 0.0])
+def test_quantiles_of_groups(spark, error, monkeypatch):
+    """Infinities, ties, one value, a hot group, null as a group; with a coarse sketch, and with one whose brackets miss."""
+    import random
+
+    from loomwright.operators import quantiles
+
+    r = random.Random(8)
+    inf, shares = math.inf, (0.9, 0.0, 0.25, 0.5, 1.0)
+    draw = {"hot": lambda: r.lognormvariate(0, 4), "tied": lambda: float(r.randint(0, 2)), "one": lambda: 7.5, "inf": lambda: r.choice([inf, -inf, 1.0, 2.0, math.nan]), "only": lambda: inf, "none": lambda: r.choice([None, math.nan]), None: lambda: -r.random()}
+    data = [(k, draw[k]()) for k in r.choices([*draw], [20, 3, 1, 3, 1, 1, 3], k=4000)]
+    df = spark.createDataFrame(data, "k string, x double").repartition(5)
+    if not error:
+        error = 1e-4
+        real = quantiles._marks
+        monkeypatch.setattr(quantiles, "_marks", lambda *a: real(*a).withColumns({"lo": F.transform("lo", lambda v: v + F.lit(0.3)), "hi": F.transform("hi", lambda v: v + F.lit(0.3))}))
+    got = {x.k: (x.n, x.least, x.most, list(x.q)) for x in quantiles.settle(quantiles.measured(df, {"x": F.col("x")}, ("k",)), shares, ("k", "column"), error).collect()}
+    assert set(got) == {*draw} - {"none"}
+    for k in got:
+        own = np.sort([x for q, x in data if q == k and x == x])
+        want = []
+        for p in shares:
+            at = p * (len(own) - 1)
+            a, b = own[math.floor(at)], own[math.ceil(at)]
+            want.append(a if a == b else a + (at - math.floor(at)) * (b - a))
+        assert got[k][0] == len(own) and got[k][1:3] == (own.min(), own.max())
+        assert all(a == b or math.isclose(a, b, rel_tol=1e-12) or (a != a and b != b) for a, b in zip(got[k][3], want)), (k, got[k], want)
+
+
+def test_infinities_bound_nothing(spark):
+    inf = math.inf
+    df = spark.createDataFrame([(i, x, 7.0, inf) for i, x in enumerate([1.0, 2.0, 3.0, 4.0, 100.0, inf, -inf, math.nan, None])], "_row_id bigint, a double, b double, c double")
+    got = {x["column"]: x for x in profile.outliers(df).collect()}
+    assert set(got) == {"a"} and (got["a"]["count"], got["a"].lower_bound, got["a"].upper_bound) == (2, -74.25, 127.75)
+    odd = spark.createDataFrame([(inf,), (-inf,), (inf,), (1.0,)], "x double")
+    assert profile.outliers(odd).count() == 0 and clean.fix(odd, {"outliers": "clip_iqr"}).collect() == odd.collect() and clean.fix(odd, {"missing": "median"}).count() == 4
+    assert explore.describe(odd, ["x"]).first().q50 == inf
+
+
+def test_boxes(spark):
+    import random
+
+    r = random.Random(3)
+    data = [(k, r.choice([r.gauss(0, 1), r.gauss(0, 9), None])) for k in r.choices(["a", "b", None], [8, 2, 1], k=900)] + [("c", 5.0)]
+    box, points = explore.boxes(spark.createDataFrame(data, "k string, x double"), F.col("x"), "k")
+    far = sorted((p.k, p.x) for p in points.collect())
+    for b in box.collect():
+        own = np.array([x for k, x in data if k == b.k and x is not None])
+        q1, q2, q3 = np.quantile(own, (0.25, 0.5, 0.75))
+        out = (own < q1 - 1.5 * (q3 - q1)) | (own > q3 + 1.5 * (q3 - q1))
+        assert np.allclose((b.n, b.q1, b.median, b.q3, b.lower, b.upper, b.n_outliers), (len(own), q1, q2, q3, min(own[~out].min(), q1), max(own[~out].max(), q3), out.sum()))
+        assert np.allclose([x for k, x in far if k == b.k], np.sort(own[out]))
+    assert box.count() == 3 and len(far) > 10
+
+
 def test_fill_is_linear_and_labels_are_computed_once(spark):
     df = spark.range(100).select(F.col("id").alias("_row_id"), F.when(F.col("id") % 7 == 3, F.col("id")).alias("x"))
     text = clean.fill_neighbours(df)._jdf.queryExecution().optimizedPlan().toString()
@@ -261,16 +316,65 @@ def test_fill_is_linear_and_labels_are_computed_once(spark):
     assert queue.select("_row_id", "predicted_label", "confidence")._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_extract_all") <= 2
 
 
-def test_newton_is_the_minimum():
+def test_minimum_of_the_loss():
     rng = np.random.default_rng(0)
-    for k in (2, 3):
-        x, y = rng.normal(size=(80, 5)), rng.integers(0, k, 80)
-        w = learn.newton(x, y, k, 0.05)
+    for k, ridge in ((2, 0.05), (3, 0.05), (2, 1e-5)):
+        x, y = np.where(rng.random((80, 5)) < 0.6, rng.normal(size=(80, 5)), 0), rng.integers(0, k, 80)
+        w = learn.minimum(x, y, k, ridge)
         z = np.hstack([x, np.ones((80, 1))])
         p = np.exp(z @ w.T)
         p /= p.sum(axis=1, keepdims=True)
-        g = (p - np.eye(k)[y]).T @ z / 80 + np.append(np.full(5, 0.05), 0) * w
-        assert np.abs(g).max() < 1e-5
+        g = (p - np.eye(k)[y]).T @ z / 80 + np.append(np.full(5, ridge), 0) * w
+        assert np.abs(g).max() < 1e-7
+        rows = [np.flatnonzero(r) for r in x]
+        own = features.Sparse(np.cumsum([0, *map(len, rows)]), np.concatenate(rows), x[x != 0], 5)
+        assert np.allclose(learn.minimum(own, y, k, ridge), w, atol=1e-6)
+
+
+def test_one_objective_at_any_number_of_rows(spark, monkeypatch):
+    """On either side of the bound the model is the same: there in a task, here by Spark's solver; and so for several groups."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2001, 6)) * [1, 1, 0.5, 0.1, 2, 0]
+    y = ["yes" if v else "no" for v in (x @ [1, -2, 1, 3, 0, 0] + rng.normal(size=2001) > 0.3)]
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame([(i, l, "ab"[i % 2], Vectors.dense(v)) for i, (l, v) in enumerate(zip(y, x.tolist()))], ["_row_id", "label", "g", "features"]).cache()
+    monkeypatch.setattr(learn, "ROWS_PER_TASK", 2000)
+    for c in (1.0, 1000.0):
+        below, above = (learn.Classifier.fit(rows.where(f"_row_id < {n}"), c=c).model for n in (2000, 2001))
+        monkeypatch.setattr(learn, "ROWS_PER_TASK", 1999)
+        again = learn.Classifier.fit(rows.where("_row_id < 2000"), c=c).model
+        monkeypatch.setattr(learn, "ROWS_PER_TASK", 2000)
+        assert np.allclose(again.coefficientMatrix.toArray(), below.coefficientMatrix.toArray(), atol=2e-4)
+        assert np.allclose(again.interceptVector.toArray(), below.interceptVector.toArray(), atol=2e-4)
+        assert np.allclose(above.coefficientMatrix.toArray(), below.coefficientMatrix.toArray(), atol=0.02)
+    one = learn.fit_groups(rows, "g", "label", 1.0)
+    monkeypatch.setattr(learn, "ROWS_PER_TASK", 1000)  # group a has 1001 rows, group b 1000
+    two = learn.fit_groups(rows, "g", "label", 1.0)
+    assert set(one) == set(two) == {"a", "b"} and all(one[g][0] == two[g][0] == ["no", "yes"] and np.allclose(one[g][1], two[g][1], atol=2e-4) for g in one)
+    rows.unpersist()
+
+
+def test_rounds_take_the_most_uncertain(spark):
+    """Against a history kept by hand, with the fit of the library and everything else in numpy."""
+    df = learning_rows(spark)
+    test, rest = sample.first_and_rest(df, 40, "t")
+    seed, pool = sample.first_and_rest(rest, 20, "s")
+    fitted = features.TfIdf(5000, 2, 2, 50).fit(df)
+    frames = [[(r._row_id, r.label, r.features.toArray()) for r in fitted.transform(f).collect()] for f in (seed, pool, test)]
+    learner = learn.ActiveLearner(features=fitted)
+    for strategy in ("entropy", "margin"):
+        got = learner.run_cycle(seed, pool, test, strategy, iterations=2, batch=7)
+        known, left, check = list(frames[0]), list(frames[1]), frames[2]
+        for h in got:
+            w = learn.minimum(np.array([v for _, _, v in known]), np.array([int(l == "positive") for _, l, _ in known]), 2, 1 / (1000 * len(known)))
+            probs = lambda rows: [np.exp(z - np.log(np.exp(z).sum())) for z in (w[:, :-1] @ v + w[:, -1] for _, _, v in rows)]
+            hit = sum((p.argmax() == 1) == (l == "positive") for p, (_, l, _) in zip(probs(check), check))
+            assert h["n_labeled"] == len(known) and abs(h["accuracy"] - hit / 40) < 1e-4
+            value = {"entropy": lambda p: (p * np.log(p + 1e-12)).sum(), "margin": lambda p: abs(p[0] - p[1])}[strategy]
+            order = sorted(zip((value(p) for p in probs(left)), (i for i, _, _ in left)))
+            taken = {i for _, i in order[:7]}
+            known, left = known + [r for r in left if r[0] in taken], [r for r in left if r[0] not in taken]
 
 
 def test_saved_model_predicts_the_same(spark, tmp_path):
@@ -300,15 +404,50 @@ def test_class_words_and_clock(spark):
     assert spark.range(1).select(expr.iso_now().alias("t")).first().t.endswith("+00:00")
 
 
-def test_right_vectors_are_those_of_the_matrix():
+def sparse_frame(spark, x, parts):
+    return spark.createDataFrame([(np.flatnonzero(r).tolist(), r[r != 0].tolist()) for r in x], "_i array<int>, _x array<double>").repartition(parts)
+
+
+def test_right_vectors_are_those_of_the_matrix(spark):
     rng = np.random.default_rng(3)
     x = np.where(rng.random((60, 40)) < 0.2, rng.normal(size=(60, 40)), 0)
     x[7] = 0
     at = [np.flatnonzero(r) for r in x]
-    own = features._Sparse(np.concatenate([[0], np.cumsum([len(a) for a in at])]), np.concatenate(at), x[x != 0], 40)
-    assert np.allclose(own.dot(np.eye(40)), x) and np.allclose(own.transposed().dot(np.eye(60)), x.T)
-    v = features.right_vectors(own, 5)
-    assert np.allclose(np.abs((v * np.linalg.svd(x)[2][:5]).sum(axis=1)), 1, atol=1e-3)
+    own = features.Sparse(np.concatenate([[0], np.cumsum([len(a) for a in at])]), np.concatenate(at), x[x != 0], 40)
+    assert np.allclose(own.dot(np.eye(40)), x) and np.allclose(own.T.dot(np.eye(60)), x.T)
+    v, s = features.right_vectors(sparse_frame(spark, x, 4), 40, 5)
+    assert np.allclose(np.abs((v * np.linalg.svd(x)[2][:5]).sum(axis=1)), 1, atol=1e-9) and np.allclose(s, np.linalg.svd(x)[1][:5], rtol=1e-9)
+    v, s = features.right_vectors(sparse_frame(spark, x[:3], 2), 40, 5)  # of rank three
+    assert np.allclose(s, [*np.linalg.svd(x[:3])[1], 0, 0], atol=1e-9) and not v[3:].any()
+    assert not features.right_vectors(sparse_frame(spark, x, 2).limit(0), 40, 5)[0].any()
+
+
+def test_right_vectors_of_many_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((50_000, 120)) < 0.08, rng.random((50_000, 120)) * np.geomspace(3, 0.2, 120), 0)
+    monkeypatch.setattr(features, "BLOCK", 500)  # many blocks
+    s = features.right_vectors(sparse_frame(spark, x, 6), 120, 10)[1]
+    assert np.allclose(s, np.linalg.svd(x, compute_uv=False)[:10], rtol=1e-6)
+
+
+def test_nearest_on_both_sides(spark):
+    """Most rows have one key and spread over ranges; no row of either side is lost; ties, tolerance, null keys and times."""
+    import random
+
+    r = random.Random(2)
+    key = lambda: None if r.random() < 0.03 else "hot" if r.random() < 0.8 else f"k{r.randint(0, 9)}"
+    moment = lambda most: None if r.random() < 0.03 else r.randint(0, most)
+    left, right = [(key(), moment(2000), i) for i in range(700)], [(key(), moment(2000), 1000 + i, r.random()) for i in range(250)]
+    a, b = spark.createDataFrame(left, "k string, t bigint, i bigint").repartition(5), spark.createDataFrame(right, "k string, t bigint, j bigint, v double")
+    for tolerance in (None, 4, 0):
+        got = setops.align_nearest(a, b, "k", "t", "j", ["v"], tolerance).collect()
+        want, taken = {}, set()
+        for k, t, i in left:
+            near = [(abs(s - t), s > t, j if s > t else -j, s - t, j, v) for q, s, j, v in right if k is not None and q == k and t is not None and s is not None and (tolerance is None or abs(s - t) <= tolerance)]
+            want[i] = min(near)[3:] if near else (None, None, None)
+            taken.add(want[i][1])
+        assert {x.i: (x.gap, x.j, x.v) for x in got if x.i is not None} == want and sum(x.i is not None for x in got) == len(left)
+        assert sorted((x.j, x.k, x.t) for x in got if x.i is None) == sorted((j, k, t) for k, t, j, _ in right if j not in taken)
 
 
 def test_as_of_over_ranges(spark):
