@@ -57,9 +57,20 @@ def label_by_scorer(df: DataFrame, load: Callable[[], Scorer], classes: list[str
     return with_confidence(scored, F.col("_p"), classes, threshold).drop("_p")
 
 
+#: A column with more different values than this isn't one of classes.
+MOST_CLASSES = 10_000
+
+
+def classes_of(df: DataFrame, label: str = "label") -> DataFrame:
+    """class: the different values of a column, without null."""
+    return df.select(F.col(label).alias("class")).where(F.col("class").isNotNull()).distinct()
+
+
 def default_classes(df: DataFrame, label: str | None = "label") -> list[str]:
-    """The known classes in order; positive and negative where none is."""
-    found = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()] if label and label in df.columns else []
+    """The known classes in order; positive and negative where none is. Raises where there are more than MOST_CLASSES."""
+    found = [r[0] for r in classes_of(df, label).orderBy("class").limit(MOST_CLASSES + 1).collect()] if label and label in df.columns else []
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than {MOST_CLASSES} values: these are no classes")
     return [str(c) for c in found] or ["positive", "negative"]
 
 

@@ -30,9 +30,10 @@ def by_source(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles, max of numeric columns, exact; a row each."""
+    """count, mean, std, min, quartiles, max of numeric columns, exact; a row each. NaN is no value."""
     found = quantiles(df, {c: F.col(c) for c in columns}, (0.25, 0.5, 0.75))
-    aggs = [a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"), F.min(F.col(c).cast("double")).alias(f"l{i}"), F.max(F.col(c).cast("double")).alias(f"h{i}"))]
+    x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    aggs = [a for i, c in enumerate(columns) for a in (F.count(x[c]).alias(f"n{i}"), F.avg(x[c]).alias(f"a{i}"), F.stddev_samp(x[c]).alias(f"s{i}"), F.min(x[c]).alias(f"l{i}"), F.max(x[c]).alias(f"h{i}"))]
     facts = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.bround(f"a{i}", 4).alias("mean"), F.bround(f"s{i}", 4).alias("std"), F.bround(f"l{i}", 4).alias("min"), *(F.bround(F.lit(q).cast("double"), 4).alias(name) for q, name in zip(found[c], ("q25", "q50", "q75"))), F.bround(f"h{i}", 4).alias("max")) for i, c in enumerate(columns)]
     return df.agg(*aggs).select(F.inline(F.array(*facts)))
 

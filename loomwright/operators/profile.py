@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import expr
@@ -66,22 +66,28 @@ def limits(df: DataFrame, how: Detector = Detector()) -> list[Row]:
         q = rows.groupBy("column").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.percentile_approx("x", [0.25, 0.5, 0.75], 10000).alias("q"))
     else:
         q = order.settle(rows, (0.25, 0.5, 0.75), ("column",))
+    if how.method != "iqr":
+        q = q.join(rows.groupBy("column").agg(F.avg("x").alias("_m"), F.stddev_samp("x").alias("_s")), "column")
+    known = {r["column"]: r for r in beyond(rows, q, how, [f"{c}_length" for c in strings(df)])}
+    return [known[c] for c in columns if c in known]
+
+
+def beyond(rows: DataFrame, q: DataFrame, how: Detector, texts: list[str]) -> list[Row]:
+    """column, lower, upper, outside, n from values (column, x) and their figures (column, n, least, most, q, and for
+    z-scores _m and _s). texts: the columns of lengths."""
     if how.method == "iqr":
         far = how.iqr_k * (F.col("q")[2] - F.col("q")[0])
         lo, hi = F.col("q")[0] - far, F.col("q")[2] + far
     else:
-        q = q.join(rows.groupBy("column").agg(F.avg("x").alias("_m"), F.stddev_samp("x").alias("_s")), "column")
         lo, hi = F.col("_m") - how.zscore * F.col("_s"), F.col("_m") + how.zscore * F.col("_s")
-    texts = [f"{c}_length" for c in strings(df)]
     q = q.where(~F.col("column").isin(texts) | (F.col("q")[1] > 10)) if texts else q
     # A bound that is no number, as between infinities, bounds nothing.
     lo, hi = (F.when(~F.isnan(b), b) for b in (lo, hi))
     both = rows.join(F.broadcast(q.select("column", "n", "least", "most", lo.alias("lower"), hi.alias("upper"))), "column")
     x, facts = F.col("x"), ["column", "n", "lower", "upper"]
-    beyond = F.count(F.when((x < F.col("lower")) | (x > F.col("upper")), 1))
-    found = both.groupBy(*facts).agg(beyond.alias("outside"), F.count(F.when((x > F.col("least")) & (x < F.col("most")), 1)).alias("_between"))
-    known = {r["column"]: r for r in found.where("_between > 0").collect()}
-    return [known[c] for c in columns if c in known]
+    out = F.count(F.when((x < F.col("lower")) | (x > F.col("upper")), 1))
+    found = both.groupBy(*facts).agg(out.alias("outside"), F.count(F.when((x > F.col("least")) & (x < F.col("most")), 1)).alias("_between"))
+    return found.where("_between > 0").collect()
 
 
 def bounds(df: DataFrame, how: Detector = Detector()) -> dict[str, tuple[float, float]]:
@@ -91,8 +97,12 @@ def bounds(df: DataFrame, how: Detector = Detector()) -> dict[str, tuple[float,
 
 def outliers(df: DataFrame, how: Detector = Detector()) -> DataFrame:
     """column, method, count, percent (of values there), lower_bound, upper_bound of measures with outliers."""
-    rows = [(r["column"], how.method, r["outside"], r["n"], r["lower"], r["upper"]) for r in limits(df, how) if r["outside"]]
-    out = df.sparkSession.createDataFrame(rows, "column string, method string, count bigint, n bigint, lower double, upper double")
+    return outlier_rows(df.sparkSession, limits(df, how), how)
+
+
+def outlier_rows(spark: SparkSession, found: list[Row], how: Detector) -> DataFrame:
+    rows = [(r["column"], how.method, r["outside"], r["n"], r["lower"], r["upper"]) for r in found if r["outside"]]
+    out = spark.createDataFrame(rows, "column string, method string, count bigint, n bigint, lower double, upper double")
     return out.select("column", "method", "count", expr.percent(F.col("count"), F.col("n"), 2).alias("percent"), F.bround("lower", 4).alias("lower_bound"), F.bround("upper", 4).alias("upper_bound"))
 
 
@@ -103,12 +113,21 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def imbalance(df: DataFrame, how: Detector = Detector(), column: str | None = None) -> DataFrame:
     """column, n_classes, imbalance_ratio (smallest over largest class), is_imbalanced. The flag goes by the exact ratio."""
-    column = column or find_label(df, BALANCE_NAMES) or next(iter(strings(df)), None)
+    column = balance_column(df, column)
     if column is None:
         return df.sparkSession.createDataFrame([], "column string, n_classes bigint, imbalance_ratio double, is_imbalanced boolean")
     counts = value_counts(df, column).agg(F.count("*").alias("n"), F.min("count").alias("lo"), F.max("count").alias("hi"))
+    return balance(counts, F.lit(column), how)
+
+
+def balance_column(df: DataFrame, column: str | None = None) -> str | None:
+    return column or find_label(df, BALANCE_NAMES) or next(iter(strings(df)), None)
+
+
+def balance(counts: DataFrame, column: Column, how: Detector) -> DataFrame:
+    """From n, lo, hi: how many classes there are, and the rows of the smallest and of the largest."""
     ratio = F.coalesce(F.try_divide("lo", "hi"), F.lit(1.0))
-    return counts.select(F.lit(column).alias("column"), F.col("n").alias("n_classes"), F.bround(ratio, 4).alias("imbalance_ratio"), (ratio < how.imbalance).alias("is_imbalanced"))
+    return counts.select(column.alias("column"), F.col("n").alias("n_classes"), F.bround(ratio, 4).alias("imbalance_ratio"), (ratio < how.imbalance).alias("is_imbalanced"))
 
 
 def detect(df: DataFrame, how: Detector = Detector()) -> dict:

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import expr
-from loomwright.operators import annotate, clean, evaluate, explore, features, learn, profile, sample, setops
-from loomwright.operators.ranges import held, ranked
+from loomwright.operators import annotate, clean, evaluate, explore, features, learn, profile, prototypes, sample, setops
+from loomwright.operators.corpus import Corpus
+from loomwright.operators.increment import Store
+from loomwright.operators.ranges import held, ranked, shared_folder
 from loomwright.schema import ROW_ID
 from loomwright.sources import html, json_api
+from loomwright.streaming import drift
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,9 +159,11 @@ def align_nearest_events(spark, sf_dir):
     return setops.align_nearest(errors, views, "user_id", "ts", "near_id", ["near_value"], 21600).withColumn("gap", F.round("gap", 3))
 
 
-@query(f"WITH {CORPUS} SELECT _row_id - (SELECT min(_row_id) FROM corpus) AS _row_id, label FROM corpus WHERE (SELECT count(*) FROM corpus) = (SELECT max(_row_id) - min(_row_id) + 1 FROM corpus)")
+@query(f"WITH {CORPUS} SELECT row_number() OVER (ORDER BY _row_id) - 1 AS _row_id, label, source FROM corpus WHERE label IS NOT NULL")
 def reindex_rows(spark, sf_dir):
-    return setops.reindex(corpus(spark, sf_dir).select(ROW_ID, "label"))
+    """The labelled rows, whose numbers have holes."""
+    df = corpus(spark, sf_dir).where("label is not null")
+    return setops.reindex(df.select(ROW_ID, "label", "source"))
 
 
 @query("""SELECT doc_id, regexp_replace(trim(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), '_'), '_+$', '') AS slug, substr(text, 1, 100) AS preview, replace(substr(text, 1, 60), '|', '\\|') AS escaped, length(text) AS n FROM documents""")
@@ -513,9 +518,11 @@ def hitl_merge_final(spark, sf_dir):
     return annotate.merge_review(df, queue).select(ROW_ID, "final_label", "corrected_label")
 
 
-@query(f"WITH {CORRECTED} SELECT _row_id, substr(text, 1, 100) AS text, predicted_label AS auto_label, corrected_label AS corrected_to, confidence FROM corrected WHERE corrected_label <> predicted_label ORDER BY _row_id LIMIT 10")
+@query(f"WITH {CORRECTED}, given AS (SELECT *, CASE WHEN _row_id % 3 <> 0 THEN corrected_label END AS c FROM corrected) SELECT _row_id, substr(text, 1, 100) AS text, predicted_label AS auto_label, c AS corrected_to, confidence FROM given WHERE c IS DISTINCT FROM predicted_label ORDER BY _row_id LIMIT 10")
 def correction_examples(spark, sf_dir):
-    return annotate.corrections(annotate.auto_correct(annotate.review_queue(labelled(spark, sf_dir))))
+    """A third of the corrections is null, and differs from any prediction."""
+    queue = annotate.auto_correct(annotate.review_queue(labelled(spark, sf_dir)))
+    return annotate.corrections(queue.withColumn("corrected_label", F.when(F.col(ROW_ID) % 3 != 0, F.col("corrected_label"))))
 
 
 @query(f"WITH {CORPUS}, r AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY md5(CAST(_row_id AS VARCHAR) || ':42'), _row_id) AS INT) AS rank, substr(text, 1, 200) AS text FROM corpus WHERE label IS NOT NULL) SELECT * FROM r WHERE rank <= 3")
@@ -523,6 +530,40 @@ def spec_examples_per_class(spark, sf_dir):
     return annotate.examples(corpus(spark, sf_dir), "label")
 
 
+_UNIT = "list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y))))"
+
+
+@query(f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, {_UNIT} AS e FROM v),
+x AS (SELECT label, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x FROM u WHERE vec_id % 2 = 0 AND label IS NOT NULL), m AS (SELECT label, i, sum(x) AS x FROM x GROUP BY ALL),
+c AS (SELECT label, list(x ORDER BY i) AS m FROM m GROUP BY label), s AS (SELECT vec_id, c.label, list_cosine_similarity(e, m) AS s FROM u, c)
+SELECT vec_id, arg_max(label, s) AS predicted_label, round(max(s), 9) AS similarity FROM s GROUP BY vec_id""")
+def label_by_prototypes(spark, sf_dir):
+    """Every vector by the classes whose prototypes come from the rows with even numbers."""
+    df = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    out = prototypes.label_by_prototype(df, prototypes.prototypes(df.where("vec_id % 2 = 0")))
+    return out.select("vec_id", "predicted_label", F.round("similarity", 9).alias("similarity"))
+
+
+_DRIFT = """k AS (SELECT event_type AS class, count(*) + 0.5::DOUBLE AS n FROM events WHERE ts < TIMESTAMP '2024-01-08' AND event_type IS NOT NULL GROUP BY 1),
+b AS (SELECT class, n / (SELECT sum(n) FROM k) AS share FROM k),
+w AS (SELECT start, start + INTERVAL {size} AS "end", event_type AS class FROM {rows} WHERE event_type IN (SELECT class FROM b)),
+t AS (SELECT start, "end", count(*) AS n FROM w GROUP BY ALL), c AS (SELECT start, class, count(*) AS c FROM w GROUP BY ALL),
+p AS (SELECT t.start, t."end", t.n, b.share, (coalesce(c.c, 0) + 0.5::DOUBLE) / (t.n + 0.5::DOUBLE * (SELECT count(*) FROM b)) AS a FROM t CROSS JOIN b LEFT JOIN c ON c.start = t.start AND c.class = b.class)
+SELECT start, "end", n, round(sum((a - share) * ln(a / share)), 9) AS psi, sum((a - share) * ln(a / share)) > 0.2 AS drifted FROM p GROUP BY start, "end", n"""
+
+
+@query("WITH " + _DRIFT.format(size="1 DAY", rows="(SELECT date_trunc('day', ts) AS start, event_type FROM events)"))
+def drift_by_day(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return drift.monitor(events, events.where("ts < timestamp '2024-01-08'"), "ts", "event_type", "1 day")
+
+
+@query("WITH " + _DRIFT.format(size="6 HOURS", rows="(SELECT time_bucket(INTERVAL 2 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(CAST(2 * k AS INT)) AS start, event_type FROM events, range(3) AS r(k))"))
+def drift_sliding(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return drift.monitor(events, events.where("ts < timestamp '2024-01-08'"), "ts", "event_type", "6 hours", "2 hours")
+
+
 # Uncertainty, samples, splits
 
 
@@ -709,6 +750,38 @@ def merge_sources_keep_first(spark, sf_dir):
     return setops.merge(frames)
 
 
+@query(ORACLES["merge_sources_keep_first"])
+def merge_sources_in_batches(spark, sf_dir):
+    """The same frames one after another into a stored corpus: keys and filters are asked, texts aren't read again."""
+    docs, turns = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
+    part = lambda df, key, name: df.select(key.cast("bigint").alias(ROW_ID), "text", F.lit(name).alias("source"))
+    frames = [part(docs, docs["doc_id"], "documents"), part(docs.where("lang = 'en'"), docs["doc_id"], "again"), part(table(spark, sf_dir, "benchmark"), F.col("item_id"), "benchmark"), part(turns, turns["conv_id"] * 1000 + turns["turn"], "conversations")]
+    own = Corpus(spark, shared_folder(spark))
+    for k, frame in enumerate(frames):
+        own.add(frame, k)
+    return own.rows()
+
+
+def batches(spark, sf_dir) -> Store:
+    """A store with three batches of documents."""
+    docs, own = table(spark, sf_dir, "documents").select("text", "n_chars", "lang", "source"), Store(spark, shared_folder(spark))
+    for k, lang in enumerate((F.col("lang") == "en", F.col("lang") == "fr", ~F.coalesce(F.col("lang").isin("en", "fr"), F.lit(False)))):
+        own.add(docs.where(lang), k, "source")
+    return own
+
+
+@query(_outlier_sql("documents", [("n_chars", "n_chars"), ("text_length", "length(text)")], "iqr"))
+def outliers_in_batches(spark, sf_dir):
+    return batches(spark, sf_dir).outliers()
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM documents), d AS (SELECT count(*) AS d FROM (SELECT DISTINCT text, n_chars, lang, source FROM documents)), c AS (SELECT count(*) AS c FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT n - d AS count, round_even((n - d) / n * 100, 2) AS percent, (SELECT count(*) FROM c) AS n_classes, (SELECT round_even(min(c) / max(c), 4) FROM c) AS imbalance_ratio FROM n, d""")
+def profile_in_batches(spark, sf_dir):
+    own = batches(spark, sf_dir)
+    return own.duplicates().crossJoin(F.broadcast(own.imbalance().select("n_classes", "imbalance_ratio")))  # a row each
+
+
 SIDES = {"drop": {"missing": "drop", "duplicates": "drop"}, "constant": {"missing": "constant", "duplicates": "drop"}}
 _SHOWN = "('rows', 'missing_values_total', 'duplicates')"
 
@@ -730,7 +803,7 @@ def strategies_side_by_side(spark, sf_dir):
 
 @query(f"WITH {CORPUS} SELECT DISTINCT label AS class FROM corpus WHERE label IS NOT NULL")
 def distinct_classes(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in annotate.default_classes(corpus(spark, sf_dir))], "class string")
+    return annotate.classes_of(corpus(spark, sf_dir))
 
 
 @query(f"WITH {CORPUS}, w AS (SELECT label, unnest({WORDS}) AS word FROM corpus WHERE label IS NOT NULL) SELECT label, word, count(*) AS n FROM w WHERE length(word) > 2 AND NOT list_contains({_list(expr.STOP_WORDS)}, word) GROUP BY 1, 2")
