@@ -33,6 +33,8 @@ NAMES = frozenset(
     " sponsored subscribe subscription toolbar topbar widget widgets complementary dialog alert search replies".split()
 )
 PARTS = frozenset("ad ads advert advertisement adbox breadcrumb breadcrumbs comment comments cookie cookies consent gdpr newsletter sidebar sponsored paywall".split())
+#: What may stand beside such a word in a compound name inside an article; other words there tell of its subject.
+BESIDE = frozenset("area bar block body bottom box card cell container content form frame holder inline inner item label left link list main outer panel right section signup slot space thread top unit wrap wrapper".split())
 #: Inside an article only what holds other elements can be furniture by its name, and a header there is the article's own.
 HOLDERS = frozenset("div section aside ul ol dl table nav header footer form article iframe".split())
 OWN_NAMES = frozenset("header masthead".split())
@@ -111,7 +113,8 @@ def _furniture(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, boo
         for word in attrs.get(name, "").lower().split():
             if inside and word in OWN_NAMES:
                 continue
-            out |= word in NAMES or not PARTS.isdisjoint(_SPLIT.split(word))
+            parts = [x for x in _SPLIT.split(word) if x and not x.isdigit()]
+            out |= word in NAMES or not PARTS.isdisjoint(parts) and (not inside or all(x in PARTS or x in NAMES or x in BESIDE for x in parts))
             comment |= "comment" in word
     if tag in ("html", "body", "main") or tag == "article" and not comment or inside and tag not in HOLDERS:
         out = False

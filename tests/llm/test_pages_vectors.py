@@ -144,6 +144,13 @@ def test_page_differencing(spark):
     assert all(got[k].startswith("Home") for k in (100, 101, 102))  # alone, or without a URL to go by
 
 
+def test_names_inside_articles(spark):
+    """What is about adverts or comments by its name keeps its text; what holds them by its name goes."""
+    page = '<article><p>One.</p><section class="sponsored-research"><p>Two.</p></section><div class="ad-slot-2"><p>Buy.</p></div><div class="comment-list"><p>Me too.</p></div><section id="cookie-recipes"><p>Three.</p></section></article>'
+    (got,) = html_extract.extract(spark.createDataFrame([(1, "http://x.example/a", page)], "page_id bigint, url string, html string")).collect()
+    assert got.text == "One.\n\nTwo.\n\nThree."
+
+
 def test_copies_of_pages_keep_their_text(spark):
     """Copies by scheme, query and path, near copies and quoting pages lose the menu and not their text."""
     page = lambda k, *more: "".join(f"<div>{x}</div>" for x in ["Home | News", *(f"Story {k}, line {n}." for n in range(9)), *more, "All rights"])
