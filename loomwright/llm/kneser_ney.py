@@ -130,6 +130,13 @@ def _save_words(folder: str, often: int):
     return run
 
 
+def _parts(order: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets that occur, each with its part of the order: as many steps as there are, however many buckets exist."""
+    edges = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1, append=bucket[-1:] + 1)) if len(bucket) else []
+    for i, j in zip(edges[:-1], edges[1:]):
+        yield int(bucket[i]), order[i:j]
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Numbers of words: the place in the files of hashes, one file after another."""
@@ -148,10 +155,8 @@ class Vocabulary:
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         begin, order = np.cumsum([0, *self.sizes]), np.argsort(hashes)
         bucket = top_bucket(hashes[order], len(self.sizes))
-        edges = np.searchsorted(bucket, np.arange(len(self.sizes) + 1))
-        for b in range(len(self.sizes)):
-            own = order[edges[b] : edges[b + 1]]
-            if len(own) and self.sizes[b]:
+        for b, own in _parts(order, bucket):
+            if self.sizes[b]:
                 keys, many = load(f"{self.folder}/words-{b:05d}", ["<u8", "<i8"])
                 at = positions(keys, hashes[own])
                 ids[own] = np.where(at >= 0, at + begin[b], -1)
@@ -310,15 +315,15 @@ class Model:
         out = np.zeros((5, len(ids)), np.int64)
         width = -(-(self.vocabulary.size + 1) // self.buckets)
         order = np.argsort(ids, kind="stable")
-        edges = np.searchsorted(ids[order], np.arange(self.buckets + 1) * width)
-        for b in range(self.buckets):
-            if len(own := order[edges[b] : edges[b + 1]]):
-                try:
-                    columns = load(f"{self.vocabulary.folder}/facts-{b:05d}", ["<i8"] * 5)
-                except FileNotFoundError:  # no training text has a number of this range
-                    continue
-                for k, c in enumerate(columns):
-                    out[k, own] = c[ids[own] - b * width]
+        for b, own in _parts(order, ids[order] // width):
+            if b < 0:  # unknown
+                continue
+            try:
+                columns = load(f"{self.vocabulary.folder}/facts-{b:05d}", ["<i8"] * 5)
+            except FileNotFoundError:  # no training text has a number of this range
+                continue
+            for k, c in enumerate(columns):
+                out[k, own] = c[ids[own] - b * width]
         return out
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
@@ -326,18 +331,16 @@ class Model:
         out = np.zeros(len(keys), np.int64)
         bucket = _pair_bucket(keys, np.array(self.vocabulary.often, np.uint64), self.buckets)
         order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            if len(own := order[edges[b] : edges[b + 1]]):
-                try:
-                    known, small, at, large = load(f"{self.vocabulary.folder}/pairs-{b:05d}", ["<u8", "u1", "<i8", "<i8"])
-                except FileNotFoundError:
-                    continue
-                place = positions(known, keys[own])
-                got = np.where(place >= 0, small[place], 0).astype(np.int64)
-                full = np.flatnonzero(got == 255)
-                got[full] = large[np.searchsorted(at, place[full])]
-                out[own] = got
+        for b, own in _parts(order, bucket[order]):
+            try:
+                known, small, at, large = load(f"{self.vocabulary.folder}/pairs-{b:05d}", ["<u8", "u1", "<i8", "<i8"])
+            except FileNotFoundError:
+                continue
+            place = positions(known, keys[own])
+            got = np.where(place >= 0, small[place], 0).astype(np.int64)
+            full = np.flatnonzero(got == 255)
+            got[full] = large[np.searchsorted(at, place[full])]
+            out[own] = got
         return out
 
     def log10(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
