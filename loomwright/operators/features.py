@@ -42,6 +42,8 @@ class TfIdf:
     min_df: int = 2
     components: int | None = None
     sublinear: bool = True
+    #: Words that are left out before pairs are made; None: Spark's English ones.
+    stop_words: tuple[str, ...] | None = None
 
     def fit(self, df: DataFrame, text: str = "text") -> FittedTfIdf:
         return self.fit_rows(df, text)[0]
@@ -52,7 +54,7 @@ class TfIdf:
         Texts are taken apart twice: for the vocabulary (of the words in min_df rows the most frequent; equal ones in
         order), and for the counts of each row, which are written and are all that is read from then on.
         """
-        tokens = _tokens(df, text, self.ngrams)
+        tokens = _tokens(df, text, self)
         seen = tokens.select("_tokens").mapInArrow(_term_counts, "t string, d bigint, n bigint")
         terms = seen.groupBy("t").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).where(F.col("d") >= self.min_df).orderBy(F.desc("n"), "t").limit(self.max_features).collect()
         counts = CountVectorizerModel.from_vocabulary([r.t for r in terms], "_tokens", "_tf") if terms else None
@@ -183,16 +185,18 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([codes.dictionary, pa.array(rows[:many], pa.int64()), pa.array(np.bincount(at, minlength=many)[:many], pa.int64())], ["t", "d", "n"])
 
 
-def _tokens(df: DataFrame, text: str, ngrams: int) -> DataFrame:
+def _tokens(df: DataFrame, text: str, how: TfIdf) -> DataFrame:
+    """df with _tokens: words of two letters, digits or underscores at least, in any script, and runs of them."""
     filled = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    words = RegexTokenizer(inputCol="_text", outputCol="_raw", pattern=r"\w\w+", gaps=False).transform(filled)
-    out = StopWordsRemover(inputCol="_raw", outputCol="_words").transform(words).withColumn("_tokens", F.col("_words"))
-    for k in range(2, ngrams + 1):
+    words = RegexTokenizer(inputCol="_text", outputCol="_raw", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(filled)
+    stop = {} if how.stop_words is None else {"stopWords": list(how.stop_words)}
+    out = StopWordsRemover(inputCol="_raw", outputCol="_words", **stop).transform(words).withColumn("_tokens", F.col("_words"))
+    for k in range(2, how.ngrams + 1):
         out = NGram(n=k, inputCol="_words", outputCol=f"_n{k}").transform(out).withColumn("_tokens", F.concat("_tokens", f"_n{k}"))
-    return out.drop("_text", "_raw", "_words", *(f"_n{k}" for k in range(2, ngrams + 1)))
+    return out.drop("_text", "_raw", "_words", *(f"_n{k}" for k in range(2, how.ngrams + 1)))
 
 
-_HOW = "max_features int, ngrams int, min_df int, components int, sublinear boolean"
+_HOW = "max_features int, ngrams int, min_df int, components int, sublinear boolean, stop_words array<string>"
 
 
 @dataclass
@@ -208,12 +212,13 @@ class FittedTfIdf:
             self.counts.write().overwrite().save(f"{path}/counts")
         rows = [(i, float(x), self.project[i].tolist() if self.project is not None else None) for i, x in enumerate(self.idf)]
         spark.createDataFrame(rows, "i int, idf double, project array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
-        spark.createDataFrame([(how.max_features, how.ngrams, how.min_df, how.components, how.sublinear)], _HOW).coalesce(1).write.mode("overwrite").json(f"{path}/how")
+        spark.createDataFrame([(how.max_features, how.ngrams, how.min_df, how.components, how.sublinear, None if how.stop_words is None else list(how.stop_words))], _HOW).coalesce(1).write.mode("overwrite").json(f"{path}/how")
 
     @classmethod
     def load(cls, path: str) -> FittedTfIdf:
         spark = SparkSession.active()
-        how = TfIdf(**spark.read.schema(_HOW).json(f"{path}/how").first().asDict())
+        own = spark.read.schema(_HOW).json(f"{path}/how").first().asDict()
+        how = TfIdf(**own | {"stop_words": None if own["stop_words"] is None else tuple(own["stop_words"])})
         rows = spark.read.parquet(f"{path}/weights").orderBy("i").collect()  # a row for each word of the vocabulary
         project = np.array([r.project for r in rows]) if rows and rows[0].project is not None else None
         return cls(how, CountVectorizerModel.load(f"{path}/counts") if rows else None, np.array([r.idf for r in rows]), project)
@@ -223,7 +228,15 @@ class FittedTfIdf:
         if self.counts is None:
             return df.withColumns({"_i": F.array().cast("array<int>"), "_c": F.array().cast("array<double>")})
         inside = F.unwrap_udt("_tf")
-        return self.counts.transform(_tokens(df, text, self.how.ngrams)).withColumns({"_i": inside["indices"], "_c": inside["values"]}).drop("_tokens", "_tf")
+        return self.counts.transform(_tokens(df, text, self.how)).withColumns({"_i": inside["indices"], "_c": inside["values"]}).drop("_tokens", "_tf")
+
+    def terms(self, df: DataFrame, text: str = "text", keep: tuple[str, ...] = (ROW_ID,)) -> DataFrame:
+        """The columns to keep, term, weight: the terms of each row as rows. The vocabulary goes to the tasks."""
+        if self.counts is None:
+            return df.select(*keep, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
+        names = df.sparkSession.createDataFrame(list(enumerate(self.counts.vocabulary)), "i int, term string")
+        own = self.entries(df.select(text, *keep), text).select(*keep, F.explode(F.arrays_zip("_i", "_x")).alias("_s"))
+        return own.join(F.broadcast(names), F.col("_s._i") == F.col("i")).select(*keep, "term", F.col("_s._x").alias("weight"))
 
     def weighed(self, counted: DataFrame) -> DataFrame:
         """_c becomes _x: the weights of the terms, rows of length one; all in the JVM."""

@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--threshold", type=float, default=annotate.THRESHOLD)
     a.add_argument("--task", default="classification")
     a.add_argument("--output", "-o", default=".")
+    a.add_argument("--one-file", action="store_true")
     g = sub.add_parser("learn", help="compare strategies of active learning")
     g.add_argument("input")
     g.add_argument("--strategies", default="entropy,random")
@@ -46,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--auto", action="store_true")
     r.add_argument("--fast", action="store_true")
     r.add_argument("--max-samples", type=int)
+    r.add_argument("--one-file", action="store_true")
     r.add_argument("--threshold", type=float, default=annotate.THRESHOLD)
     r.add_argument("--config")
     r.add_argument("--task", default="sentiment_analysis")
@@ -82,8 +84,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         found = annotate.check_quality(df, args.threshold)
         print(method, json.dumps(found, indent=2))
         reports.annotation_spec(df, f"{args.output}/annotation_spec.md", args.task)
-        reports.export_tasks(df, f"{args.output}/labelstudio_import.json", array=True)
-        write_file(annotate.flag(df, args.threshold), f"{args.output}/review_queue.csv", "csv", single=True)
+        reports.export_tasks(df, f"{args.output}/labelstudio_import.json", array=args.one_file)
+        write_file(annotate.flag(df, args.threshold), f"{args.output}/review_queue.csv", "csv", single=args.one_file)
     elif args.command == "learn":
         df = read_numbered(spark, args.input).where("label is not null")
         train, test = sample.train_test(df)
@@ -92,7 +94,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         reports.learning_curve(results, args.output)
         print(json.dumps(results, indent=2))
     else:
-        settings = pipeline.Settings(task=args.task, threshold=args.threshold, auto=args.auto, max_samples=args.max_samples or (300 if args.fast else 1000))
+        settings = pipeline.Settings(task=args.task, threshold=args.threshold, auto=args.auto, one_file=args.one_file, max_samples=args.max_samples or (300 if args.fast else 1000))
         m = pipeline.run(spark, settings, collector=Collector(spark, args.config or CATALOG))
         print(json.dumps({k: v for k, v in m.items() if isinstance(v, (int, float, str)) and k != "classification_report"}, indent=2))
     return 0

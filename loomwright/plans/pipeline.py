@@ -27,6 +27,8 @@ class Settings:
     out: str = "."
     iterations: int = 5
     batch: int = 20
+    #: The review queue and the annotation tasks as one file each, for a person's tool; else every task writes its own.
+    one_file: bool = False
 
     def path(self, name: str) -> str:
         return f"{self.out}/{name}"
@@ -58,7 +60,7 @@ def label(df: DataFrame, classes: list[str], threshold: float, scorer=None) -> t
 def review(df: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """All rows with final_label, and the reviewed ones. Without a corrected file, or if asked for, review is simulated."""
     queue = annotate.review_queue(df, s.threshold)
-    write_file(queue, s.path("review_queue.csv"), "csv", single=True)
+    write_file(queue, s.path("review_queue.csv"), "csv", single=s.one_file)
     given = None if s.auto else read_corrections(df.sparkSession, s.path("review_queue_corrected.csv"))
     if given is None:
         corrected = annotate.auto_correct(queue)
@@ -85,7 +87,7 @@ def run(spark: SparkSession, settings: Settings = Settings(), df: DataFrame | No
     m |= {k: quality.get(k) for k in ("kappa", "agreement", "confidence_mean")} | {"labeled_size": labelled.count(), "flagged_count": quality.get("low_confidence_count")}
     reports.annotation_spec(labelled, s.path("annotation_spec.md"), s.task)
     reports.annotation_report(quality, m["labeled_size"], s.threshold, s.path("reports/annotation_report.md"), m["annotation_method"])
-    reports.export_tasks(labelled, s.path("labelstudio_import.json"), array=True)
+    reports.export_tasks(labelled, s.path("labelstudio_import.json"), array=s.one_file)
     final, corrected = review(labelled, s)
     final = final.cache()
     changed = corrected.where(F.coalesce(F.col("corrected_label") != F.col("predicted_label"), F.lit(True)))

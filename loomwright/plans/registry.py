@@ -665,6 +665,20 @@ def tfidf_topk(spark, sf_dir):
     return own.withColumn("rank", rank).where("rank <= 3").drop("rank")
 
 
+@query(f"""WITH w AS (SELECT doc_id AS _row_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({_list(expr.STOP_WORDS)}, x)) AS w FROM documents),
+t AS (SELECT _row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT _row_id, term, count(*) AS tf FROM t GROUP BY ALL),
+v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 3000), n AS (SELECT count(*) AS n FROM documents),
+x AS (SELECT _row_id, term, (1 + ln(CAST(tf AS DOUBLE))) * (1 + ln((1 + n) / (1 + df))) AS w FROM tf JOIN v USING (term), n), y AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY _row_id)) AS weight FROM x)
+SELECT _row_id, term, round(weight, 6) AS weight FROM y QUALIFY row_number() OVER (PARTITION BY _row_id ORDER BY round(weight, 6) DESC, term) <= 3""")
+def tfidf_pairs_topk(spark, sf_dir):
+    """Words and pairs of words, as the learners see them."""
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ROW_ID), "text")
+    found = features.TfIdf(3000, 2, 2, None, stop_words=tuple(expr.STOP_WORDS)).fit(df)
+    own = found.terms(df).withColumn("weight", F.round("weight", 6))
+    rank = F.row_number().over(Window.partitionBy(ROW_ID).orderBy(F.desc("weight"), "term"))
+    return own.withColumn("rank", rank).where("rank <= 3").drop("rank")
+
+
 #: A history that any engine can repeat: how well the keyword annotator does on the labelled rows that two strategies pick
 #: first, by key (random) and by confidence (entropy), as their number grows.
 STEPS = tuple(50 + 20 * k for k in range(6))

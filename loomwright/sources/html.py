@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from datetime import datetime, timezone
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.functions import udtf
 
 from loomwright.functions import expr
 from loomwright.schema import RECORD
+from loomwright.sources import web
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -120,29 +121,75 @@ class _Page(InputPartition):
         super().__init__(k)
 
 
+def _read_page(options, k: int) -> Iterator[tuple]:
+    """A page that fails is skipped."""
+    if got := web.get(page_url(options["url"], k), options):
+        for text in select_text(got[0].decode(got[1], "replace"), options["selector"]):
+            yield (k, text)
+
+
 class _ScrapeReader(DataSourceReader):
     def __init__(self, options):
         self.options = options
 
+    def pages(self) -> Iterator[int]:
+        return iter(range(1, int(self.options.get("max_pages", "1")) + 1))
+
     def partitions(self):
-        return [_Page(k) for k in range(1, int(self.options.get("max_pages", "1")) + 1)]
+        return [_Page(k) for k in self.pages()]
 
     def read(self, partition) -> Iterator[tuple]:
-        import urllib.request
+        return _read_page(self.options, partition.value)
+
+
+_TESTS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, In: lambda a, b: a in b}
+
+
+class _FilteringReader(_ScrapeReader):
+    """Pages that a filter on their number leaves out aren't asked for."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.filters = []
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if f.attribute == ("page",) and type(f) in _TESTS:
+                self.filters.append(f)
+            else:
+                yield f
+
+    def pages(self) -> Iterator[int]:
+        return (k for k in super().pages() if all(_TESTS[type(f)](k, f.value) for f in self.filters))
+
+
+class _ScrapeStream(DataSourceStreamReader):
+    """Offsets are numbers of pages: what is new are the pages behind the last one that was read."""
+
+    def __init__(self, options):
+        self.options, self.known = options, 0
 
-        url = page_url(self.options["url"], partition.value)
-        try:
-            request = urllib.request.Request(url, headers={"User-Agent": self.options.get("user_agent", "Mozilla/5.0 (compatible; loomwright)")})
-            with urllib.request.urlopen(request, timeout=float(self.options.get("timeout", "15"))) as answer:
-                page = answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
-        except OSError:  # a page that fails is skipped
-            return
-        for text in select_text(page, self.options["selector"]):
-            yield (partition.value, text)
+    def initialOffset(self) -> dict:
+        return {"page": 0}
+
+    def latestOffset(self) -> dict:
+        there = lambda k: web.get(page_url(self.options["url"], k), self.options) is not None
+        self.known = web.last_there(there, self.known, int(self.options.get("max_pages", "1000000")))
+        return {"page": self.known}
+
+    def partitions(self, start: dict, end: dict):
+        return [_Page(k) for k in range(start["page"] + 1, end["page"] + 1)]
+
+    def read(self, partition) -> Iterator[tuple]:
+        return _read_page(self.options, partition.value)
+
+    def commit(self, end: dict) -> None:
+        self.known = max(self.known, end["page"])
 
 
 class ScrapeSource(DataSource):
-    """spark.read.format("scrape").options(url=, selector=, max_pages=): a task for each page."""
+    """spark.read.format("scrape").options(url=, selector=, max_pages=): a task for each page; with push=true filters on
+    page are pushed. As a stream: the pages that are new."""
 
     @classmethod
     def name(cls) -> str:
@@ -152,22 +199,44 @@ class ScrapeSource(DataSource):
         return "page int, text string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _ScrapeReader(self.options)
+        return _FilteringReader(self.options) if self.options.get("push") == "true" else _ScrapeReader(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _ScrapeStream(self.options)
 
 
 def as_records(texts: DataFrame, tag: str, auto_label: bool, collected_at: str | None = None) -> DataFrame:
-    now = F.lit(collected_at or datetime.now(timezone.utc).isoformat())
+    now = F.lit(collected_at) if collected_at else expr.iso_now()
     label = expr.sentiment(F.col("text")) if auto_label else F.lit(None).cast("string")
     return texts.select("text", label.alias("label"), F.lit(tag).alias("source"), now.alias("collected_at")).select(*RECORD.names)
 
 
-def scrape(spark, url: str, selector: str, max_pages: int = 1, auto_label: bool = False, collected_at: str | None = None) -> DataFrame:
+def _options(url: str, selector: str, max_pages: int, more: dict | None) -> dict:
     parse_selector(selector)
+    return {"url": url, "selector": selector, "max_pages": str(max_pages), **{k: str(v) for k, v in (more or {}).items()}}
+
+
+def scrape(spark, url: str, selector: str, max_pages: int = 1, auto_label: bool = False, collected_at: str | None = None, **options) -> DataFrame:
+    """Records of the pages of an address; options go to web.get."""
     spark.dataSource.register(ScrapeSource)
-    rows = spark.read.format("scrape").options(url=url, selector=selector, max_pages=str(max_pages)).load()
+    rows = spark.read.format("scrape").options(**_options(url, selector, max_pages, options)).load()
     return as_records(rows, f"scrape_{url}", auto_label, collected_at)
 
 
+def scraped(spark, url: str, selector: str, max_pages: int = 1, **options) -> DataFrame:
+    """page, text; a filter on page decides which pages are asked for."""
+    spark.dataSource.register(ScrapeSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("scrape").options(**_options(url, selector, max_pages, {**options, "push": "true"})).load()
+
+
+def scrape_new(spark, url: str, selector: str, target: str, checkpoint: str, max_pages: int = 1_000_000, auto_label: bool = False, **options):
+    """Adds the records of the pages that have come since the last run to target; what was read stands in the checkpoint."""
+    spark.dataSource.register(ScrapeSource)
+    rows = spark.readStream.format("scrape").options(**_options(url, selector, max_pages, options)).load()
+    return as_records(rows, f"scrape_{url}", auto_label).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def scrape_pages(pages: DataFrame, selector: str, column: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """Pages that are already a table: a row for each element found, with its position."""
     import pyarrow as pa

@@ -6,7 +6,7 @@ import shutil
 import subprocess
 import sys
 import threading
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
 from pathlib import Path
 
 import pytest
@@ -14,7 +14,7 @@ import pytest
 from loomwright.operators import clean
 from loomwright.plans import cli, pipeline, reports
 from loomwright.schema import REVIEW
-from loomwright.sources import collect, html, json_api
+from loomwright.sources import collect, html, json_api, web
 from loomwright.streaming import corrections
 
 PAGE = "<div class='quote big'><span class=text>“A good <i>friend</i>”</span><span>by</span></div><div class=quote><p><span class='text x'>'It &amp; evil'</span></p></div><span class=text>out</span><div class=quote><span class=text> \"\" </span></div>"
@@ -40,6 +40,77 @@ def server():
     own.shutdown()
 
 
+@pytest.fixture
+def growing():
+    """Pages and records that become more; each second request fails, or its answer is cut."""
+    state = {"pages": 3, "records": 250, "asked": [], "calls": 0}
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            state["calls"] += 1
+            path, _, query = self.path.partition("?")
+            state["asked"].append(self.path)
+            if state["calls"] % 4 == 0:
+                return self.send_error(503)
+            body = None
+            if path.startswith("/p"):
+                k = int(path.split("/")[3]) if "/page/" in path else 1
+                body = f"<p>good page {k}</p><p>{k}</p>" if k <= state["pages"] else None
+            elif path == "/records":
+                q = {k: int(v) for k, v in (x.split("=") for x in query.split("&"))}
+                body = json.dumps({"total": state["records"], "items": [{"text": f"r{i}", "label": i % 2} for i in range(q["offset"], min(q["offset"] + q["limit"], state["records"]))]})
+            self.send_response(200 if body is not None else 404)
+            raw = (body or "").encode()
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw[: len(raw) // 2] if state["calls"] % 4 == 2 else raw)
+
+        def log_message(self, *a):
+            pass
+
+    own = ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=own.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{own.server_port}", state
+    own.shutdown()
+
+
+def test_new_pages_and_records_only(spark, growing, tmp_path):
+    url, state = growing
+    soon = {"wait": 0.01, "attempts": 6}
+    run = lambda: html.scrape_new(spark, f"{url}/p", "p", f"{tmp_path}/out", f"{tmp_path}/cp", auto_label=True, **soon).awaitTermination(120)
+    read = lambda: sorted(r.text for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    run()
+    assert read() == sorted(x for k in range(1, 4) for x in (f"good page {k}", str(k)))
+    state["pages"] = 5
+    state["asked"].clear()
+    run()
+    assert read() == sorted(x for k in range(1, 6) for x in (f"good page {k}", str(k)))
+    run()
+    assert len(read()) == 10 and spark.read.parquet(f"{tmp_path}/out").first().collected_at.endswith("+00:00")
+    fetch = lambda: json_api.fetch_new(spark, f"{url}/records", f"{tmp_path}/api", f"{tmp_path}/acp", results_key="items", page_size=60, **soon).awaitTermination(120)
+    got = lambda: sorted(int(r.text[1:]) for r in spark.read.parquet(f"{tmp_path}/api").collect())
+    fetch()
+    assert got() == list(range(250))
+    state["records"] = 300
+    state["asked"].clear()
+    fetch()
+    assert got() == list(range(300))
+    assert all("offset=0&limit=1" in x or "offset=250" in x for x in state["asked"])  # old records aren't asked for
+
+
+def test_filters_decide_which_pages_are_asked_for(spark, growing):
+    url, state = growing
+    df = html.scraped(spark, f"{url}/p", "p", 50, wait=0.01, attempts=6)
+    assert sorted((r.page, r.text) for r in df.where("page > 1 and page <= 3 and text like 'good%'").collect()) == [(2, "good page 2"), (3, "good page 3")]
+    assert {x for x in state["asked"]} == {"/p/page/2/", "/p/page/3/"}
+
+
+def test_retries_end(growing):
+    url, state = growing
+    assert web.get(f"{url}/none", {"wait": "0.01", "attempts": "6"}) is None and web.get("http://127.0.0.1:1/", {"wait": "0.01"}) is None
+    assert [web.last_there(lambda k: k <= n, known, most) for n, known, most in ((0, 0, 9), (5, 0, 9), (9, 0, 9), (50, 3, 9), (13, 4, 1000), (4, 4, 4))] == [0, 5, 9, 9, 13, 4]
+
+
 def test_selector():
     assert html.select_text(PAGE, "div.quote span.text") == ["A goodfriend", "It & evil"]
     assert html.select_text(PAGE, "div.quote > span.text") == ["A goodfriend"]
