@@ -23,7 +23,6 @@ SPELLINGS = {a: b.replace("-", " ") for a, b in SPELLINGS.items()}
 # Punctuation beyond ASCII that counts as a space.
 PUNCTUATION = " ©«®·»‐‑‒–—―‘’“”„•…™"
 
-COPYRIGHT_LINE = r"^[ \t*#/;>-]*(copyright[ \t:(]|\(c\)|©|all rights reserved)[^\n]*$"
 # Words after "copyright" where a licence's own sentence was wrapped, and no holder is named.
 SENTENCE = "holders?|owners?|notices?|licen[cs]es?|laws?|interests?|statements?|disclaimers?|acts?|treaty|status|protection|and|or|in|on|of|to|the|for|by law|is|are|permission"
 _WHO = rf"copyright(?![ \t:]+(?:{SENTENCE})\b)[ \t:(]|©|all rights reserved"
@@ -120,9 +119,9 @@ def forms(name: str, text: str) -> set[str]:
     return found | {f"{t} {c}" for c in found for t in titles if not c.startswith(t)}
 
 
-def known_licenses(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
-    """license_id, digest; of licences with one canonical form the first in order. KNOWN comes with whole_texts() and the
-    forms of all of them; other texts stand as they are."""
+def known_digests(known: dict[str, str] = KNOWN) -> dict[str, str]:
+    """digest: name; of licences with one canonical form the first in order. KNOWN comes with whole_texts() and the forms of
+    all of them; other texts stand as they are."""
     first: dict[str, str] = {}
     for name, text in sorted(known.items()):
         if canonical(text):
@@ -131,7 +130,12 @@ def known_licenses(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFr
         for name, text in [*sorted((k, t) for k, t in known.items() if len(canonical(t).split()) > 30), *whole_texts()]:
             for form in sorted(forms(name, text)):
                 first.setdefault(hashlib.sha256(form.encode()).hexdigest(), name)
-    return spark.createDataFrame([(name, d) for d, name in first.items()], "license_id string, digest string")
+    return first
+
+
+def known_licenses(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
+    """license_id, digest of known_digests."""
+    return spark.createDataFrame([(name, d) for d, name in known_digests(known).items()], "license_id string, digest string")
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,18 +161,20 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def oracle(documents: str = "documents", known: dict[str, str] = KNOWN) -> str:
-    """The same in DuckDB's SQL."""
-    first: dict[str, str] = {}
-    for name, text in sorted(known.items()):
-        first.setdefault(digest(text), name)
-    rows = ", ".join(f"('{name}', '{d}')" for d, name in first.items())
+    """The same in DuckDB's SQL, with all known digests. Its patterns have no look-ahead, so that copyright lines are told
+    line by line: what begins like one, unless a sentence of the licence goes on there."""
+    rows = ", ".join(f"('{name}', '{d}')" for d, name in known_digests(known).items())
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     pairs = ", ".join(f"'{a}': '{b}'" for a, b in SPELLINGS.items())
-    drop = "(?m)" + COPYRIGHT_LINE
+    mark = r"^[ \t*#/;>-]*"
+    sentence = rf"{mark}copyright[ \t:]+({SENTENCE})\b"
     return rf"""
 WITH known(license_id, digest) AS (VALUES {rows}),
-w AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{upper}', '{lower}'), '{drop}', '', 'g'),
-  '[\x00-\x2F\x3A-\x60\x7B-\x7F{PUNCTUATION}]', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM {documents}),
+l AS (SELECT doc_id, string_split(translate(coalesce(text, ''), '{upper}', '{lower}'), chr(10)) AS lines FROM {documents}),
+i AS (SELECT doc_id, lines, len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*\(b\)[ \t]'))) > 0 AS listed FROM l),
+k AS (SELECT doc_id, list_filter(lines, lambda x: NOT (regexp_matches(x, '{mark}copyright[ \t:(]') AND NOT regexp_matches(x, '{sentence}')
+  OR regexp_matches(x, '{mark}(©|all rights reserved)') OR regexp_matches(x, CASE WHEN listed THEN '{mark}\(c\)[ \t]*\d{{4}}\b' ELSE '{mark}\(c\)' END))) AS lines FROM i),
+w AS (SELECT doc_id, list_filter(string_split(regexp_replace(array_to_string(lines, chr(10)), '[\x00-\x2F\x3A-\x60\x7B-\x7F{PUNCTUATION}]', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM k),
 d AS (SELECT doc_id, sha256(array_to_string(list_transform(words, lambda x: coalesce((MAP {{{pairs}}})[x], x)), ' ')) AS digest FROM w)
 SELECT d.doc_id, d.digest, known.license_id FROM d LEFT JOIN known USING (digest)
 """

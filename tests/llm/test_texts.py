@@ -389,6 +389,23 @@ def test_more_blocks_for_more_fingerprints():
     assert how.sized(1 << 28).blocks == 7 and how.sized(1 << 33).blocks == 8 and len(how.sized(1 << 28).keys()) == 35
 
 
+def test_license_sql_finds_whole_licences(spark):
+    """The query's SQL knows all digests, and finds whole licences with titles, copyright lines, other cases and spellings."""
+    import duckdb
+    import pandas as pd
+
+    whole = dict(license_scan.whole_texts()[: len(license_scan.FILES)])
+    mit = license_scan.KNOWN["MIT"]
+    texts = [*whole.values(), *(t.upper() for t in whole.values()), "MIT License\n\nCopyright (c) 2026 Jo\n\n" + mit, mit.replace("Software", "SOFTWARE") + "\nAll rights reserved.", mit + " x", whole["GPL-2.0"] + "\n(c) someone", "(c) 2001 X\n" + whole["Apache-2.0"], "", None, "© 2020\nCopyright holders of this"]
+    texts += ["Copyright notice of the house\nCopyright: Jo", "# copyright (c) Jo\nlicence", "(b) one\n(c) two\n(c) 1999 Jo\n(c)1999x"]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841  DuckDB finds it by its name
+    want = {i: (d, l) for i, d, l in duckdb.sql(license_scan.oracle()).fetchall()}
+    got = {r.doc_id: (r.digest, r.license_id) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), EMPTY), license_scan.known_licenses(spark)).collect()}
+    assert got == want and len(license_scan.known_digests()) > 100
+    assert [got[i][1] for i in range(len(whole))] == [got[len(whole) + i][1] for i in range(len(whole))] == list(whole)
+    assert [got[2 * len(whole) + i][1] for i in range(3)] == ["MIT", "MIT", None]
+
+
 def test_licenses_of_long_and_repeated_rows(spark):
     """Texts of a million words; rows twice; two known names for one digest: the first in order."""
     mit = license_scan.KNOWN["MIT"]
