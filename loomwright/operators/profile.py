@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import expr
 from loomwright.operators import quantiles as order
+from loomwright.operators.ranges import held
 from loomwright.operators.setops import digest
 from loomwright.schema import BALANCE_NAMES, ROW_ID, find_label, numbers, strings, values
 
@@ -144,12 +146,22 @@ def detect(df: DataFrame, how: Detector = Detector()) -> dict:
 
 
 def metrics(df: DataFrame, how: Detector = Detector(), label: str | None = None) -> DataFrame:
-    """metric, value: the figures of a report as rows, a few for each column. They are computed here and now, in one pass for
-    each kind of problem, so that a frame may be let go of afterwards."""
-    gone = {r["column"]: r["count"] for r in missing(df).collect()}
-    dup, odd, balance = duplicates(df, how_many=True).first(), limits(df, how), imbalance(df, how, label).first()
-    rows = [("rows", dup["rows"]), ("columns", len(values(df))), ("missing_values_total", sum(gone.values())), *((f"missing_{c}", n) for c, n in gone.items())]
-    rows += [("duplicates", dup["count"]), ("outliers_total", sum(r["outside"] for r in odd)), *([("imbalance_ratio", balance["imbalance_ratio"])] if balance else [])]
+    """metric, value: the figures of a report as rows, a few for each column. They are computed here and now, so that a frame
+    may be let go of afterwards: texts are passed over once for what is counted (rows meet by their digest), and once for
+    what is measured."""
+    kinds, texts = {f.name: f.dataType for f in df.schema}, strings(df)
+    gone = {c: F.coalesce(expr.is_missing(_c(c), kinds[c]) | (expr.is_blank(_c(c)) if c in texts else F.lit(False)), F.lit(True)) for c in values(df)}
+    name = balance_column(df, label)
+    flags = [F.count(F.when(x, 1)).alias(f"m{i}") for i, x in enumerate(gone.values())]
+    seen = held(df.groupBy(digest(df), (_c(name).cast("string") if name else F.lit(None).cast("string")).alias("_class")).agg(F.count("*").alias("n"), *flags))
+    sums = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_distinct("_digest").alias("kept"), *(F.coalesce(F.sum(f"m{i}"), F.lit(0)).alias(f"m{i}") for i in range(len(gone)))).first()
+    missed = {c: sums[f"m{i}"] for i, c in enumerate(gone) if sums[f"m{i}"]}
+    odd = limits(df, how)
+    rows = [("rows", sums["rows"]), ("columns", len(gone)), ("missing_values_total", sum(missed.values())), *((f"missing_{c}", n) for c, n in missed.items())]
+    rows += [("duplicates", sums["rows"] - sums["kept"]), ("outliers_total", sum(r["outside"] for r in odd))]
+    if name:
+        counts = seen.where(F.col("_class").isNotNull()).groupBy("_class").agg(F.sum("n").alias("count")).agg(F.count("*").alias("n"), F.min("count").alias("lo"), F.max("count").alias("hi"))
+        rows.append(("imbalance_ratio", balance(counts, F.lit(name), how).first()["imbalance_ratio"]))
     return df.sparkSession.createDataFrame([(k, float(v)) for k, v in rows], "metric string, value double")
 
 
@@ -170,7 +182,12 @@ def side_by_side(df: DataFrame, strategies: dict[str, dict[str, str]], shown: tu
 
     base, out = metrics(df), None
     for name, strategy in strategies.items():
-        one = compare(base, metrics(fix(df, strategy))).select("metric", "before", F.col("after").alias(f"after_{name}"))
+        fixed = fix(df, strategy).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            figures = metrics(fixed)
+        finally:
+            fixed.unpersist()
+        one = compare(base, figures).select("metric", "before", F.col("after").alias(f"after_{name}"))
         out = one if out is None else out.join(one.drop("before"), "metric", "full_outer")
     return out.where(F.col("metric").isin(*shown)) if shown else out
 

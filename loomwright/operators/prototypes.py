@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.operators import annotate
+from loomwright.operators import annotate, sample
 from loomwright.operators.features import FittedTfIdf
 from loomwright.schema import ROW_ID
 
@@ -27,27 +27,56 @@ def _unit(column: pa.Array, size: int) -> np.ndarray:
     return np.where(good[:, None], out / np.where(good[:, None], norm, 1.0), 0.0)
 
 
-def prototypes(known: DataFrame, vector: str = "embedding", label: str = "label") -> dict[str, np.ndarray]:
-    """The unit mean of each class, added up in the tasks: a row for each class and dimension meets the driver."""
-    size = known.where(F.col(label).isNotNull()).agg(F.max(F.size(vector)).alias("s")).first()["s"] or 0
+def sums(known: DataFrame, vector: str, keys: tuple[str, ...]) -> dict[tuple, np.ndarray]:
+    """The sum of the unit vectors of each group, added up in the tasks: a row for each group and dimension meets the driver."""
+    size = known.agg(F.max(F.size(vector)).alias("s")).first()["s"] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        held: dict[tuple, np.ndarray] = {}
         for b in batches:
-            x, names = _unit(b.column(1), size), np.array(b.column(0).to_pylist(), object)
-            for c in set(names.tolist()):
-                sums[c] = sums.get(c, 0) + x[names == c].sum(axis=0)
-        for c, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([s], pa.list_(pa.float64()))], ["c", "s"])
-
-    own = known.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("c"), F.col(vector).cast("array<double>").alias("v"))
-    rows = own.mapInArrow(run, "c string, s array<double>").select("c", F.posexplode("s").alias("i", "x")).groupBy("c", "i").agg(F.sum("x").alias("x")).collect()
-    found: dict[str, np.ndarray] = {r.c: np.zeros(size) for r in rows}
+            x, groups = _unit(b.column(len(keys)), size), list(zip(*(b.column(k).to_pylist() for k in range(len(keys)))))
+            at: dict[tuple, list[int]] = {}
+            for i, g in enumerate(groups):
+                at.setdefault(g, []).append(i)
+            for g, own in at.items():
+                held[g] = held.get(g, 0) + x[own].sum(axis=0)
+        for g, s in held.items():
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.string()) for v in g), pa.array([s], pa.list_(pa.float64()))], [*names, "s"])
+
+    names = [f"k{i}" for i in range(len(keys))]
+    own = known.select(*(F.col(k).cast("string").alias(n) for k, n in zip(keys, names)), F.col(vector).cast("array<double>").alias("v"))
+    rows = own.mapInArrow(run, "".join(f"{n} string, " for n in names) + "s array<double>").select(*names, F.posexplode("s").alias("i", "x")).groupBy(*names, "i").agg(F.sum("x").alias("x")).collect()
+    found: dict[tuple, np.ndarray] = {}
     for r in rows:
-        found[r.c][r.i] = r.x
+        found.setdefault(tuple(r[n] for n in names), np.zeros(size))[r.i] = r.x
+    return found
+
+
+def _means(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {c: v / n if (n := np.linalg.norm(v)) > 0 else v for c, v in sorted(found.items())}
 
 
+def prototypes(known: DataFrame, vector: str = "embedding", label: str = "label") -> dict[str, np.ndarray]:
+    """The unit mean of each class."""
+    return _means({c: v for (c,), v in sums(known.where(F.col(label).isNotNull()), vector, (label,)).items()})
+
+
+def out_of_fold(df: DataFrame, vector: str = "embedding", label: str = "label", k: int = 5, **how) -> DataFrame:
+    """Labelled rows with fold, and what label_by_prototype says of them by the prototypes of the other folds. One pass
+    gives the sums of all folds; those of the others are the sum of all less the own."""
+    known = sample.folds(df.where(F.col(label).isNotNull()), label, k)
+    found = sums(known, vector, ("fold", label))
+    out = None
+    for f in range(k):
+        others: dict[str, np.ndarray] = {}
+        for (g, c), v in found.items():
+            if int(g) != f:
+                others[c] = others.get(c, 0) + v
+        part = label_by_prototype(known.where(F.col("fold") == f), _means(others), vector, **how)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def label_by_prototype(df: DataFrame, classes: dict[str, np.ndarray], vector: str = "embedding", sharpness: float = 10.0, threshold: float = annotate.THRESHOLD) -> DataFrame:
     """df with predicted_label, similarity (cosine to the nearest class, the first of equally near ones), confidence
     (softmax of the similarities times sharpness, four digits) and needs_review. Vectors that are null, zero, of another size

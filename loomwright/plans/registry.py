@@ -544,6 +544,29 @@ def label_by_prototypes(spark, sf_dir):
     return out.select("vec_id", "predicted_label", F.round("similarity", 9).alias("similarity"))
 
 
+@query(f"""WITH v AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL), u AS (SELECT vec_id, label, {_UNIT} AS e FROM v),
+f AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) - 1) % 5 AS fold FROM u),
+x AS (SELECT fold, label, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x FROM f), m AS (SELECT fold, label, i, sum(x) AS x FROM x GROUP BY ALL),
+o AS (SELECT g.fold, m.label, m.i, sum(m.x) AS x FROM m, (SELECT DISTINCT fold FROM f) AS g WHERE m.fold <> g.fold GROUP BY ALL), c AS (SELECT fold, label, list(x ORDER BY i) AS m FROM o GROUP BY ALL),
+s AS (SELECT vec_id, f.label, f.fold, c.label AS said, list_cosine_similarity(e, m) AS s FROM f JOIN c USING (fold))
+SELECT vec_id, label, CAST(fold AS INT) AS fold, arg_max(said, s) AS predicted_label, round(max(s), 9) AS similarity FROM s GROUP BY ALL""")
+def prototypes_out_of_fold(spark, sf_dir):
+    """Each labelled vector by the classes of the other folds."""
+    df = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("vec_id").alias(ROW_ID), F.col("label").cast("string").alias("label"), "embedding")
+    return prototypes.out_of_fold(df).select(F.col(ROW_ID).alias("vec_id"), "label", "fold", "predicted_label", F.round("similarity", 9).alias("similarity"))
+
+
+@query(f"""WITH v AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL), u AS (SELECT vec_id, label, {_UNIT} AS e FROM v),
+f AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) - 1) % 5 AS fold FROM u),
+x AS (SELECT fold, label, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x FROM f), m AS (SELECT fold, label, i, sum(x) AS x FROM x GROUP BY ALL),
+o AS (SELECT g.fold, m.label, m.i, sum(m.x) AS x FROM m, (SELECT DISTINCT fold FROM f) AS g WHERE m.fold <> g.fold GROUP BY ALL), c AS (SELECT fold, label, list(x ORDER BY i) AS m FROM o GROUP BY ALL),
+s AS (SELECT vec_id, f.label, c.label AS said, list_cosine_similarity(e, m) AS s FROM f JOIN c USING (fold)), p AS (SELECT vec_id, label, arg_max(said, s) AS said FROM s GROUP BY ALL)
+SELECT label AS truth, said AS predicted, count(*) AS n FROM p GROUP BY ALL""")
+def prototypes_confusion(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("vec_id").alias(ROW_ID), F.col("label").cast("string").alias("label"), "embedding")
+    return annotate.confusion(prototypes.out_of_fold(df))
+
+
 _DRIFT = """k AS (SELECT event_type AS class, count(*) + 0.5::DOUBLE AS n FROM events WHERE ts < TIMESTAMP '2024-01-08' AND event_type IS NOT NULL GROUP BY 1),
 b AS (SELECT class, n / (SELECT sum(n) FROM k) AS share FROM k),
 w AS (SELECT start, start + INTERVAL {size} AS "end", event_type AS class FROM {rows} WHERE event_type IN (SELECT class FROM b)),
