@@ -134,12 +134,10 @@ def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
     return out
 
 
-#: Bytes of words that share an inverted index: few enough for it to stay near the processor.
-GROUP_BYTES = 1 << 16
 #: A block of texts has its own numbering of words, until it has so many characters or different words.
 BLOCK_CHARS, BLOCK_WORDS = 64 << 20, 800_000
-#: Words of a block that go into one row; words of all blocks that meet in one bucket.
-CHUNK, BUCKET = 65536, 1_000_000
+#: Words of a block that go into one row; words of all blocks that meet in one bucket, under one inverted index.
+CHUNK, BUCKET = 65536, 250_000
 
 
 class _Numbers(dict):
@@ -244,7 +242,7 @@ def _deal(buckets: int):
 
 
 def _replayed(path: str):
-    """A bucket's different words are replayed once each; every block gets the ids of its own."""
+    """A bucket's different words are replayed once each, under one index; every block gets the ids of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, held = _Numbers(), []
@@ -255,13 +253,8 @@ def _replayed(path: str):
                 held.append((block, at, np.fromiter((numbers[flat[i:j]] for i, j in zip([0, *ends], ends)), np.int64, len(at))))
         if not held:
             return
-        ranks, words, parts, at = Ranks(path), list(numbers), [], 0
-        while at < len(words):
-            end, size = at, 0
-            while end < len(words) and (end == at or size + len(words[end]) <= GROUP_BYTES):
-                size, end = size + len(words[end]), end + 1
-            parts += [array("I", x) for x in replay(words[at:end], ranks)]
-            at = end
+        parts = [array("I", x) for x in replay(list(numbers), Ranks(path))]
+        numbers.clear()
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         flat, begins = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
         for block, at, own in held:

@@ -308,6 +308,28 @@ def test_components_of_paths_and_stars(spark):
     assert components(df.where("a < 0"), shared_dir(spark)).count() == 0
 
 
+def test_one_index_for_all_words_of_a_bucket(monkeypatch):
+    """Words that several blocks send to a bucket are replayed together, each once, and every block gets its own ids back."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    path, calls, real = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), [], bpe.replay
+    monkeypatch.setattr(bpe, "replay", lambda words, ranks: calls.append(list(words)) or real(words, ranks))
+    r = random.Random(2)
+    blocks = [sorted({bytes(r.choices(b"abcdefgh ", k=r.randint(1, 9))) for _ in range(3000)}) for _ in range(3)]
+    pack = lambda words: bpe._compressed(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)), b"".join(words))
+    batches = [pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([k]), pa.array([pack(w)])], ["bucket", "block", "blob"]) for k, w in enumerate(blocks)]
+    got = {b.column(0)[0].as_py(): bpe._expanded(b.column(1)[0].as_py()) for b in bpe._replayed(path)(iter(batches))}
+    (words,) = calls
+    assert len(words) == len(set(words)) == len(set().union(*blocks))
+    ranks = bpe.Ranks(path)
+    for k, own in enumerate(blocks):
+        at, sizes, flat = got[k]
+        ids = bpe._from_planes(flat).tolist()
+        ends = np.cumsum(sizes).tolist()
+        assert [ids[i:j] for i, j in zip([0, *ends], ends)] == [real([w], ranks)[0] for w in own] and at.tolist() == list(range(len(own)))
+
+
 def test_licenses(spark):
     mit = license_scan.KNOWN["MIT"]
     rows = [(0, mit), (1, "Copyright (c) 2001 Someone\n\n" + mit.upper() + "\n(C) all of us"), (2, mit + " x"), (3, None), (4, ""), (5, "released under the MIT Licence"), (6, "© 2020"), (7, license_scan.KNOWN["Zlib"].replace("acknowledgment", "acknowledgement"))]
