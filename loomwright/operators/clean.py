@@ -105,9 +105,17 @@ def _in_class(df: DataFrame, label: str, seed: int) -> DataFrame:
 
 
 def undersample(df: DataFrame, label: str, seed: int = SEED) -> DataFrame:
-    """As many rows of each class as the smallest has, those with the smallest keys; rows without a class go."""
+    """As many rows of each class as the smallest has, those with the smallest keys; rows without a class go.
+
+    Keys are ranked without the rows; the last one that stays of each class then tells by a filter which rows do, so that
+    texts aren't dealt out. Rows of one number and class go together.
+    """
     few = _counts(df, label).agg(F.min("_n")).first()[0] or 0
-    return _in_class(df, label, seed).where(F.col("_rank") < few).drop("_rank")
+    known = df.where(_c(label).isNotNull()).withColumn("_key", expr.rank_key(F.col(ROW_ID), seed))
+    ranks = ranked(known.select(_c(label).alias("_class"), "_key", ROW_ID), "_rank", ["_key", ROW_ID], "_class")
+    last = ranks.where(F.col("_rank") == few - 1).select("_class", F.col("_key").alias("_last"), F.col(ROW_ID).alias("_id"))
+    stay = (F.col("_key") < F.col("_last")) | ((F.col("_key") == F.col("_last")) & (F.col(ROW_ID) <= F.col("_id")))
+    return known.join(last, _c(label) == F.col("_class")).where(stay).select(df.columns)
 
 
 def oversample(df: DataFrame, label: str, seed: int = SEED) -> DataFrame:

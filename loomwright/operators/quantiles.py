@@ -39,16 +39,16 @@ def _settle(rows: DataFrame, marks: DataFrame, shares: tuple[float, ...], keys:
     for j in at:
         zone = zone + (x > F.col("hi")[j]).cast("int")
     # Brackets ascend as shares do, so that a value behind z of them can only be in the next one.
-    each = rows.join(marks, same("_k")).select(*keys, *facts, "x", zone.alias("zone")).select(*keys, *facts[:3], "x", "zone", F.get("lo", "zone").alias("b"), F.get("hi", "zone").alias("e"))
+    each = rows.join(marks, same("_k")).select(*keys, "lo", "hi", "x", zone.alias("zone")).select(*keys, "x", "zone", F.get("lo", "zone").alias("b"), F.get("hi", "zone").alias("e"))
     # Halves before the difference, so that it can't be infinite; the bins of infinite brackets are -1, 0 and BINS.
     part = F.floor((x / 2 - F.col("b") / 2) / F.nullif(F.col("e") / 2 - F.col("b") / 2, F.lit(0.0)) * BINS)
     finite = (F.col("b") > float("-inf")) & (F.col("e") < float("inf"))
     bin_ = F.when(finite, F.coalesce(part, F.lit(0))).when(x == float("-inf"), F.lit(-1)).when(x == float("inf"), F.lit(BINS)).otherwise(F.lit(0))
     inside = x >= F.col("b")
-    counts = each.groupBy(*keys, *facts[:3], "zone", F.when(inside, bin_).cast("int").alias("bin"), F.when(inside, x).alias("x")).agg(F.count("*").alias("c"))
+    counts = each.groupBy(*keys, "zone", F.when(inside, bin_).cast("int").alias("bin"), F.when(inside, x).alias("x")).agg(F.count("*").alias("c"))
     totals = counts.groupBy(*keys, "zone", "bin").agg(F.sum("c").alias("s"))
     before = Window.partitionBy(*keys).orderBy("zone", "bin").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*(F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)), F.col("zone").alias("_zone"), F.col("bin").alias("_bin"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("carry"))
+    carry = totals.join(marks, same("_k")).select(*(F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)), *facts[:3], F.col("zone").alias("_zone"), F.col("bin").alias("_bin"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("carry"))
     upto = Window.partitionBy(*keys, "zone", "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     running = counts.withColumn("_run", F.sum("c").over(upto)).join(carry, same("_c") & (F.col("zone") == F.col("_zone")) & F.col("bin").eqNullSafe(F.col("_bin")))
     last = F.col("carry") + F.col("_run")
@@ -87,7 +87,7 @@ def settle(rows: DataFrame, shares: tuple[float, ...], keys: tuple[str, ...], er
     Should a bracket miss its rank, its group is settled without brackets. -inf and inf are values like others; null may be a key.
     """
     keys, rising = list(keys), tuple(sorted(set(shares)))
-    out = held(_settle(rows, _marks(rows, rising, keys, error) if marks is None else marks, rising, keys))
+    out = held(_settle(rows, held(_marks(rows, rising, keys, error) if marks is None else marks), rising, keys))
     if out.where(~F.col("sure")).count():
         missed = out.where(~F.col("sure"))
         every = [F.array(*[F.col(c)] * len(rising)).alias(n) for c, n in (("least", "lo"), ("most", "hi"))]

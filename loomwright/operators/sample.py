@@ -31,9 +31,11 @@ def top(df: DataFrame, score: Column, n: int) -> DataFrame:
 
 
 def folds(df: DataFrame, label: str, k: int = 5, seed: int | str = 42) -> DataFrame:
-    """fold: k of equal size in each class, by key."""
-    keyed = df.withColumn("_key", expr.rank_key(F.col(ROW_ID), seed))
-    return ranked(keyed, "_rank", ["_key", ROW_ID], label).withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int")).drop("_rank", "_key")
+    """fold: k of equal size in each class (null is one), by key. Numbers and classes are ranked without the rows and then
+    meet them again; rows of one number and class are in one fold."""
+    ids = df.select(F.col(label).alias("_class"), F.col(ROW_ID).alias("_id"), expr.rank_key(F.col(ROW_ID), seed).alias("_key")).distinct()
+    own = ranked(ids, "_rank", ["_key", "_id"], "_class").select("_class", "_id", F.pmod("_rank", F.lit(k)).cast("int").alias("fold"))
+    return df.join(own, F.col(label).eqNullSafe(F.col("_class")) & (F.col(ROW_ID) == F.col("_id"))).drop("_class", "_id")
 
 
 def first_and_rest(df: DataFrame, n: int, seed: int | str = 42) -> tuple[DataFrame, DataFrame]:

@@ -192,6 +192,18 @@ def test_sampling(spark):
     assert max(r["count"] for r in f if r.label == "negative") - min(r["count"] for r in f if r.label == "negative") <= 1
 
 
+def test_folds_and_undersampling_of_repeated_rows(spark):
+    data = [(i, f"t{i}", "ab"[i % 3 == 0]) for i in range(90)] + [(5, "t5", "a"), (6, "t6", "b"), (200, "n", None)]
+    df = spark.createDataFrame(data, REC).repartition(4)
+    got = sample.folds(df, "label", 3).collect()
+    assert len(got) == len(data) and len({(r._row_id, r.fold) for r in got}) == 91 and {r.fold for r in got if r.label is None} == {0}
+    keys = {l: sorted((hashlib.md5(f"{i}:42".encode()).hexdigest(), i) for i, _, x in data if x == l) for l in "ab"}
+    few = min(map(len, keys.values()))
+    want = sorted(i for l in "ab" for k in keys[l] if k <= keys[l][few - 1] for i in [k[1]])
+    assert sorted(r._row_id for r in clean.undersample(df, "label").collect()) == want
+    assert clean.undersample(df.where("label is null"), "label").count() == 0
+
+
 def test_weights_match_definition(spark):
     df = spark.createDataFrame([(0, "cat cat dog"), (1, "cat bird"), (2, None)], "_row_id bigint, text string")
     got = {(r._row_id, r.word): r.weight for r in features.weights(df, min_df=1).collect()}
