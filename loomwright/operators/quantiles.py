@@ -79,6 +79,10 @@ def _marks(rows: DataFrame, shares: tuple[float, ...], keys: list[str], error: f
     return found.select(*keys, "n", "least", "most", lo.alias("lo"), hi.alias("hi"))
 
 
+def _local(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def settle(rows: DataFrame, shares: tuple[float, ...], keys: tuple[str, ...], error: float = ERROR, marks: DataFrame | None = None) -> DataFrame:
     """keys, n, least, most, q: the exact quantiles of x at the shares in each group of rows, interpolated between neighbours.
 
@@ -87,11 +91,13 @@ def settle(rows: DataFrame, shares: tuple[float, ...], keys: tuple[str, ...], er
     Should a bracket miss its rank, its group is settled without brackets. -inf and inf are values like others; null may be a key.
     """
     keys, rising = list(keys), tuple(sorted(set(shares)))
-    out = held(_settle(rows, held(_marks(rows, rising, keys, error) if marks is None else marks), rising, keys))
+    # Figures of columns alone are a row for each column, and may go by the driver.
+    keep = _local if keys == ["column"] else held
+    out = keep(_settle(rows, keep(_marks(rows, rising, keys, error) if marks is None else marks), rising, keys))
     if out.where(~F.col("sure")).count():
         missed = out.where(~F.col("sure"))
         every = [F.array(*[F.col(c)] * len(rising)).alias(n) for c, n in (("least", "lo"), ("most", "hi"))]
-        out = out.where("sure").unionByName(held(_settle(rows, missed.select(*keys, "n", "least", "most", *every), rising, keys)))
+        out = out.where("sure").unionByName(keep(_settle(rows, missed.select(*keys, "n", "least", "most", *every), rising, keys)))
     return out.select(*keys, "n", "least", "most", F.array(*(F.col("q")[rising.index(p)] for p in shares)).alias("q"))
 
 
