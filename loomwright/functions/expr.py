@@ -46,7 +46,8 @@ def strip_quotes(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.length(strip(text)) == 0
+    """Nothing but Unicode white space; known at the first other character."""
+    return ~F.rlike(text, F.lit(r"(?U)\S"))
 
 
 def is_missing(column: Column, kind: T.DataType) -> Column:

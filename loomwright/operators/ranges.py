@@ -43,6 +43,13 @@ def held(df: DataFrame) -> DataFrame:
     return back.select(*(F.col(f"`{c}`") if c in own else F.lit(None).alias(c) for c in df.columns))
 
 
+def dealt_out(df: DataFrame, key: str) -> DataFrame:
+    """df as it is, or dealt out by a key if it has fewer partitions than there are cores: a file of one row group, or a few
+    of them, is read by as few tasks, and what is done with the rows afterwards needn't be."""
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(F.col(key)) if few else df
+
+
 def by_range(df: DataFrame, *order: str) -> DataFrame:
     """df in sorted ranges, with _part (the range) and _at (the place in it, from 0)."""
     ranged = df.repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order)

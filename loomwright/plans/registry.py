@@ -11,7 +11,7 @@ from loomwright.functions import expr
 from loomwright.operators import annotate, clean, evaluate, explore, features, learn, profile, prototypes, sample, setops
 from loomwright.operators.corpus import Corpus
 from loomwright.operators.increment import Store
-from loomwright.operators.ranges import held, ranked, shared_folder
+from loomwright.operators.ranges import dealt_out, held, ranked, shared_folder
 from loomwright.schema import ROW_ID
 from loomwright.sources import html, json_api
 from loomwright.streaming import drift
@@ -361,7 +361,7 @@ fixed AS (SELECT _row_id, CASE WHEN length(text) > hi THEN substr(text, 1, hi) E
 j AS (SELECT metric, CASE WHEN starts_with(metric, 'missing_') THEN coalesce(bef.v, 0.0) ELSE bef.v END AS b, CASE WHEN starts_with(metric, 'missing_') THEN coalesce(aft.v, 0.0) ELSE aft.v END AS a FROM bef FULL OUTER JOIN aft USING (metric))
 SELECT metric, CAST(b AS DOUBLE) AS before, CAST(a AS DOUBLE) AS after, round_even(CAST(a - b AS DOUBLE), 4) AS delta, CASE WHEN b <> 0 THEN round_even(CAST((a - b) / b * 100 AS DOUBLE), 1) ELSE 0.0 END AS delta_pct FROM j""")
 def quality_compare(spark, sf_dir):
-    df = corpus(spark, sf_dir).persist()
+    df = dealt_out(corpus(spark, sf_dir), ROW_ID).persist()
     fixed = clean.fix(df, clean.DEFAULT).persist()
     try:
         return profile.compare(profile.metrics(df), profile.metrics(fixed))
@@ -750,7 +750,7 @@ def al_savings(spark, sf_dir):
 def known_rows(spark, sf_dir):
     """The labelled documents, dealt out evenly and written once: learning reads them several times."""
     df = corpus(spark, sf_dir)
-    return held(df.where(df["label"].isNotNull()).repartition(ROW_ID))
+    return held(dealt_out(df.where(df["label"].isNotNull()), ROW_ID))
 
 
 @query()
@@ -831,7 +831,7 @@ SELECT 'duplicates', (SELECT count(*) FROM corpus) - (SELECT count(*) FROM (SELE
 SELECT metric, CAST(before AS DOUBLE) AS before, CAST(x AS DOUBLE) AS after_drop, CAST(y AS DOUBLE) AS after_constant FROM m""".replace("{gone}", "count(*) FILTER (coalesce(trim(text) = '', true)) + count(*) FILTER (coalesce(trim(label) = '', true)) + count(*) FILTER (coalesce(trim(source) = '', true))"))
 def strategies_side_by_side(spark, sf_dir):
     """Two repair strategies over one frame, for the metrics that a reader compares."""
-    df = corpus(spark, sf_dir).persist()
+    df = dealt_out(corpus(spark, sf_dir), ROW_ID).persist()
     try:
         return profile.side_by_side(df, SIDES, ("rows", "missing_values_total", "duplicates"))
     finally:
