@@ -577,14 +577,14 @@ SELECT start, "end", n, round(sum((a - share) * ln(a / share)), 9) AS psi, sum((
 
 @query("WITH " + _DRIFT.format(size="1 DAY", rows="(SELECT date_trunc('day', ts) AS start, event_type FROM events)"))
 def drift_by_day(spark, sf_dir):
-    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return drift.monitor(events, events.where("ts < timestamp '2024-01-08'"), "ts", "event_type", "1 day")
+    events = table(spark, sf_dir, "events")
+    return drift.monitor(events, events.where("ts < timestamp_ntz '2024-01-08 00:00:00'"), "ts", "event_type", "1 day")
 
 
 @query("WITH " + _DRIFT.format(size="6 HOURS", rows="(SELECT time_bucket(INTERVAL 2 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(CAST(2 * k AS INT)) AS start, event_type FROM events, range(3) AS r(k))"))
 def drift_sliding(spark, sf_dir):
-    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return drift.monitor(events, events.where("ts < timestamp '2024-01-08'"), "ts", "event_type", "6 hours", "2 hours")
+    events = table(spark, sf_dir, "events")
+    return drift.monitor(events, events.where("ts < timestamp_ntz '2024-01-08 00:00:00'"), "ts", "event_type", "6 hours", "2 hours")
 
 
 # Uncertainty, samples, splits
