@@ -695,7 +695,7 @@ x AS (SELECT _row_id, term, (1 + ln(CAST(tf AS DOUBLE))) * (1 + ln((1 + n) / (1
 SELECT _row_id, term, round(weight, 6) AS weight FROM y QUALIFY row_number() OVER (PARTITION BY _row_id ORDER BY round(weight, 6) DESC, term) <= 3""")
 def tfidf_pairs_topk(spark, sf_dir):
     """Words and pairs of words, as the learners see them."""
-    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ROW_ID), "text")
+    df = dealt_out(table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ROW_ID), "text"), ROW_ID)
     found = features.TfIdf(3000, 2, 2, None, stop_words=tuple(expr.STOP_WORDS)).fit(df)
     own = found.terms(df).withColumn("weight", F.round("weight", 6))
     rank = F.row_number().over(Window.partitionBy(ROW_ID).orderBy(F.desc("weight"), "term"))
