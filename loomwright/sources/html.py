@@ -58,9 +58,9 @@ def parse_selector(selector: str) -> list[list[Step]]:
 
 
 class _Select(HTMLParser):
-    def __init__(self, paths: list[list[Step]]):
+    def __init__(self, paths: list[list[Step]], mark: str = ""):
         super().__init__(convert_charrefs=True)
-        self.paths, self.open, self.found, self.live = paths, [], [], []
+        self.paths, self.mark, self.open, self.found, self.live = paths, mark, [], [], []
 
     def _hit(self) -> bool:
         def match(path: list[Step], k: int, at: int) -> bool:
@@ -74,13 +74,16 @@ class _Select(HTMLParser):
         return any(match(p, len(p) - 1, len(self.open) - 1) for p in self.paths)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.open.append((tag, {k: v or "" for k, v in attrs}))
+        self.open.append((tag, {k: self._plain(v or "") for k, v in attrs}))
         if self._hit():
             self.found.append([])
             self.live.append((len(self.open), self.found[-1]))
         if tag in VOID:
             self._close(len(self.open) - 1)
 
+    def _plain(self, data: str) -> str:
+        return data.replace(self.mark, "&") if self.mark else data
+
     def _close(self, depth: int) -> None:
         del self.open[depth:]
         self.live = [x for x in self.live if x[0] <= depth]
@@ -92,13 +95,21 @@ class _Select(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         for _, parts in self.live:
-            parts.append(data.strip())
+            parts.append(self._plain(data).strip())
+
 
+def select_text(page: str | None, selector: str, references: tuple[str, ...] | None = None) -> list[str]:
+    """The text of each element found, in order: pieces stripped and joined, quotes off the ends; empty ones are left out.
 
-def select_text(page: str | None, selector: str) -> list[str]:
-    """The text of each element found, in order: pieces stripped and joined, quotes off the ends; empty ones are left out."""
-    parser = _Select(parse_selector(selector))
-    parser.feed(page or "")
+    references: the character references (lt, #x27) that are decoded, with their semicolon only; others stay as they are
+    written. None: all that HTML knows, some of which need no semicolon, as browsers do it.
+    """
+    page, mark = page or "", ""
+    if references is not None:
+        mark = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in page)  # stands for an & that begins none of them
+        page = re.sub(rf"&(?!(?:{'|'.join(map(re.escape, references))});)" if references else "&", mark, page)
+    parser = _Select(parse_selector(selector), mark)
+    parser.feed(page)
     parser.close()
     return [t for t in ("".join(parts).strip(expr.QUOTES) for parts in parser.found) if t]
 
@@ -237,8 +248,8 @@ def scrape_new(spark, url: str, selector: str, target: str, checkpoint: str, max
     return as_records(rows, f"scrape_{url}", auto_label).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def scrape_pages(pages: DataFrame, selector: str, column: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Pages that are already a table: a row for each element found, with its position."""
+def scrape_pages(pages: DataFrame, selector: str, column: str = "html", keep: tuple[str, ...] = (), references: tuple[str, ...] | None = None) -> DataFrame:
+    """Pages that are already a table: a row for each element found, with its position; references as in select_text."""
     import pyarrow as pa
 
     parse_selector(selector)
@@ -248,7 +259,7 @@ def scrape_pages(pages: DataFrame, selector: str, column: str = "html", keep: tu
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                found = [select_text(p, selector) for p in b.column(1).slice(at, 256).to_pylist()]
+                found = [select_text(p, selector, references) for p in b.column(1).slice(at, 256).to_pylist()]
                 rows = b.column(0).slice(at, 256).take(pa.array([i for i, f in enumerate(found) for _ in f], pa.int64()))
                 yield pa.RecordBatch.from_arrays([rows, pa.array([k for f in found for k in range(len(f))], pa.int32()), pa.array([t for f in found for t in f], pa.string())], ["row", "position", "text"])
 

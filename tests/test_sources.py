@@ -121,6 +121,20 @@ def test_selector():
         html.parse_selector("p:first-child")
 
 
+def test_titles_decode_the_references_of_their_sql(spark, tmp_path):
+    import duckdb
+
+    from loomwright.plans import registry
+
+    titles = ["a &amp", "b &amp;&am", "c &lt", "d &ltx; &quot;e", "&amp;amp; &eacute; &eacute &#x27; &#65", "plain &", "&quot;q&quot;", "&copy 1 \ue000"]
+    page = lambda t: f"<p>x</p><article><h1>{t}</h1><p>{t}</p><p>a<script>1 && 2 &amp</script></p></article>"
+    spark.createDataFrame([*((i, page(t)) for i, t in enumerate(titles)), (90, "<article><p>none</p></article>"), (91, None)], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for name in ("html_titles", "html_scrape"):
+        sql = registry.ORACLES[name].replace("FROM pages", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(duckdb.sql(sql).fetchall())
+    assert html.select_text("<p>1 &amp 2 &lt;</p>", "p") == ["1 & 2 <"] and html.select_text("<p title='&amp'>&lt;</p>", "p[title=&]", ()) == []
+
+
 def test_scrape(spark, server):
     df = html.scrape(spark, f"{server}/q", "div.quote span.text", max_pages=3, auto_label=True)  # the third page fails and is skipped
     assert sorted((r.text, r.label) for r in df.collect()) == [("A goodfriend", "positive"), ("It & evil", "negative"), ("two", "positive")]
