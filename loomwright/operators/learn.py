@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from loomwright.functions import expr
 from loomwright.operators import annotate, sample
-from loomwright.operators.features import FittedTfIdf, Sparse, TfIdf, sparse_rows
+from loomwright.operators.features import FittedTfIdf, Sparse, TfIdf, small_batches, sparse_rows
 from loomwright.operators.ranges import held
 from loomwright.operators.setops import minus, only
 from loomwright.schema import HISTORY, ROW_ID
@@ -295,7 +295,7 @@ def _best(batch: int):
 def _rounds(rows: DataFrame, strategies: tuple[str, ...], iterations: int, batch: int, label: str, begun: int) -> dict[str, list[dict]]:
     """All strategies side by side over held rows with features and _part: a job fits them, another one scores the test
     rows and the pool for all of them. The driver knows which rows have been chosen, batch numbers a round."""
-    spark, live = rows.sparkSession, list(strategies)
+    spark, live = small_batches(rows.sparkSession), list(strategies)
     chosen: dict[str, list[int]] = {s: [] for s in strategies}
     history: dict[str, list[dict]] = {s: [] for s in strategies}
     for k in range(iterations + 1):
