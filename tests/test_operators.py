@@ -542,3 +542,17 @@ def test_memory_of_features_is_bounded_by_pieces_not_by_rows(spark):
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
 
     assert max(r.n for r in df.mapInArrow(sizes, "n bigint").collect()) <= 1024
+
+
+@pytest.mark.parametrize("job", ["folds", "final"])
+def test_learners_take_rows_in_small_batches(spark, job):
+    """Tasks with many rows hand 1,024 of them at most to Python at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    df = spark.range(3000, numPartitions=1).selectExpr("id AS _row_id", "concat('word', id % 7, ' thing', id % 2) AS text", "IF(id % 2 = 0, 'a', 'b') AS label")
+    out = learn.label_out_of_fold(df) if job == "folds" else learn.train_final(df.where("_row_id < 2000"), df.where("_row_id >= 2000"))[1]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    assert out.count() == (3000 if job == "folds" else 1000) and max(r.n for r in df.mapInArrow(sizes, "n bigint").collect()) <= 1024
