@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from loomwright.functions import expr
 from loomwright.operators import annotate, sample
-from loomwright.operators.features import FittedTfIdf, Sparse, TfIdf, small_batches, sparse_rows
+from loomwright.operators.features import FittedTfIdf, Sparse, TfIdf, small_batches
 from loomwright.operators.ranges import held
 from loomwright.operators.setops import minus, only
 from loomwright.schema import HISTORY, ROW_ID
@@ -367,28 +367,26 @@ def history_frame(spark, results: dict[str, list[dict]]) -> DataFrame:
 
 def label_out_of_fold(df: DataFrame, label: str = "label", threshold: float = annotate.THRESHOLD, k: int = 5) -> DataFrame:
     """The annotator for when no model is at hand: each fold is labelled by a model of the others; the text statistics
-    are those of all rows. Rows without a label are left out. One job fits all folds; texts stay where they are when they
-    are labelled."""
+    are those of all rows. Rows without a label are left out. Features are written once and all folds are fitted on them;
+    texts stay where they are when they are labelled."""
     known = sample.folds(df.where(F.col(label).isNotNull()), label, k)
-    found, rows = TfIdf(5000, 1, 1, None, sublinear=False).fit_rows(known, keep=(label, "fold"))
+    found = TfIdf(5000, 1, 1, None, sublinear=False).fit(known)
+    rows = held(found.transform(known.select("text", label, "fold")).drop("text"))
     others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda g: g != F.col("fold")))
     models = {int(g): m for g, m in fit_groups(rows.withColumn("_g", others), "_g", label, 1.0).items()}
-    src = found.entries(known)
-    own, width = [c for c in src.columns if c not in ("_i", "_x", "fold")], len(found.idf)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, fold = sparse_rows(b, width), b.column(b.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
-            said, top = np.full(b.num_rows, None, object), np.full(b.num_rows, np.nan)
-            for g, (names, w) in models.items():
-                at = np.flatnonzero(fold == g)
-                z = (x.dot(w[:, :-1].T) + w[:, -1])[at]
-                p = np.exp(z - z.max(axis=1, keepdims=True, initial=-np.inf))
-                p /= p.sum(axis=1, keepdims=True)
-                said[at], top[at] = np.array([*names, "-"][: p.shape[1]], object)[p.argmax(axis=1)], p.max(axis=1, initial=0)
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in own), pa.array(said.tolist(), pa.string()), pa.array(top, from_pandas=True)], [*own, "predicted_label", "_top"])
-
-    out = src.mapInArrow(run, T.StructType([*(src.schema[c] for c in own), T.StructField("predicted_label", T.StringType()), T.StructField("_top", T.DoubleType())]))
+    def label_batch(b: pa.RecordBatch, x: Sparse) -> list[pa.Array]:
+        fold = b.column(b.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
+        said, top = np.full(b.num_rows, None, object), np.full(b.num_rows, np.nan)
+        for g, (names, w) in models.items():
+            at = np.flatnonzero(fold == g)
+            z = (x.dot(w[:, :-1].T) + w[:, -1])[at]
+            p = np.exp(z - z.max(axis=1, keepdims=True, initial=-np.inf))
+            p /= p.sum(axis=1, keepdims=True)
+            said[at], top[at] = np.array([*names, "-"][: p.shape[1]], object)[p.argmax(axis=1)], p.max(axis=1, initial=0)
+        return [pa.array(said.tolist(), pa.string()), pa.array(top, from_pandas=True)]
+
+    out = found.applied(known, label_batch, [T.StructField("predicted_label", T.StringType()), T.StructField("_top", T.DoubleType())]).drop("fold")
     out = out.withColumn("confidence", F.bround("_top", 4))
     return out.withColumn("needs_review", F.col("confidence") < threshold).drop("_top")
 

@@ -556,3 +556,18 @@ def test_learners_take_rows_in_small_batches(spark, job):
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
 
     assert out.count() == (3000 if job == "folds" else 1000) and max(r.n for r in df.mapInArrow(sizes, "n bigint").collect()) <= 1024
+
+
+def optimized(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_folds_take_one_python_worker_a_task(spark, monkeypatch):
+    """Features of the folds are written once and read by all models; words are counted, weighed and labelled in one step."""
+    seen, was = [], learn.fit_groups
+    monkeypatch.setattr(learn, "fit_groups", lambda rows, *a, **k: (seen.append(optimized(rows)), was(rows, *a, **k))[1])
+    df = spark.range(300, numPartitions=2).selectExpr("id AS _row_id", "IF(id % 50 = 0, null, concat('word', id % 7, ' thing', id % 2)) AS text", "IF(id % 2 = 0, 'a', 'b') AS label")
+    out = learn.label_out_of_fold(df)
+    assert "MapInArrow" not in seen[0] and optimized(out).count("MapInArrow") == 1
+    got = out.collect()
+    assert len(got) == 300 and out.columns == ["_row_id", "text", "label", "predicted_label", "confidence", "needs_review"] and all(r.predicted_label == r.label for r in got if r.text)
